@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,11 +97,62 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of so many rows, so that what one step holds stays small."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, column: str | None = None, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that what one step holds stays small; with a column, of about `size` bytes of it."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if column is None:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+            continue
+        ends = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.float64)))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+_BYTE_ODD = np.uint64(0x5851F42D4C957F2D)
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
+_POWERS: list[np.ndarray] = []
+
+
+@dataclass
+class Words:
+    """The words of the rows of a column: row, first byte, byte after the last (both in `data`), and hash."""
+
+    data: np.ndarray
+    row: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+    first: np.ndarray  # of each row, and one more: its first word's index
+
+
+def words(column: pa.Array, lower: bool = False) -> Words:
+    """Splits at SPACE and hashes all words of a column at once; null counts as empty. lower: A-Z count as a-z in hashes."""
+    column = column.cast(pa.binary()).fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    n = len(data)
+    if not _POWERS or len(_POWERS[0]) <= n:
+        up = np.full(max(n + 1, 5 << 20), _BYTE_ODD)
+        down = np.full(len(up), np.uint64(pow(int(_BYTE_ODD), -1, 1 << 64)))
+        up[0] = down[0] = 1
+        _POWERS[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
+    inside = np.zeros(n + 2, bool)
+    inside[1:-1] = ~_SPACE[data]
+    cut = np.zeros(n + 1, bool)
+    cut[offsets] = True
+    start = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
+    end = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_BYTES[_LOWER] if lower else _BYTES)[data] * _POWERS[0][:n], dtype=np.uint64)])
+    h = mix((sums[end] - sums[start]) * _POWERS[1][start] + (end - start).astype(np.uint64))
+    first = np.searchsorted(start, offsets)
+    return Words(data, np.repeat(np.arange(len(column)), np.diff(first)), start, end, h, first)
 
 
 def components(spark: SparkSession, edges: DataFrame, name: str = "links") -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality, token_counts
+from . import quality, substring_dedup, token_counts
 
 
 def queries() -> dict:
     return {
+        "op5_substring_dedup": substring_dedup.query,
         "op8_token_counts": token_counts.query,
         "op9_quality_classifier": quality.query,
     }

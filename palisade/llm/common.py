@@ -181,3 +181,66 @@ def components(spark: SparkSession, edges: DataFrame, name: str = "links") -> Da
     ids = cur.groupBy("u").agg(F.min("v").alias("component_id")).select(F.col("u").alias("id"), "component_id")
     roots = cur.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
     return ids.union(roots)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each group of a partition sorted by (integer) keys, one batch per group."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy() for c in keys], 1)
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(k[a])
+            if held and now != last:
+                yield joined()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield joined()
+
+
+def in_blocks(clusters: DataFrame, block: int) -> DataFrame:
+    """Adds (i, j) and `part` to rows (id, cluster, ...): a row for each pair of blocks that compares the row's id.
+
+    A cluster of n ids has ceil(n / block) blocks, so its n * n / 2 comparisons fall to n * n / (2 * block * block)
+    groups of at most about 2 * block rows: no task holds more of a cluster than that, however large it is.
+    `part` is the row's own block: in a group i < j rows of part i face rows of part j.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    parts = clusters.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    parts = parts.withColumn("part", F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks").cast("long")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
+    return parts.withColumn("pair", F.explode(pair)).select("*", "pair.i", "pair.j").drop("pair", "n", "blocks")
+
+
+def by_group(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df dealt by keys and sorted by them, as grouped() wants it."""
+    return df.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index reachable from each of n nodes by links a-b."""
+    at = np.arange(n)
+    while len(a):
+        new = at.copy()
+        np.minimum.at(new, a, at[b])
+        np.minimum.at(new, b, at[a])
+        new = new[new]
+        if (new == at).all():
+            break
+        at = new
+    return at
+
+
+def link_totals(spark: SparkSession, parts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """From rows (id, links, root) of the blocks: (id, links) summed, and (id, component_id)."""
+    parts = table(spark, parts, name)
+    return parts.groupBy("id").agg(F.sum("links").alias("links")), components(spark, parts.select(F.col("id").alias("u"), F.col("root").alias("v")), name)

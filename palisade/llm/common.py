@@ -10,7 +10,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +34,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows in this session (the default is 10,000): long texts must fit an executor's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, None) or 10_000) > rows:
+        spark.conf.set(key, rows)
+
+
 def table(spark: SparkSession, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: lineage ends here and lost executors cost nothing."""
     path = f"{scratch_dir(spark)}/palisade/{name}-{uuid.uuid4().hex}"
@@ -53,23 +59,6 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, remembered for a bounded number of words."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        out = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = out
-        return out
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that looks random (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

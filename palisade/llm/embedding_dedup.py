@@ -178,6 +178,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9
     bring classes together. Within them codes decide: a pair whose estimate plus its bound (of `sigmas` standard
     deviations) stays under the threshold goes no further; all others fall into clusters, whose pairs are computed.
     """
+    common.bounded_batches(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = common.table(spark, rows.mapInArrow(_digested, "vec_id long, v binary, digest binary"), "vectors")
     classes = rows.where("digest is not null and vec_id is not null").groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))

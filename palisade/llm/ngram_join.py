@@ -149,6 +149,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, simila
     reached, and classes that share a prefix in any tree fall into one cluster. Within clusters, blocks of `block`
     classes are compared exactly with each other, all pairs counted and none written.
     """
+    common.bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     depth = prefix_length(similarity, trees, (1 << BITS) // trees, recall)
     signed = common.table(spark, docs.mapInArrow(_signed(words, trees, depth), "doc_id long, digest binary, keys array<long>"), "signed")

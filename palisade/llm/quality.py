@@ -37,26 +37,31 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def statistics(text: bytes, words: list[bytes], h: np.ndarray) -> np.ndarray:
-    """Structure of a text, each value bounded by its kind: shares, means and logarithms of counts."""
-    c = np.bincount(_CLASSES[np.frombuffer(text, np.uint8)], minlength=8) if text else np.zeros(8, np.int64)
-    n, nw = max(len(text), 1), max(len(words), 1)
-    lines = text.split(b"\n")
-    letters = max(c[1] + c[2] + c[6], 1)
-    return np.array([
-        np.log1p(len(text)), len(text) / nw, len(np.unique(h)) / nw, float((h[1:] == h[:-1]).sum()) / nw if nw > 1 else 0.0,
-        len(set(lines)) / len(lines), np.log1p(len(text) / len(lines)), c[0] / n, c[2] / letters, c[3] / n, c[6] / n, c[7] / nw,
-        text.count(b"|") / nw, sum(w.isupper() for w in words) / nw, letters / n,
-    ])
-
-
-def features(text: bytes, hashes: common.WordHashes, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket ids of the text's words, their values (damped counts of unit length), and its statistics."""
-    words = text.split()
-    h = hashes.of([w.lower() for w in words])
-    ids, n = np.unique((h % np.uint64(buckets)).astype(np.int32), return_counts=True)
-    x = np.log1p(n)
-    return ids, (x / max(np.sqrt((x * x).sum()), 1e-9)).astype(np.float32), statistics(text, words, h)
+def features(column: pa.Array, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text: bucket ids of its words (A-Z as a-z), their values (damped counts of unit length), and its structure.
+
+    The structure is shares, means and logarithms of counts, each bounded by its kind.
+    """
+    words = common.words(column, lower=True)
+    classes = _CLASSES[words.data]
+    upper, lower = (np.concatenate([[0], np.cumsum(classes == c)]) for c in (2, 1))
+    shouted = (upper[words.end] > upper[words.start]) & (lower[words.end] == lower[words.start])
+    bucket = (words.hash % np.uint64(buckets)).astype(np.int32)
+    at = 0
+    for text, a, b in zip(column.cast(pa.binary()).fill_null(b"").to_pylist(), words.first[:-1], words.first[1:], strict=True):
+        c = np.bincount(classes[at : at + len(text)], minlength=8)
+        at += len(text)
+        h, n, nw = words.hash[a:b], max(len(text), 1), max(int(b - a), 1)
+        lines = text.split(b"\n")
+        letters = max(c[1] + c[2] + c[6], 1)
+        structure = np.array([
+            np.log1p(len(text)), len(text) / nw, len(np.unique(h)) / nw, float((h[1:] == h[:-1]).sum()) / nw,
+            len(set(lines)) / len(lines), np.log1p(len(text) / len(lines)), c[0] / n, c[2] / letters, c[3] / n, c[6] / n, c[7] / nw,
+            text.count(b"|") / nw, float(shouted[a:b].sum()) / nw, letters / n,
+        ])
+        ids, count = np.unique(bucket[a:b], return_counts=True)
+        x = np.log1p(count)
+        yield ids, (x / max(np.sqrt((x * x).sum()), 1e-9)).astype(np.float32), structure
 
 
 def with_statistics(ids: np.ndarray, x: np.ndarray, stats: np.ndarray, edges: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,9 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, buckets:
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = common.WordHashes()
-        for batch in common.slices(batches):
-            got = [features(t, hashes, buckets) for t in common.texts(batch)]
+        for batch in common.slices(batches, column="text"):
+            got = list(features(batch.column("text"), buckets))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), *(pa.array([g[i].astype(k).tobytes() for g in got], pa.binary()) for i, k in enumerate((np.int32, np.float32, np.float64)))], names=["doc_id", "quality", "ids", "x", "stats"])
 
     rows = sample.mapInArrow(run, "doc_id long, quality int, ids binary, x binary, stats binary").toArrow().to_pylist()
@@ -134,16 +138,14 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     its other columns; repeated rows get the same score.
     """
     shared = spark.sparkContext.broadcast(model)
+    common.bounded_batches(spark)
     docs = docs.drop("score")
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hashes = shared.value, common.WordHashes()
-        for batch in common.slices(batches):
-            got = []
-            for t in common.texts(batch):
-                ids, x, stats = features(t, hashes, m.buckets)
-                got.append(m.score(*with_statistics(ids, x, stats, m.edges, m.buckets)))
+        m = shared.value
+        for batch in common.slices(batches, column="text"):
+            got = [m.score(*with_statistics(ids, x, stats, m.edges, m.buckets)) for ids, x, stats in features(batch.column("text"), m.buckets)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, ngram_join, quality, substring_dedup, token_counts
+from . import embedding_dedup, ngram_join, packing, quality, substring_dedup, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_ngram_jaccard_join": ngram_join.query,
         "op3_embedding_near_dedup": embedding_dedup.query,
         "op5_substring_dedup": substring_dedup.query,
+        "op6_vector_bin_packing": packing.query,
         "op8_token_counts": token_counts.query,
         "op9_quality_classifier": quality.query,
     }

@@ -139,6 +139,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, round
     without a doc_id have no place in the order: nothing of them goes, and they count for no other. Rows with one
     doc_id aren't earlier than each other; texts under one doc_id must be the same text (the first is kept).
     """
+    common.bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     whole, flagged = repeats(spark, docs.where("doc_id is not null"), window, rounds)
     left = flagged.mapInArrow(_removed(window), "doc_id long, removed long, sha_left string").dropDuplicates(["doc_id"])

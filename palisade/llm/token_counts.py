@@ -114,6 +114,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str, limit: int = 2
     frequent ones of at most `head_bytes` bytes (so a bounded table) are broadcast and joined map-side; all
     others are joined by a shuffle on the pre-token. The frequent keys never reach that shuffle.
     """
+    common.bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     units = docs.select("text").mapInArrow(_distinct, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     units = common.table(spark, units.mapInArrow(_pieces(path), "unit binary, n long, pieces long"), "pieces")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, ngram_join, packing, quality, substring_dedup, token_counts
+from . import embedding_dedup, line_dedup, ngram_join, packing, quality, substring_dedup, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": line_dedup.query,
         "op2_ngram_jaccard_join": ngram_join.query,
         "op3_embedding_near_dedup": embedding_dedup.query,
         "op5_substring_dedup": substring_dedup.query,

@@ -57,16 +57,18 @@ def prefix_length(similarity: float, trees: int, longest: int, recall: float) ->
 
 
 def _signed(n: int, trees: int, depth: int):
+    # every tree reads bins from all over: neighbouring bins of a short text share their minimum
+    bins = np.random.default_rng(29).permutation(1 << BITS)[: trees * ((1 << BITS) // trees)].reshape(trees, -1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, column="text", size=2 << 20):
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 words = common.words(part.column("text"), lower=True)
                 sig = signatures(*shingles(words, n), part.num_rows)
-                each = sig.shape[1] // trees
                 key = np.tile(common.mix(np.arange(trees, dtype=np.uint64)), (part.num_rows, 1))
                 for i in range(depth):  # the first `depth` symbols of each tree's branch
-                    key = common.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, i::each][:, :trees])
+                    key = common.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, bins[:trees, i]])
                 none = np.diff(words.first) == 0
                 digest = [None if z else xxhash.xxh3_128_digest(words.hash[a:b].tobytes()) for z, a, b in zip(none, words.first[:-1], words.first[1:], strict=True)]
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * trees), pa.array(key.view(np.int64).ravel()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, line_dedup, ngram_join, packing, quality, substring_dedup, token_counts
+from . import decontamination, embedding_dedup, line_dedup, ngram_join, packing, quality, substring_dedup, token_counts
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_vector_bin_packing": packing.query,
         "op8_token_counts": token_counts.query,
         "op9_quality_classifier": quality.query,
+        "op10_benchmark_decontamination": decontamination.query,
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, line_dedup, ngram_join, packing, quality, substring_dedup, token_counts
+from . import decontamination, embedding_dedup, license_scan, line_dedup, ngram_join, packing, quality, substring_dedup, token_counts
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_embedding_near_dedup": embedding_dedup.query,
         "op5_substring_dedup": substring_dedup.query,
         "op6_vector_bin_packing": packing.query,
+        "op7_license_scans": license_scan.query,
         "op8_token_counts": token_counts.query,
         "op9_quality_classifier": quality.query,
         "op10_benchmark_decontamination": decontamination.query,

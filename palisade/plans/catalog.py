@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from palisade.operators import relational, text
+
+QUERIES = text.R.queries | relational.R.queries
+ORACLES = text.R.oracles | relational.R.oracles

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, license_scan, line_dedup, ngram_join, packing, quality, substring_dedup, token_counts
+from . import decontamination, embedding_dedup, katz, license_scan, line_dedup, ngram_join, packing, quality, substring_dedup, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_line_dedup": line_dedup.query,
         "op2_ngram_jaccard_join": ngram_join.query,
         "op3_embedding_near_dedup": embedding_dedup.query,
+        "op4_katz_scoring": katz.query,
         "op5_substring_dedup": substring_dedup.query,
         "op6_vector_bin_packing": packing.query,
         "op7_license_scans": license_scan.query,

@@ -112,9 +112,11 @@ def anchors(h: np.ndarray, wall: np.ndarray, window: int, rounds: int = 7, lowes
     its key is the hash of the words depended on. Windows without one are their own anchors. So equal windows have
     equal keys, whatever surrounds them.
     """
-    n = len(h)
-    if n < window:
+    if len(h) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    # walls at both ends: what depends on where a text starts or stops depends on more than its words
+    h, wall = np.concatenate([[np.uint64(0)], h, [np.uint64(0)]]), np.concatenate([[True], wall, [True]])
+    n = len(h)
     walls = np.concatenate([[0], np.cumsum(wall)])
     at = np.flatnonzero(walls[window:] == walls[: n - window + 1])
     sums = prefix_sums(h)
@@ -132,4 +134,4 @@ def anchors(h: np.ndarray, wall: np.ndarray, window: int, rounds: int = 7, lowes
         open_ = open_[~good]
     if len(open_):
         key[open_] = range_hash(sums, at[open_], at[open_] + window - 1)
-    return at, key
+    return at - 1, key

@@ -1,0 +1,338 @@
+"""Facts from source text (calls, imports, routes), sinks, and taint: one narrow pass over files, in Arrow batches.
+
+The scanner below is a tokenizer with bracket matching, enough for calls, assignments, arguments and imports in
+JavaScript, TypeScript and Python. Statements are folded in order; every expression is judged by the tokens it holds.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palisade.functions import rules
+
+_TOKEN = {
+    "javascript": re.compile(r"(?P<skip>//[^\n]*|/\*.*?\*/|[ \t\r\f\v]+)|(?P<template>`(?:\\.|[^`\\])*`)|(?P<string>'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\")|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<line>\n)|(?P<op>=>|[=!]==?|[<>]=?|&&|\|\||\?\.|\+=|.)", re.S),
+    "python": re.compile(r"(?P<skip>\#[^\n]*|[ \t\r\f\v]+|\\\n)|(?P<template>[fF](?:'''.*?'''|\"\"\".*?\"\"\"|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"))|(?P<string>[rRbBuU]?(?:'''.*?'''|\"\"\".*?\"\"\"|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"))|(?P<name>[A-Za-z_]\w*)|(?P<number>\d[\w.]*)|(?P<line>\n)|(?P<op>==|!=|[<>]=?|\+=|:=|.)", re.S),
+}
+_OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
+
+
+@dataclass
+class Token:
+    kind: str
+    text: str
+    line: int
+
+
+@dataclass
+class Call:
+    receiver: str
+    method: str
+    line: int
+    args: list[list[Token]]
+    start: int
+    end: int
+    within: str = ""
+
+
+@dataclass
+class Source:
+    language: str
+    text: str
+    tokens: list[Token] = field(default_factory=list)
+    match: dict[int, int] = field(default_factory=dict)
+
+    def __post_init__(self):
+        line, stack = 1, []
+        for m in _TOKEN[rules.family(self.language)].finditer(self.text):
+            kind = m.lastgroup
+            if kind not in ("skip",):
+                self.tokens.append(Token(kind, m.group(), line))
+                at, text = len(self.tokens) - 1, m.group()
+                if kind == "op" and text in _OPEN:
+                    stack.append(at)
+                elif kind == "op" and text in _CLOSE and stack:
+                    self.match[stack.pop()] = at
+            line += m.group().count("\n")
+
+    def chain(self, end: int) -> tuple[int, str]:
+        """(start, dotted text) of the member chain that ends with the name at `end`; calls in it count by name."""
+        i, parts = end, [self.tokens[end].text]
+        while i >= 2 and self.tokens[i - 1].text in (".", "?."):
+            j = i - 2
+            if self.tokens[j].text in (")", "]"):
+                opened = next((a for a, b in self.match.items() if b == j), None)
+                j = opened - 1 if opened else -1
+            if j < 0 or self.tokens[j].kind != "name":
+                break
+            parts.insert(0, self.tokens[j].text)
+            i = j
+        return i, ".".join(parts)
+
+    def split(self, a: int, b: int, by: str = ",") -> list[list[Token]]:
+        """Tokens a..b cut at `by` outside brackets."""
+        out, now, depth = [], [], 0
+        for t in self.tokens[a:b]:
+            depth += (t.text in _OPEN) - (t.text in _CLOSE) if t.kind == "op" else 0
+            if t.kind == "op" and t.text == by and depth == 0:
+                out.append(now)
+                now = []
+            elif t.kind != "line":
+                now.append(t)
+        return [x for x in [*out, now] if x]
+
+    def calls(self) -> list[Call]:
+        found = []
+        for i, t in enumerate(self.tokens[:-1]):
+            if t.kind == "name" and self.tokens[i + 1].text == "(" and i + 1 in self.match:
+                if i and self.tokens[i - 1].text in ("function", "def", "class"):
+                    continue
+                start, text = self.chain(i)
+                receiver, _, method = text.rpartition(".")
+                end = self.match[i + 1]
+                found.append(Call(receiver, method, t.line, self.split(i + 2, end), start, end))
+        return found
+
+
+def argument_kind(arg: list[Token]) -> str:
+    """literal, template, identifier, binary, call or other; functions count as literal."""
+    if not arg:
+        return "other"
+    texts = [t.text for t in arg]
+    if "=>" in texts or texts[0] in ("function", "lambda", "async"):
+        return "literal"
+    if len(arg) == 1:
+        t = arg[0]
+        if t.kind == "template":
+            return "template" if "${" in t.text or t.text[:1] in "fF" and "{" in t.text else "literal"
+        return {"string": "literal", "number": "literal", "name": "literal" if t.text in ("true", "false", "null", "None", "True", "False", "undefined") else "identifier"}.get(t.kind, "other")
+    depth = 0
+    for t in arg:
+        depth += (t.text in _OPEN) - (t.text in _CLOSE) if t.kind == "op" else 0
+        if t.kind == "op" and t.text in ("+", "%", "||", "&&") and depth == 0:
+            return "binary"
+    if arg[-1].text == ")" and arg[0].kind == "name":
+        return "call"
+    if arg[0].text in ("[", "{") and not any(t.kind == "name" or t.kind == "template" for t in arg):
+        return "literal"
+    return "identifier" if all(t.kind == "name" or t.text in (".", "?.") for t in arg) else "other"
+
+
+def source_in(tokens: list[Token], language: str) -> str | None:
+    """The first taint source (in table order) that the tokens name, as itself or the start of a longer chain."""
+    text = "".join(t.text if t.kind != "template" else " " + t.text + " " for t in tokens)
+    for s in rules.SOURCES[rules.family(language)].split():
+        for m in re.finditer(re.escape(s), text):
+            before, after = text[: m.start()][-1:], text[m.end() :][:1]
+            if not re.match(r"[\w$.]", before) and not re.match(r"[\w$]", after):
+                rest = re.match(r"(?:\.[\w$]+|\[[^\]]*\])*", text[m.end() :]).group()
+                return s + rest
+    return None
+
+
+def sanitizer(call: Call, language: str) -> bool:
+    for s in rules.SANITIZERS[rules.family(language)].split():
+        receiver, _, method = s.rpartition(".")
+        if call.method == method and (not receiver or call.receiver == receiver):
+            return True
+    return False
+
+
+@dataclass
+class Flow:
+    source: str
+    sink: str
+    type: str
+    line: int
+    path: list[str]
+
+
+def matching(call: Call, language: str) -> Iterator[tuple]:
+    for order, rule in enumerate(rules.SINKS, 1):
+        if language in rule[3] and any(m.rpartition(".")[2] == call.method and (r == "*" and call.receiver or r == "-" and not call.receiver or r == call.receiver) for m in rule[4].split() if ":" not in m for r in [m.rpartition(".")[0]]):
+            yield order, rule
+
+
+def flows(src: Source) -> list[Flow]:
+    """Taint from sources through assignments, in statement order, into sinks; sanitizers strip it. First of (source, sink, line) wins."""
+    taint: dict[str, tuple[str, list[str]]] = {}
+    language, calls, out, seen = src.language, src.calls(), [], set()
+    inside = lambda a, b: [c for c in calls if a <= c.start and c.end <= b]
+
+    def tainted(a: int, b: int) -> tuple[str, list[str]] | None:
+        blocked = [(c.start, c.end) for c in inside(a, b) if sanitizer(c, language)]
+        tokens = [(i, t) for i, t in enumerate(src.tokens[a:b], a) if not any(x <= i <= y for x, y in blocked)]
+        if (s := source_in([t for _, t in tokens], language)) is not None:
+            return s, [s]
+        for i, t in tokens:
+            names = [t.text] if t.kind == "name" and not (i and src.tokens[i - 1].text in (".", "?.")) else re.findall(r"[A-Za-z_$][\w$]*", " ".join(re.findall(r"\$?\{([^}]*)\}", t.text))) if t.kind == "template" else []
+            for n in names:
+                if n in taint:
+                    return taint[n][0], [*taint[n][1], n]
+            if t.kind == "template" and (s := source_in([Token("string", x, t.line) for x in re.findall(r"\{([^}]*)\}", t.text)], language)):
+                return s, [s]
+        return None
+
+    def expression(a: int, b: int) -> None:
+        for c in inside(a, b):
+            for order, rule in matching(c, language):
+                got = tainted(next(i for i in range(c.start, c.end + 1) if src.tokens[i].text == "(" and src.match.get(i) == c.end) + 1, c.end)
+                if got and (got[0], rule[0], c.line) not in seen:
+                    seen.add((got[0], rule[0], c.line))
+                    out.append(Flow(got[0], rule[0], rule[1], c.line, got[1]))
+                break
+
+    a, n, depth = 0, len(src.tokens), 0
+    for b in range(n + 1):
+        t = src.tokens[b] if b < n else None
+        if t is not None and t.kind == "op" and t.text in "([":
+            depth += 1
+        elif t is not None and t.kind == "op" and t.text in ")]":
+            depth -= 1
+        if t is None or depth <= 0 and (t.kind == "line" or t.text in (";", "{", "}")) and not (t.text == "{" and b and src.tokens[b - 1].text in ("const", "let", "var", "=")) and not (t.text == "}" and b + 1 < n and src.tokens[b + 1].text == "=" and rules.family(language) == "javascript"):
+            eq = next((i for i in range(a, b) if src.tokens[i].text in ("=", "+=", ":=")), None)
+            if eq is not None:
+                names = [x.text for x in src.tokens[a:eq] if x.kind == "name" and x.text not in ("const", "let", "var")]
+                got = tainted(eq + 1, b)
+                member = any(x.text in (".", "?.") for x in src.tokens[a:eq])
+                for name in names[-1:] if member else names:
+                    if got and not member:
+                        taint[name] = got
+            expression(a, b)
+            a = b + 1
+    return out
+
+
+@dataclass
+class Sink:
+    line: int
+    id: str
+    type: str
+    severity: str
+    order: int
+
+
+def sinks(src: Source, gate_on_taint: bool = True) -> list[Sink]:
+    """First rule of each call that also passes its gate; a rule whose (line, type) is taken gives way to the next one."""
+    found, taken = [], set()
+    reached = {(f.line, f.sink) for f in flows(src)} if gate_on_taint else set()
+
+    def add(line: int, order: int, rule: tuple) -> bool:
+        if (line, rule[1]) in taken:
+            return False
+        taken.add((line, rule[1]))
+        found.append(Sink(line, rule[0], rule[1], rule[2], order))
+        return True
+
+    for c in src.calls():
+        for order, rule in matching(c, src.language):
+            if rule[5] == "N" and (not c.args or argument_kind(c.args[0]) == "literal"):
+                continue
+            if rule[5] == "U" and not ((c.line, rule[0]) in reached if reached else any(source_in(a, src.language) for a in c.args)):
+                continue
+            if add(c.line, order, rule):
+                break
+    for i, t in enumerate(src.tokens[:-1]):
+        for order, rule in enumerate(rules.SINKS, 1):
+            if src.language not in rule[3] or ":" not in rule[4]:
+                continue
+            kind, _, name = rule[4].partition(":")
+            if t.kind == "name" and t.text == name and src.tokens[i + 1].text == "=":
+                if kind == "jsx" and not (i and src.tokens[i - 1].text in (".", "?.")):
+                    add(t.line, order, rule)
+                elif kind == "assign" and i and src.tokens[i - 1].text == ".":
+                    rest = []
+                    for x in src.tokens[i + 2 :]:
+                        if x.kind == "line" or x.text == ";":
+                            break
+                        rest.append(x)
+                    if argument_kind(rest) != "literal":
+                        add(t.line, order, rule)
+    return sorted(found, key=lambda s: (s.line, s.order))
+
+
+_IMPORTS = {
+    "javascript": [re.compile(r"""import\s+(?:type\s+)?(?P<names>[\w$*{}\s,]+?)\s+from\s+['"](?P<spec>[^'"]+)['"]"""), re.compile(r"""(?:const|let|var)\s+(?P<names>[\w$]+|\{[^}]*\})\s*=\s*require\(\s*['"](?P<spec>[^'"]+)['"]\s*\)""")],
+    "python": [re.compile(r"^[ \t]*from\s+(?P<spec>[\w.]+)\s+import\s+(?P<names>[^\n#]+)", re.M), re.compile(r"^[ \t]*import\s+(?P<names>[^\n#]+)", re.M)],
+}
+
+
+def imports(src: Source) -> list[tuple[str, str, int]]:
+    """(local name, module, line); Python's relative modules become paths."""
+    out = []
+    for pattern in _IMPORTS[rules.family(src.language)]:
+        for m in pattern.finditer(src.text):
+            spec, line = m.groupdict().get("spec"), src.text.count("\n", 0, m.start()) + 1
+            for part in re.split(r"[,{}]", m["names"]):
+                words = part.replace(":", " as ").replace("(", " ").replace(")", " ").split()
+                if words and words[0] == "*":
+                    words = words[1:]
+                local = words[-1] if words else None
+                if local and local not in ("as", "type"):
+                    module = spec if spec is not None else words[0]
+                    if module.startswith(".") and src.language == "python":
+                        dots = len(module) - len(module.lstrip("."))
+                        module = ("./" if dots == 1 else "../" * (dots - 1)) + module[dots:].replace(".", "/")
+                    out.append((local, module, line))
+    return sorted(set(out), key=lambda x: (x[2], x[0]))
+
+
+def routes(src: Source) -> list[tuple[str, str, int]]:
+    """(method, path, line) of route registrations and route decorators."""
+    receivers, methods = {"app", "router", "server", "api", "fastify", "route", "blueprint", "bp"}, {"get", "post", "put", "delete", "patch", "head", "options", "all", "route"}
+    out = []
+    for c in src.calls():
+        if c.receiver in receivers and c.method in methods and c.args:
+            first = c.args[0]
+            literal = len(first) == 1 and first[0].kind == "string"
+            out.append((c.method.upper() if c.method not in ("all", "route") else "ALL", first[0].text[1:-1] if literal else "?", c.line))
+    return out
+
+
+_FACTS = "path string, kind string, line int, name string, detail string, type string, severity string"
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """Rows of facts of files (path, text, lang): kinds call, import, route, sink, flow. Files that can't be read give none.
+
+    Null texts and unknown languages give nothing. One narrow pass; rules ship with the code, so there is no join.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, text, lang in zip(*(batch.column(c).to_pylist() for c in ("path", "text", "lang")), strict=True):
+                if not text or lang not in rules.LANGUAGES.values():
+                    continue
+                src = Source(lang, text)
+                rows += [(path, "call", c.line, f"{c.receiver}.{c.method}".lstrip("."), ",".join(map(argument_kind, c.args)), None, None) for c in src.calls()]
+                rows += [(path, "import", n, local, spec, None, None) for local, spec, n in imports(src)]
+                rows += [(path, "route", n, p, m, None, None) for m, p, n in routes(src)]
+                rows += [(path, "sink", s.line, s.id, None, s.type, s.severity) for s in sinks(src)]
+                rows += [(path, "flow", f.line, f.sink, f"{f.source} > " + " > ".join(f.path), f.type, None) for f in flows(src)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 2 else pa.string()) for i in range(7)], names=["path", "kind", "line", "name", "detail", "type", "severity"])
+
+    return files.select("path", "text", "lang").mapInArrow(run, _FACTS)
+
+
+def language(path):
+    """Language of a path column by its extension; null for others."""
+    ext = F.lower(F.regexp_extract(path, "[.]([A-Za-z]+)$", 1))
+    return F.coalesce(*[F.when(ext == k, F.lit(v)) for k, v in rules.LANGUAGES.items()])
+
+
+def resolved_imports(found: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, name, target): import facts whose relative module is a file, by ordered candidate suffixes."""
+    suffixes = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", "/index.ts", "/index.tsx", "/index.js", "/__init__.py"]
+    base = F.regexp_replace("path", "[^/]*$", "")
+    joined = F.concat(base, F.regexp_replace("detail", "^[.]/", ""))
+    up = F.expr("regexp_replace(joined, '[^/]+/[.][.]/', '')")
+    c = found.where("kind = 'import' AND detail LIKE '.%'").withColumn("joined", joined).withColumn("joined", up).withColumn("joined", up)
+    c = c.select("path", "name", F.posexplode(F.array(*[F.concat("joined", F.lit(s)) for s in suffixes])).alias("rank", "target"))
+    return c.join(files.select(F.col("path").alias("target")), "target").groupBy("path", "name").agg(F.min_by("target", "rank").alias("target"))

@@ -1,0 +1,58 @@
+import pytest
+
+from palisade.operators import code
+
+FLOWS = [
+    ("javascript", "const q = req.body.q;\nexec(q);", [("req.body.q", "exec", 2)]),
+    ("javascript", 'const id = req.body.id;\ndb.query("SELECT * FROM t WHERE id = " + id);', [("req.body.id", "sql-concat", 2)]),
+    ("javascript", "const id = req.body.id;\ndb.query(`SELECT ${id}`);", [("req.body.id", "sql-concat", 2)]),
+    ("javascript", "db.query(`SELECT ${req.body.id}`)", [("req.body.id", "sql-concat", 1)]),
+    ("javascript", 'const q = req.query.id;\nconst id = parseInt(q);\ndb.query("SELECT " + id)', []),
+    ("javascript", "const url = req.query.url;\nfetch(url);", [("req.query.url", "ssrf-fetch", 2)]),
+    ("javascript", "const { name } = req.body;\nexec(name);", [("req.body", "exec", 2)]),
+    ("python", "q = request.args['q']\nos.system('ls ' + q)", [("request.args['q']", "os.system", 2)]),
+    ("python", "n = int(request.args['n'])\nos.system(n)", []),
+    ("python", "cursor.execute(f\"select {request.GET}\")", [("request.GET", "cursor-execute", 1)]),
+]
+
+
+@pytest.mark.parametrize("lang,text,want", FLOWS)
+def test_flows(lang, text, want):
+    assert [(f.source, f.sink, f.line) for f in code.flows(code.Source(lang, text))] == want
+
+
+SINKS = [
+    ("javascript", "exec('ls')", ["exec"]),
+    ("javascript", "const eval_ = 1; // eval(x)\nconst s = 'eval(x)';", []),
+    ("javascript", "db.query('select 1')", []),
+    ("javascript", "db.query('select ' + x)", ["sql-concat"]),
+    ("javascript", "el.innerHTML = x;", ["innerHTML"]),
+    ("javascript", "el.innerHTML = 'x';", []),
+    ("tsx", "<div dangerouslySetInnerHTML={{__html: x}} />", ["dangerouslySetInnerHTML"]),
+    ("javascript", "fetch(url)", []),
+    ("javascript", "const url = req.query.url; fetch(url)", ["ssrf-fetch"]),
+    ("python", "pickle.loads(x)\nhashlib.md5(x)", ["pickle-loads", "py-md5"]),
+    ("python", "open('a.txt')", []),
+    ("python", "open(name)", ["py-open"]),
+]
+
+
+@pytest.mark.parametrize("lang,text,want", SINKS)
+def test_sinks(lang, text, want):
+    assert [s.id for s in code.sinks(code.Source(lang, text))] == want
+
+
+def test_facts_over_files(spark):
+    rows = [
+        ("src/routes.ts", "import { run } from './handler';\nrouter.get('/x/:id', run);", "typescript"), ("src/handler.ts", "export function run(req) { exec(req.body.cmd); }", "typescript"),
+        ("a.py", "from .b import c as d\nimport os\n@app.route('/home')\ndef f(): pass", "python"), ("n.ts", None, "typescript"), ("x.rb", "eval(1)", None),
+    ]
+    files = spark.createDataFrame(rows, "path string, text string, lang string")
+    found = code.facts(files)
+    got = {(r.path, r.kind, r.name, r.detail) for r in found.collect() if r.kind in ("import", "route", "sink")}
+    assert got == {
+        ("src/routes.ts", "import", "run", "./handler"), ("src/routes.ts", "route", "/x/:id", "GET"), ("src/handler.ts", "sink", "exec", None),
+        ("a.py", "import", "d", "./b"), ("a.py", "import", "os", "os"), ("a.py", "route", "/home", "ALL"),
+    }
+    assert [tuple(r) for r in code.resolved_imports(found, files).collect()] == [("src/routes.ts", "run", "src/handler.ts")]
+    assert {r.path: r.l for r in files.select("path", code.language(files.path).alias("l")).collect()}["a.py"] == "python"

@@ -69,8 +69,10 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, f = _bucketed(batch.column("text"))
         p = _passages(words)
         if len(p):
-            pairs = np.unique(p * BUCKETS + f)
-            seen[:, 0] += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+            order = np.argsort(f.astype(np.uint16), kind="stable")  # 16 bits: a radix sort
+            a, b = f[order], p[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            seen[:, 0] += np.bincount(a[new], minlength=BUCKETS)
             passages += int(p[-1]) + 1
     yield _blocks(seen)
     yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array([passages], np.float64).tobytes()], pa.binary())], names=["block", "sums"])
@@ -80,9 +82,10 @@ def _sketch(shared):
     """A'(A G) for the tf-idf matrix A of the task's passages and a random matrix G: one pass of the randomised SVD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = shared.value
+        idf = shared.value.astype(np.float32)
         noise = (np.random.default_rng(5).normal(size=(BUCKETS, RANK)) * idf[:, None]).astype(np.float32)
-        out = np.zeros((BUCKETS, RANK), np.float32)
+        squares = idf * idf
+        out = np.zeros((RANK, BUCKETS))
         for batch in common.slices(batches, column="text", size=1 << 20):
             words, f = _bucketed(batch.column("text"))
             p = _passages(words)
@@ -90,13 +93,10 @@ def _sketch(shared):
                 continue
             starts = np.flatnonzero(np.diff(p, prepend=-1))
             y = np.add.reduceat(noise[f], starts)
-            norm = np.sqrt(np.maximum(np.add.reduceat(idf[f] ** 2, starts), 1e-12)).astype(np.float32)
-            y /= (norm * norm)[:, None]  # passages count with unit length
-            order = np.argsort(f, kind="stable")
-            at = np.flatnonzero(np.diff(f[order], prepend=-1))
-            used = f[order[at]]
-            out[used] += np.add.reduceat(y[p[order]], at) * idf[used][:, None].astype(np.float32)
-        yield _blocks(out)
+            y /= np.maximum(np.add.reduceat(squares[f], starts), 1e-12)[:, None]  # passages count with unit length
+            for k, column in enumerate(np.ascontiguousarray(y.T, np.float64)):
+                out[k] += np.bincount(f, column[p], BUCKETS)
+        yield _blocks(out.T * idf[:, None])
 
     return run
 

@@ -1,0 +1,59 @@
+from pyspark.sql import functions as F
+
+from palisade.functions import scoring, text
+from palisade.operators import policy as P
+
+
+def values(spark, rows, schema, *columns):
+    return [tuple(r) for r in spark.createDataFrame(rows, schema).select(*columns).collect()]
+
+
+def test_proof_gates(spark):
+    out = 'noise START{"baseline":"pass","exploit":"pass","impact":"observed","assertion":"deterministic"}END tail'
+    rows = [(out, 3, 3), (out.replace('"exploit":"pass"', '"exploit":"fail"'), 3, 3), (out, 2, 1), (out.replace("}", ',"mockedVulnerablePath":true}'), 3, 3), ("nothing", 3, 3), ("START{broken END", 3, 3)]
+    m = P.proof_marker(F.col("o"), "START", "END")
+    names = ["baseline", "exploit", "impact", "targetReached", "assertion", "mockedVulnerablePath", "sourceMode"]
+    failed = P.proof_gates(m.isNotNull(), {n: m[n] for n in names}, F.col("r"), F.col("p"))
+    got = values(spark, rows, "o string, r int, p int", failed.alias("f"), P.proof_verdict(failed).alias("v"))
+    assert got == [
+        ([], "PROVEN"), (["exploit-failed"], "UNPROVEN"), (["insufficient-repeats", "flaky-proof"], "INCONCLUSIVE"), (["mock-vulnerable-path"], "INCONCLUSIVE"), (["proof-marker-missing"], "INCONCLUSIVE"), (["proof-marker-missing"], "INCONCLUSIVE"),
+    ]
+
+
+def test_verdicts_and_closure(spark):
+    assert values(spark, [("x\nPASS: ok", False), ("FAIL: no", False), ("", False), ("PASS: x", True)], "o string, t boolean", P.run_verdict(F.col("o"), F.col("t"))) == [("pass",), ("fail",), ("error",), ("timeout",)]
+    assert values(spark, [("PROVEN", "UNPROVEN"), ("PROVEN", "PROVEN"), ("SKIPPED", "UNPROVEN")], "a string, b string", P.closure(F.col("a"), F.col("b"))) == [("closed",), ("still-vulnerable",), ("inconclusive",)]
+    rows = [("PROVEN", None, "high", 90), ("INCONCLUSIVE", None, "low", 1), ("INCONCLUSIVE", "aborted", "low", 1), ("SKIPPED", None, "low", 1), ("UNPROVEN", None, "low", 60)]
+    assert values(spark, rows, "p string, v string, s string, c int", P.needs_review(F.col("p"), F.col("v"), F.col("s"), F.col("c"))) == [(False,), (True,), (False,), (False,), (True,)]
+
+
+def test_splice(spark):
+    rows = [("a\nb\nc", "x\ny", 2, 2), ("a\nb\nc", "", 1, 2), ("a", "x", 0, 1), ("a", "x", 1, 2), ("a\nb", "x", 2, 1)]
+    new, error = P.spliced(F.col("c"), F.col("f"), F.col("s"), F.col("e"))
+    assert values(spark, rows, "c string, f string, s int, e int", new, error.isNull()) == [("a\nx\ny\nc", True), ("c", True), (None, False), (None, False), (None, False)]
+
+
+def test_policies(spark):
+    assert values(spark, [("main",), ("a..b",), ("x y",), (None,)], "r string", P.ref_ok(F.col("r"))) == [(True,), (False,), (False,), (False,)]
+    assert values(spark, [("LOCALHOST", 80, "/x"), ("evil.com", 80, "/"), ("::1", 0, "/"), ("::1", 1, "x"), ("::1", 1, "/../x")], "h string, p int, q string", P.target_error(F.col("h"), F.col("p"), F.col("q"))) == [(None,), ("host",), ("port",), ("path",), ("traversal",)]
+    assert values(spark, [(302, "http://evil.com/x"), (302, "//localhost:1/x"), (302, "/x"), (200, "http://evil.com"), (301, None)], "s int, l string", P.leaves_localhost(F.col("s"), F.col("l"))) == [(True,), (False,), (False,), (False,), (False,)]
+    rows = [("npm", ["a.ts"], None, []), ("make", [], None, []), ("npm", ["../a"], None, []), ("npm", [], "x; rm", []), ("yarn", [], None, ["--exec"])]
+    assert values(spark, rows, "r string, f array<string>, p string, g array<string>", P.command_error(*map(F.col, "rfpg"))) == [(None,), ("unsupported runner",), ("path outside the workspace",), ("shell operator",), ("blocked flag",)]
+    assert values(spark, [(None,), (-1.0,), (5.5,), (9e9,)], "m double", P.command_timeout(F.col("m"))) == [(60_000,), (60_000,), (5,), (300_000,)]
+    assert values(spark, [("eval(x)",), ("import fs from 'fs'",), ("const x = require(y)",), ("import {a} from './a'; assert(a)",)], "s string", P.script_error(F.col("s"))) == [("eval",), ("blocked module",), ("dynamic require",), (None,)]
+
+
+def test_scalars(spark):
+    got = values(spark, [("1.10.0",), ("1.9.9",), ("2.0.0-rc1",), ("2.0",)], "v string", "v", text.version_key(F.col("v")).alias("k"))
+    assert [v for v, _ in sorted(got, key=lambda r: r[1])] == ["1.9.9", "1.10.0", "2.0.0-rc1", "2.0"]
+    assert values(spark, [("4111111111111111",), ("4111111111111112",)], "d string", text.luhn(F.col("d"))) == [(True,), (False,)]
+    assert values(spark, [("API_KEY=abc",), ("PORT=80",), ("x",)], "l string", text.env_redacted(F.col("l"))) == [("API_KEY=[REDACTED]",), ("PORT=[set]",), ("x",)]
+    assert values(spark, [(9.0, 50.0, True, True, True), (None, None, None, None, None)], "a double, b double, c boolean, d boolean, e boolean", scoring.priority(*map(F.col, "abcde"))) == [(84,), (0,)]
+    assert values(spark, [({"Cookie": "a", "Accept": "b"},)], "h map<string,string>", text.headers_redacted(F.col("h"))) == [({"Cookie": "[REDACTED]", "Accept": "b"},)]
+
+
+def test_redaction_is_idempotent(spark):
+    rows = [("mail a@b.com, key sk-" + "a" * 24 + " and " + "f" * 40,), ("Bearer abc.def",)]
+    for rules in (text.REDACT_A, text.REDACT_B):
+        once = text.replaced(F.col("t"), rules)
+        assert all(a == b for a, b in values(spark, rows, "t string", once, text.replaced(once, rules)))

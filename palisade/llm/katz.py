@@ -86,6 +86,7 @@ def _sliced(parts: int, tokens: int, folds: int, rest: int):
         def flush() -> pa.RecordBatch:
             row, h, w = (np.concatenate([x[i] for x in held]) for i in range(3))
             id_, train = (np.concatenate([x[i] for x in ids]) for i in range(2))
+            row_all = row
             key = mix(mix(h) * _A + w)
             order = np.argsort(key, kind="stable")
             key, row, h, w = key[order], row[order], h[order], w[order]
@@ -97,16 +98,21 @@ def _sliced(parts: int, tokens: int, folds: int, rest: int):
             count = np.bincount(pair_of, freq * train[row[held_at]], len(first)).astype(np.uint32)
             many = np.bincount(pair_of, minlength=len(first)).astype(np.uint32)
             edge, begin = _cuts(key[first], parts), np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
+            del key, order, new
+            h, w, row = h[first], w[first], row[held_at].astype(np.uint32)
             out = []
             for p in range(parts):
                 a, b = edge[p], edge[p + 1]
                 if a == b:
                     continue
-                names, at = np.unique(np.concatenate([h[first[a:b]], w[first[a:b]]]), return_inverse=True)
-                take = slice(begin[a], begin[b])
-                out.append((p, number, _pack(names, at[: b - a].astype(np.uint32), at[b - a :].astype(np.uint32), count[a:b], many[a:b], row[held_at[take]].astype(np.uint32), freq[take].astype(np.uint32))))
-            n = np.bincount(row, minlength=len(id_))
-            out.append((-1, number, _pack(id_, train.astype(np.uint8), n.astype(np.int64))))
+                names, at = np.unique(np.concatenate([h[a:b], w[a:b]]), return_inverse=True)
+                hi, wi = at[: b - a], at[b - a :]
+                by = np.lexsort((wi, hi))  # next to each other, equal histories pack well
+                many_by = many[a:b][by].astype(np.int64)
+                take = np.repeat(begin[a:b][by] - np.concatenate([[0], np.cumsum(many_by)[:-1]]), many_by) + np.arange(many_by.sum())
+                out.append((p, number, _pack(names, hi[by].astype(np.uint32), wi[by].astype(np.uint32), count[a:b][by], many[a:b][by], row[take], freq[take].astype(np.uint32))))
+            n = np.bincount(row_all, minlength=len(id_))
+            out.append((-1 - number % parts, number, _pack(id_, n.astype(np.int64))))
             return _rows(["p", "slice", "blob"], out)
 
         for batch in common.slices(batches, column="text"):
@@ -126,7 +132,8 @@ def _sliced(parts: int, tokens: int, folds: int, rest: int):
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each partition: names, histories, words and training counts of its pairs (kind 0), and for every slice
-    the pairs, documents and frequencies (kind 1). kind 2: counts of words by name. kind 3: how many pairs have each count."""
+    the pairs, documents and frequencies (kind 9). kind 2: counts of words by name. kind 3: how many pairs have each count.
+    kind 4: documents of slices."""
 
     def whole(p: int, slices: list[int], blobs: list[bytes]) -> pa.RecordBatch:
         got = [_unpack(b) for b in blobs]
@@ -139,9 +146,9 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [(p, -1, 0, _pack(names, h, w, count))]
         begin = 0
         for s, g in zip(slices, got, strict=True):
-            mine = at[begin : begin + len(g[1])].astype(np.uint32)
+            mine = at[begin : begin + len(g[1])]  # ascending: both orders are those of the names
             begin += len(g[1])
-            out.append((p, s, 1, _pack(np.repeat(mine, g[4]), g[5], g[6])))
+            out.append((p, s, 9, _pack(np.diff(mine, prepend=0).astype(np.uint32), g[4], g[5], g[6])))
         total = np.bincount(w, count, len(names)).astype(np.int64)
         first = int(count[names[h] == START].sum()) if len(h) else 0
         some = total > 0
@@ -150,7 +157,11 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _rows(["p", "slice", "kind", "blob"], out)
 
     for group in common.grouped(batches, ["p"]):
-        yield whole(group.column("p")[0].as_py(), group.column("slice").to_pylist(), group.column("blob").to_pylist())
+        p, slices, blobs = group.column("p")[0].as_py(), group.column("slice").to_pylist(), group.column("blob").to_pylist()
+        if p < 0:  # what slices know of their documents
+            yield _rows(["p", "slice", "kind", "blob"], [(p, s, 4, b) for s, b in zip(slices, blobs, strict=True)])
+        else:
+            yield whole(p, slices, blobs)
 
 
 def _spread(parts: int, kind: int, make):
@@ -175,41 +186,49 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(["q", "kind", "p", "blob"], [(group.column("q")[0].as_py(), 0, -1, _pack(keys, *values))])
 
 
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per range: the table's row comes first (kind 0), then the requests; unknown keys get zeros."""
-    at, table = None, None
-    for batch in common.slices(batches, 16):
-        out = []
-        for q, kind, p, blob in zip(*(batch.column(c).to_pylist() for c in ("q", "kind", "p", "blob")), strict=True):
-            if kind == 0:
-                at, table = q, _unpack(blob)
-                continue
-            (keys,) = _unpack(blob)
-            if at != q or not len(table[0]):
-                out.append((p, q, _pack(*[np.zeros(len(keys))] * (len(table) - 1 if table else 1))))
-                continue
-            i = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-            hit = table[0][i] == keys
-            out.append((p, q, _pack(*(np.where(hit, v[i], 0.0) for v in table[1:]))))
-        yield _rows(["p", "q", "blob"], out)
-
-
-def _lookup(requests: DataFrame, table: DataFrame) -> DataFrame:
+def _answered(width: int):
+    """Per range: the table's row comes first (kind 0), then the requests; unknown keys get zeros in `width` columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, table = None, None
+        for batch in common.slices(batches, 16):
+            out = []
+            for q, kind, p, blob in zip(*(batch.column(c).to_pylist() for c in ("q", "kind", "p", "blob")), strict=True):
+                if kind == 0:
+                    at, table = q, _unpack(blob)
+                    continue
+                (keys,) = _unpack(blob)
+                if at != q or not len(table[0]):
+                    out.append((p, q, _pack(*[np.zeros(len(keys))] * width)))
+                    continue
+                i = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+                hit = table[0][i] == keys
+                out.append((p, q, _pack(*(np.where(hit, v[i], 0.0) for v in table[1:]))))
+            yield _rows(["p", "q", "blob"], out)
+
+    return run
+
+
+def _lookup(requests: DataFrame, table: DataFrame, width: int) -> DataFrame:
     """(p, q, blob): the table's values for requested keys; a partition's answers in order of q are aligned with its keys."""
-    return table.unionByName(requests).repartition("q").sortWithinPartitions("q", "kind", "p").mapInArrow(_answered, "p int, q int, blob binary")
+    return table.unionByName(requests).repartition("q").sortWithinPartitions("q", "kind", "p").mapInArrow(_answered(width), "p int, q int, blob binary")
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[tuple[int, list[np.ndarray]]]]]]:
-    """(p, kind -> [(slice or range, arrays)]) of partitions sorted by p, kind and slice; kinds from 10 on are answers."""
-    for group in common.grouped(batches, ["p"]):
-        got: dict[int, list] = {}
-        for kind, s, blob in zip(*(group.column(c).to_pylist() for c in ("kind", "slice", "blob")), strict=True):
-            got.setdefault(kind, []).append((s, _unpack(blob)))
-        yield group.column("p")[0].as_py(), got
+class _Partition:
+    """What precedes the occurrences of a partition (rows sorted by kind and slice): its pairs, and answers to its requests."""
 
+    def __init__(self, p: int):
+        self.p, self.pairs, self.answers = p, None, {}
 
-def _answers(got: list) -> list[np.ndarray]:
-    return [np.concatenate([a[i] for _, a in got]) for i in range(len(got[0][1]))]
+    def add(self, kind: int, blob: bytes) -> None:
+        if kind == 0:
+            self.pairs = _unpack(blob)
+        else:
+            self.answers.setdefault(kind, []).append(_unpack(blob))
+
+    def answer(self, kind: int) -> list[np.ndarray]:
+        got = self.answers[kind]
+        return [np.concatenate([g[i] for g in got]) for i in range(len(got[0]))]
 
 
 @dataclass
@@ -263,9 +282,10 @@ def _partial_weights(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unigrams, bigrams, parts = shared.value
-        for p, got in _joined(batches):
-            names, h, w, count = got[0][0][1]
-            (c,) = _answers(got[10])
+
+        def sums(part: _Partition) -> pa.RecordBatch:
+            names, h, w, count = part.pairs
+            (c,) = part.answer(1)
             seen = count > 0
             a = np.bincount(h[seen], bigrams(count[seen]), len(names))
             d = np.bincount(h[seen], unigrams.p(c)[w[seen]], len(names))
@@ -273,7 +293,18 @@ def _partial_weights(shared):
             some = total > 0
             keys, values = names[some], [x[some] for x in (a, d, total.astype(float))]
             edge = _cuts(keys, parts)
-            yield _rows(["q", "kind", "p", "blob"], [(q, 0, p, _pack(keys[i:j], *(v[i:j] for v in values))) for q, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if j > i])
+            return _rows(["q", "kind", "p", "blob"], [(q, 0, part.p, _pack(keys[i:j], *(v[i:j] for v in values))) for q, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if j > i])
+
+        part = None
+        for batch in common.slices(batches, 8):
+            for p, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("p", "kind", "blob")), strict=True):
+                if part is not None and p != part.p:
+                    yield sums(part)
+                    part = None
+                part = part or _Partition(p)
+                part.add(kind, blob)
+        if part is not None:
+            yield sums(part)
 
     return run
 
@@ -283,10 +314,11 @@ def _scored(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unigrams, bigrams = shared.value
-        for _, got in _joined(batches):
-            names, h, w, count = got[0][0][1]
-            (c,) = _answers(got[10])
-            a, d, total = _answers(got[11])
+
+        def values(part: _Partition) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            _, h, w, count = part.pairs
+            (c,) = part.answer(1)
+            a, d, total = part.answer(2)
             p, base = unigrams.p(c), unigrams.base(c)
             with np.errstate(divide="ignore", invalid="ignore"):
                 # where no follower's count is discounted, half a token is left for the others; a history without training
@@ -294,10 +326,25 @@ def _scored(shared):
                 total = np.where(a == total, total + 0.5, total)
                 weight = np.where(d > 0, (1 - a / total) / (1 - d), 1.0)
                 lp = np.where(count > 0, np.log10(bigrams(count) / total[h]), np.log10(weight)[h] + np.log10(p)[w])
-            known = (c > 0).astype(float)
-            for s, (pair, doc, freq) in got.get(1, []):
+            return lp, base[w], (c > 0)[w].astype(float)
+
+        part = ready = None
+        for batch in common.slices(batches, 4):
+            out = []
+            for p, kind, s, blob in zip(*(batch.column(c).to_pylist() for c in ("p", "kind", "slice", "blob")), strict=True):
+                if part is None or p != part.p:
+                    part, ready = _Partition(p), None
+                if kind != 9:
+                    part.add(kind, blob)
+                    continue
+                if ready is None:
+                    ready = values(part)
+                    part.pairs, part.answers = None, {}
+                step, many, doc, freq = _unpack(blob)
+                pair = np.repeat(np.cumsum(step, dtype=np.int64), many)
                 n = int(doc.max()) + 1
-                yield _rows(["slice", "kind", "blob"], [(s, 1, _pack(*(np.bincount(doc, freq * x, n) for x in (lp[pair], base[w[pair]], known[w[pair]]))))])
+                out.append((s, 1, _pack(*(np.bincount(doc, freq * x[pair], n) for x in ready))))
+            yield _rows(["slice", "kind", "blob"], out)
 
     return run
 
@@ -308,7 +355,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, blob in zip(group.column("kind").to_pylist(), group.column("blob").to_pylist(), strict=True):
             got = _unpack(blob)
             if kind == 0:
-                row, _, n = got
+                row, n = got
                 sums = np.zeros((3, len(row)))
             else:
                 for i in range(3):
@@ -316,7 +363,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(n), pa.array(np.round(sums[2]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[0])], names=["row", "n_tokens", "n_known", "base_score", "score"])
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 5, rest: int = 1, partition_tokens: int = 4_000_000) -> DataFrame:
+def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 5, rest: int = 1, partition_tokens: int = 2_500_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
     The model is learnt from rows whose crc32(doc_id as text) modulo `folds` is not `rest` (a null id counts as
@@ -332,8 +379,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 5, rest: int
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(4, math.ceil(size / 6 / partition_tokens))
     sliced = docs.select("row", "held_out", "text").mapInArrow(_sliced(parts, partition_tokens, folds, rest), "p int, slice long, blob binary")
-    sliced = common.table(spark, sliced, "katz-slices")
-    tables = sliced.where("p >= 0").repartition("p").sortWithinPartitions("p", "slice")
+    tables = sliced.repartition("p").sortWithinPartitions("p", "slice")
     tables = common.table(spark, tables.mapInArrow(_merged, "p int, slice long, kind int, blob binary"), "katz-bigrams")
     table_schema = "q int, kind int, p int, blob binary"
     counts = tables.where("kind = 2").select("p", "blob").mapInArrow(_spread(parts, 0, lambda a: a), table_schema)
@@ -356,14 +402,14 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 5, rest: int
     unigrams, bigrams = Unigrams.of(of_counts, tokens, kinds), Discounts.of(of_pairs)
     context = spark.sparkContext
     requests = tables.where("kind = 0").select("p", "blob").mapInArrow(_spread(parts, 1, lambda a: a[:1]), table_schema)
-    word_counts = common.table(spark, _lookup(requests, unigram).select("p", F.col("q").cast("long").alias("slice"), F.lit(10).alias("kind"), "blob"), "katz-word-counts")
+    word_counts = common.table(spark, _lookup(requests, unigram, 1).select("p", F.col("q").cast("long").alias("slice"), F.lit(1).alias("kind"), "blob"), "katz-word-counts")
     met = tables.where("kind = 0").unionByName(word_counts).repartition("p").sortWithinPartitions("p", "kind", "slice")
     weights = met.mapInArrow(_partial_weights(context.broadcast((unigrams, bigrams, parts))), table_schema)
     weights = common.table(spark, weights.repartition("q").sortWithinPartitions("q").mapInArrow(_added, table_schema), "katz-weights")
-    weights = _lookup(requests, weights).select("p", F.col("q").cast("long").alias("slice"), F.lit(11).alias("kind"), "blob")
-    met = tables.where("kind in (0, 1)").unionByName(word_counts).unionByName(weights).repartition("p").sortWithinPartitions("p", "kind", "slice")
+    weights = _lookup(requests, weights, 3).select("p", F.col("q").cast("long").alias("slice"), F.lit(2).alias("kind"), "blob")
+    met = tables.where("kind in (0, 9)").unionByName(word_counts).unionByName(weights).repartition("p").sortWithinPartitions("p", "kind", "slice")
     sums = met.mapInArrow(_scored(context.broadcast((unigrams, bigrams))), "slice long, kind int, blob binary")
-    sums = sums.unionByName(sliced.where("p < 0").select("slice", F.lit(0).alias("kind"), "blob")).repartition("slice").sortWithinPartitions("slice", "kind")
+    sums = sums.unionByName(tables.where("kind = 4").select("slice", F.lit(0).alias("kind"), "blob")).repartition("slice").sortWithinPartitions("slice", "kind")
     sums = common.table(spark, sums.mapInArrow(_summed, "row long, n_tokens long, n_known long, base_score double, score double"), "katz-scores")
     return docs.select("doc_id", "row", "held_out").join(sums, "row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, katz, license_scan, line_dedup, ngram_join, packing, quality, substring_dedup, token_counts
+from . import decontamination, embedding_dedup, katz, license_scan, line_dedup, ngram_join, oracles, packing, quality, substring_dedup, token_counts
 
 
 def queries() -> dict:
@@ -21,4 +21,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_ngram_jaccard_join": oracles.NEAR_DUPLICATES,
+        "op3_embedding_near_dedup": oracles.EMBEDDINGS,
+        "op5_substring_dedup": oracles.REPEATS,
+    }

@@ -1,0 +1,16 @@
+import duckdb
+import pytest
+
+from palisade.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_oracle(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    cur = con.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in cur.description]
+    assert sorted(tuple(r) for r in queries.queries()[name](spark, SF).select(columns).collect()) == sorted(cur.fetchall())

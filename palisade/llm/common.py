@@ -94,7 +94,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, column: str | None = None, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, column: str | None = None, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of so many rows, so that what one step holds stays small; with a column, of about `size` bytes of it."""
     for batch in batches:
         if column is None:
@@ -136,7 +136,7 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     offsets = offsets - offsets[0]
     n = len(data)
     if not _POWERS or len(_POWERS[0]) <= n:
-        up = np.full(max(n + 1, 5 << 20), _BYTE_ODD)
+        up = np.full(max(n + 1, 1 << 20), _BYTE_ODD)
         down = np.full(len(up), np.uint64(pow(int(_BYTE_ODD), -1, 1 << 64)))
         up[0] = down[0] = 1
         _POWERS[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]

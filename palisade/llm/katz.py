@@ -72,7 +72,7 @@ def pairs(words: common.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, h, w
 
 
-def _sliced(parts: int, tokens: int, folds: int, rest: int):
+def _sliced(parts: int, tokens: int):
     """Slices of about `tokens` tokens: for each partition the distinct pairs, by whom they are held, and training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,21 +85,27 @@ def _sliced(parts: int, tokens: int, folds: int, rest: int):
 
         def flush() -> pa.RecordBatch:
             row, h, w = (np.concatenate([x[i] for x in held]) for i in range(3))
+            held.clear()
             id_, train = (np.concatenate([x[i] for x in ids]) for i in range(2))
-            row_all = row
-            key = mix(mix(h) * _A + w)
+            n = np.bincount(row, minlength=len(id_))
+            key = mix(h)
+            key *= _A
+            key += w
+            key = mix(key)
             order = np.argsort(key, kind="stable")
-            key, row, h, w = key[order], row[order], h[order], w[order]
+            key, row = key[order], row[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])
-            held_at = np.flatnonzero(new)  # one for each pair and document
-            freq = np.diff(np.append(held_at, len(key)))
+            h, w = h[order[first]], w[order[first]]
+            del order
+            held_at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))  # one for each pair and document
+            freq = np.diff(np.append(held_at, len(key))).astype(np.uint32)
             pair_of = np.searchsorted(first, held_at, "right") - 1
-            count = np.bincount(pair_of, freq * train[row[held_at]], len(first)).astype(np.uint32)
+            edge, row = _cuts(key[first], parts), row[held_at]
+            del key, held_at
+            count = np.bincount(pair_of, freq * train[row], len(first)).astype(np.uint32)
             many = np.bincount(pair_of, minlength=len(first)).astype(np.uint32)
-            edge, begin = _cuts(key[first], parts), np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
-            del key, order, new
-            h, w, row = h[first], w[first], row[held_at].astype(np.uint32)
+            begin = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
+            del pair_of
             out = []
             for p in range(parts):
                 a, b = edge[p], edge[p + 1]
@@ -110,20 +116,19 @@ def _sliced(parts: int, tokens: int, folds: int, rest: int):
                 by = np.lexsort((wi, hi))  # next to each other, equal histories pack well
                 many_by = many[a:b][by].astype(np.int64)
                 take = np.repeat(begin[a:b][by] - np.concatenate([[0], np.cumsum(many_by)[:-1]]), many_by) + np.arange(many_by.sum())
-                out.append((p, number, _pack(names, hi[by].astype(np.uint32), wi[by].astype(np.uint32), count[a:b][by], many[a:b][by], row[take], freq[take].astype(np.uint32))))
-            n = np.bincount(row_all, minlength=len(id_))
+                out.append((p, number, _pack(names, hi[by].astype(np.uint32), wi[by].astype(np.uint32), count[a:b][by], many[a:b][by], row[take], freq[take])))
             out.append((-1 - number % parts, number, _pack(id_, n.astype(np.int64))))
             return _rows(["p", "slice", "blob"], out)
 
         for batch in common.slices(batches, column="text"):
             row, h, w = pairs(common.words(batch.column("text"), lower=True))
-            held.append((row + docs, h, w))
+            held.append(((row + docs).astype(np.uint32), h, w))
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             ids.append((batch.column("row").to_numpy(), train))
             docs, size = docs + batch.num_rows, size + len(w)
             if size >= tokens:
                 yield flush()
-                held, ids, size, docs, number = [], [], 0, 0, number + 1
+                ids, size, docs, number = [], 0, 0, number + 1
         if ids:
             yield flush()
 
@@ -363,7 +368,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(n), pa.array(np.round(sums[2]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[0])], names=["row", "n_tokens", "n_known", "base_score", "score"])
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 5, rest: int = 1, partition_tokens: int = 2_500_000) -> DataFrame:
+def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 5, rest: int = 1, partition_tokens: int = 1_500_000, slice_tokens: int = 1_200_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
     The model is learnt from rows whose crc32(doc_id as text) modulo `folds` is not `rest` (a null id counts as
@@ -378,7 +383,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 5, rest: int
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == rest, F.lit(False)))
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(4, math.ceil(size / 6 / partition_tokens))
-    sliced = docs.select("row", "held_out", "text").mapInArrow(_sliced(parts, partition_tokens, folds, rest), "p int, slice long, blob binary")
+    sliced = docs.select("row", "held_out", "text").mapInArrow(_sliced(parts, slice_tokens), "p int, slice long, blob binary")
     tables = sliced.repartition("p").sortWithinPartitions("p", "slice")
     tables = common.table(spark, tables.mapInArrow(_merged, "p int, slice long, kind int, blob binary"), "katz-bigrams")
     table_schema = "q int, kind int, p int, blob binary"

@@ -107,6 +107,8 @@ def _verified(n: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for group in common.grouped(batches, ["cluster", "i", "j"]):
+            _, once = np.unique(group.column("id").to_numpy(), return_index=True)  # rows that repeat are copies already counted
+            group = group.take(pa.array(once))
             if group.num_rows < 2:
                 continue
             ids, copies, part = (group.column(c).to_numpy() for c in ("id", "copies", "part"))

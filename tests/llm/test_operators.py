@@ -124,6 +124,13 @@ def test_ngram_join_matches_brute_force(spark, docs, texts):
     assert sum(len(x) for x in links.values()) > 100
 
 
+def test_repeated_rows_count_once_in_comparisons(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (1, " ".join(words)), (2, " ".join(["x", *words[1:]])), (3, " ".join([*words[:-1], "y"]))]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 3), (1, 1, 3), (2, 1, 3), (3, 1, 3)]
+
+
 def test_prefix_is_shortened_to_the_recall_wanted():
     k = ngram_join.prefix_length(0.8, 32, 8, 0.999)
     assert 1 - (1 - 0.8**k) ** 32 >= 0.999 > 1 - (1 - 0.8 ** (k + 1)) ** 32

@@ -193,3 +193,21 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     w = F.window("ts", "1 hour")
     return e.groupBy("event_type", w).agg(F.count("*").alias("n")).select("event_type", F.unix_timestamp(F.col("window.start")).alias("window_start"), "n")
+
+
+R.sql("related_files_rank", "SELECT src, dst, min(rank_) AS rank_ FROM (SELECT o_custkey AS src, o_orderkey % 97 AS dst, CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END AS rank_ FROM {orders}) x GROUP BY src, dst")
+R.sql("checklist_incomplete", """SELECT r.conv_id, r.step FROM (SELECT DISTINCT c.conv_id, s.step FROM {conversations} c CROSS JOIN (SELECT 'user' AS step UNION ALL SELECT 'assistant' UNION ALL SELECT 'system') s) r
+ LEFT JOIN (SELECT DISTINCT conv_id, role FROM {conversations}) d ON d.conv_id = r.conv_id AND d.role = r.step WHERE d.role IS NULL""")
+R.sql("mutual_substring_match", "SELECT n.n_name AS target, r.r_name AS risk FROM {nation} n JOIN {region} r ON lower(n.n_name) LIKE concat('%', lower(substring(r.r_name, 1, 2)), '%') OR lower(r.r_name) LIKE concat('%', lower(n.n_name), '%')")
+R.sql("false_positive_upsert", """SELECT finding, evidence, event_id FROM (SELECT finding, evidence, event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS age FROM (SELECT event_type AS finding, user_id % 20 AS evidence, event_id, ts,
+ row_number() OVER (PARTITION BY event_type, user_id % 20 ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) x WHERE rn = 1) y WHERE age <= 100""")
+R.sql("notes_with_ttl", """SELECT user_id, event_type, first_id, last_id FROM (SELECT user_id, event_type, min(event_id) AS first_id, max(event_id) AS last_id, max(ts) AS seen FROM {events} GROUP BY user_id, event_type) x
+ WHERE seen >= (SELECT max(ts) FROM {events}) - INTERVAL '10' DAY""")
+R.sql("cache_validity", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 'version' WHEN o_orderdate < (SELECT max(o_orderdate) FROM {orders}) - INTERVAL '7' DAY THEN 'expired' ELSE 'valid' END AS status FROM {orders}")
+R.sql("guarded_sink_first_rule", "SELECT l_orderkey, l_linenumber, min(rule) AS rule FROM (SELECT l.l_orderkey, l.l_linenumber, p.p_size % 5 AS rule FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey WHERE p.p_size % 5 <> 0 OR l.l_discount > 5e-2) x GROUP BY l_orderkey, l_linenumber")
+R.sql("line_type_dedup", "SELECT doc_type, line, min(id) AS id FROM (SELECT l_returnflag AS doc_type, l_linenumber AS line, l_orderkey AS id FROM {lineitem}) x GROUP BY doc_type, line")
+R.sql("caller_callee_counts", """SELECT a.user_id AS user_id, count(*) AS pairs FROM (SELECT DISTINCT user_id, event_type FROM {events}) a JOIN (SELECT DISTINCT user_id, event_type FROM {events}) b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY a.user_id""")
+R.sql("retry_runs", """SELECT user_id, max(length_) AS longest FROM (SELECT user_id, event_type, grp, count(*) AS length_ FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS grp FROM {events}) x
+ GROUP BY user_id, event_type, grp) y WHERE event_type = 'error' GROUP BY user_id""")
+R.sql("coverage_gaps", """SELECT user_id, e + 1 AS gap_start, next_ - 1 AS gap_end FROM (SELECT user_id, max(e) OVER (PARTITION BY user_id ORDER BY s, e, id ROWS UNBOUNDED PRECEDING) AS e, lead(s) OVER (PARTITION BY user_id ORDER BY s, e, id) AS next_ FROM (SELECT user_id, event_id AS id,
+ CAST(floor(value * 10) AS BIGINT) AS s, CAST(floor(value * 10) AS BIGINT) + event_id % 7 AS e FROM {events}) a) b WHERE next_ > e + 1""")

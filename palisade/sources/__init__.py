@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Readers of workspaces, logs and lockfiles."""

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: latent semantic retrieval proposes passages, common subsequences and answers decide."""
+"""Benchmark decontamination: latent semantic retrieval and shared rare words propose passages, common subsequences and answers decide."""
 
 from __future__ import annotations
 
@@ -21,6 +21,8 @@ LONGEST = 64
 PAD = LONGEST // 2 // CHUNK
 #: (longest segment in words that it serves, chunks in a window, chunks between windows)
 WINDOWS = ((20, 4, 1), (32, 7, 1), (1 << 30, 11, 2))
+#: Rare words of a segment that must stand together before its subsequences are looked at.
+SHARED = 3
 BLOCKS = 64
 _SUMS = "block int, sums binary"
 
@@ -172,16 +174,68 @@ def segments(items: list[tuple[int, str]], longest: int = LONGEST) -> list[Segme
     return out
 
 
+class Overlaps:
+    """Exact candidates: a passage with `least` of a segment's words lacks few of them, so it has SHARED of the rarest ones or more."""
+
+    def __init__(self, segs: list[Segment], rarity: np.ndarray, least: float):
+        hashes, owners = [], []
+        self.need, self.together, self.span = (np.zeros(len(segs), np.int64) for _ in range(3))
+        for i, s in enumerate(segs):
+            n = len(s.words)
+            value, count = np.unique(s.words, return_counts=True)
+            order = np.lexsort((value, -rarity[(value % np.uint64(BUCKETS)).astype(np.int64)]))
+            self.need[i] = need = max(1, math.ceil(least * n - 1e-9))
+            self.together[i] = k = min(SHARED, need)
+            # the words of all places but those that may be missing, and of k more
+            rare = order[: int(np.searchsorted(np.cumsum(count[order]), n - need + k)) + 1]
+            hashes.append(value[rare])
+            owners.append(np.full(len(rare), i))
+            size = next(size for most, size, _ in WINDOWS if n <= most)
+            self.span[i] = size * CHUNK + 2 * n
+        h, owner = (np.concatenate(hashes), np.concatenate(owners)) if segs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(h, kind="stable")
+        self.owner = owner[order]
+        self.word, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
+        self.bucket = np.zeros(BUCKETS, bool)
+        self.bucket[(self.word % np.uint64(BUCKETS)).astype(np.int64)] = True
+
+    def candidates(self, words: common.Words, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, first, last word) of every run of as many rare words of a segment as must be together, within its span."""
+        at = np.flatnonzero(self.bucket[f])
+        k = np.minimum(np.searchsorted(self.word, words.hash[at]), max(len(self.word) - 1, 0))
+        hit = self.word[k] == words.hash[at] if len(self.word) else np.zeros(0, bool)
+        at, k = at[hit], k[hit]
+        n = self.count[k]
+        place = np.repeat(at, n)
+        seg = self.owner[np.repeat(self.first[k], n) + np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)]
+        order = np.argsort(seg, kind="stable")
+        seg, place = seg[order], place[order]
+        last = np.arange(len(seg)) + self.together[seg] - 1
+        i = np.flatnonzero(last < len(seg))
+        j = last[i]
+        ok = (seg[j] == seg[i]) & (words.row[place[j]] == words.row[place[i]]) & (place[j] - place[i] < self.span[seg[i]])
+        return seg[i[ok]], place[i[ok]], place[j[ok]]
+
+
 def _found(shared, nearest: float, same: float, paraphrase: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, segs = shared.value
-        groups = []
+        vectors, segs, rarity = shared.value
+        overlaps = Overlaps(segs, rarity, min(same, paraphrase))
+        groups, at_group = [], {}
         for g, (most, size, step) in enumerate(WINDOWS):
             least = WINDOWS[g - 1][0] if g else 0
             ids = [i for i, s in enumerate(segs) if least < len(s.words) <= most]
             if ids:
                 m = np.stack([vectors[(segs[i].words % np.uint64(BUCKETS)).astype(np.int64)].sum(0) for i in ids])
                 groups.append((ids, (m / np.maximum(np.linalg.norm(m, axis=1), 1e-12)[:, None]).astype(np.float32), size, step, np.stack([np.bitwise_or.reduce(_marks(segs[i].words)) for i in ids]), np.array([(1 - paraphrase) * len(segs[i].words) for i in ids])))
+                at_group |= {i: (k, len(groups) - 1) for k, i in enumerate(ids)}
+
+        def holds(s: Segment, heard: list[int]) -> tuple[float, bool]:
+            bits = lcs(s.masks, len(s.words), heard)
+            ratio = bits.bit_count() / len(s.words)
+            answered = not s.answer or (bits & s.answer).bit_count() * 2 >= s.answer.bit_count()
+            return ratio, ratio >= same or ratio >= paraphrase and answered
+
         for batch in common.slices(batches, column="text", size=1 << 20):
             words, f = _bucketed(batch.column("text"))
             if not len(f):
@@ -211,19 +265,37 @@ def _found(shared, nearest: float, same: float, paraphrase: float):
                             continue
                         low, high = int(words.first[r]), int(words.first[r + 1])
                         a, b = int(starts[begin[i]]), min(int(starts[end[i] - 1]) + CHUNK, high)
-                        bits = lcs(s.masks, n, words.hash[max(a - n, low) : min(b + n, high)].tolist())
-                        ratio = bits.bit_count() / n
-                        answered = not s.answer or (bits & s.answer).bit_count() * 2 >= s.answer.bit_count()
-                        if ratio >= same or ratio >= paraphrase and answered:
+                        ratio, yes = holds(s, words.hash[max(a - n, low) : min(b + n, high)].tolist())
+                        if yes:
                             found[r, s.item] = max(found.get((r, s.item), (0.0, 0.0)), (ratio, c))
+            for i, x, y in zip(*(v.tolist() for v in overlaps.candidates(words, f)), strict=True):
+                s, r, span = segs[i], int(words.row[x]), int(overlaps.span[i])
+                if found.get((r, s.item), (0,))[0] >= same:
+                    continue
+                low, high = int(words.first[r]), int(words.first[r + 1])
+                a, b = max(y - span + 1, low), min(x + span, high)
+                heard = words.hash[a:b].tolist()
+                if lcs(s.masks, len(s.words), heard).bit_count() < overlaps.need[i]:
+                    continue
+                for t in range(0, x - a + CHUNK, CHUNK):
+                    ratio, yes = holds(s, heard[t : t + span])
+                    if yes:
+                        k, g = at_group[i]
+                        size = groups[g][2]
+                        begin = np.arange(np.searchsorted(starts, a + t, "right") - 1, np.searchsorted(starts, min(a + t + span, high)))
+                        w = sums[np.minimum(begin + size, first[r + 1])] - sums[begin]
+                        c = float((w @ groups[g][1][k] / np.maximum(np.linalg.norm(w, axis=1), 1e-12)).max())
+                        found[r, s.item] = max(found.get((r, s.item), (0.0, 0.0)), (ratio, c))
+                    if ratio >= same:
+                        break
             doc = batch.column("doc_id").to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([doc[r] for r, _ in found], pa.int64()), pa.array([batch.column("_row")[r].as_py() for r, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64()), pa.array([v[0] for v in found.values()], pa.float64()), pa.array([v[1] for v in found.values()], pa.float64())], names=["doc_id", "_row", "item_id", "lcs_ratio", "cosine"])
 
     return run
 
 
-def latent_space(spark: SparkSession, docs: DataFrame) -> np.ndarray:
-    """Vectors of the hashed words: squared idf times an orthonormal basis of the leading right singular space of the passages.
+def latent_space(spark: SparkSession, docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the hashed words, and their squared idf: it times an orthonormal basis of the leading right singular space of the passages.
 
     Document frequencies and the sketch cover every passage of every text. Cosines don't change under rotations of the
     basis, so the small SVD that would align it with single singular vectors isn't needed.
@@ -235,14 +307,15 @@ def latent_space(spark: SparkSession, docs: DataFrame) -> np.ndarray:
     idf = np.log((1 + passages) / (1 + df)) ** 2 + 0.01
     z = _summed(spark, texts.mapInArrow(_sketch(spark.sparkContext.broadcast(idf)), _SUMS), RANK)
     q, _ = np.linalg.qr(z + np.random.default_rng(6).normal(size=z.shape) * 1e-9)
-    return (q * idf[:, None]).astype(np.float32)
+    return (q * idf[:, None]).astype(np.float32), idf
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, nearest: float = 0.66, same: float = 0.8, paraphrase: float = 0.6, block_items: int = 4000) -> DataFrame:
     """(doc_id, _row, item_id, lcs_ratio, cosine): the rows of docs (doc_id, text) that hold an item of benchmark (item_id, text).
 
-    Windows over all words of all texts are searched for each item by cosine in the latent space (at least `nearest`).
-    Around a window found, the item is there if a longest common subsequence of words takes in `same` of it, or
+    Windows over all words of all texts are searched for each item by cosine in the latent space (at least `nearest`),
+    and besides, whatever the cosine, by the rarest words of the item: enough of them that no passage which the rules
+    below accept is without SHARED of them. Around a window found, the item is there if a longest common subsequence of words takes in `same` of it, or
     `paraphrase` of it and half of its answer (what follows its last sentence end). Items of more than 64 words are
     taken in even parts, any of which counts. Null and empty texts hold nothing; empty items are nowhere; rows or items
     that repeat are found each. `_row` tells rows of docs apart that share a doc_id, where docs has that column.
@@ -251,13 +324,13 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, nea
     """
     common.bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col("_row") if "_row" in docs.columns else F.lit(None)).cast("long").alias("_row"))
-    vectors = latent_space(spark, docs)
+    vectors, rarity = latent_space(spark, docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     n = max(1, math.ceil(items.count() / block_items))
     out = None
     for b in range(n):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        shared = spark.sparkContext.broadcast((vectors, segments([(r.item_id, r.text) for r in block])))
+        shared = spark.sparkContext.broadcast((vectors, segments([(r.item_id, r.text) for r in block]), rarity))
         part = docs.mapInArrow(_found(shared, nearest, same, paraphrase), "doc_id long, _row long, item_id long, lcs_ratio double, cosine double")
         out = part if out is None else out.unionByName(part)
     return out

@@ -389,6 +389,27 @@ def test_leaks_are_found_and_clean_texts_left(spark, docs, texts):
     assert len(got - verbatim - changed) <= 3
 
 
+def test_every_leak_that_the_rules_accept_is_proposed(spark, docs, texts):
+    rng = np.random.default_rng(7)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    hosts = [w for _, t in sorted(texts.items()) for w in t.split()]
+    planted, rows = {}, []
+    for changed in (0, 0.12, 0.2, 0.3, 0.36):
+        for k, text in items:
+            item, at = text.split(), int(rng.integers(0, len(hosts) - 200))
+            gone = set(rng.permutation(len(item))[: int(changed * len(item))].tolist())
+            said = [hosts[int(rng.integers(len(hosts)))] if i in gone else w for i, w in enumerate(item)]
+            s = decontamination.segments([(k, text)])[0]
+            bits = decontamination.lcs(s.masks, len(s.words), common.words(pa.array([" ".join(said).encode()]), lower=True).hash.tolist())
+            ratio = bits.bit_count() / len(item)
+            if ratio >= 0.8 or ratio >= 0.6 and (not s.answer or (bits & s.answer).bit_count() * 2 >= s.answer.bit_count()):
+                planted[8000 + len(rows)] = k
+                rows.append((8000 + len(rows), " ".join([*hosts[at : at + 90], *said, *hosts[at + 90 : at + 180]])))
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark, both, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(rows) > 150 and set(planted.items()) - got == set()
+
+
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=14), st.lists(st.integers(0, 4), max_size=20))
 @settings(max_examples=100, deadline=None)
 def test_lcs_is_exact(a, b):

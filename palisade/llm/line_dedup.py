@@ -16,6 +16,8 @@ from . import recompression as rc
 DEPTH = 3
 BITMAP = 1 << 26
 ANY = np.uint64(0x2545F4914F6CDD1D)
+SKETCH = 32
+_SALTS = common.mix(np.arange(71, 71 + SKETCH, dtype=np.uint64)) | np.uint64(1)
 
 
 @dataclass
@@ -30,9 +32,10 @@ class Lines:
     first: np.ndarray
     token: np.ndarray  # of every word
     kind: np.ndarray  # of every row of the column: alike for copies of a document, else different
+    sketch: np.ndarray  # of every row of the column: SKETCH bytes, most of them alike in near copies
 
 
-def lines(column: pa.Array) -> Lines:
+def lines(column: pa.Array, sketched: bool = False) -> Lines:
     """Words with digits are variable fields from the start. A leaf is a line's number of words and its DEPTH first ones."""
     words = common.words(column)
     digits = np.concatenate([[0], np.cumsum((words.data >= 48) & (words.data <= 57))])
@@ -62,7 +65,15 @@ def lines(column: pa.Array) -> Lines:
         ends = words.first[1:] - 1
         some = none & (ends >= words.first[:-1])
         kind[some] = rc.range_hash(rc.prefix_sums(words.hash), words.first[:-1][some], ends[some])
-    return Lines(words.row[first] if len(first) else first, place[first] if len(first) else first, leaf, hashes, n, first, token, kind)
+    sketch = np.zeros((len(column), SKETCH), np.uint8)
+    if sketched:
+        h, of = words.hash[long], words.row[long]
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        for i, salt in enumerate(_SALTS):
+            sketch[:, i] = (common.mix(kind + salt) & np.uint64(255)).astype(np.uint8)
+            if len(h):
+                sketch[of[starts], i] = (np.minimum.reduceat(h * salt, starts) >> np.uint64(24) & np.uint64(255)).astype(np.uint8)
+    return Lines(words.row[first] if len(first) else first, place[first] if len(first) else first, leaf, hashes, n, first, token, kind, sketch)
 
 
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,14 +90,15 @@ def _in_leaves(bitmap, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in common.slices(batches, column="text"):
-            x = lines(batch.column("text"))
+            x = lines(batch.column("text"), sketched=True)
             at = (x.leaf % np.uint64(BITMAP)).astype(np.int64)
             take = np.flatnonzero(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & (x.n >= least_words))
             if len(take):
                 _, once = np.unique(np.stack([x.hash[take], x.row[take].astype(np.uint64)], 1), axis=0, return_index=True)
                 take = take[once]
             tok = [x.token[a : a + n].tobytes() for a, n in zip(x.first[take], x.n[take], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(v[take].view(np.int64)) for v in (x.leaf, x.hash)), pa.array(x.kind[x.row[take]].view(np.int64)), pa.array(x.n[take].astype(np.int32)), pa.array(tok, pa.binary())], names=["leaf", "line", "kind", "n", "tok"])
+            sketch = [v.tobytes() for v in x.sketch[x.row[take]]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(v[take].view(np.int64)) for v in (x.leaf, x.hash)), pa.array(x.kind[x.row[take]].view(np.int64)), pa.array(x.n[take].astype(np.int32)), pa.array(tok, pa.binary()), pa.array(sketch, pa.binary())], names=["leaf", "line", "kind", "n", "tok", "sketch"])
 
     return run
 
@@ -100,11 +112,33 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rep)) for c in ("leaf", "line", "kinds")), pa.array(place.astype(np.int32)), pa.array(token)], names=["leaf", "line", "kinds", "place", "token"])
 
 
+def _unlike(most: int):
+    """Of each template's rows in a partition sorted by template: up to `most` sketches, no two of which are alike in half of their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.zeros((0, SKETCH), np.uint8)
+        for batch in common.slices(batches, 1000):
+            leaf, template, sketch = [], [], []
+            for key in zip(*(batch.column(c).to_pylist() for c in ("leaf", "template", "sketch")), strict=True):
+                if key[:2] != last:
+                    last, held = key[:2], np.zeros((0, SKETCH), np.uint8)
+                v = np.frombuffer(key[2], np.uint8)
+                if len(held) < most and not ((held == v).sum(1) * 2 >= SKETCH).any():
+                    held = np.vstack([held, v])
+                    for out, value in zip((leaf, template, sketch), key, strict=True):
+                        out.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(template, pa.int64()), pa.array(sketch, pa.binary())], names=["leaf", "template", "sketch"])
+
+    return run
+
+
 def recurring(spark: SparkSession, docs: DataFrame, least_docs: int = 10, least_share: float = 0.2, least_words: int = 3, general_words: int = 6, constant_share: float = 0.7) -> DataFrame:
     """(line): hashes of the lines whose template recurs across at least `least_docs` documents. docs: text.
 
     Documents count by kind: copies of one document, exact or near, are of one kind, so lines that recur only because
-    their document was copied stay (a template must have at least `least_share` kinds per document too). In a leaf, a
+    their document was copied stay. Near copies may fall into a few kinds, so a template with fewer than `least_share`
+    kinds per document must have `least_docs` kinds that are no near copies of each other: however often one of its
+    documents was copied, the unrelated ones count. In a leaf, a
     word is constant at a place if so many documents have it there; other places are variable fields. A line of
     `general_words` words or more, of which `constant_share` are constant, has its constants as template; any other
     line is its own template. Lines of fewer than `least_words` words always stay.
@@ -116,16 +150,24 @@ def recurring(spark: SparkSession, docs: DataFrame, least_docs: int = 10, least_
     for k, m in zip(buckets.column("k").to_pylist(), buckets.column("m").to_pylist(), strict=True):
         bits[(k - 1) * 4096 : k * 4096] = np.frombuffer(m, np.uint8)
     shared = spark.sparkContext.broadcast(bits)
-    each = docs.mapInArrow(_in_leaves(shared, least_words), "leaf long, line long, kind long, n int, tok binary")
-    each = common.table(spark, each.groupBy("leaf", "line", "kind").agg(F.count("*").alias("docs"), F.first("n").alias("n"), F.first("tok").alias("tok")), "lines")
+    each = docs.mapInArrow(_in_leaves(shared, least_words), "leaf long, line long, kind long, n int, tok binary, sketch binary")
+    each = common.table(spark, each.groupBy("leaf", "line", "kind").agg(F.count("*").alias("docs"), F.first("n").alias("n"), F.first("tok").alias("tok"), F.first("sketch").alias("sketch")), "lines")
     per_line = common.table(spark, each.groupBy("leaf", "line").agg(F.count("*").alias("kinds"), F.first("n").alias("n"), F.first("tok").alias("tok")), "distinct-lines")
     placed = per_line.where(F.col("n") >= general_words).mapInArrow(_positions, "leaf long, line long, kinds long, place int, token long")
     constant = placed.groupBy("leaf", "place", "token").agg(F.sum("kinds").alias("support")).where(F.col("support") >= least_docs).drop("support")
     general = placed.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "line").agg(F.count("*").alias("constants"), F.expr("bit_xor(xxhash64(place, token))").alias("general"))
     template = per_line.select("leaf", "line", "n").join(general, ["leaf", "line"], "left").withColumn("template", F.when(F.col("constants") >= constant_share * F.col("n"), F.col("general")).otherwise(F.col("line"))).select("leaf", "line", "template")
     template = common.table(spark, template, "templates")
-    kinds = each.select("leaf", "line", "kind", "docs").join(template, ["leaf", "line"]).groupBy("leaf", "template", "kind").agg(F.sum("docs").alias("docs")).groupBy("leaf", "template").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs"))
-    kinds = kinds.where((F.col("kinds") >= least_docs) & (F.col("kinds") >= least_share * F.col("docs")))
+    of = each.select("leaf", "line", "kind", "docs", "sketch").join(template, ["leaf", "line"])
+    kinds = of.groupBy("leaf", "template", "kind").agg(F.sum("docs").alias("docs")).groupBy("leaf", "template").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs"))
+    kinds = common.table(spark, kinds.where(F.col("kinds") >= least_docs), "kinds")
+    copied = F.col("kinds") < least_share * F.col("docs")
+    # each task keeps a few kinds of a template, then those meet: a template of very many documents isn't gathered
+    some = of.join(kinds.where(copied).select("leaf", "template"), ["leaf", "template"], "left_semi").select("leaf", "template", "sketch")
+    keys, schema = ["leaf", "template"], "leaf long, template long, sketch binary"
+    some = some.repartition("leaf", "template", F.pmod(F.xxhash64("sketch"), F.lit(16))).sortWithinPartitions(*keys).mapInArrow(_unlike(least_docs), schema)
+    some = common.by_group(some, keys).mapInArrow(_unlike(least_docs), schema).groupBy(*keys).agg(F.count("*").alias("unlike"))
+    kinds = kinds.where(~copied).select(*keys).unionByName(some.where(F.col("unlike") >= least_docs).select(*keys))
     return common.table(spark, template.join(kinds.select("leaf", "template"), ["leaf", "template"], "left_semi").select("line").distinct(), "recurring")
 
 

@@ -315,6 +315,21 @@ def test_templates_across_documents_go_and_copies_stay(spark):
     assert all(left[100 + i].text == whole for i in range(40))
 
 
+def test_a_copied_document_does_not_shield_its_template(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 8)) for _ in range(n))
+    common_line = "Subscribe to our weekly newsletter for more stories"
+    rows = [(i, f"{words(12)}\n{common_line}\n{words(12)}") for i in range(14)] + [(100 + i, None) for i in range(300)]
+    rows = [(i, t or rows[3][1]) for i, t in rows]
+    near = words(60).split()
+    for i in range(400):
+        said = [w if rng.random() > 0.05 else words(1) for w in near]
+        rows.append((1000 + i, "\n".join([" ".join(said[:30]), "this one line stands in near copies alone", " ".join(said[30:])])))
+    left = {r.doc_id: r for r in line_dedup.drop_recurring(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(common_line not in left[i].text and left[i]._dropped == 1 for i, _ in rows if i < 1000)
+    assert all(left[i].text == t for i, t in rows if i >= 1000)
+
+
 def test_both_ways_of_dropping_lines_agree(spark, docs):
     a, b = (sorted((r.doc_id, r.text, r._dropped) for r in line_dedup.drop_recurring(spark, docs, broadcast_lines=n, least_docs=3).collect()) for n in (10**6, -1))
     assert a == b and sum(x[2] for x in a) > 50

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BITS = 8  # 256 minima: trees * longest prefix
+MINIMA = 256  # trees * longest prefix at most
 
 
 def shingles(words: common.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,20 +32,27 @@ def shingles(words: common.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return words.row[starts], out[starts]
 
 
-def signatures(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
-    """One-permutation MinHash: the minimum in each of 256 bins, empty bins filled from the next full one (with its distance)."""
-    k = 1 << BITS
-    sig = np.full(rows * k, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(sig, row * k + (h >> np.uint64(64 - BITS)).astype(np.int64), h)
-    sig = sig.reshape(rows, k)
-    full = sig != np.iinfo(np.uint64).max
-    at = np.where(np.concatenate([full, full], 1), np.arange(2 * k), 4 * k)
-    at = np.minimum.accumulate(at[:, ::-1], 1)[:, ::-1][:, :k]
-    some = full.any(1)
-    at = np.where(some[:, None], at, 0)
-    out = sig[np.arange(rows)[:, None], at % k] + (at - np.arange(k)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    out[~some] = 0
-    return out
+def branches(row: np.ndarray, h: np.ndarray, rows: int, trees: int, depth: int) -> np.ndarray:
+    """(rows, trees) keys: the first `depth` symbols of each tree's branch, each symbol the minimum of a hash function of its own.
+
+    Minima of independent functions are alike with a probability of just the Jaccard similarity, in texts of any length.
+    """
+    salts = common.mix(np.arange(1, 2 * MINIMA + 1, dtype=np.uint64)).reshape(2, -1)
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    key = np.tile(common.mix(np.arange(trees, dtype=np.uint64)), (rows, 1))
+    if not len(h):
+        return key
+    some = row[starts]
+    for t in range(trees):
+        mine = key[some, t]
+        for i in range(depth):
+            k = t * depth + i
+            x = (h ^ salts[0, k]) * (salts[1, k] | np.uint64(1))
+            x ^= x >> np.uint64(32)
+            x *= salts[0, k] | np.uint64(1)
+            mine = common.mix(mine * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, starts))
+        key[some, t] = mine
+    return key
 
 
 def prefix_length(similarity: float, trees: int, longest: int, recall: float) -> int:
@@ -57,18 +64,12 @@ def prefix_length(similarity: float, trees: int, longest: int, recall: float) ->
 
 
 def _signed(n: int, trees: int, depth: int):
-    # every tree reads bins from all over: neighbouring bins of a short text share their minimum
-    bins = np.random.default_rng(29).permutation(1 << BITS)[: trees * ((1 << BITS) // trees)].reshape(trees, -1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, column="text", size=2 << 20):
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 words = common.words(part.column("text"), lower=True)
-                sig = signatures(*shingles(words, n), part.num_rows)
-                key = np.tile(common.mix(np.arange(trees, dtype=np.uint64)), (part.num_rows, 1))
-                for i in range(depth):  # the first `depth` symbols of each tree's branch
-                    key = common.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, bins[:trees, i]])
+                key = branches(*shingles(words, n), part.num_rows, trees, depth)
                 none = np.diff(words.first) == 0
                 digest = [None if z else xxhash.xxh3_128_digest(words.hash[a:b].tobytes()) for z, a, b in zip(none, words.first[:-1], words.first[1:], strict=True)]
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * trees), pa.array(key.view(np.int64).ravel()))
@@ -155,7 +156,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, simila
     """
     common.bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    depth = prefix_length(similarity, trees, (1 << BITS) // trees, recall)
+    depth = prefix_length(similarity, trees, MINIMA // trees, recall)
     signed = common.table(spark, docs.mapInArrow(_signed(words, trees, depth), "doc_id long, digest binary, keys array<long>"), "signed")
     classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
     classes = common.table(spark, classes, "classes")

@@ -136,6 +136,17 @@ def test_prefix_is_shortened_to_the_recall_wanted():
     assert 1 - (1 - 0.8**k) ** 32 >= 0.999 > 1 - (1 - 0.8 ** (k + 1)) ** 32
 
 
+@pytest.mark.parametrize("both,own", [(4, (1, 0)), (8, (1, 1)), (12, (3, 0)), (16, (2, 2)), (40, (5, 5)), (160, (20, 20))])
+def test_recall_holds_at_every_length(both, own):
+    n, rng = 1500, np.random.default_rng(both)
+    each = both + own[0], both + own[1]
+    shared = rng.integers(0, 1 << 63, (n, both)).astype(np.uint64)
+    sides = [np.concatenate([shared, rng.integers(0, 1 << 63, (n, k)).astype(np.uint64)], 1) for k in own]
+    depth = ngram_join.prefix_length(0.8, 32, 8, 0.999)
+    a, b = (ngram_join.branches(np.repeat(np.arange(n), k), common.mix(x.ravel()), n, 32, depth) for k, x in zip(each, sides))
+    assert both / (both + sum(own)) == 0.8 and (a == b).any(1).mean() >= 0.997
+
+
 def test_ngram_join_awkward(spark, awkward, nothing):
     rows = ngram_join.near_duplicates(spark, awkward).collect()
     assert len(rows) == len(AWKWARD)

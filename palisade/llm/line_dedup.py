@@ -48,6 +48,9 @@ def lines(column: pa.Array, sketched: bool = False) -> Lines:
     new[1:] = (words.row[1:] != words.row[:-1]) | (place[1:] != place[:-1])
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(place)))
+    # a short line of fields alone is what it says: otherwise all lines of one number would be one template
+    fields = np.add.reduceat(token != ANY, first) == 0 if len(first) else np.zeros(0, bool)
+    token = np.where(np.repeat(fields & (n < 3), n), words.hash, token)
     leaf = common.mix(n.astype(np.uint64))
     for i in range(DEPTH):
         at = np.minimum(first + i, max(len(token) - 1, 0))
@@ -84,7 +87,7 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(leaf.view(np.int64)), pa.array(n.astype(np.int64))], names=["leaf", "n"])
 
 
-def _in_leaves(bitmap, least_words: int):
+def _in_leaves(bitmap):
     """A row for each distinct line of a document in a leaf that the bitmap has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +95,7 @@ def _in_leaves(bitmap, least_words: int):
         for batch in common.slices(batches, column="text"):
             x = lines(batch.column("text"), sketched=True)
             at = (x.leaf % np.uint64(BITMAP)).astype(np.int64)
-            take = np.flatnonzero(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & (x.n >= least_words))
+            take = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             if len(take):
                 _, once = np.unique(np.stack([x.hash[take], x.row[take].astype(np.uint64)], 1), axis=0, return_index=True)
                 take = take[once]
@@ -132,7 +135,7 @@ def _unlike(most: int):
     return run
 
 
-def recurring(spark: SparkSession, docs: DataFrame, least_docs: int = 10, least_share: float = 0.2, least_words: int = 3, general_words: int = 6, constant_share: float = 0.7) -> DataFrame:
+def recurring(spark: SparkSession, docs: DataFrame, least_docs: int = 10, least_share: float = 0.2, general_words: int = 6, constant_share: float = 0.7) -> DataFrame:
     """(line): hashes of the lines whose template recurs across at least `least_docs` documents. docs: text.
 
     Documents count by kind: copies of one document, exact or near, are of one kind, so lines that recur only because
@@ -141,7 +144,7 @@ def recurring(spark: SparkSession, docs: DataFrame, least_docs: int = 10, least_
     documents was copied, the unrelated ones count. In a leaf, a
     word is constant at a place if so many documents have it there; other places are variable fields. A line of
     `general_words` words or more, of which `constant_share` are constant, has its constants as template; any other
-    line is its own template. Lines of fewer than `least_words` words always stay.
+    line is its own template, however short; a line of one or two words, all with digits, recurs only as it is.
     """
     leaves = docs.mapInArrow(_leaves, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs)
     # the candidate leaves as a bitmap of fixed size: what it lets through too much is sorted out by the counts below
@@ -150,7 +153,7 @@ def recurring(spark: SparkSession, docs: DataFrame, least_docs: int = 10, least_
     for k, m in zip(buckets.column("k").to_pylist(), buckets.column("m").to_pylist(), strict=True):
         bits[(k - 1) * 4096 : k * 4096] = np.frombuffer(m, np.uint8)
     shared = spark.sparkContext.broadcast(bits)
-    each = docs.mapInArrow(_in_leaves(shared, least_words), "leaf long, line long, kind long, n int, tok binary, sketch binary")
+    each = docs.mapInArrow(_in_leaves(shared), "leaf long, line long, kind long, n int, tok binary, sketch binary")
     each = common.table(spark, each.groupBy("leaf", "line", "kind").agg(F.count("*").alias("docs"), F.first("n").alias("n"), F.first("tok").alias("tok"), F.first("sketch").alias("sketch")), "lines")
     per_line = common.table(spark, each.groupBy("leaf", "line").agg(F.count("*").alias("kinds"), F.first("n").alias("n"), F.first("tok").alias("tok")), "distinct-lines")
     placed = per_line.where(F.col("n") >= general_words).mapInArrow(_positions, "leaf long, line long, kinds long, place int, token long")

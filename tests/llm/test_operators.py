@@ -341,6 +341,14 @@ def test_a_copied_document_does_not_shield_its_template(spark):
     assert all(left[i].text == t for i, t in rows if i >= 1000)
 
 
+def test_short_lines_are_templates_too(spark):
+    rng = np.random.default_rng(6)
+    words = lambda: " ".join("".join(rng.choice(list("abcdefghij"), 8)) for _ in range(12))
+    rows = [(i, f"{words()}\nRead more\n{words()}\nShare\n{1000 + i}") for i in range(15)] + [(50 + i, f"{words()}\nHardly ever\n{i}") for i in range(5)]
+    left = {r.doc_id: r.text for r in line_dedup.drop_recurring(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(left[i] == (t.replace("\nRead more", "").replace("\nShare", "")) for i, t in rows)
+
+
 def test_both_ways_of_dropping_lines_agree(spark, docs):
     a, b = (sorted((r.doc_id, r.text, r._dropped) for r in line_dedup.drop_recurring(spark, docs, broadcast_lines=n, least_docs=3).collect()) for n in (10**6, -1))
     assert a == b and sum(x[2] for x in a) > 50

@@ -18,9 +18,9 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "MIT": "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     "BSD-3-Clause": "Released under the BSD 3-Clause License. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3. This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3. This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "CC-BY-4.0": "Licensed under CC BY 4.0. This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -30,24 +30,52 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "LicenseRef-All-Rights-Reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
 }
-#: Words without which no template's wording is there; a block is a run of lines that each have one.
+#: Words without which no template's wording is there; a block is what stands around lines that have one.
 CUES = r"(?i)licen[sc]e|rights reserved|copyright|creative commons|public domain|\bcc[ -]?(by|0)|permission is hereby|redistribution and use|permission to use"
 _CUE = re.compile(CUES)
+_OTHER = re.compile(r"\d|^(by|nc|sa|nd|lesser|affero)|^(apache|mit|bsd|gnu|mozilla|creative|unencumbered)$")
+_FAMILY = re.compile(r"^(lesser|affero|library)")
+_SOLID = re.compile(r"[^\W_]")
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 
 
+#: Words of a block before and after a line with a cue: more than the longest sentence of a template.
+AROUND = 80
+
+
 def blocks_of(text: str) -> list[tuple[int, str]]:
-    """(first line, text) of every run of lines with a cue."""
-    out: list[tuple[int, list[str]]] = []
-    last = None
-    for n, line in enumerate(text.split("\n")):
-        if _CUE.search(line):
-            if last == n - 1:
-                out[-1][1].append(line)
+    """(first line with a cue, text) of every block: lines with a cue and up to AROUND words of their paragraph on both sides.
+
+    Lines without letters or digits part paragraphs. Lines with a cue whose surroundings meet are one block.
+    """
+    if not _CUE.search(text):
+        return []
+    lines = text.split("\n")
+    cue = [bool(_CUE.search(line)) for line in lines]
+    out: list[tuple[int, str]] = []
+    n = 0
+    while n < len(lines):
+        if not cue[n]:
+            n += 1
+            continue
+        before: list[str] = []
+        left, k = AROUND, n - 1
+        while left > 0 and k >= 0 and not cue[k] and _SOLID.search(lines[k]):
+            before.insert(0, " ".join(lines[k].split()[-left:]))
+            left -= len(before[0].split())
+            k -= 1
+        block, left, k = [lines[n]], AROUND, n + 1
+        while k < len(lines) and (cue[k] or left > 0 and _SOLID.search(lines[k])):
+            if cue[k]:
+                block.append(lines[k])
+                left = AROUND
             else:
-                out.append((n, [line]))
-            last = n
-    return [(n, "\n".join(lines)) for n, lines in out]
+                block.append(" ".join(lines[k].split()[:left]) if not any(cue[k + 1 : k + 2]) else lines[k])
+                left -= len(block[-1].split())
+            k += 1
+        out.append((n, "\n".join(before + block)))
+        n = k
+    return out
 
 
 class Scanner:
@@ -61,7 +89,7 @@ class Scanner:
             for k, t in self.templates.items()
         }
         self.words = {k: _WORD.findall(t.lower()) for k, t in self.templates.items()}
-        self.notices = {k: [_WORD.findall(p.lower()) for p in re.split(r"(?<=[a-z0-9])\. ", t)] for k, t in self.templates.items()}
+        self.notices = {k: [_WORD.findall(p.lower()) for p in re.split(r"(?<=[a-z0-9])(?<!\bv)\. ", t)] for k, t in self.templates.items()}
 
     def ranked(self, block: str) -> list[tuple[float, str]]:
         """(share of the compressed size that the template saves, template), best first; ties by name."""
@@ -71,30 +99,50 @@ class Scanner:
 
     def differences(self, block: str, name: str) -> tuple[list[str], list[str], float]:
         """(words of the closest sentence of the template that are missing, words in their place, share found in order)."""
-        words, best = _WORD.findall(block.lower()), ([], [], 0.0)
+        return max((d for d in self.alignments(block, name)), key=lambda d: d[2], default=([], [], 0.0))[:3]
+
+    def alignments(self, block: str, name: str, least: float = 0.0) -> Iterator[tuple[list[str], list[str], float, list[str]]]:
+        """differences() of every sentence of the template in every window of the block that may hold `least` of it, and the words put in."""
+        words = _WORD.findall(block.lower())
         for notice in self.notices[name]:
-            m = difflib.SequenceMatcher(None, notice, words, autojunk=False)
-            got = sum(x.size for x in m.get_matching_blocks())
-            if notice and got / len(notice) > best[2]:
-                ops = [o for o in m.get_opcodes() if o[0] in ("delete", "replace")]
-                best = [w for o in ops for w in notice[o[1] : o[2]]], [w for o in ops if o[0] == "replace" for w in words[o[3] : o[4]]], got / len(notice)
-        return best
-
-    def scan(self, block: str, least: float = 0.25, wording: float = 0.8, tries: int = 4) -> tuple[str | None, float, float, str]:
-        """(licence or null, size reduction, share of the wording, differences). The best ranked whose wording confirms wins."""
-        order = self.ranked(block)
+            if not notice:
+                continue
+            known = set(notice)
+            size = 2 * len(notice) + 8
+            step = max(1, len(notice) // 2)
+            for t in range(0, max(1, len(words) - size + step), step):
+                window = words[t : t + size]
+                if len(known.intersection(window)) < len(known) - (1 - least) * len(notice) - 1e-9:
+                    continue
+                m = difflib.SequenceMatcher(None, notice, window, autojunk=False)
+                got = sum(x.size for x in m.get_matching_blocks())
+                ops = m.get_opcodes()
+                gone = [o for o in ops if o[0] in ("delete", "replace")]
+                inside = [o for o in ops if o[0] == "insert" and 0 < o[1] < len(notice)]
+                yield [w for o in gone for w in notice[o[1] : o[2]]], [w for o in gone if o[0] == "replace" for w in window[o[3] : o[4]]], got / len(notice), [w for o in inside for w in window[o[3] : o[4]]]
+
+    def licences(self, block: str, wording: float = 0.8) -> list[tuple[str, float, float, str]]:
+        """(licence, size reduction, share of the wording, differences) of all whose wording is there, the best first."""
         found = []
-        for gain, name in order:
-            if gain < least or len(found) >= tries and gain < found[0][1]:
-                break
-            missing, instead, share = self.differences(block, name)
-            # a version, a clause or another licence's name in place of the template's is another licence
-            if share >= wording and not any(re.search(r"\d|^(by|nc|sa|nd|lesser|affero)", w) for w in missing + instead):
-                found.append((share, gain, name, " ".join(missing) + (" -> " + " ".join(instead) if instead else "")))
-        if not found:
-            return None, order[0][0] if order else 0.0, 0.0, ""
-        share, gain, name, text = max(found, key=lambda x: (x[0], x[1]))
-        return name, gain, share, text
+        for gain, name in self.ranked(block):
+            best = None
+            for missing, instead, share, within in self.alignments(block, name, wording):
+                # a version, a clause or another licence's name in place of the template's is another licence
+                if share < wording or any(_OTHER.search(w) for w in missing + instead) or any(_FAMILY.search(w) for w in within):
+                    continue
+                if best is None or share > best[2]:
+                    best = (name, gain, share, " ".join(missing) + (" -> " + " ".join(instead) if instead else ""))
+            if best:
+                found.append(best)
+        return sorted(found, key=lambda x: (-x[2], -x[1]))
+
+    def scan(self, block: str, wording: float = 0.8) -> tuple[str | None, float, float, str]:
+        """The first of licences(), or a null licence and the best size reduction."""
+        found = self.licences(block, wording)
+        if found:
+            return found[0]
+        order = self.ranked(block)
+        return None, order[0][0] if order else 0.0, 0.0, ""
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,16 +160,18 @@ def _scanned(templates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
         for batch in common.slices(batches):
-            got = [scanner.scan(b) for b in batch.column("block").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), *(pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.string())))], names=["digest", "license", "reduction", "wording", "differences"])
+            each = [scanner.licences(b) or [scanner.scan(b)] for b in batch.column("block").to_pylist()]
+            digest = [d for d, found in zip(batch.column("digest").to_pylist(), each, strict=True) for _ in found]
+            got = [g for found in each for g in found]
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.string()), *(pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.string())))], names=["digest", "license", "reduction", "wording", "differences"])
 
     return run
 
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None = None, salts: int = 16) -> DataFrame:
-    """(doc_id, line, license, reduction, wording, differences): one row for each block of licence-like lines of docs (doc_id, text).
+    """(doc_id, line, license, reduction, wording, differences): a row for each licence in each block of docs (doc_id, text).
 
-    license is null where no template's wording is confirmed. Null and empty texts have no blocks; repeated rows give
+    line is the block's first line with a licence-like word. A block without licences has one row: license is null where no template's wording is confirmed. Null and empty texts have no blocks; repeated rows give
     theirs each. Equal blocks are scanned once: the distinct ones are found with map-side combining, and their results
     joined back over `salts` copies, so a notice that a third of all documents carry doesn't fall to one task.
     """

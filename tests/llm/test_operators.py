@@ -373,6 +373,22 @@ def test_licences_are_told_apart():
     assert {b: s.scan(b)[0] for b in want} == want
 
 
+def test_wrapped_notices_and_two_licences_in_a_block():
+    s = license_scan.Scanner()
+    of = lambda text: [{x[0] for x in s.licences(b)} for _, b in license_scan.blocks_of(text)]
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\n#\n# code"
+    copyrights = "\n".join(f"Copyright (c) {1980 + i} Somebody Number{i} and the other contributors of part {i}" for i in range(30))
+    prose = "lorem ipsum dolor " * 100
+    assert of(mit) == of(f"{prose}\n{mit}\n{prose}") == of(f"{prose}\n\n{copyrights}\n{mit}") == [{"MIT"}]
+    assert of(bsd) == [{"BSD-3-Clause"}]
+    assert of(gpl.format("", 3)) == [{"GPL-3.0"}] and of(gpl.format("Lesser ", 3)) == [{"LGPL-3.0"}] and of(gpl.format("Affero ", 3)) == [{"AGPL-3.0"}]
+    assert of(gpl.format("", 2)) == of(gpl.format("Lesser ", 2.1)) == [set()]
+    assert of("Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.") == [{"Apache-2.0", "MIT"}]
+    assert of("Released under the BSD License.") == of("Licensed under the Other License, Version 2.0.") == [set()]
+
+
 def test_license_scan_equals_scanning_each_block(spark, docs, texts, awkward, nothing):
     got = sorted((r.doc_id, r.line, r.license or "") for r in license_scan.scan_licenses(spark, docs).collect())
     s = license_scan.Scanner()

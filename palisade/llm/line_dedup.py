@@ -36,7 +36,7 @@ class Lines:
 
 
 def lines(column: pa.Array, sketched: bool = False) -> Lines:
-    """Words with digits are variable fields from the start. A leaf is a line's number of words and its DEPTH first ones."""
+    """Words with digits are variable fields from the start. A leaf is a line's number of words and its first ones: DEPTH, of short lines fewer."""
     words = common.words(column)
     digits = np.concatenate([[0], np.cumsum((words.data >= 48) & (words.data <= 57))])
     token = np.where(digits[words.end] > digits[words.start], ANY, words.hash)
@@ -52,9 +52,10 @@ def lines(column: pa.Array, sketched: bool = False) -> Lines:
     fields = np.add.reduceat(token != ANY, first) == 0 if len(first) else np.zeros(0, bool)
     token = np.where(np.repeat(fields & (n < 3), n), words.hash, token)
     leaf = common.mix(n.astype(np.uint64))
+    depth = np.where(n < 4, 1, np.where(n < 8, 2, DEPTH))  # short lines have their fields early
     for i in range(DEPTH):
         at = np.minimum(first + i, max(len(token) - 1, 0))
-        leaf = np.where(n > i, common.mix(leaf * np.uint64(0x9E3779B97F4A7C15) + token[at]), leaf)
+        leaf = np.where(depth > i, common.mix(leaf * np.uint64(0x9E3779B97F4A7C15) + token[at]), leaf)
     hashes = rc.range_hash(rc.prefix_sums(token), first, first + n - 1)
     # two minima over the long words: near copies share them, unrelated texts hardly ever
     kind = np.zeros(len(column), np.uint64)
@@ -135,7 +136,7 @@ def _unlike(most: int):
     return run
 
 
-def recurring(spark: SparkSession, docs: DataFrame, least_docs: int = 10, least_share: float = 0.2, general_words: int = 6, constant_share: float = 0.7) -> DataFrame:
+def recurring(spark: SparkSession, docs: DataFrame, least_docs: int = 10, least_share: float = 0.2, general_words: int = 6, constant_share: float = 0.7, least_constant: float = 0.5, leaf_share: float = 0.3) -> DataFrame:
     """(line): hashes of the lines whose template recurs across at least `least_docs` documents. docs: text.
 
     Documents count by kind: copies of one document, exact or near, are of one kind, so lines that recur only because
@@ -143,8 +144,10 @@ def recurring(spark: SparkSession, docs: DataFrame, least_docs: int = 10, least_
     kinds per document must have `least_docs` kinds that are no near copies of each other: however often one of its
     documents was copied, the unrelated ones count. In a leaf, a
     word is constant at a place if so many documents have it there; other places are variable fields. A line of
-    `general_words` words or more, of which `constant_share` are constant, has its constants as template; any other
-    line is its own template, however short; a line of one or two words, all with digits, recurs only as it is.
+    `general_words` words or more, of which `constant_share` are constant, has its constants as template; so
+    has a line of any length that is constant to `least_constant`, beyond its leaf's leading words too, in words which
+    `leaf_share` of the leaf's documents have there (words that follow each other by chance are spread). Any other line
+    is its own template, however short; a line of one or two words, all with digits, recurs only as it is.
     """
     leaves = docs.mapInArrow(_leaves, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs)
     # the candidate leaves as a bitmap of fixed size: what it lets through too much is sorted out by the counts below
@@ -156,10 +159,18 @@ def recurring(spark: SparkSession, docs: DataFrame, least_docs: int = 10, least_
     each = docs.mapInArrow(_in_leaves(shared), "leaf long, line long, kind long, n int, tok binary, sketch binary")
     each = common.table(spark, each.groupBy("leaf", "line", "kind").agg(F.count("*").alias("docs"), F.first("n").alias("n"), F.first("tok").alias("tok"), F.first("sketch").alias("sketch")), "lines")
     per_line = common.table(spark, each.groupBy("leaf", "line").agg(F.count("*").alias("kinds"), F.first("n").alias("n"), F.first("tok").alias("tok")), "distinct-lines")
-    placed = per_line.where(F.col("n") >= general_words).mapInArrow(_positions, "leaf long, line long, kinds long, place int, token long")
-    constant = placed.groupBy("leaf", "place", "token").agg(F.sum("kinds").alias("support")).where(F.col("support") >= least_docs).drop("support")
-    general = placed.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "line").agg(F.count("*").alias("constants"), F.expr("bit_xor(xxhash64(place, token))").alias("general"))
-    template = per_line.select("leaf", "line", "n").join(general, ["leaf", "line"], "left").withColumn("template", F.when(F.col("constants") >= constant_share * F.col("n"), F.col("general")).otherwise(F.col("line"))).select("leaf", "line", "template")
+    placed = per_line.where("n > 1").mapInArrow(_positions, "leaf long, line long, kinds long, place int, token long")
+    sizes = per_line.groupBy("leaf").agg(F.sum("kinds").alias("size"))
+    constant = placed.groupBy("leaf", "place", "token").agg(F.sum("kinds").alias("support")).where(F.col("support") >= least_docs)
+    constant = constant.join(sizes, "leaf").select("leaf", "place", "token", (F.col("support") >= leaf_share * F.col("size")).alias("firm"))
+    word, places = F.col("firm") & (F.col("token") != int(ANY.view(np.int64))), F.expr("xxhash64(place, token)")
+    general = placed.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "line").agg(
+        F.count("*").alias("constants"), F.bit_xor(places).alias("general"), F.count_if(word).alias("firm"), F.max(F.when(word, F.col("place"))).alias("far"), F.bit_xor(F.when(F.col("firm"), places)).alias("firmly")
+    )
+    n, lead = F.col("n"), F.when(F.col("n") < 4, 1).when(F.col("n") < 8, 2).otherwise(DEPTH)
+    named = F.when((n >= general_words) & (F.col("constants") >= constant_share * n), F.col("general"))
+    named = named.when((F.col("firm") >= least_constant * n) & (F.col("far") >= lead), F.col("firmly")).otherwise(F.col("line"))
+    template = per_line.select("leaf", "line", "n").join(general, ["leaf", "line"], "left").select("leaf", "line", named.alias("template"))
     template = common.table(spark, template, "templates")
     of = each.select("leaf", "line", "kind", "docs", "sketch").join(template, ["leaf", "line"])
     kinds = of.groupBy("leaf", "template", "kind").agg(F.sum("docs").alias("docs")).groupBy("leaf", "template").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs"))

@@ -349,6 +349,14 @@ def test_short_lines_are_templates_too(spark):
     assert all(left[i] == (t.replace("\nRead more", "").replace("\nShare", "")) for i, t in rows)
 
 
+def test_short_lines_with_varying_words_have_templates(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 8))
+    rows = [(i, "\n".join([" ".join(word() for _ in range(12)), f"Posted by {word()} in {word()}", f"Filed on behalf of {word()} {word()}", f"by chance {word()} {word()}"])) for i in range(40)]
+    left = {r.doc_id: r.text for r in line_dedup.drop_recurring(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(left[i].split("\n") == [x for k, x in enumerate(t.split("\n")) if k in (0, 3)] for i, t in rows)
+
+
 def test_both_ways_of_dropping_lines_agree(spark, docs):
     a, b = (sorted((r.doc_id, r.text, r._dropped) for r in line_dedup.drop_recurring(spark, docs, broadcast_lines=n, least_docs=3).collect()) for n in (10**6, -1))
     assert a == b and sum(x[2] for x in a) > 50

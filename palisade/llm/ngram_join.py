@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes, exact Jaccard similarity of word shingles decides."""
+"""N-gram Jaccard join: MinHash with banding proposes, exact Jaccard similarity of word shingles decides."""
 
 from __future__ import annotations
 
@@ -149,9 +149,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, simila
     doc_id, all are kept or none). Empty and null texts link with nothing. Rows without doc_id link with nothing, have
     no class and are kept.
 
-    Equal word sequences are one class from the start, so copies are never compared. The forest: each of `trees` trees
-    sorts classes by its own sequence of minima; the prefix is shortened until the wanted recall at `similarity` is
-    reached, and classes that share a prefix in any tree fall into one cluster. Within clusters, blocks of `block`
+    Equal word sequences are one class from the start, so copies are never compared. Banding in place of
+    a forest: each of `trees` trees has its own sequence of minima, of which a prefix is the key; its length, the same for
+    all documents, is the longest with the wanted recall at `similarity`. Classes that share a key fall into one cluster. Within clusters, blocks of `block`
     classes are compared exactly with each other, all pairs counted and none written.
     """
     common.bounded_batches(spark)

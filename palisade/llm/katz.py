@@ -1,239 +1,129 @@
-"""LM scoring: a Katz back-off bigram model with Good-Turing discounts and exactly normalised back-off weights.
+"""LM scoring: a Katz back-off model with Good-Turing discounts and exactly normalised back-off weights.
 
-Counts live in tables partitioned by hash ranges, every row a partition's packed arrays. Texts never meet the tables:
-a slice of texts sends each partition its distinct (history, word) pairs with the documents that hold them, and the
-partition, once it has looked up unigram counts and back-off weights in the other tables, sends back sums per document.
+Texts become slices of about a million tokens. A slice asks for the counts of its distinct n-grams of all orders in one
+exchange, and for the weights of contexts in one exchange for each order above the first; counts and weights lie in
+tables partitioned by key range. Then it evaluates the recursion for each of its n-grams and adds up tokens by document.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from . import exchange as ex
 from .common import mix
 
-START, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949C7DEFD6A1B35)
 CUT = 5  # counts up to here are discounted
+ORDERS = 3  # at most: the two low bits of a key are its order, 0 for the start of a text
 _A = np.uint64(0x9E3779B97F4A7C15)
+_END = np.uint64(0xC949C7DEFD6A1B35)
+_START = 0x9AE16A3B2F90404F
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    z = zstandard.ZstdCompressor(level=1)
-    out = []
-    for a in arrays:
-        raw = np.ascontiguousarray(a)
-        # bytes of equal weight side by side compress better
-        body = z.compress(raw.view(np.uint8).reshape(-1, raw.itemsize).T.tobytes() if raw.size else b"")
-        out.append(np.array([len(body), raw.size], "<u4").tobytes() + raw.dtype.str.encode().ljust(4) + body)
-    return b"".join(out)
+def _key(h: np.ndarray, order: int) -> np.ndarray:
+    return (h & ~np.uint64(3)) | np.uint64(order)
 
 
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    z, out, at = zstandard.ZstdDecompressor(), [], 0
-    while at < len(blob):
-        size, n = np.frombuffer(blob, "<u4", 2, at).tolist()
-        kind = np.dtype(blob[at + 8 : at + 12].decode().strip())
-        raw = z.decompress(blob[at + 12 : at + 12 + size]) if n else b""
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel() if n else np.zeros(0, kind))
-        at += 12 + size
-    return out
+def start(order: int) -> np.uint64:
+    """The key of a context of so many starts."""
+    return _key(mix(np.array([_START + order], np.uint64)), 0)[0]
 
 
-def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where sorted keys pass from one of `parts` equal ranges to the next."""
-    bounds = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
-
-
-def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"blob": pa.binary(), "doc_id": pa.int64(), "slice": pa.int64(), "kind": pa.int32()}
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.get(n, pa.int32())) for i, n in enumerate(names)], names=names)
-
-
-def pairs(words: common.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, history, word) of all tokens: each row's words, then one end; a row starts from START."""
-    rows = len(words.first) - 1
-    w = np.empty(len(words.hash) + rows, np.uint64)
-    row = np.empty(len(w), np.int64)
-    at = np.arange(len(words.hash)) + words.row
-    ends = words.first[1:] + np.arange(rows)
-    w[at], w[ends], row[at], row[ends] = words.hash, END, words.row, np.arange(rows)
-    h = np.empty_like(w)
-    h[1:] = w[:-1]
-    h[words.first[:-1] + np.arange(rows)] = START
-    return row, h, w
-
-
-def _sliced(parts: int, tokens: int):
-    """Slices of about `tokens` tokens: for each partition the distinct pairs, by whom they are held, and training counts."""
+def _sliced(tokens: int):
+    """Slices of about so many tokens: documents, distinct words, and each token's place among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        held: list[tuple] = []
-        ids: list[np.ndarray] = []
-        size = docs = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        docs: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            row, h, w = (np.concatenate([x[i] for x in held]) for i in range(3))
+            word = np.concatenate([w for w, _ in held])
+            names, index = np.unique(word, return_inverse=True)
+            ids, known, train = (np.concatenate([d[i] for d in docs]) for i in range(3))
+            blob = ex.pack(ids, known, train, np.concatenate([n for _, n in held]).astype(np.int64), names, index.astype(np.uint32))
             held.clear()
-            id_, train = (np.concatenate([x[i] for x in ids]) for i in range(2))
-            n = np.bincount(row, minlength=len(id_))
-            key = mix(h)
-            key *= _A
-            key += w
-            key = mix(key)
-            order = np.argsort(key, kind="stable")
-            key, row = key[order], row[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            h, w = h[order[first]], w[order[first]]
-            del order
-            held_at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))  # one for each pair and document
-            freq = np.diff(np.append(held_at, len(key))).astype(np.uint32)
-            pair_of = np.searchsorted(first, held_at, "right") - 1
-            edge, row = _cuts(key[first], parts), row[held_at]
-            del key, held_at
-            count = np.bincount(pair_of, freq * train[row], len(first)).astype(np.uint32)
-            many = np.bincount(pair_of, minlength=len(first)).astype(np.uint32)
-            begin = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
-            del pair_of
-            out = []
-            for p in range(parts):
-                a, b = edge[p], edge[p + 1]
-                if a == b:
-                    continue
-                names, at = np.unique(np.concatenate([h[a:b], w[a:b]]), return_inverse=True)
-                hi, wi = at[: b - a], at[b - a :]
-                by = np.lexsort((wi, hi))  # next to each other, equal histories pack well
-                many_by = many[a:b][by].astype(np.int64)
-                take = np.repeat(begin[a:b][by] - np.concatenate([[0], np.cumsum(many_by)[:-1]]), many_by) + np.arange(many_by.sum())
-                out.append((p, number, _pack(names, hi[by].astype(np.uint32), wi[by].astype(np.uint32), count[a:b][by], many[a:b][by], row[take], freq[take])))
-            out.append((-1 - number % parts, number, _pack(id_, n.astype(np.int64))))
-            return _rows(["p", "slice", "blob"], out)
+            docs.clear()
+            return ex.batch(["s", "tokens", "blob"], [(number, len(word), blob)])
 
         for batch in common.slices(batches, column="text"):
-            row, h, w = pairs(common.words(batch.column("text"), lower=True))
-            held.append(((row + docs).astype(np.uint32), h, w))
-            train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            ids.append((batch.column("row").to_numpy(), train))
-            docs, size = docs + batch.num_rows, size + len(w)
+            words = common.words(batch.column("text"), lower=True)
+            rows = batch.num_rows
+            word = np.full(len(words.hash) + rows, _key(np.array([_END]), 1)[0])
+            word[np.arange(len(words.hash)) + words.row] = _key(words.hash, 1)
+            held.append((word, np.diff(words.first) + 1))
+            id_ = batch.column("doc_id")
+            docs.append((id_.fill_null(0).to_numpy(), id_.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), 1 - batch.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint8)))
+            size += len(word)
             if size >= tokens:
                 yield flush()
-                ids, size, docs, number = [], 0, 0, number + 1
-        if ids:
+                size, number = 0, number + 1
+        if held:
             yield flush()
 
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each partition: names, histories, words and training counts of its pairs (kind 0), and for every slice
-    the pairs, documents and frequencies (kind 9). kind 2: counts of words by name. kind 3: how many pairs have each count.
-    kind 4: documents of slices."""
-
-    def whole(p: int, slices: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-        got = [_unpack(b) for b in blobs]
-        names = np.unique(np.concatenate([g[0] for g in got]))
-        places = [np.searchsorted(names, g[0]) for g in got]
-        pair = np.concatenate([pl[g[1]].astype(np.uint64) << np.uint64(32) | pl[g[2]].astype(np.uint64) for pl, g in zip(places, got, strict=True)])
-        kinds, at = np.unique(pair, return_inverse=True)
-        count = np.bincount(at, np.concatenate([g[3] for g in got]), len(kinds)).astype(np.int64)
-        h, w = (kinds >> np.uint64(32)).astype(np.uint32), (kinds & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        out = [(p, -1, 0, _pack(names, h, w, count))]
-        begin = 0
-        for s, g in zip(slices, got, strict=True):
-            mine = at[begin : begin + len(g[1])]  # ascending: both orders are those of the names
-            begin += len(g[1])
-            out.append((p, s, 9, _pack(np.diff(mine, prepend=0).astype(np.uint32), g[4], g[5], g[6])))
-        total = np.bincount(w, count, len(names)).astype(np.int64)
-        first = int(count[names[h] == START].sum()) if len(h) else 0
-        some = total > 0
-        out.append((p, -1, 2, _pack(names[some], total[some])))
-        out.append((p, -1, 3, _pack(np.bincount(np.minimum(count, CUT + 2), minlength=CUT + 3).astype(np.int64), np.array([first]))))
-        return _rows(["p", "slice", "kind", "blob"], out)
-
-    for group in common.grouped(batches, ["p"]):
-        p, slices, blobs = group.column("p")[0].as_py(), group.column("slice").to_pylist(), group.column("blob").to_pylist()
-        if p < 0:  # what slices know of their documents
-            yield _rows(["p", "slice", "kind", "blob"], [(p, s, 4, b) for s, b in zip(slices, blobs, strict=True)])
-        else:
-            yield whole(p, slices, blobs)
-
-
-def _spread(parts: int, kind: int, make):
-    """From rows of partitions, packed rows for the table ranges: make(blob) gives sorted keys and columns of values."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, blob in zip(batch.column("p").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                keys, *values = make(_unpack(blob))
-                edge = _cuts(keys, parts)
-                yield _rows(["q", "kind", "p", "blob"], [(q, kind, p, _pack(keys[a:b], *(v[a:b] for v in values))) for q, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a])
-
-    return run
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the values of equal keys in each range of a table."""
-    for group in common.grouped(batches, ["q"]):
-        got = [_unpack(b) for b in group.column("blob").to_pylist()]
-        keys, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        values = [np.bincount(at, np.concatenate([g[i] for g in got]), len(keys)) for i in range(1, len(got[0]))]
-        yield _rows(["q", "kind", "p", "blob"], [(group.column("q")[0].as_py(), 0, -1, _pack(keys, *values))])
-
-
-def _answered(width: int):
-    """Per range: the table's row comes first (kind 0), then the requests; unknown keys get zeros in `width` columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, table = None, None
-        for batch in common.slices(batches, 16):
-            out = []
-            for q, kind, p, blob in zip(*(batch.column(c).to_pylist() for c in ("q", "kind", "p", "blob")), strict=True):
-                if kind == 0:
-                    at, table = q, _unpack(blob)
-                    continue
-                (keys,) = _unpack(blob)
-                if at != q or not len(table[0]):
-                    out.append((p, q, _pack(*[np.zeros(len(keys))] * width)))
-                    continue
-                i = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-                hit = table[0][i] == keys
-                out.append((p, q, _pack(*(np.where(hit, v[i], 0.0) for v in table[1:]))))
-            yield _rows(["p", "q", "blob"], out)
-
-    return run
+class Slice:
+    """A slice's distinct n-grams. For each order n (index n - 1): sorted keys, and which of them every token ends.
 
+    For each n-gram of an order above the first: its context (an index into the keys of order n - 1, or one past them for
+    the start of a text) and its suffix of order n - 1.
+    """
 
-def _lookup(requests: DataFrame, table: DataFrame, width: int) -> DataFrame:
-    """(p, q, blob): the table's values for requested keys; a partition's answers in order of q are aligned with its keys."""
-    return table.unionByName(requests).repartition("q").sortWithinPartitions("q", "kind", "p").mapInArrow(_answered(width), "p int, q int, blob binary")
-
-
-class _Partition:
-    """What precedes the occurrences of a partition (rows sorted by kind and slice): its pairs, and answers to its requests."""
-
-    def __init__(self, p: int):
-        self.p, self.pairs, self.answers = p, None, {}
-
-    def add(self, kind: int, blob: bytes) -> None:
-        if kind == 0:
-            self.pairs = _unpack(blob)
-        else:
-            self.answers.setdefault(kind, []).append(_unpack(blob))
-
-    def answer(self, kind: int) -> list[np.ndarray]:
-        got = self.answers[kind]
-        return [np.concatenate([g[i] for g in got]) for i in range(len(got[0]))]
+    def __init__(self, blob: bytes, order: int):
+        self.id, self.known, self.train, self.size, names, index = ex.unpack(blob)
+        self.order, self.ends = order, np.cumsum(self.size)
+        self.keys, self.at, self.context, self.suffix = [names], [index], [None], [None]
+        first = self.ends - self.size
+        gram = names[index]
+        for n in range(2, order + 1):
+            before = np.empty_like(gram)
+            before[1:] = gram[:-1]
+            before[first] = start(n - 1)
+            gram = _key(mix(before * _A + names[index]), n)
+            keys, place, at = np.unique(gram, return_index=True, return_inverse=True)
+            last, below = self.at[-1], len(self.keys[-1])
+            context = np.where(np.isin(place, first), below, last[np.maximum(place - 1, 0)])
+            self.keys.append(keys)
+            self.at.append(at)
+            self.context.append(context)
+            self.suffix.append(last[place])
+
+    def counted(self) -> bytes:
+        """The request for the counts of all n-grams and of the starts, with what this slice has of them in training."""
+        trained = np.repeat(self.train, self.size)
+        keys = [*self.keys, np.array([start(n) for n in range(1, self.order)], np.uint64)]
+        counts = [np.bincount(a, trained, len(k)).astype(np.uint32) for k, a in zip(self.keys, self.at, strict=True)]
+        counts.append(np.full(self.order - 1, self.train.sum(), np.uint32))
+        all_ = np.concatenate(keys)
+        by = np.argsort(all_, kind="stable")
+        return ex.request(all_[by], np.ones(len(by)), np.concatenate(counts)[by])
+
+    def take_counts(self, blobs: list[bytes]) -> None:
+        """counts and stands (is this slice the one that accounts for the n-gram) by order; begins: counts of the starts."""
+        sizes = [*map(len, self.keys), self.order - 1]
+        by = np.argsort(np.concatenate([*self.keys, np.array([start(n) for n in range(1, self.order)], np.uint64)]), kind="stable")
+        stands, count = ex.answers(blobs)
+        back = [np.empty_like(x) for x in (stands, count)]
+        for b, x in zip(back, (stands, count), strict=True):
+            b[by] = x
+        cuts = np.cumsum(sizes)[:-1]
+        self.stands = np.split(back[0].astype(bool), cuts)
+        *self.counts, self.begins = np.split(back[1], cuts)
+
+    def totals(self, n: int) -> np.ndarray:
+        """How often each context of order-n n-grams was met in training."""
+        return np.append(self.counts[n - 2], self.begins[n - 2])
 
 
 @dataclass
@@ -282,141 +172,149 @@ class Unigrams:
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
 
 
-def _partial_weights(shared):
-    """Per partition, sums over the pairs seen in training by history: discounted counts, and unigram probabilities of the words."""
+def _tally(keys: np.ndarray, sums: list[np.ndarray]) -> np.ndarray:
+    """For each order how many n-grams have which training count, and last the training tokens."""
+    order, count = (keys & np.uint64(3)).astype(np.int64), sums[0]
+    by = np.bincount(order * (CUT + 3) + np.minimum(count, CUT + 2), minlength=4 * (CUT + 3))[CUT + 3 :]
+    return np.append(by, count[order == 1].sum())
+
+
+def _nothing(keys: np.ndarray, sums: list[np.ndarray]) -> np.ndarray:
+    return np.zeros(0, np.int64)
+
+
+def _wanted(part: Slice, n: int, lost: np.ndarray) -> np.ndarray:
+    """The contexts whose weight matters here: an n-gram after them wasn't seen, or all that were lost nothing to discounts."""
+    seen, context = part.counts[n - 1] > 0, part.context[n - 1]
+    kinds = len(part.keys[n - 2]) + 1
+    gap = np.bincount(context[~seen], minlength=kinds) > 0
+    freed = np.bincount(context[seen & (lost > 0)], minlength=kinds) > 0
+    return (gap | ~freed) & (part.totals(n) > 0)
+
+
+def _lower(part: Slice, model: tuple, weights: dict[int, list[bytes]], upto: int) -> np.ndarray:
+    """P of every distinct n-gram of the order `upto`, given its context: seen ones by their discounted share, others by the
+    context's weight and the suffix, one order down."""
+    unigrams, discounts = model
+    if upto == 1:
+        return unigrams.p(part.counts[0])
+    below = _lower(part, model, weights, upto - 1)[part.suffix[upto - 1]]
+    count, context, total = part.counts[upto - 1], part.context[upto - 1], part.totals(upto).astype(float)
+    kept = discounts[upto - 2](count)
+    want = _wanted(part, upto, count - kept)
+    weight = np.ones(len(want))  # of a context never met
+    if want.any():
+        # contexts are asked for in order of their keys, starts among them
+        by = np.flatnonzero(want)[np.argsort(_contexts(part, upto)[want], kind="stable")]
+        _, freed, mass = ex.answers(weights[upto])
+        # where no follower's count is discounted, half a token is left for the others
+        none = freed == 0
+        total[by] += np.where(none, 0.5, 0.0)
+        weight[by] = np.where(none, 0.5, freed) / total[by] / np.maximum(1 - mass, 1e-15)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(count > 0, kept / total[context], weight[context] * below)
+
+
+def _contexts(part: Slice, n: int) -> np.ndarray:
+    return np.append(part.keys[n - 2], start(n - 1))
+
+
+def _weighed(part: Slice, model: tuple, weights: dict[int, list[bytes]], n: int) -> bytes:
+    """The request for the weights of contexts of order n: what discounts freed after each, and the mass that lower orders
+    give its followers, summed over the n-grams that this slice stands for."""
+    below = _lower(part, model, weights, n - 1)[part.suffix[n - 1]]
+    count, context = part.counts[n - 1], part.context[n - 1]
+    lost = count - model[1][n - 2](count)
+    mine = part.stands[n - 1] & (count > 0)
+    keys = _contexts(part, n)
+    freed = np.bincount(context[mine], lost[mine], len(keys))
+    mass = np.bincount(context[mine], below[mine], len(keys))
+    want = _wanted(part, n, lost)
+    some = np.flatnonzero(want | (mass > 0))
+    some = some[np.argsort(keys[some], kind="stable")]
+    return ex.request(keys[some], want[some], freed[some], mass[some])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[int, Slice, dict[int, list[bytes]]]]:
+    """Each slice with its counts and weights, from rows sorted by s, kind (0 the slice, 1 counts, n weights of order n), r."""
+    for group in common.grouped(batches, ["s"]):
+        part, blobs = None, {}
+        for kind, blob in zip(group.column("kind").to_pylist(), group.column("blob").to_pylist(), strict=True):
+            if kind == 0:
+                part = Slice(blob, order)
+            else:
+                blobs.setdefault(kind, []).append(blob)
+        part.take_counts(blobs.pop(1))
+        yield group.column("s")[0].as_py(), part, blobs
 
+
+def _asked(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unigrams, bigrams, parts = shared.value
-
-        def sums(part: _Partition) -> pa.RecordBatch:
-            names, h, w, count = part.pairs
-            (c,) = part.answer(1)
-            seen = count > 0
-            a = np.bincount(h[seen], bigrams(count[seen]), len(names))
-            d = np.bincount(h[seen], unigrams.p(c)[w[seen]], len(names))
-            total = np.bincount(h[seen], count[seen], len(names))
-            some = total > 0
-            keys, values = names[some], [x[some] for x in (a, d, total.astype(float))]
-            edge = _cuts(keys, parts)
-            return _rows(["q", "kind", "p", "blob"], [(q, 0, part.p, _pack(keys[i:j], *(v[i:j] for v in values))) for q, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if j > i])
-
-        part = None
-        for batch in common.slices(batches, 8):
-            for p, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("p", "kind", "blob")), strict=True):
-                if part is not None and p != part.p:
-                    yield sums(part)
-                    part = None
-                part = part or _Partition(p)
-                part.add(kind, blob)
-        if part is not None:
-            yield sums(part)
+        for batch in common.slices(batches, 1):
+            for s, blob in zip(batch.column("s").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                yield ex.batch(["s", "r", "blob"], [(s, 0, Slice(blob, order).counted())])
 
     return run
 
 
-def _scored(shared):
-    """Per partition and slice: sums over the documents of log10 probabilities, of the base's, and known tokens."""
-
+def _asked_weights(n: int, order: int, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unigrams, bigrams = shared.value
-
-        def values(part: _Partition) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            _, h, w, count = part.pairs
-            (c,) = part.answer(1)
-            a, d, total = part.answer(2)
-            p, base = unigrams.p(c), unigrams.base(c)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                # where no follower's count is discounted, half a token is left for the others; a history without training
-                # keeps the unigram distribution
-                total = np.where(a == total, total + 0.5, total)
-                weight = np.where(d > 0, (1 - a / total) / (1 - d), 1.0)
-                lp = np.where(count > 0, np.log10(bigrams(count) / total[h]), np.log10(weight)[h] + np.log10(p)[w])
-            return lp, base[w], (c > 0)[w].astype(float)
-
-        part = ready = None
-        for batch in common.slices(batches, 4):
-            out = []
-            for p, kind, s, blob in zip(*(batch.column(c).to_pylist() for c in ("p", "kind", "slice", "blob")), strict=True):
-                if part is None or p != part.p:
-                    part, ready = _Partition(p), None
-                if kind != 9:
-                    part.add(kind, blob)
-                    continue
-                if ready is None:
-                    ready = values(part)
-                    part.pairs, part.answers = None, {}
-                step, many, doc, freq = _unpack(blob)
-                pair = np.repeat(np.cumsum(step, dtype=np.int64), many)
-                n = int(doc.max()) + 1
-                out.append((s, 1, _pack(*(np.bincount(doc, freq * x[pair], n) for x in ready))))
-            yield _rows(["slice", "kind", "blob"], out)
+        for s, part, weights in _slices(batches, order):
+            yield ex.batch(["s", "r", "blob"], [(s, 0, _weighed(part, model.value, weights, n))])
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group in common.grouped(batches, ["slice"]):
-        row = None
-        for kind, blob in zip(group.column("kind").to_pylist(), group.column("blob").to_pylist(), strict=True):
-            got = _unpack(blob)
-            if kind == 0:
-                row, n = got
-                sums = np.zeros((3, len(row)))
-            else:
-                for i in range(3):
-                    sums[i, : len(got[i])] += got[i]
-        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(n), pa.array(np.round(sums[2]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[0])], names=["row", "n_tokens", "n_known", "base_score", "score"])
+def _scored(order: int, model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part, weights in _slices(batches, order):
+            unigrams = model.value[0]
+            first = part.ends - part.size
+            score = np.add.reduceat(np.log10(_lower(part, model.value, weights, order))[part.at[order - 1]], first)
+            base = np.add.reduceat(unigrams.base(part.counts[0])[part.at[0]], first)
+            known = np.add.reduceat((part.counts[0] > 0)[part.at[0]].astype(np.int64), first)
+            ids = pa.array(part.id, mask=part.known == 0)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(part.train == 0), pa.array(part.size), pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 5, rest: int = 1, partition_tokens: int = 1_500_000, slice_tokens: int = 1_200_000) -> DataFrame:
+def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 5, rest: int = 1, order: int = 3, slice_tokens: int = 1_000_000, fan: int = ex.FAN, bits: int = ex.BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
     The model is learnt from rows whose crc32(doc_id as text) modulo `folds` is not `rest` (a null id counts as
-    trained on); tokens are words with A-Z lowered, then one end. score is the sum of the tokens' log10 probabilities:
-    a pair seen in training has its discounted relative frequency, any other the unigram probability times its
-    history's back-off weight, by which the probabilities after every history add up to one. Words never seen share
-    the probability of one unknown word. Null and empty texts are an end alone; without training rows every token has
-    the probability of the unknown word. Repeated rows count, and are scored, each.
+    trained on); tokens are words with A-Z lowered, then one end, after order - 1 starts. score is the sum of the tokens'
+    log10 probabilities: an n-gram seen in training has its discounted relative frequency, any other the probability one
+    order down times its context's back-off weight, by which the probabilities after every context add up to one; where
+    no follower's count is discounted, half a token is left for the others. Words never seen share the probability of one
+    unknown word. Null and empty texts are an end alone; without training rows every token has the probability of the
+    unknown word. Repeated rows count, and are scored, each. Words and n-grams are compared by 62-bit hashes. order is 1 to 3.
     """
+    if not 1 <= order <= ORDERS:
+        raise ValueError(f"order must be 1 to {ORDERS}")
     common.bounded_batches(spark, 64)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == rest, F.lit(False)))
-    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(4, math.ceil(size / 6 / partition_tokens))
-    sliced = docs.select("row", "held_out", "text").mapInArrow(_sliced(parts, slice_tokens), "p int, slice long, blob binary")
-    tables = sliced.repartition("p").sortWithinPartitions("p", "slice")
-    tables = common.table(spark, tables.mapInArrow(_merged, "p int, slice long, kind int, blob binary"), "katz-bigrams")
-    table_schema = "q int, kind int, p int, blob binary"
-    counts = tables.where("kind = 2").select("p", "blob").mapInArrow(_spread(parts, 0, lambda a: a), table_schema)
-    unigram = common.table(spark, counts.repartition("q").sortWithinPartitions("q").mapInArrow(_added, table_schema), "katz-unigrams")
-    of_counts, tokens, kinds = np.zeros(CUT + 3, np.int64), 0, 0
-
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                c = _unpack(blob)[1]
-                yield pa.RecordBatch.from_arrays([pa.array([_pack(np.bincount(np.minimum(c, CUT + 2).astype(np.int64), minlength=CUT + 3), np.array([c.sum(), len(c)]))], pa.binary())], names=["blob"])
-
-    for r in unigram.select("blob").mapInArrow(histogram, "blob binary").collect():
-        n, sums = _unpack(r.blob)
-        of_counts += n.astype(np.int64)
-        tokens, kinds = tokens + int(sums[0]), kinds + int(sums[1])
-    of_pairs = np.zeros(CUT + 3, np.int64)
-    for r in tables.where("kind = 3").select("blob").collect():
-        of_pairs += _unpack(r.blob)[0]
-    unigrams, bigrams = Unigrams.of(of_counts, tokens, kinds), Discounts.of(of_pairs)
-    context = spark.sparkContext
-    requests = tables.where("kind = 0").select("p", "blob").mapInArrow(_spread(parts, 1, lambda a: a[:1]), table_schema)
-    word_counts = common.table(spark, _lookup(requests, unigram, 1).select("p", F.col("q").cast("long").alias("slice"), F.lit(1).alias("kind"), "blob"), "katz-word-counts")
-    met = tables.where("kind = 0").unionByName(word_counts).repartition("p").sortWithinPartitions("p", "kind", "slice")
-    weights = met.mapInArrow(_partial_weights(context.broadcast((unigrams, bigrams, parts))), table_schema)
-    weights = common.table(spark, weights.repartition("q").sortWithinPartitions("q").mapInArrow(_added, table_schema), "katz-weights")
-    weights = _lookup(requests, weights, 3).select("p", F.col("q").cast("long").alias("slice"), F.lit(2).alias("kind"), "blob")
-    met = tables.where("kind in (0, 9)").unionByName(word_counts).unionByName(weights).repartition("p").sortWithinPartitions("p", "kind", "slice")
-    sums = met.mapInArrow(_scored(context.broadcast((unigrams, bigrams))), "slice long, kind int, blob binary")
-    sums = sums.unionByName(tables.where("kind = 4").select("slice", F.lit(0).alias("kind"), "blob")).repartition("slice").sortWithinPartitions("slice", "kind")
-    sums = common.table(spark, sums.mapInArrow(_summed, "row long, n_tokens long, n_known long, base_score double, score double"), "katz-scores")
-    return docs.select("doc_id", "row", "held_out").join(sums, "row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    slices = common.table(spark, docs.mapInArrow(_sliced(slice_tokens), "s long, tokens long, blob binary"), "katz-slices")
+    nodes = slices.count()
+    requests = slices.select("s", "blob").mapInArrow(_asked(order), "s long, r long, blob binary")
+    counts, found = ex.exchange(spark, requests, nodes, "katz-counts", _tally, fan, bits)
+    width = CUT + 3
+    tally = np.zeros(3 * width + 1, np.int64)
+    for r in found.select(F.posexplode("found")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+        tally[r.pos] = r.n
+    kinds, tokens = tally[:-1].reshape(3, width), int(tally[-1])
+    model = Unigrams.of(kinds[0], tokens, int(kinds[0][1:].sum())), [Discounts.of(k) for k in kinds[1:order]]
+    model = spark.sparkContext.broadcast(model)  # a few numbers
+    known = slices.select("s", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("r"), "blob")
+    known = known.unionByName(counts.select("s", F.lit(1).alias("kind"), "r", "blob"))
+    for n in range(2, order + 1):
+        met = known.repartition("s").sortWithinPartitions("s", "kind", "r")
+        weights, _ = ex.exchange(spark, met.mapInArrow(_asked_weights(n, order, model), "s long, r long, blob binary"), nodes, f"katz-weights-{n}", _nothing, fan, bits)
+        known = known.unionByName(weights.select("s", F.lit(n).alias("kind"), "r", "blob"))
+    met = known.repartition("s").sortWithinPartitions("s", "kind", "r")
+    scores = met.mapInArrow(_scored(order, model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The training-data operators against brute force and on awkward inputs: nulls, empty and long texts, repeats, empty tables, clashing columns."""
 
+import functools
 import hashlib
 import math
 import zlib
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from palisade.llm import common, decontamination, embedding_dedup, katz, license_scan, line_dedup, ngram_join, packing, quality, recompression, substring_dedup, token_counts
+from palisade.llm import common, decontamination, embedding_dedup, exchange, katz, license_scan, line_dedup, ngram_join, packing, quality, recompression, substring_dedup, token_counts
 
 SF = "/root/testdata/sf0.001"
 AWKWARD = [
@@ -199,51 +200,106 @@ def test_embeddings_empty(spark):
 # ---- op4
 
 
-def test_katz_matches_recursion(spark, docs, texts, awkward, nothing):
-    tokens = {i: [w.lower() for w in t.encode().split()] + [0] for i, t in texts.items()}
+def katz_by_hand(texts, order):
+    """Scores of all texts by the recursion over dictionaries: {doc_id: (score, base, tokens, known)}, training tokens, P and the words."""
+    tokens = {i: [w.lower() for w in t.encode().split()] + ["end"] for i, t in texts.items()}
     train = [i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1]
-    c1, c2 = Counter(), Counter()
-    for i in train:
-        c1.update(tokens[i])
-        c2.update(zip([1, *tokens[i][:-1]], tokens[i]))
-    n, v = sum(c1.values()), len(c1)
-
-    def discounts(counts):
-        m = Counter(counts)
-        tail = 6 * m[6] / m[1]
-        d = {r: (((r + 1) * m[r + 1] / m[r]) / r - tail) / (1 - tail) if m[r] else -1 for r in range(1, 6)}
-        return {r: x if 0 < x < 1 else (r - 0.5) / r for r, x in d.items()}
-
-    d1, d2 = discounts(c1.values()), discounts(c2.values())
-    unknown = sum((1 - d1[c]) * c for c in c1.values() if c <= 5) / n
-    p1 = lambda w: d1.get(c1[w], 1) * c1[w] / n if c1[w] else unknown
-    after = defaultdict(dict)
-    for (h, w), c in c2.items():
-        after[h][w] = c
-    total = {h: sum(f.values()) + (0.5 if min(f.values()) > 5 else 0) for h, f in after.items()}
-
-    def p(h, w):
-        f = after.get(h)
-        if not f:
-            return p1(w)
-        if w in f:
-            return d2.get(f[w], 1) * f[w] / total[h]
-        return (1 - sum(d2.get(c, 1) * c for c in f.values()) / total[h]) / (1 - sum(map(p1, f))) * p1(w)
-
-    for h in list(after)[:3]:
-        assert math.isclose(sum(p(h, w) for w in c1) + p(h, "unseen"), 1, rel_tol=1e-9)
-    rows = katz.score_texts(spark, docs, partition_tokens=20_000).collect()
+
+    def grams(i, n):
+        t = ["start"] * (n - 1) + tokens[i]
+        return [tuple(t[k : k + n]) for k in range(len(tokens[i]))]
+
+    counts = [Counter(g for i in train for g in grams(i, n)) for n in range(1, order + 1)]
+
+    def discounts(c):
+        m = Counter(c.values())
+        tail = 6 * m[6] / m[1] if m[1] else math.nan
+        out = {}
+        for r in range(1, 6):
+            x = (((r + 1) * m[r + 1] / m[r]) / r - tail) / (1 - tail) if m[r] and tail != 1 else math.nan
+            out[r] = x if 0 < x < 1 else (r - 0.5) / r
+        return out
+
+    ds = [discounts(c) for c in counts]
+    c1, n = counts[0], sum(counts[0].values())
+    unknown = sum((1 - ds[0][c]) * c for c in c1.values() if c <= 5) / n
+    after = [defaultdict(dict) for _ in range(order)]
+    for k in range(1, order):
+        for g, c in counts[k].items():
+            after[k][g[:-1]][g[-1]] = c
+
+    @functools.cache
+    def weight(k, h):
+        """(total, back-off weight) of a context of k words."""
+        f, d = after[k][h], ds[k]
+        total = sum(f.values()) + (0.5 if min(f.values()) > 5 else 0)
+        return total, (1 - sum(d.get(c, 1) * c for c in f.values()) / total) / (1 - sum(p((*h[1:], w)) for w in f))
+
+    def p(g):
+        k = len(g) - 1
+        if not k:
+            return ds[0].get(c1[g], 1) * c1[g] / n if c1[g] else unknown
+        if g[:-1] not in after[k]:
+            return p(g[1:])
+        total, back = weight(k, g[:-1])
+        c = counts[k][g]
+        return ds[k].get(c, 1) * c / total if c else back * p(g[1:])
+
+    base = lambda w: math.log10((c1[(w,)] + 0.5) / (n + 0.5 * (len(c1) + 1)))
+    rows = {i: (sum(math.log10(p(g)) for g in grams(i, order)), sum(map(base, tokens[i])), len(tokens[i]), sum(c1[(w,)] > 0 for w in tokens[i])) for i in texts}
+    return rows, n, p, c1, after
+
+
+@pytest.mark.parametrize(("order", "sizes"), [(3, {}), (3, {"slice_tokens": 900, "fan": 3, "bits": 1}), (2, {"slice_tokens": 5_000, "fan": 4, "bits": 2}), (1, {})])
+def test_katz_matches_recursion(spark, docs, texts, order, sizes):
+    want, n, p, c1, after = katz_by_hand(texts, order)
+    for k in range(1, order):
+        for h in list(after[k])[:3]:
+            assert math.isclose(sum(p((*h, w)) for (w,) in c1) + p((*h, "unseen")), 1, rel_tol=1e-9)
+    rows = katz.score_texts(spark, docs, order=order, **sizes).collect()
     assert len(rows) == len(texts)
-    for r in rows[:60]:
-        t = tokens[r.doc_id]
-        assert math.isclose(r.score, sum(math.log10(p(h, w)) for h, w in zip([1, *t[:-1]], t)), rel_tol=1e-9)
-        assert math.isclose(r.base_score, sum(math.log10((c1[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel_tol=1e-9)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c1[w] > 0 for w in t), n)
+    for r in rows:
+        score, base, tokens, known = want[r.doc_id]
+        assert math.isclose(r.score, score, rel_tol=1e-9) and math.isclose(r.base_score, base, rel_tol=1e-9)
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (tokens, known, n, zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
     held = [r for r in rows if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert order == 1 or sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_katz_leaves_half_a_token_where_nothing_is_discounted(spark):
+    texts = {i: "a b a b a b a b c" if i % 3 else "a b c b a d" for i in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = katz_by_hand(texts, 3)[0]
+    for r in katz.score_texts(spark, df, slice_tokens=50, fan=2, bits=1).collect():
+        assert math.isclose(r.score, want[r.doc_id][0], rel_tol=1e-9)
+
+
+def test_katz_awkward(spark, awkward, nothing):
     odd = katz.score_texts(spark, awkward).collect()
     assert len(odd) == len(AWKWARD) and all(math.isfinite(r.score) for r in odd) and {r.doc_id: r.n_tokens for r in odd}[2] == 1
     assert katz.score_texts(spark, nothing).count() == 0
+    with pytest.raises(ValueError):
+        katz.score_texts(spark, awkward, order=4)
+
+
+def test_exchange_counts_each_key_once_in_any_number_of_rounds(spark):
+    rng = np.random.default_rng(5)
+    held = {s: np.unique(common.mix(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64))) for s in range(30)}
+    rows = [(s, 0, exchange.request(k, np.arange(len(k)) % 2 == 0, np.full(len(k), s + 1, np.int64))) for s, k in held.items()]
+    total = Counter()
+    for s, k in held.items():
+        total.update({x: s + 1 for x in k.tolist()})
+    wanted = {x for k in held.values() for x in k[::2].tolist()}
+    for fan in (64, 4, 2):
+        out, found = exchange.exchange(spark, spark.createDataFrame(rows, "s long, r long, blob binary"), len(rows), "t", lambda k, s: np.array([len(k)]), fan, 1)
+        got, stood = defaultdict(list), Counter()
+        for r in sorted(out.collect(), key=lambda r: (r.s, r.r)):
+            got[r.s].append(r.blob)
+        for s, k in held.items():
+            stands, sums = exchange.answers(got[s]) if s in got else (np.zeros(0), np.zeros(0))
+            assert sums.tolist() == [total[x] for x in k[::2].tolist()]
+            stood.update(x for x, y in zip(k[::2].tolist(), stands.tolist()) if y)
+        assert sum(r.found[0] for r in found.collect()) == len(total) and set(stood.values()) <= {1} and set(stood) <= wanted
 
 
 # ---- op6, op8

@@ -4,7 +4,8 @@ A request is the distinct keys of a slice of the corpus with columns of numbers;
 of the keys that the slice wants, and for each whether this slice is the one that stands for the key (so that every key is
 accounted for once). Keys are dealt by ranges. Where there are more slices than `FAN`, groups of slices are merged in
 a first round, the merged ones in a second and so on, and answers come back the same way: each round has a bounded number
-of rows for a slice, and no task holds more than about one slice's worth of keys for a range.
+of rows for a slice, and no task holds more than about one slice's worth of keys for a range. A slice may leave itself a
+note, which comes back with the answers.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-FAN, BITS = 256, 8  # slices merged, and bits of the key by which they are dealt, in a round
+FAN, BITS = 512, 10  # slices merged, and bits of the key by which they are dealt, in a round
 
 _KINDS = {"blob": pa.binary(), "found": pa.list_(pa.int64()), "kind": pa.int32()}
 
@@ -63,30 +64,44 @@ def answers(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate([g[i] for g in got]) for i in range(len(got[0]))] if got else []
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values ascending, a place of each, which of them each entry is)."""
+    order = np.argsort(x)
+    ascending = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ascending[new], order[new], at
+
+
 def batch(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS.get(n, pa.int64())) for i, n in enumerate(names)], names=names)
 
 
-def _dealt(groups: int, level: int, bits: int):
-    """Requests cut into the ranges of this round, for the group that each slice belongs to."""
+def _dealt(ask: Callable, groups: int, level: int, bits: int):
+    """Requests (those that `ask` makes of the rows) cut into the ranges of this round, for the group that each slice belongs to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - bits * (level + 1))
-        for part in common.slices(batches, 1):
+        for part in ask(batches):
             for s, r, blob in zip(*(part.column(c).to_pylist() for c in ("s", "r", "blob")), strict=True):
+                t = int(common.mix(np.array([s], np.uint64))[0] % np.uint64(groups))
+                if r < 0:  # a note
+                    yield batch(["t", "r", "s", "blob"], [(t, -1 - s, s, blob)])
+                    continue
                 keys, *rest = _request(blob)
                 digit = keys >> shift
                 cuts = [0, *(np.flatnonzero(digit[1:] != digit[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
-                t = int(common.mix(np.array([s], np.uint64))[0] % np.uint64(groups))
                 yield batch(["t", "r", "s", "blob"], [(t, int(digit[a]), s, request(keys[a:b], *(x[a:b] for x in rest))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
     return run
 
 
 def _merge(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(keys, sums, place of each entry among keys, whether it is the first for its key, the requests)."""
+    """(keys, sums, place of each entry among keys, whether it is the one that stands for its key, the requests)."""
     got = [_request(b) for b in blobs]
-    keys, first, at = np.unique(np.concatenate([g[0] for g in got]), return_index=True, return_inverse=True)
+    keys, first, at = distinct(np.concatenate([g[0] for g in got]))
     sums = []
     for i in range(2, len(got[0])):
         column = np.concatenate([g[i] for g in got])
@@ -103,6 +118,9 @@ def _answered(tally: Callable[[np.ndarray, list[np.ndarray]], np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in common.grouped(batches, ["t", "r"]):
             r = group.column("r")[0].as_py()
+            if r < 0:
+                yield batch(["s", "r", "blob", "found"], [(-1 - r, -1, b, None) for b in group.column("blob").to_pylist()])
+                continue
             keys, sums, at, stands, got = _merge(group.column("blob").to_pylist())
             rows, begin = [(-1, r, None, tally(keys, sums).tolist())], 0
             for s, (mine, want, *_) in zip(group.column("s").to_pylist(), got, strict=True):
@@ -120,6 +138,9 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A round before the last: the merged request of a group (kind 0), and for each slice where its entries are in it (kind 1)."""
     for group in common.grouped(batches, ["t", "r"]):
         t, r = group.column("t")[0].as_py(), group.column("r")[0].as_py()
+        if r < 0:
+            yield batch(["t", "r", "s", "kind", "blob"], [(t, r, -1 - r, 2, b) for b in group.column("blob").to_pylist()])
+            continue
         keys, sums, at, stands, got = _merge(group.column("blob").to_pylist())
         want = np.bincount(at, np.concatenate([g[1] for g in got]), len(keys)) > 0
         rows, begin = [(t, r, t, 0, request(keys, want, *sums))], 0
@@ -136,6 +157,9 @@ def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Answers to merged requests (kind 0, by finer ranges) go on to the slices that were merged."""
     for group in common.grouped(batches, ["t", "r"]):
         kinds, blobs = group.column("kind").to_pylist(), group.column("blob").to_pylist()
+        if kinds[0] == 2:
+            yield batch(["s", "r", "blob"], [(s, -1, b) for s, b in zip(group.column("s").to_pylist(), blobs, strict=True)])
+            continue
         stands, *sums = answers([b for k, b in zip(kinds, blobs, strict=True) if k == 0])
         r, rows = group.column("r")[0].as_py(), []
         for s, kind, blob in zip(group.column("s").to_pylist(), kinds, blobs, strict=True):
@@ -146,18 +170,22 @@ def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(["s", "r", "blob"], rows)
 
 
-def exchange(spark: SparkSession, rows: DataFrame, nodes: int, name: str, tally: Callable, fan: int = FAN, bits: int = BITS, level: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(answers (s, r, blob), found) to requests rows (s, r = 0, blob) of so many slices s.
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return common.slices(batches, 1)
+
+
+def exchange(spark: SparkSession, rows: DataFrame, ask: Callable, nodes: int, name: str, tally: Callable, fan: int = FAN, bits: int = BITS, level: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(answers (s, r, blob), found) to the requests of so many slices s: ask turns batches of rows into batches (s, r = 0, blob).
 
-    A slice's blobs in order of r make its answers(). found has the arrays that tally gave, one for each range.
+    A slice's blobs in order of r make its answers(); a row with r = -1 is a note, returned as it is. found has the arrays that tally gave, one for each range.
     """
     groups = max(1, math.ceil(nodes / fan))
-    dealt = rows.mapInArrow(_dealt(groups, level, bits), "t long, r long, s long, blob binary").repartition("t", "r").sortWithinPartitions("t", "r", "s")
+    dealt = rows.mapInArrow(_dealt(ask, groups, level, bits), "t long, r long, s long, blob binary").repartition("t", "r").sortWithinPartitions("t", "r", "s")
     if groups == 1:
         out = common.table(spark, dealt.mapInArrow(_answered(tally), "s long, r long, blob binary, found array<long>"), f"{name}-{level}")
         return out.where("s >= 0").select("s", "r", "blob"), out.where("s < 0").select("found")
     merged = common.table(spark, dealt.mapInArrow(_merged, "t long, r long, s long, kind int, blob binary"), f"{name}-merged-{level}")
-    above, found = exchange(spark, merged.where("kind = 0").select(F.col("t").alias("s"), "r", "blob"), groups, name, tally, fan, bits, level + 1)
+    above, found = exchange(spark, merged.where("kind = 0").select(F.col("t").alias("s"), "r", "blob"), _alone, groups, name, tally, fan, bits, level + 1)
     back = above.select(F.col("s").alias("t"), F.shiftright("r", bits).alias("r"), F.col("r").alias("s"), F.lit(0).alias("kind"), "blob")
-    back = back.unionByName(merged.where("kind = 1")).repartition("t", "r").sortWithinPartitions("t", "r", "kind", "s")
+    back = back.unionByName(merged.where("kind > 0")).repartition("t", "r").sortWithinPartitions("t", "r", "kind", "s")
     return common.table(spark, back.mapInArrow(_returned, "s long, r long, blob binary"), f"{name}-back-{level}"), found

@@ -1,6 +1,6 @@
 """LM scoring: a Katz back-off model with Good-Turing discounts and exactly normalised back-off weights.
 
-Texts become slices of about a million tokens. A slice asks for the counts of its distinct n-grams of all orders in one
+Texts become slices of some hundred thousand tokens. A slice asks for the counts of its distinct n-grams of all orders in one
 exchange, and for the weights of contexts in one exchange for each order above the first; counts and weights lie in
 tables partitioned by key range. Then it evaluates the recursion for each of its n-grams and adds up tokens by document.
 """
@@ -20,14 +20,14 @@ from . import exchange as ex
 from .common import mix
 
 CUT = 5  # counts up to here are discounted
-ORDERS = 3  # at most: the two low bits of a key are its order, 0 for the start of a text
+ORDERS = 3  # at most: the two high bits of a key are its order, 0 for the start of a text
 _A = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0xC949C7DEFD6A1B35)
 _START = 0x9AE16A3B2F90404F
 
 
 def _key(h: np.ndarray, order: int) -> np.ndarray:
-    return (h & ~np.uint64(3)) | np.uint64(order)
+    return (h >> np.uint64(2)) | np.uint64(order << 62)
 
 
 def start(order: int) -> np.uint64:
@@ -48,7 +48,7 @@ def _sliced(tokens: int):
 
         def flush() -> pa.RecordBatch:
             word = np.concatenate([w for w, _ in held])
-            names, index = np.unique(word, return_inverse=True)
+            names, _, index = ex.distinct(word)
             ids, known, train = (np.concatenate([d[i] for d in docs]) for i in range(3))
             blob = ex.pack(ids, known, train, np.concatenate([n for _, n in held]).astype(np.int64), names, index.astype(np.uint32))
             held.clear()
@@ -84,46 +84,44 @@ class Slice:
         self.id, self.known, self.train, self.size, names, index = ex.unpack(blob)
         self.order, self.ends = order, np.cumsum(self.size)
         self.keys, self.at, self.context, self.suffix = [names], [index], [None], [None]
-        first = self.ends - self.size
-        gram = names[index]
+        first = np.zeros(len(index), bool)
+        first[self.ends - self.size] = True
+        word = gram = names[index]
         for n in range(2, order + 1):
             before = np.empty_like(gram)
             before[1:] = gram[:-1]
             before[first] = start(n - 1)
-            gram = _key(mix(before * _A + names[index]), n)
-            keys, place, at = np.unique(gram, return_index=True, return_inverse=True)
+            gram = _key(mix(before * _A + word), n)
+            keys, place, at = ex.distinct(gram)
             last, below = self.at[-1], len(self.keys[-1])
-            context = np.where(np.isin(place, first), below, last[np.maximum(place - 1, 0)])
+            context = np.where(first[place], below, last[place - 1])
             self.keys.append(keys)
             self.at.append(at)
             self.context.append(context)
             self.suffix.append(last[place])
 
+    def starts(self) -> np.ndarray:
+        """The keys of all contexts of starts, ascending; they come before all n-grams."""
+        return np.sort(np.array([start(n) for n in range(1, ORDERS)], np.uint64))
+
     def counted(self) -> bytes:
-        """The request for the counts of all n-grams and of the starts, with what this slice has of them in training."""
+        """The request for the counts of the starts and of all n-grams, with what this slice has of them in training."""
         trained = np.repeat(self.train, self.size)
-        keys = [*self.keys, np.array([start(n) for n in range(1, self.order)], np.uint64)]
-        counts = [np.bincount(a, trained, len(k)).astype(np.uint32) for k, a in zip(self.keys, self.at, strict=True)]
-        counts.append(np.full(self.order - 1, self.train.sum(), np.uint32))
-        all_ = np.concatenate(keys)
-        by = np.argsort(all_, kind="stable")
-        return ex.request(all_[by], np.ones(len(by)), np.concatenate(counts)[by])
+        keys = np.concatenate([self.starts(), *self.keys])
+        counts = [np.full(ORDERS - 1, self.train.sum(), np.uint32), *(np.bincount(a, trained, len(k)).astype(np.uint32) for k, a in zip(self.keys, self.at, strict=True))]
+        return ex.request(keys, np.ones(len(keys)), np.concatenate(counts))
 
     def take_counts(self, blobs: list[bytes]) -> None:
-        """counts and stands (is this slice the one that accounts for the n-gram) by order; begins: counts of the starts."""
-        sizes = [*map(len, self.keys), self.order - 1]
-        by = np.argsort(np.concatenate([*self.keys, np.array([start(n) for n in range(1, self.order)], np.uint64)]), kind="stable")
+        """counts and stands (is this slice the one that accounts for the n-gram) by order; begins: the count of the starts."""
         stands, count = ex.answers(blobs)
-        back = [np.empty_like(x) for x in (stands, count)]
-        for b, x in zip(back, (stands, count), strict=True):
-            b[by] = x
-        cuts = np.cumsum(sizes)[:-1]
-        self.stands = np.split(back[0].astype(bool), cuts)
-        *self.counts, self.begins = np.split(back[1], cuts)
+        cuts = np.cumsum([ORDERS - 1, *map(len, self.keys)])[:-1]
+        _, *self.stands = np.split(stands.astype(bool), cuts)
+        begins, *self.counts = np.split(count, cuts)
+        self.begins = begins[0]
 
     def totals(self, n: int) -> np.ndarray:
         """How often each context of order-n n-grams was met in training."""
-        return np.append(self.counts[n - 2], self.begins[n - 2])
+        return np.append(self.counts[n - 2], self.begins)
 
 
 @dataclass
@@ -174,7 +172,7 @@ class Unigrams:
 
 def _tally(keys: np.ndarray, sums: list[np.ndarray]) -> np.ndarray:
     """For each order how many n-grams have which training count, and last the training tokens."""
-    order, count = (keys & np.uint64(3)).astype(np.int64), sums[0]
+    order, count = (keys >> np.uint64(62)).astype(np.int64), sums[0]
     by = np.bincount(order * (CUT + 3) + np.minimum(count, CUT + 2), minlength=4 * (CUT + 3))[CUT + 3 :]
     return np.append(by, count[order == 1].sum())
 
@@ -192,6 +190,19 @@ def _wanted(part: Slice, n: int, lost: np.ndarray) -> np.ndarray:
     return (gap | ~freed) & (part.totals(n) > 0)
 
 
+def _contexts(part: Slice, n: int, want: np.ndarray) -> np.ndarray:
+    """The wanted contexts of order n in order of their keys: the start of a text comes first."""
+    some = np.flatnonzero(want)
+    return np.roll(some, 1) if len(want) and want[-1] else some
+
+
+def _shares(freed: np.ndarray, mass: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(total, back-off weight) of contexts; where no follower's count is discounted, half a token is left for the others."""
+    none = freed == 0
+    total = total + np.where(none, 0.5, 0.0)
+    return total, np.where(none, 0.5, freed) / total / np.maximum(1 - mass, 1e-15)
+
+
 def _lower(part: Slice, model: tuple, weights: dict[int, list[bytes]], upto: int) -> np.ndarray:
     """P of every distinct n-gram of the order `upto`, given its context: seen ones by their discounted share, others by the
     context's weight and the suffix, one order down."""
@@ -204,35 +215,46 @@ def _lower(part: Slice, model: tuple, weights: dict[int, list[bytes]], upto: int
     want = _wanted(part, upto, count - kept)
     weight = np.ones(len(want))  # of a context never met
     if want.any():
-        # contexts are asked for in order of their keys, starts among them
-        by = np.flatnonzero(want)[np.argsort(_contexts(part, upto)[want], kind="stable")]
+        some = _contexts(part, upto, want)
         _, freed, mass = ex.answers(weights[upto])
-        # where no follower's count is discounted, half a token is left for the others
-        none = freed == 0
-        total[by] += np.where(none, 0.5, 0.0)
-        weight[by] = np.where(none, 0.5, freed) / total[by] / np.maximum(1 - mass, 1e-15)
+        total[some], weight[some] = _shares(freed, mass, total[some])
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(count > 0, kept / total[context], weight[context] * below)
 
 
-def _contexts(part: Slice, n: int) -> np.ndarray:
-    return np.append(part.keys[n - 2], start(n - 1))
-
-
-def _weighed(part: Slice, model: tuple, weights: dict[int, list[bytes]], n: int) -> bytes:
+def _weighed(part: Slice, model: tuple, weights: dict[int, list[bytes]], n: int) -> tuple[bytes, bytes]:
     """The request for the weights of contexts of order n: what discounts freed after each, and the mass that lower orders
-    give its followers, summed over the n-grams that this slice stands for."""
+    give its followers, summed over the n-grams that this slice stands for. And a note, with which _finished() can do
+    without the slice: scores but for the contexts asked for, and where in which documents these stand."""
     below = _lower(part, model, weights, n - 1)[part.suffix[n - 1]]
-    count, context = part.counts[n - 1], part.context[n - 1]
-    lost = count - model[1][n - 2](count)
+    count, context, total = part.counts[n - 1], part.context[n - 1], part.totals(n).astype(float)
+    kept = model[1][n - 2](count)
+    lost = count - kept
     mine = part.stands[n - 1] & (count > 0)
-    keys = _contexts(part, n)
+    keys = np.append(part.keys[n - 2], start(n - 1))
     freed = np.bincount(context[mine], lost[mine], len(keys))
     mass = np.bincount(context[mine], below[mine], len(keys))
     want = _wanted(part, n, lost)
-    some = np.flatnonzero(want | (mass > 0))
-    some = some[np.argsort(keys[some], kind="stable")]
-    return ex.request(keys[some], want[some], freed[some], mass[some])
+    some = _contexts(part, n, want | (mass > 0))
+    asked = ex.request(keys[some], want[some], freed[some], mass[some])
+    some = _contexts(part, n, want)
+    rank = np.zeros(len(keys), np.uint32)
+    rank[some] = np.arange(len(some))
+    open_, seen = want[context], count > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sure = np.log10(np.where(seen, np.where(open_, kept, kept / total[context]), below))
+    at = part.at[n - 1]
+    token = np.flatnonzero(open_[at])
+    row = np.searchsorted(part.ends, token, "right").astype(np.uint32)
+    return asked, ex.pack(*_sums(part, model[0], sure[at]), total[some], row, rank[context[at[token]]], seen[at[token]].astype(np.uint8))
+
+
+def _sums(part: Slice, unigrams: Unigrams, score: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What is known of documents: doc_id, has it one, trained on, tokens, known tokens, base score, score."""
+    first = part.ends - part.size
+    base = np.add.reduceat(unigrams.base(part.counts[0])[part.at[0]], first)
+    known = np.add.reduceat((part.counts[0] > 0)[part.at[0]].astype(np.int64), first)
+    return part.id, part.known, part.train, part.size, known, base, np.add.reduceat(score, first)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[int, Slice, dict[int, list[bytes]]]]:
@@ -257,29 +279,43 @@ def _asked(order: int):
     return run
 
 
-def _asked_weights(n: int, order: int, model):
+def _asked_weights(n: int, last: bool, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, part, weights in _slices(batches, order):
-            yield ex.batch(["s", "r", "blob"], [(s, 0, _weighed(part, model.value, weights, n))])
+        for s, part, weights in _slices(batches, n):
+            asked, note = _weighed(part, model.value, weights, n)
+            yield ex.batch(["s", "r", "blob"], [(s, 0, asked), (s, -1, note)] if last else [(s, 0, asked)])
 
     return run
 
 
-def _scored(order: int, model):
+def _rows(id_: np.ndarray, known: np.ndarray, train: np.ndarray, size: np.ndarray, n_known: np.ndarray, base: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    ids = pa.array(id_, mask=known == 0)
+    return pa.RecordBatch.from_arrays([ids, pa.array(train == 0), pa.array(size), pa.array(n_known), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the weights that were asked for to the scores of a slice's note (the first of its rows)."""
+    for group in common.grouped(batches, ["s"]):
+        note, *blobs = group.column("blob").to_pylist()
+        *known, score, total, row, context, seen = ex.unpack(note)
+        if len(row):
+            _, freed, mass = ex.answers(blobs)
+            total, weight = _shares(freed, mass, total)
+            score = score + np.bincount(row, np.where(seen > 0, -np.log10(total)[context], np.log10(weight)[context]), len(score))
+        yield _rows(*known, score)
+
+
+def _scored(model):
+    """Without contexts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part, weights in _slices(batches, order):
-            unigrams = model.value[0]
-            first = part.ends - part.size
-            score = np.add.reduceat(np.log10(_lower(part, model.value, weights, order))[part.at[order - 1]], first)
-            base = np.add.reduceat(unigrams.base(part.counts[0])[part.at[0]], first)
-            known = np.add.reduceat((part.counts[0] > 0)[part.at[0]].astype(np.int64), first)
-            ids = pa.array(part.id, mask=part.known == 0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(part.train == 0), pa.array(part.size), pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        for _, part, _ in _slices(batches, 1):
+            yield _rows(*_sums(part, model.value[0], np.log10(model.value[0].p(part.counts[0]))[part.at[0]]))
 
     return run
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 5, rest: int = 1, order: int = 3, slice_tokens: int = 1_000_000, fan: int = ex.FAN, bits: int = ex.BITS) -> DataFrame:
+def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 5, rest: int = 1, order: int = 3, slice_tokens: int = 400_000, fan: int = ex.FAN, bits: int = ex.BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
     The model is learnt from rows whose crc32(doc_id as text) modulo `folds` is not `rest` (a null id counts as
@@ -297,8 +333,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 5, rest: int
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == rest, F.lit(False)))
     slices = common.table(spark, docs.mapInArrow(_sliced(slice_tokens), "s long, tokens long, blob binary"), "katz-slices")
     nodes = slices.count()
-    requests = slices.select("s", "blob").mapInArrow(_asked(order), "s long, r long, blob binary")
-    counts, found = ex.exchange(spark, requests, nodes, "katz-counts", _tally, fan, bits)
+    counts, found = ex.exchange(spark, slices.select("s", "blob"), _asked(order), nodes, "katz-counts", _tally, fan, bits)
     width = CUT + 3
     tally = np.zeros(3 * width + 1, np.int64)
     for r in found.select(F.posexplode("found")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
@@ -308,12 +343,16 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 5, rest: int
     model = spark.sparkContext.broadcast(model)  # a few numbers
     known = slices.select("s", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("r"), "blob")
     known = known.unionByName(counts.select("s", F.lit(1).alias("kind"), "r", "blob"))
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    if order == 1:
+        scores = known.repartition("s").sortWithinPartitions("s", "kind", "r").mapInArrow(_scored(model), schema)
     for n in range(2, order + 1):
-        met = known.repartition("s").sortWithinPartitions("s", "kind", "r")
-        weights, _ = ex.exchange(spark, met.mapInArrow(_asked_weights(n, order, model), "s long, r long, blob binary"), nodes, f"katz-weights-{n}", _nothing, fan, bits)
+        # a range of counts starts with the order
+        met = known.where(F.col("kind").isin(0, *range(2, n)) | (F.col("r") < (n + 1) << (bits - 2))).repartition("s").sortWithinPartitions("s", "kind", "r")
+        weights, _ = ex.exchange(spark, met, _asked_weights(n, n == order, model), nodes, f"katz-weights-{n}", _nothing, fan, bits)
         known = known.unionByName(weights.select("s", F.lit(n).alias("kind"), "r", "blob"))
-    met = known.repartition("s").sortWithinPartitions("s", "kind", "r")
-    scores = met.mapInArrow(_scored(order, model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        if n == order:
+            scores = weights.repartition("s").sortWithinPartitions("s", "r").mapInArrow(_finished, schema)
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

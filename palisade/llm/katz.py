@@ -50,7 +50,7 @@ def _sliced(tokens: int):
             word = np.concatenate([w for w, _ in held])
             names, _, index = ex.distinct(word)
             ids, known, train = (np.concatenate([d[i] for d in docs]) for i in range(3))
-            blob = ex.pack(ids, known, train, np.concatenate([n for _, n in held]).astype(np.int64), names, index.astype(np.uint32))
+            blob = ex.pack(ids, known, train, np.concatenate([n for _, n in held]).astype(np.int64), np.diff(names, prepend=np.uint64(0)), index.astype(np.uint32))
             held.clear()
             docs.clear()
             return ex.batch(["s", "tokens", "blob"], [(number, len(word), blob)])
@@ -81,7 +81,8 @@ class Slice:
     """
 
     def __init__(self, blob: bytes, order: int):
-        self.id, self.known, self.train, self.size, names, index = ex.unpack(blob)
+        self.id, self.known, self.train, self.size, step, index = ex.unpack(blob)
+        names = np.cumsum(step, dtype=np.uint64)
         self.order, self.ends = order, np.cumsum(self.size)
         self.keys, self.at, self.context, self.suffix = [names], [index], [None], [None]
         first = np.zeros(len(index), bool)
@@ -315,7 +316,7 @@ def _scored(model):
     return run
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 5, rest: int = 1, order: int = 3, slice_tokens: int = 400_000, fan: int = ex.FAN, bits: int = ex.BITS) -> DataFrame:
+def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 5, rest: int = 1, order: int = 2, slice_tokens: int = 400_000, fan: int = ex.FAN, bits: int = ex.BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
     The model is learnt from rows whose crc32(doc_id as text) modulo `folds` is not `rest` (a null id counts as

@@ -182,13 +182,15 @@ def _nothing(keys: np.ndarray, sums: list[np.ndarray]) -> np.ndarray:
     return np.zeros(0, np.int64)
 
 
-def _wanted(part: Slice, n: int, lost: np.ndarray) -> np.ndarray:
-    """The contexts whose weight matters here: an n-gram after them wasn't seen, or all that were lost nothing to discounts."""
+def _wanted(part: Slice, n: int, lost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts whose weight matters here: an n-gram after them wasn't seen, or all that were lost nothing to discounts;
+    and which of them are so for the second reason, so that the shares of seen n-grams are open too."""
     seen, context = part.counts[n - 1] > 0, part.context[n - 1]
     kinds = len(part.keys[n - 2]) + 1
     gap = np.bincount(context[~seen], minlength=kinds) > 0
     freed = np.bincount(context[seen & (lost > 0)], minlength=kinds) > 0
-    return (gap | ~freed) & (part.totals(n) > 0)
+    met = part.totals(n) > 0
+    return (gap | ~freed) & met, ~freed & met
 
 
 def _contexts(part: Slice, n: int, want: np.ndarray) -> np.ndarray:
@@ -213,7 +215,7 @@ def _lower(part: Slice, model: tuple, weights: dict[int, list[bytes]], upto: int
     below = _lower(part, model, weights, upto - 1)[part.suffix[upto - 1]]
     count, context, total = part.counts[upto - 1], part.context[upto - 1], part.totals(upto).astype(float)
     kept = discounts[upto - 2](count)
-    want = _wanted(part, upto, count - kept)
+    want, _ = _wanted(part, upto, count - kept)
     weight = np.ones(len(want))  # of a context never met
     if want.any():
         some = _contexts(part, upto, want)
@@ -235,13 +237,14 @@ def _weighed(part: Slice, model: tuple, weights: dict[int, list[bytes]], n: int)
     keys = np.append(part.keys[n - 2], start(n - 1))
     freed = np.bincount(context[mine], lost[mine], len(keys))
     mass = np.bincount(context[mine], below[mine], len(keys))
-    want = _wanted(part, n, lost)
+    want, even = _wanted(part, n, lost)
     some = _contexts(part, n, want | (mass > 0))
     asked = ex.request(keys[some], want[some], freed[some], mass[some])
     some = _contexts(part, n, want)
     rank = np.zeros(len(keys), np.uint32)
     rank[some] = np.arange(len(some))
-    open_, seen = want[context], count > 0
+    seen = count > 0
+    open_ = np.where(seen, even[context], want[context])
     with np.errstate(divide="ignore", invalid="ignore"):
         sure = np.log10(np.where(seen, np.where(open_, kept, kept / total[context]), below))
     at = part.at[n - 1]

@@ -270,7 +270,7 @@ def test_katz_leaves_half_a_token_where_nothing_is_discounted(spark):
     texts = {i: "a b a b a b a b c" if i % 3 else "a b c b a d" for i in range(40)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = katz_by_hand(texts, 3)[0]
-    for r in katz.score_texts(spark, df, slice_tokens=50, fan=2, bits=3).collect():
+    for r in katz.score_texts(spark, df, order=3, slice_tokens=50, fan=2, bits=3).collect():
         assert math.isclose(r.score, want[r.doc_id][0], rel_tol=1e-9)
 
 

@@ -22,12 +22,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir; one of our own only where that is unset and all runs on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             at = jvm_dir.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             at = tempfile.mkdtemp(prefix="palisade-")
             spark.sparkContext.setCheckpointDir(at)
@@ -153,7 +155,7 @@ def words(column: pa.Array, lower: bool = False) -> Words:
 
 
 def components(spark: SparkSession, edges: DataFrame, name: str = "links") -> DataFrame:
-    """(id, component_id) for every id in edges (u, v): the smallest id reachable.
+    """(id, component_id) for every id in edges (u, v): the smallest id reachable. Raises if 60 steps aren't enough.
 
     Alternates large-star and small-star steps until no edge changes. Each step is two aggregations over edges;
     no step gathers a component in one place: neighbours are compared with the group's minimum, taken with a
@@ -175,6 +177,8 @@ def components(spark: SparkSession, edges: DataFrame, name: str = "links") -> Da
         if before == (count, total):
             break
         before = (count, total)
+    else:
+        raise RuntimeError("components: links still change after 60 steps")
     ids = cur.groupBy("u").agg(F.min("v").alias("component_id")).select(F.col("u").alias("id"), "component_id")
     roots = cur.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
     return ids.union(roots)
@@ -204,18 +208,36 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
         yield joined()
 
 
-def in_blocks(clusters: DataFrame, block: int) -> DataFrame:
-    """Adds (i, j) and `part` to rows (id, cluster, ...): a row for each pair of blocks that compares the row's id.
+def blocks(spark: SparkSession, df: DataFrame, order: list[str], size: int, name: str) -> DataFrame:
+    """(id, block): the rows of df (id, the columns of `order`), sorted, in blocks of `size` neighbours at most."""
 
-    A cluster of n ids has ceil(n / block) blocks, so its n * n / 2 comparisons fall to n * n / (2 * block * block)
-    groups of at most about 2 * block rows: no task holds more of a cluster than that, however large it is.
-    `part` is the row's own block: in a group i < j rows of part i face rows of part j.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at, first = 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(first + (at + np.arange(batch.num_rows)) // size)], names=["id", "block"])
+            at += batch.num_rows
+
+    dealt = df.repartitionByRange(*order, "id").sortWithinPartitions(*order, "id")
+    return table(spark, dealt.select("id").mapInArrow(run, "id long, block long"), name)
+
+
+def meetings(members: DataFrame, homes: DataFrame) -> DataFrame:
+    """(a, b, part, id): who is to be compared in each pair of blocks a <= b, part being the id's own block.
+
+    members (id, run): ids that share a run are to meet; homes: blocks(). In its own block an id meets all, in others only
+    those rows of a block come that share a run with the other one. So each pair that shares a run meets in just one
+    group, a group has two blocks of rows at most, and ids without a common run lead to no further groups.
     """
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    parts = clusters.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    parts = parts.withColumn("part", F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks").cast("long")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
-    return parts.withColumn("pair", F.explode(pair)).select("*", "pair.i", "pair.j").drop("pair", "n", "blocks")
+    at = members.join(homes, "id")
+    places = at.select("run", "block").distinct()
+    spread = places.groupBy("run").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi").select("run")
+    places = places.join(spread, "run")
+    across = places.join(places.withColumnRenamed("block", "other"), "run").where("block <> other")
+    foreign = at.join(across, ["run", "block"]).select("id", "block", "other").distinct()
+    own = homes.select("id", "block", F.col("block").alias("other"))
+    return own.union(foreign).select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.col("block").alias("part"), "id")
 
 
 def by_group(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from . import common
 
 ROTATIONS = 8
-PAIRS = 20_000
 
 
 @lru_cache(maxsize=8)
@@ -42,16 +41,33 @@ def encode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     turned = unit @ rotations(dim)
     factor = np.abs(turned).reshape(n, ROTATIONS, dim).sum(2) / math.sqrt(dim)
     scale = np.abs(unit).max(1) / 7
-    noise = np.random.default_rng(dim).random(unit.shape)
+    # drawn from the number and its place, so that a vector has the same code wherever it stands
+    noise = (common.mix(unit.view(np.uint64) + np.arange(dim, dtype=np.uint64)) >> np.uint64(11)) / float(1 << 53)
     q = np.clip(np.floor(unit / scale[:, None] + noise), -7, 7).astype(np.int8)
     return turned >= 0, factor.astype(np.float32), q, scale.astype(np.float32)
 
 
-def tables_for(n: int, cosine: float, recall: float) -> tuple[int, int]:
-    """(tables, bits): as many bits as leave about one unrelated vector in a bucket, then tables enough for the recall at that cosine."""
-    bits = int(min(30, max(8, round(math.log2(max(n, 2))))))
-    p = (1 - math.acos(cosine) / math.pi) ** bits
-    return math.ceil(math.log(1 - recall) / math.log(1 - p)), bits
+@lru_cache(maxsize=8)
+def tables_for(n: int, dim: int, cosine: float, recall: float, most: int = 512) -> tuple[int, int]:
+    """(tables, bits): as many bits as leave about one unrelated vector in a bucket, then tables enough for the recall at that cosine.
+
+    Bits of few dimensions hang together, so the recall is measured, on 3,000 random pairs of just that cosine; where `most`
+    tables aren't enough, there are fewer bits.
+    """
+    rng = np.random.default_rng([29, dim])
+    x, y = rng.normal(size=(2, 3000, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(1)[:, None] * x
+    norm = np.linalg.norm(y, axis=1)[:, None]
+    y = cosine * x + math.sqrt(max(0.0, 1 - cosine**2)) * np.divide(y, norm, out=np.zeros_like(y), where=norm > 1e-9)
+    alike = ((x @ rotations(dim) >= 0) == (y @ rotations(dim) >= 0)).T
+    for bits in range(int(min(30, max(8, round(math.log2(max(n, 2)))), ROTATIONS * dim)), 0, -1):
+        met = np.zeros(alike.shape[1], bool)
+        for t, pick in enumerate(chosen(dim, most, bits)):
+            met |= alike[pick].all(0)
+            if met.mean() >= recall:
+                return t + 1, bits
+    return most, 1
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +78,7 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = None if x is None or not len(x) or None in x else np.asarray(x, np.float64)
             with np.errstate(over="ignore"):
                 ok = a is not None and np.isfinite(a).all() and (m := np.abs(a).max()) > 0
-            v.append((a / m).tobytes() if ok else None)  # scaled by the largest component: no square over- or underflows
+            v.append(np.ldexp(a, -np.frexp(m)[1]).tobytes() if ok else None)  # by a power of two, exactly: no square over- or underflows
             digest.append(xxhash.xxh3_128_digest(np.asarray(x, np.float64).tobytes()) if ok else None)
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(v, pa.binary()), pa.array(digest, pa.binary())], names=["vec_id", "v", "digest"])
 
@@ -75,18 +91,20 @@ def _by_dimension(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, np.stack([np.frombuffer(x, np.float64) for x in column.take(pa.array(at)).to_pylist()])
 
 
-def _coded(tables: int, bits: int):
+def _coded(n: int, cosine: float, recall: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 2000):
             for at, v in _by_dimension(batch.column("v")):
                 sign, factor, q, scale = encode(v / np.linalg.norm(v, axis=1)[:, None])
-                pick = chosen(v.shape[1], tables, bits)
+                tables, bits = tables_for(n, v.shape[1], cosine, recall)
+                pick = chosen(v.shape[1], 512, bits)[:tables]
                 weight = np.uint64(1) << np.arange(pick.shape[1], dtype=np.uint64)
                 number = (sign[:, pick] * weight).sum(2, dtype=np.uint64)
                 key = common.mix(number + common.mix(np.arange(tables, dtype=np.uint64) + np.uint64(v.shape[1] << 32)))
                 blob = [a.tobytes() + b.tobytes() + c.tobytes() + d.tobytes() for a, b, c, d in zip(np.packbits(sign, axis=1), factor, scale[:, None], q, strict=True)]
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * tables), pa.array(key.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), keys, pa.array([v.shape[1]] * len(at), pa.int32()), pa.array(blob, pa.binary())], names=["id", "keys", "dim", "code"])
+                kept = [batch.column(c).take(pa.array(at)) for c in ("id", "copies", "v")]
+                yield pa.RecordBatch.from_arrays([*kept, keys, pa.array([v.shape[1]] * len(at), pa.int32()), pa.array(blob, pa.binary())], names=["id", "copies", "v", "keys", "dim", "code"])
 
     return run
 
@@ -109,57 +127,43 @@ def bound(f2: np.ndarray, dim: int, sigmas: float) -> np.ndarray:
     return sigmas * np.sqrt(np.maximum(1 - f2, 0) / f2 / max(dim - 1, 1) / ROTATIONS) + 0.02
 
 
-def _candidates(cosine: float, sigmas: float):
-    """Per bucket block: links (id, partner) along which every pair that may reach the cosine hangs together."""
+def _linked(v: list[bytes], codes: list[bytes], left: np.ndarray, right: np.ndarray, dim: int, cosine: float, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of left and right, all of one dimension) whose cosine is at least that: computed in double precision where
+    the estimate and its bound leave that open, and nowhere else."""
+    a, b, f2 = _decoded(codes, dim)
+    half = bound(f2, dim, sigmas)
+    est = (a[left] @ b[right].T + b[left] @ a[right].T) / 2
+    x, y = np.nonzero(est + (half[left][:, None] + half[right][None, :]) / 2 >= cosine)
+    of = np.stack([np.frombuffer(t, np.float64) for t in v])
+    norm = np.linalg.norm(of, axis=1)
+    x, y = left[x], right[y]
+    dot = np.concatenate([np.einsum("ij,ij->i", of[x[i : i + 20_000]], of[y[i : i + 20_000]]) for i in range(0, len(x), 20_000)] or [np.zeros(0)])
+    sure = dot / (norm[x] * norm[y]) >= cosine
+    return x[sure], y[sure]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in common.grouped(batches, ["cluster", "i", "j"]):
-            if group.num_rows < 2:
-                continue
-            ids, part = group.column("id").to_numpy(), group.column("part").to_numpy()
-            dim = group.column("dim")[0].as_py()
-            a, b, f2 = _decoded(group.column("code").to_pylist(), dim)
-            half = bound(f2, dim, sigmas)
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-            if not len(left) or not len(right):
-                continue
-            est = (a[left] @ b[right].T + b[left] @ a[right].T) / 2
-            x, y = np.nonzero(est + (half[left][:, None] + half[right][None, :]) / 2 >= cosine)
-            x, y = left[x], right[y]
-            order = np.argsort(ids, kind="stable")
-            rank = np.empty(len(ids), np.int64)
-            rank[order] = np.arange(len(ids))
-            root = ids[order][common.roots(len(ids), rank[x], rank[y])][rank]
-            some = root != ids
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(root[some])], names=["u", "v"])
-
-    return run
 
-
-def _exact(cosine: float):
-    """Per group of two blocks of a cluster: cosines in double precision, link counts, and a class that each is linked to."""
+def _compared(cosine: float, sigmas: float):
+    """Per pair of blocks: link counts, and a class that each class is linked to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in common.grouped(batches, ["cluster", "i", "j"]):
+        for group in common.grouped(batches, ["a", "b"]):
             if group.num_rows < 2:
                 continue
-            ids, copies, part = (group.column(c).to_numpy() for c in ("id", "copies", "part"))
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            _, v = next(_by_dimension(group.column("v")))
-            unit = v / np.linalg.norm(v, axis=1)[:, None]
-            left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-            if not len(left) or not len(right):
-                continue
-            a, b = np.nonzero(unit[left] @ unit[right].T >= cosine)
-            a, b = left[a], right[b]
-            keep = a < b if i == j else a != b
-            a, b = a[keep], b[keep]
-            links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-            order = np.argsort(ids, kind="stable")
-            rank = np.empty(len(ids), np.int64)
-            rank[order] = np.arange(len(ids))
-            root = ids[order][common.roots(len(ids), rank[a], rank[b])][rank]
+            group = group.take(pa.array(np.argsort(group.column("id").to_numpy(), kind="stable")))
+            ids, copies, part, dims = (group.column(c).to_numpy() for c in ("id", "copies", "part", "dim"))
+            a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
+            pairs = []
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                left, right = np.flatnonzero(part[at] == a), np.flatnonzero(part[at] == b)
+                if len(left) and len(right):
+                    v, codes = (group.column(c).take(pa.array(at)).to_pylist() for c in ("v", "code"))
+                    x, y = _linked(v, codes, left, right, int(dim), cosine, sigmas)
+                    keep = x < y if a == b else x != y
+                    pairs.append((at[x[keep]], at[y[keep]]))
+            x, y = (np.concatenate([p[i] for p in pairs] or [np.zeros(0, np.int64)]) for i in range(2))
+            links = np.bincount(x, copies[y], len(ids)) + np.bincount(y, copies[x], len(ids))
+            root = ids[common.roots(len(ids), x, y)]  # ids ascend
             some = links > 0
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], names=["id", "links", "root"])
 
@@ -175,29 +179,32 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9
     and are kept, as are rows without a vec_id (their component is null).
 
     Equal vectors are one class from the start. Buckets of sign bits, in tables enough for `recall` at the threshold,
-    bring classes together. Within them codes decide: a pair whose estimate plus its bound (of `sigmas` standard
-    deviations) stays under the threshold goes no further; all others fall into clusters, whose pairs are computed.
+    bring classes together; neighbours in the first table form blocks of `block`, and pairs of blocks meet with those
+    of their classes that share a bucket. There codes decide: a pair whose estimate plus its bound (of `sigmas` standard
+    deviations) stays under the threshold goes no further; the others' cosines are computed, and only theirs. Rows that
+    repeat a vec_id with different vectors are vectors of their own.
     """
     common.bounded_batches(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = common.table(spark, rows.mapInArrow(_digested, "vec_id long, v binary, digest binary"), "vectors")
-    classes = rows.where("digest is not null and vec_id is not null").groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    classes = common.table(spark, classes, "classes")
-    tables, bits = tables_for(classes.count(), cosine, recall)
-    coded = common.table(spark, classes.mapInArrow(_coded(tables, bits), "id long, keys array<long>, dim int, code binary"), "codes")
-    members = coded.select("id", F.explode("keys").alias("cluster")).repartition("cluster")
-    crowded = members.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
-    met = common.in_blocks(members.join(crowded, "cluster"), block).join(coded.select("id", "dim", "code"), "id")
-    met = common.by_group(met.select("cluster", "i", "j", "part", "id", "dim", "code"), ["cluster", "i", "j"])
-    clusters = common.components(spark, met.mapInArrow(_candidates(cosine, sigmas), "u long, v long"), "clusters")
-    clusters = clusters.withColumnRenamed("component_id", "cluster").join(classes.select("id", "copies", "v"), "id")
-    blocks = common.by_group(common.in_blocks(clusters, block), ["cluster", "i", "j"])
-    links, component = common.link_totals(spark, blocks.mapInArrow(_exact(cosine), "id long, links long, root long"), "verified")
-    found = classes.select("digest", "id", "copies").join(links, "id", "left").join(component, "id", "left")
+    classes = rows.where("digest is not null and vec_id is not null").groupBy("digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    classes = common.table(spark, classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    coded = classes.select("id", "copies", "v").mapInArrow(_coded(classes.count(), cosine, recall), "id long, copies long, v binary, keys array<long>, dim int, code binary")
+    coded = common.table(spark, coded, "codes")
+    members = coded.select("id", F.explode("keys").alias("run"))
+    crowded = members.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
+    members = common.table(spark, members.join(crowded, "run"), "members")
+    some = coded.join(members.select("id").distinct(), "id", "left_semi")
+    homes = common.blocks(spark, some.select("id", "dim", F.col("keys")[0].alias("first")), ["dim", "first"], block, "homes")
+    met = common.meetings(members, homes).join(coded.drop("keys"), "id")
+    links, component = common.link_totals(spark, common.by_group(met, ["a", "b"]).mapInArrow(_compared(cosine, sigmas), "id long, links long, root long"), "verified")
+    found = classes.select("digest", "id", "least", "copies").join(links, "id", "left").join(component, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    least = found.groupBy("component_id").agg(F.min("least").alias("smallest"))
+    found = found.join(least, "component_id").select("digest", "copies", "links", "smallest")
     out = rows.select("vec_id", "digest").join(found, "digest", "left").select(
         "vec_id",
         F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
-        F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "id", "vec_id")).alias("component_id"),
+        F.when(F.col("vec_id").isNotNull(), F.coalesce("smallest", "vec_id")).alias("component_id"),
     )
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

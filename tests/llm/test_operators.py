@@ -132,20 +132,50 @@ def test_repeated_rows_count_once_in_comparisons(spark):
     assert got == [(1, 1, 3), (1, 1, 3), (2, 1, 3), (3, 1, 3)]
 
 
-def test_prefix_is_shortened_to_the_recall_wanted():
-    k = ngram_join.prefix_length(0.8, 32, 8, 0.999)
-    assert 1 - (1 - 0.8**k) ** 32 >= 0.999 > 1 - (1 - 0.8 ** (k + 1)) ** 32
-
-
 @pytest.mark.parametrize("both,own", [(4, (1, 0)), (8, (1, 1)), (12, (3, 0)), (16, (2, 2)), (40, (5, 5)), (160, (20, 20))])
 def test_recall_holds_at_every_length(both, own):
     n, rng = 1500, np.random.default_rng(both)
     each = both + own[0], both + own[1]
     shared = rng.integers(0, 1 << 63, (n, both)).astype(np.uint64)
     sides = [np.concatenate([shared, rng.integers(0, 1 << 63, (n, k)).astype(np.uint64)], 1) for k in own]
-    depth = ngram_join.prefix_length(0.8, 32, 8, 0.999)
-    a, b = (ngram_join.branches(np.repeat(np.arange(n), k), common.mix(x.ravel()), n, 32, depth) for k, x in zip(each, sides))
-    assert both / (both + sum(own)) == 0.8 and (a == b).any(1).mean() >= 0.997
+    a, b = (ngram_join.signatures(np.repeat(np.arange(n), k), common.mix(x.ravel()), n) for k, x in zip(each, sides))
+    assert both / (both + sum(own)) == 0.8
+    for depth in (6, 7, 8):
+        assert abs((a == b)[:, :, :depth].all(2).any(1).mean() - ngram_join.found(0.8, depth)) < 0.005
+
+
+@pytest.mark.parametrize("words", [5, 9, 13, 24, 49, 120, 400])
+def test_links_just_at_the_threshold_are_found(spark, words):
+    rng = np.random.default_rng(words)
+    n, rows, pairs = 300, [], 0
+    for i in range(n):
+        first = [f"w{x}" for x in rng.integers(0, 10**9, words)]
+        k = max(1, words - 4)  # shingles; as many of them change as leave the similarity at or above 0.8
+        second = first + [f"v{x}" for x in rng.integers(0, 10**9, k // 4)]
+        pairs += k // (k + k // 4) >= 0.8 or k / (k + k // 4) >= 0.8
+        rows += [(2 * i, " ".join(first)), (2 * i + 1, " ".join(second))]
+    got = ngram_join.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), block=50).collect()
+    assert pairs == n and sum(r.n_links for r in got) >= 0.99 * 2 * n and all(r.class_id // 2 == r.doc_id // 2 for r in got)
+
+
+def test_prefixes_are_shortened_where_links_at_the_threshold_abound(spark):
+    rng, rows = np.random.default_rng(1), []
+    for i in range(1500):
+        first = [f"w{x}" for x in rng.integers(0, 10**9, 24)]
+        rows += [(2 * i, " ".join(first)), (2 * i + 1, " ".join([*first, *(f"v{x}" for x in rng.integers(0, 10**9, 5))]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r: sum(x.n_links for x in ngram_join.near_duplicates(spark, df, recall=r).collect()) // 2 for r in (0.9, 0.9995)}
+    assert 1480 <= found[0.9] < found[0.9995] <= 1500  # 8 symbols find 0.9972 of them, 7 find 0.9994
+
+
+def test_texts_under_one_doc_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "x"), (1, b, "y"), (2, a + " end", "z"), (3, c, "u"), (3, c, "u"), (None, a, "v"), (4, None, "w"), (4, "", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links, r.kept) for r in ngram_join.near_duplicates(spark, df).collect())
+    assert got == sorted([(1, 1, 1, True), (1, 1, 0, True), (2, 1, 1, False), (3, 3, 1, True), (3, 3, 1, True), (0, 0, 0, True), (4, 4, 0, True), (4, 4, 0, True)])
+    left = ngram_join.one_of_each(spark, df)
+    assert left.columns == df.columns and sorted((r.doc_id or 0, (r.text or "")[:2]) for r in left.collect()) == [(0, "a0"), (1, "a0"), (1, "b0"), (3, "c0"), (4, "")]
 
 
 def test_ngram_join_awkward(spark, awkward, nothing):
@@ -193,6 +223,27 @@ def test_estimates_are_unbiased_and_within_their_bounds():
     assert abs(error.mean()) < 0.005 and (np.abs(error) <= half).mean() > 0.995
 
 
+def test_embeddings_ties_repeats_and_extra_columns(spark):
+    e = [1.0, 0.0, 0.0, 0.0, 0.0]
+    rows = [(1, e), (2, [19.0, 6.0, 1.0, 1.0, 1.0]), (3, [18.99, 6.0, 1.0, 1.0, 1.0]), (4, [0.0, 1.0, 0.0, 0.0, 0.0]), (4, [0.0, 0.0, 1.0, 0.0, 0.0]), (5, [0.0, 0.0, 2.0, 0.0, 0.0]), (6, [-1.0, 0.0, 0.0, 0.0, 0.0]), (6, [-1.0, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS id", "'x' AS digest", "2 AS copies", "3 AS run", "0 AS block")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark, df).collect())
+    assert got == [(1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (6, 1, 6, True)]
+
+
+@pytest.mark.parametrize(("dim", "n"), [(3, 500), (16, 10**6), (16, 10**9), (64, 10**9), (256, 10**6)])
+def test_buckets_keep_their_recall_in_few_dimensions(dim, n):
+    tables, bits = embedding_dedup.tables_for(n, dim, 0.95, 0.995)
+    rng = np.random.default_rng(77)
+    x, y = rng.normal(size=(2, 2000, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(1)[:, None] * x
+    y = 0.95 * x + math.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    a, b = (v @ embedding_dedup.rotations(dim) >= 0 for v in (x, y))
+    pick = embedding_dedup.chosen(dim, 512, bits)[:tables]
+    assert (a[:, pick] == b[:, pick]).all(2).any(1).mean() > 0.985
+
+
 def test_embeddings_empty(spark):
     assert embedding_dedup.near_duplicates(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

@@ -31,9 +31,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class."""
-    kept = ngram_join.near_duplicates(spark, docs, words=5, similarity=0.8).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
+    return ngram_join.one_of_each(spark, docs, words=5, similarity=0.8)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

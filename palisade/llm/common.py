@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but these six characters (bytes.split() splits at just these).
@@ -154,22 +154,26 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     return Words(data, np.repeat(np.arange(len(column)), np.diff(first)), start, end, h, first)
 
 
-def components(spark: SparkSession, edges: DataFrame, name: str = "links") -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, name: str = "links", salts: int = 16) -> DataFrame:
     """(id, component_id) for every id in edges (u, v): the smallest id reachable. Raises if 60 steps aren't enough.
 
     Alternates large-star and small-star steps until no edge changes. Each step is two aggregations over edges;
     no step gathers a component in one place: neighbours are compared with the group's minimum, taken with a
-    map-side-combined min and joined back.
+    map-side-combined min and joined back, `salts` ways, as in the end a whole component hangs on one id.
     """
+    def joined(rows: DataFrame, least: DataFrame) -> DataFrame:
+        salted = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return rows.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(salted, ["u", "_salt"])
+
     cur = table(spark, edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct(), f"{name}-0")
     before = None
     for step in range(1, 60):
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = joined(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: every node's smaller neighbours, and itself, go to its least neighbour
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = joined(large, least).select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new = table(spark, small, f"{name}-{step}")
         count, total = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_table(spark, cur)
@@ -209,21 +213,27 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
 
 
 def blocks(spark: SparkSession, df: DataFrame, order: list[str], size: int, name: str) -> DataFrame:
-    """(id, block): the rows of df (id, the columns of `order`), sorted, in blocks of `size` neighbours at most."""
+    """(id, block): the rows of df (id, the columns of `order`), sorted, in blocks of `size` neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        at, first = 0, TaskContext.get().partitionId() << 32
+        at, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(first + (at + np.arange(batch.num_rows)) // size)], names=["id", "block"])
-            at += batch.num_rows
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.full(n, part)), pa.array(at + np.arange(n))], names=["id", "p", "at"])
+            at += n
 
     dealt = df.repartitionByRange(*order, "id").sortWithinPartitions(*order, "id")
-    return table(spark, dealt.select("id").mapInArrow(run, "id long, block long"), name)
+    rows = table(spark, dealt.select("id").mapInArrow(run, "id long, p long, at long"), name)
+    sizes = rows.groupBy("p").agg(F.count("*").alias("n"))  # as many rows as partitions
+    before = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
+    out = rows.join(F.broadcast(before), "p").select("id", F.expr(f"(before + at) div {size}").alias("block"))
+    out._palisade_path = rows._palisade_path
+    return out
 
 
-def meetings(members: DataFrame, homes: DataFrame) -> DataFrame:
+def meetings(spark: SparkSession, members: DataFrame, homes: DataFrame) -> DataFrame:
     """(a, b, part, id): who is to be compared in each pair of blocks a <= b, part being the id's own block.
 
     members (id, run): ids that share a run are to meet; homes: blocks(). In its own block an id meets all, in others only
@@ -232,10 +242,13 @@ def meetings(members: DataFrame, homes: DataFrame) -> DataFrame:
     """
     at = members.join(homes, "id")
     places = at.select("run", "block").distinct()
+    # the blocks of a run as arrays, by hash so that none grows with the data
+    chunks = max(1, (homes.agg(F.max("block")).first()[0] or 0) // 1024)
+    lists = places.groupBy("run", F.pmod(F.xxhash64("block"), F.lit(chunks)).alias("chunk")).agg(F.collect_list("block").alias("others"))
     spread = places.groupBy("run").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi").select("run")
-    places = places.join(spread, "run")
-    across = places.join(places.withColumnRenamed("block", "other"), "run").where("block <> other")
-    foreign = at.join(across, ["run", "block"]).select("id", "block", "other").distinct()
+    across = places.join(spread, "run").join(lists, "run").where("size(others) > 1 or others[0] <> block")
+    foreign = at.join(across, ["run", "block"]).groupBy("id", "block", "chunk").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+    foreign = foreign.select("id", "block", F.explode("others").alias("other")).where("block <> other")
     own = homes.select("id", "block", F.col("block").alias("other"))
     return own.union(foreign).select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.col("block").alias("part"), "id")
 

@@ -127,19 +127,53 @@ def bound(f2: np.ndarray, dim: int, sigmas: float) -> np.ndarray:
     return sigmas * np.sqrt(np.maximum(1 - f2, 0) / f2 / max(dim - 1, 1) / ROTATIONS) + 0.02
 
 
-def _linked(v: list[bytes], codes: list[bytes], left: np.ndarray, right: np.ndarray, dim: int, cosine: float, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (of left and right, all of one dimension) whose cosine is at least that: computed in double precision where
-    the estimate and its bound leave that open, and nowhere else."""
+def _open(codes: list[bytes], left: np.ndarray, right: np.ndarray, dim: int, cosine: float, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of left and right, all of one dimension) that may reach the cosine by estimate and bound."""
     a, b, f2 = _decoded(codes, dim)
     half = bound(f2, dim, sigmas)
     est = (a[left] @ b[right].T + b[left] @ a[right].T) / 2
     x, y = np.nonzero(est + (half[left][:, None] + half[right][None, :]) / 2 >= cosine)
+    return left[x], right[y]
+
+
+def _exact(v: list[bytes], x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
+    """Which of the pairs have a cosine of at least that, in double precision."""
     of = np.stack([np.frombuffer(t, np.float64) for t in v])
     norm = np.linalg.norm(of, axis=1)
-    x, y = left[x], right[y]
     dot = np.concatenate([np.einsum("ij,ij->i", of[x[i : i + 20_000]], of[y[i : i + 20_000]]) for i in range(0, len(x), 20_000)] or [np.zeros(0)])
-    sure = dot / (norm[x] * norm[y]) >= cosine
-    return x[sure], y[sure]
+    return dot / (norm[x] * norm[y]) >= cosine
+
+
+def _pairs(group: pa.RecordBatch, cosine: float, sigmas: float, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of two blocks (or one) that the bounds leave open; with exact, those that are links."""
+    a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
+    part, dims = group.column("part").to_numpy(), group.column("dim").to_numpy()
+    out = []
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        left, right = np.flatnonzero(part[at] == a), np.flatnonzero(part[at] == b)
+        if len(left) and len(right):
+            some = group.take(pa.array(at))
+            x, y = _open(some.column("code").to_pylist(), left, right, int(dim), cosine, sigmas)
+            keep = x < y if a == b else x != y
+            x, y = x[keep], y[keep]
+            if exact:
+                sure = _exact(some.column("v").to_pylist(), x, y, cosine)
+                x, y = x[sure], y[sure]
+            out.append((at[x], at[y]))
+    return tuple(np.concatenate([p[i] for p in out] or [np.zeros(0, np.int64)]) for i in range(2))
+
+
+def _candidates(cosine: float, sigmas: float):
+    """Per pair of blocks, by codes alone: the rows of any pair that the bounds leave open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in common.grouped(batches, ["a", "b"]):
+            if group.num_rows > 1:
+                x, y = _pairs(group, cosine, sigmas, exact=False)
+                yield group.select(["a", "b", "part", "id"]).take(pa.array(np.union1d(x, y)))
+
+    return run
 
 
 def _compared(cosine: float, sigmas: float):
@@ -150,18 +184,8 @@ def _compared(cosine: float, sigmas: float):
             if group.num_rows < 2:
                 continue
             group = group.take(pa.array(np.argsort(group.column("id").to_numpy(), kind="stable")))
-            ids, copies, part, dims = (group.column(c).to_numpy() for c in ("id", "copies", "part", "dim"))
-            a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
-            pairs = []
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                left, right = np.flatnonzero(part[at] == a), np.flatnonzero(part[at] == b)
-                if len(left) and len(right):
-                    v, codes = (group.column(c).take(pa.array(at)).to_pylist() for c in ("v", "code"))
-                    x, y = _linked(v, codes, left, right, int(dim), cosine, sigmas)
-                    keep = x < y if a == b else x != y
-                    pairs.append((at[x[keep]], at[y[keep]]))
-            x, y = (np.concatenate([p[i] for p in pairs] or [np.zeros(0, np.int64)]) for i in range(2))
+            ids, copies = (group.column(c).to_numpy() for c in ("id", "copies"))
+            x, y = _pairs(group, cosine, sigmas, exact=True)
             links = np.bincount(x, copies[y], len(ids)) + np.bincount(y, copies[x], len(ids))
             root = ids[common.roots(len(ids), x, y)]  # ids ascend
             some = links > 0
@@ -196,7 +220,9 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9
     members = common.table(spark, members.join(crowded, "run"), "members")
     some = coded.join(members.select("id").distinct(), "id", "left_semi")
     homes = common.blocks(spark, some.select("id", "dim", F.col("keys")[0].alias("first")), ["dim", "first"], block, "homes")
-    met = common.meetings(members, homes).join(coded.drop("keys"), "id")
+    met = common.meetings(spark, members, homes).join(coded.select("id", "dim", "code"), "id")
+    met = common.table(spark, common.by_group(met, ["a", "b"]).mapInArrow(_candidates(cosine, sigmas), "a long, b long, part long, id long"), "candidates")
+    met = met.join(coded.drop("keys"), "id")
     links, component = common.link_totals(spark, common.by_group(met, ["a", "b"]).mapInArrow(_compared(cosine, sigmas), "id long, links long, root long"), "verified")
     found = classes.select("digest", "id", "least", "copies").join(links, "id", "left").join(component, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     least = found.groupBy("component_id").agg(F.min("least").alias("smallest"))

@@ -200,7 +200,7 @@ def classes(spark: SparkSession, docs: DataFrame, words: int, similarity: float,
         runs = forest.where(F.col("near") >= depth).select("id", F.xxhash64("tree", F.expr(f"substring(label, 1, {depth * SYMBOL})")).alias("run"))
         some = of.join(runs.select("id").distinct(), "id", "left_semi")
         homes = common.blocks(spark, some.select("id", F.expr(f"substring(labels, 1, {_LABEL})").alias("label")), ["label"], block, "homes")
-        met = common.meetings(runs, homes).join(some.join(texts, "least").select("id", "digest", "copies", "labels", "z"), "id")
+        met = common.meetings(spark, runs, homes).join(some.join(texts, "least").select("id", "digest", "copies", "labels", "z"), "id")
         met = common.by_group(met.select("a", "b", "part", "id", "digest", "copies", "labels", "z"), ["a", "b"])
         verified = common.table(spark, met.mapInArrow(_verified(words, similarity, depth), "id long, links long, root long, expected double"), "verified")
         common.drop_table(spark, homes)

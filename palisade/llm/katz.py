@@ -319,7 +319,7 @@ def _scored(model):
     return run
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 5, rest: int = 1, order: int = 2, slice_tokens: int = 400_000, fan: int = ex.FAN, bits: int = ex.BITS) -> DataFrame:
+def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 5, rest: int = 1, order: int = 2, slice_tokens: int = 640_000, fan: int = ex.FAN, bits: int = ex.BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
     The model is learnt from rows whose crc32(doc_id as text) modulo `folds` is not `rest` (a null id counts as

@@ -24,7 +24,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rewrites texts without lines of recurring templates; n_chars follows the text."""
     left = line_dedup.drop_recurring(spark, docs)
-    kept = left.where("_dropped = 0 or trim(text) <> ''")  # a document of such lines alone has nothing left
+    kept = left.where((F.col("_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))  # a document of such lines alone has nothing left
     chars = F.when(F.col("_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return kept.withColumn("n_chars", chars).select(docs.columns)
 

@@ -1,4 +1,4 @@
-"""String, hash and redaction scalars. Patterns avoid word boundaries and look-around: engines differ on them."""
+"""String, hash and redaction scalars. Patterns of findings avoid word boundaries and look-around: engines differ on them."""
 
 from __future__ import annotations
 
@@ -23,37 +23,38 @@ SECRET_RULES = [
     (12, "ip_address", "Low", "(^|[^0-9.])[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}([^0-9.]|$)"),
 ]
 
-#: Redactions of report text, in this order.
+#: An ASCII word boundary (the engine's own one counts letters of other scripts).
+_EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+#: Redactions of report text, in this order; @ stands for a word boundary.
 REDACT_A = [
-    ("(?i)bearer +[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"),
-    ("eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", "[REDACTED_JWT]"),
-    (EMAIL, "[REDACTED_EMAIL]"),
-    ("(^|[^A-Za-z0-9])([A-Za-z0-9]{64}|[A-Za-z0-9]{40}|[A-Za-z0-9]{32})([^A-Za-z0-9]|$)", "$1[REDACTED]$3"),
+    ("(?i)Bearer\\s+[A-Za-z0-9._-]+", "Bearer [REDACTED]"),
+    ("eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", "[JWT_REDACTED]"),
+    ("[a-zA-Z0-9._%+-]+\\x40[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}", "[EMAIL_REDACTED]"),
+    ("@(?:[A-Za-z0-9]{64}|[A-Za-z0-9]{40}|[A-Za-z0-9]{32})@", "[REDACTED]"),
 ]
 
 #: Redactions of version-control output, in this order.
 REDACT_B = [
-    ("<[^<>]+@[^<>]+>", "<[REDACTED]>"),
-    (EMAIL, "[REDACTED]"),
-    ("sk-[A-Za-z0-9]{20,}", "[REDACTED]"),
-    ("AKIA[0-9A-Z]{16}", "[REDACTED]"),
-    ("ghp_[A-Za-z0-9]{36}", "[REDACTED]"),
-    ("xox[a-z]-[A-Za-z0-9-]+", "[REDACTED]"),
+    ("<[^>]+\\x40[^>]+>", "<redacted>"),
+    ("@[A-Za-z0-9_.+-]+\\x40[A-Za-z0-9_-]+\\.[A-Za-z0-9_.-]+@", "redacted\x40email"),
+    ("(?i)sk-[A-Za-z0-9_]{20,}", "sk-REDACTED"),
+    ("AKIA[A-Za-z0-9_]{16}", "AKIA-REDACTED"),
+    ("ghp_[A-Za-z0-9_]{36}", "ghp-REDACTED"),
+    ("xox[baprs]-[A-Za-z0-9_-]+", "xox-REDACTED"),
 ]
 
 
 def replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
     for pattern, to in rules:
-        text = F.regexp_replace(text, pattern, to)
+        text = F.regexp_replace(text, pattern.replace("@", _EDGE), to)
     return text
 
 
 def replaced_sql(text: str, rules: list[tuple[str, str]]) -> str:
-    """The same for DuckDB."""
+    """The same for DuckDB, whose word boundary is that of ASCII."""
     for pattern, to in rules:
-        for i in range(1, 4):
-            to = to.replace(f"${i}", f"\\{i}")
-        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
+        text = f"regexp_replace({text}, '{pattern.replace('@', chr(92) + 'b').replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
     return text
 
 
@@ -98,12 +99,11 @@ def luhn(digits: Column) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """Sortable key of a loose version: numbers, padded with zeros, then releases after pre-releases, then the pre-release text."""
-    core = F.regexp_extract(version, "^[vV=]*([0-9]+(?:[.][0-9]+)*)", 1)
-    numbers = F.transform(F.split(core, "[.]"), lambda p: F.coalesce(p.try_cast("long"), F.lit(0).cast("long")))
-    padded = F.slice(F.concat(numbers, F.array_repeat(F.lit(0).cast("long"), 6)), 1, 6)
+    """Sortable key of a loose version: its numbers, however many (zeros at the end don't count), then releases after pre-releases, then the pre-release text."""
+    core = F.regexp_replace(F.regexp_extract(version, "^[vV=]*([0-9]+(?:[.][0-9]+)*)", 1), "(?:[.]0+)+$", "")
+    numbers = F.transform(F.split(core, "[.]"), lambda p: F.coalesce(p.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")))
     pre = F.regexp_extract(version, "^[vV=]*[0-9]+(?:[.][0-9]+)*[.-]?([A-Za-z].*)$", 1)
-    return F.struct(padded.alias("numbers"), (pre == "").alias("release"), pre.alias("pre"))
+    return F.struct(numbers.alias("numbers"), (pre == "").alias("release"), pre.alias("pre"))
 
 
 def pip_name(name: Column) -> Column:

@@ -21,20 +21,9 @@ R.sql("action_histogram", "SELECT conv_id, role, count(*) AS n FROM {conversatio
 R.sql("props_map_merge", "SELECT event_type, CAST(sum(CAST(get_json_object(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM {events} GROUP BY event_type", "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type")
 R.sql("run_replay_steps", """SELECT conv_id, turn, role, CAST(sum(CASE WHEN before IS NULL OR before <> role THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS step
  FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {conversations}) x""")
-R.sql("repeat_throttle", """SELECT event_id, user_id, event_type, rn > 2 AS blocked, CAST(pos - rn AS BIGINT) AS run FROM (SELECT event_id, user_id, event_type,
- row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM {events}) x""")
-R.sql("running_budget_cut", """SELECT event_id, user_id, spent FROM (SELECT event_id, user_id, CAST(sum(CAST(floor(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM {events}) x WHERE spent <= 20000""")
-R.sql("read_caps", """SELECT event_id, user_id, seen, steps, seen > 5 AND seen * 10 > steps * 4 AS capped FROM (SELECT event_id, user_id, count(CASE WHEN event_type = 'view' THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS seen,
- count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS steps FROM {events}) x""")
 R.sql("related_topk_budget", """SELECT doc_id, source, used FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn,
  CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM {documents}) x WHERE rn <= 10 AND used <= 49152""")
 R.sql("eval_case_score", """SELECT d.doc_id, l.quality = 0 AS positive, d.n_chars < 400 AS found, l.toxic = 1 AS strict FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""")
-_METRICS = """SELECT fold, tp, fp, fn, tn, CASE WHEN tp + fn = 0 THEN 0e0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS recall, CASE WHEN tp + fp = 0 THEN 1e0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS precision_,
- CASE WHEN fp + tn = 0 THEN 0e0 ELSE CAST(fp AS DOUBLE) / (fp + tn) END AS fpr FROM (SELECT CAST(d.doc_id % 2 AS BIGINT) AS fold, count(CASE WHEN l.quality = 0 AND d.n_chars < 400 THEN 1 END) AS tp, count(CASE WHEN l.quality = 1 AND d.n_chars < 400 THEN 1 END) AS fp,
- count(CASE WHEN l.quality = 0 AND d.n_chars >= 400 THEN 1 END) AS fn, count(CASE WHEN l.quality = 1 AND d.n_chars >= 400 THEN 1 END) AS tn FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY CAST(d.doc_id % 2 AS BIGINT)) x"""
-R.sql("eval_metrics", _METRICS)
-R.sql("regression_gate", f"""WITH m AS ({_METRICS}) SELECT a.recall - b.recall > 2e-2 AS recall_drop, a.precision_ - b.precision_ > 2e-2 AS precision_drop,
- CASE WHEN a.recall - b.recall > 2e-2 OR a.precision_ - b.precision_ > 2e-2 THEN 'fail' ELSE 'pass' END AS verdict FROM m a JOIN m b ON a.fold = 0 AND b.fold = 1""")
 R.sql("severity_tally", "SELECT count(CASE WHEN lower(o_orderpriority) LIKE '1-%' THEN 1 END) AS critical, count(CASE WHEN lower(o_orderpriority) LIKE '2-%' THEN 1 END) AS high, count(CASE WHEN lower(o_orderpriority) LIKE '3-%' THEN 1 END) AS medium, count(CASE WHEN lower(o_orderpriority) LIKE '4-%' OR lower(o_orderpriority) LIKE '5-%' THEN 1 END) AS low FROM {orders}")
 R.sql("files_by_language", "SELECT lang, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT source) AS sources FROM {documents} GROUP BY lang")
 R.sql("package_dedup", "SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS rn FROM {lineitem}) x WHERE rn = 1")
@@ -46,24 +35,14 @@ R.sql("package_advisory_join", """SELECT l_partkey, p_name, l_orderkey, l_linenu
  FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey) x WHERE rn = 1""")
 R.sql("stale_invalidation", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'open' WHEN d.n_chars % 10 <> l.quality THEN 'stale' ELSE 'open' END AS status FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
 R.sql("topk_importance", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
-R.sql("retention_last_n", """SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER () AS n, ts, max(ts) OVER () AS last FROM {events}) x
- WHERE n <= 1000 OR (rn <= 1000 AND ts >= last - INTERVAL '90' DAY)""")
-R.sql("set_difference_fix", """SELECT 'removed' AS kind, p AS partkey FROM (SELECT DISTINCT l_partkey AS p FROM {lineitem} WHERE l_orderkey % 2 = 0 EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_orderkey % 2 = 1) a
- UNION ALL SELECT 'added' AS kind, p AS partkey FROM (SELECT DISTINCT l_partkey AS p FROM {lineitem} WHERE l_orderkey % 2 = 1 EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_orderkey % 2 = 0) b""")
+R.sql("set_difference_fix", """SELECT 'removed' AS kind, p AS partkey, s AS suppkey FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM {lineitem} WHERE l_orderkey % 2 = 0 EXCEPT SELECT l_partkey, l_suppkey FROM {lineitem} WHERE l_orderkey % 2 = 1) a
+ UNION ALL SELECT 'added' AS kind, p AS partkey, s AS suppkey FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM {lineitem} WHERE l_orderkey % 2 = 1 EXCEPT SELECT l_partkey, l_suppkey FROM {lineitem} WHERE l_orderkey % 2 = 0) b""")
 R.sql("intersect_steps", "SELECT l_suppkey FROM {lineitem} WHERE l_returnflag = 'A' INTERSECT SELECT l_suppkey FROM {lineitem} WHERE l_returnflag = 'R'")
 R.sql("dismissed_antijoin", "SELECT l.l_orderkey, l.l_linenumber FROM {lineitem} l WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = 'F')")
 R.sql("union_findings", "SELECT 'supplier' AS kind, count(*) AS n FROM {supplier} UNION ALL SELECT 'customer' AS kind, count(*) AS n FROM {customer} UNION ALL SELECT 'part' AS kind, count(*) AS n FROM {part}")
-R.sql("review_queue_upsert", """SELECT user_id, event_type, event_id, reopened FROM (SELECT user_id, event_type, event_id, rn, n > 1 AS reopened, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS age FROM (SELECT user_id, event_type, event_id, ts,
- row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM {events}) x WHERE rn = 1) y WHERE age <= 500""")
 R.sql("known_facts_insert", "SELECT fact, min(event_id) AS event_id FROM (SELECT lower(trim(event_type)) AS fact, event_id FROM {events}) x GROUP BY fact")
-R.sql("interval_merge", """SELECT user_id, island, min(s) AS start_, max(e) AS end_, count(*) AS n FROM (SELECT user_id, s, e, sum(CASE WHEN before IS NULL OR s > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e, id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT user_id, s, e, id,
- max(e) OVER (PARTITION BY user_id ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT user_id, event_id AS id, CAST(floor(value * 10) AS BIGINT) AS s, CAST(floor(value * 10) AS BIGINT) + event_id % 7 AS e FROM {events}) a) b) c GROUP BY user_id, island""".replace("SELECT user_id, island,", "SELECT user_id, CAST(island AS BIGINT) AS island,"))
-R.sql("overlap_fraction", """WITH r AS (SELECT user_id, event_id AS id, CAST(floor(value * 10) AS BIGINT) AS s, CAST(floor(value * 10) AS BIGINT) + event_id % 7 AS e FROM {events})
- SELECT n.id, max(CAST(least(n.e, o.e) - greatest(n.s, o.s) + 1 AS DOUBLE) / (n.e - n.s + 1)) AS fraction FROM r n JOIN r o ON n.user_id = o.user_id AND o.id < n.id AND o.s <= n.e AND n.s <= o.e GROUP BY n.id""")
 R.sql("regroup_by_status", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 R.sql("cube_flags", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)")
-R.sql("import_lines", "SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, count(DISTINCT role) AS roles FROM {conversations} GROUP BY conv_id")
-R.sql("approval_lifecycle", "SELECT user_id, count(CASE WHEN event_type = 'signup' THEN 1 END) AS requested, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS approved, count(CASE WHEN event_type = 'error' THEN 1 END) AS expired FROM {events} GROUP BY user_id")
 
 
 def _half(x: str) -> str:
@@ -133,16 +112,16 @@ GUARDS = {
     "allowlist-dynamic": "FFFFFFF   ", "auth-jwt-verify": "         F", "auth-jwt-verify-noalg": "         F", "auth-session": "         F", "auth-api-key": "         F", "auth-none": "         F",
     "rate-limit": "         F", "helmet": "   FF     ", "cors-strict": "          ", "cors-permissive": "         F", "validator": "F  F      ", "unknown": "          ",
 }
-_CELLS = [(g, a, row[i] == "T") for g, row in GUARDS.items() for i, a in enumerate(ATTACKS) if row[i] != " "]
+CELLS = [(g, a, row[i] == "T") for g, row in GUARDS.items() for i, a in enumerate(ATTACKS) if row[i] != " "]
 
 
 def guard_cells(spark: SparkSession) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(_CELLS, "guard string, attack string, stops boolean"))
+    return F.broadcast(spark.createDataFrame(CELLS, "guard string, attack string, stops boolean"))
 
 
 @R.frame(
     f"WITH g AS (SELECT n_nationkey, {list(GUARDS)!r}[n_nationkey % {len(GUARDS)} + 1] AS guard FROM nation), a AS (SELECT r_regionkey, {ATTACKS!r}[r_regionkey * 2 + 1] AS attack FROM region), c(guard, attack, stops) AS (VALUES "
-    + ", ".join(f"('{g}', '{a}', {str(s).lower()})" for g, a, s in _CELLS) + ") SELECT n_nationkey, g.guard, a.attack, c.stops FROM g CROSS JOIN a LEFT JOIN c ON c.guard = g.guard AND c.attack = a.attack"
+    + ", ".join(f"('{g}', '{a}', {str(s).lower()})" for g, a, s in CELLS) + ") SELECT n_nationkey, g.guard, a.attack, c.stops FROM g CROSS JOIN a LEFT JOIN c ON c.guard = g.guard AND c.attack = a.attack"
 )
 def guard_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guards against attacks, three-valued; the attack side is a fixed table of ten rows at most."""
@@ -198,16 +177,34 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 R.sql("related_files_rank", "SELECT src, dst, min(rank_) AS rank_ FROM (SELECT o_custkey AS src, o_orderkey % 97 AS dst, CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END AS rank_ FROM {orders}) x GROUP BY src, dst")
 R.sql("checklist_incomplete", """SELECT r.conv_id, r.step FROM (SELECT DISTINCT c.conv_id, s.step FROM {conversations} c CROSS JOIN (SELECT 'user' AS step UNION ALL SELECT 'assistant' UNION ALL SELECT 'system') s) r
  LEFT JOIN (SELECT DISTINCT conv_id, role FROM {conversations}) d ON d.conv_id = r.conv_id AND d.role = r.step WHERE d.role IS NULL""")
-R.sql("mutual_substring_match", "SELECT n.n_name AS target, r.r_name AS risk FROM {nation} n JOIN {region} r ON lower(n.n_name) LIKE concat('%', lower(substring(r.r_name, 1, 2)), '%') OR lower(r.r_name) LIKE concat('%', lower(n.n_name), '%')")
-R.sql("false_positive_upsert", """SELECT finding, evidence, event_id FROM (SELECT finding, evidence, event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS age FROM (SELECT event_type AS finding, user_id % 20 AS evidence, event_id, ts,
- row_number() OVER (PARTITION BY event_type, user_id % 20 ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) x WHERE rn = 1) y WHERE age <= 100""")
-R.sql("notes_with_ttl", """SELECT user_id, event_type, first_id, last_id FROM (SELECT user_id, event_type, min(event_id) AS first_id, max(event_id) AS last_id, max(ts) AS seen FROM {events} GROUP BY user_id, event_type) x
- WHERE seen >= (SELECT max(ts) FROM {events}) - INTERVAL '10' DAY""")
+
+
+def mutual_substrings(targets: DataFrame, risks: DataFrame, shortest: int = 3) -> DataFrame:
+    """(target, risk): pairs of names of which one holds the other, in any case; names shorter than `shortest` meet only as a whole.
+
+    Every name meets the others by its substrings, an equality join: no name is compared with all.
+    """
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        low = F.lower(name)
+        at = F.explode(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))).alias("at")
+        cut = df.select(name, low.alias("low"), at)
+        some = cut.select(name, "low", F.explode(F.transform(F.sequence(F.lit(1), F.length("low") - F.col("at") + 1), lambda n: F.substring("low", F.col("at"), n))).alias("part")).where(F.length("part") >= shortest)
+        return some.select(name, "part").union(df.select(name, low)).distinct()
+
+    t, r = targets.select("target").distinct(), risks.select("risk").distinct()
+    inside = parts(t, "target").join(r.withColumn("part", F.lower("risk")), "part").select("target", "risk")
+    around = parts(r, "risk").join(t.withColumn("part", F.lower("target")), "part").select("target", "risk")
+    return inside.union(around).distinct()
+
+
+@R.frame("""WITH t AS (SELECT DISTINCT p_type AS target FROM part), r AS (SELECT DISTINCT string_split(p_type, ' ')[1] AS risk FROM part UNION SELECT DISTINCT p_type || ' x' FROM part WHERE p_partkey % 5 = 0)
+ SELECT target, risk FROM t JOIN r ON contains(lower(target), lower(risk)) OR contains(lower(risk), lower(target))""")
+def mutual_substring_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    risks = part.select(F.split("p_type", " ")[0].alias("risk")).union(part.where("p_partkey % 5 = 0").select(F.concat("p_type", F.lit(" x"))))
+    return mutual_substrings(part.select(F.col("p_type").alias("target")), risks)
+
+
 R.sql("cache_validity", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 'version' WHEN o_orderdate < (SELECT max(o_orderdate) FROM {orders}) - INTERVAL '7' DAY THEN 'expired' ELSE 'valid' END AS status FROM {orders}")
 R.sql("guarded_sink_first_rule", "SELECT l_orderkey, l_linenumber, min(rule) AS rule FROM (SELECT l.l_orderkey, l.l_linenumber, p.p_size % 5 AS rule FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey WHERE p.p_size % 5 <> 0 OR l.l_discount > 5e-2) x GROUP BY l_orderkey, l_linenumber")
 R.sql("line_type_dedup", "SELECT doc_type, line, min(id) AS id FROM (SELECT l_returnflag AS doc_type, l_linenumber AS line, l_orderkey AS id FROM {lineitem}) x GROUP BY doc_type, line")
-R.sql("caller_callee_counts", """SELECT a.user_id AS user_id, count(*) AS pairs FROM (SELECT DISTINCT user_id, event_type FROM {events}) a JOIN (SELECT DISTINCT user_id, event_type FROM {events}) b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY a.user_id""")
-R.sql("retry_runs", """SELECT user_id, max(length_) AS longest FROM (SELECT user_id, event_type, grp, count(*) AS length_ FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS grp FROM {events}) x
- GROUP BY user_id, event_type, grp) y WHERE event_type = 'error' GROUP BY user_id""")
-R.sql("coverage_gaps", """SELECT user_id, e + 1 AS gap_start, next_ - 1 AS gap_end FROM (SELECT user_id, max(e) OVER (PARTITION BY user_id ORDER BY s, e, id ROWS UNBOUNDED PRECEDING) AS e, lead(s) OVER (PARTITION BY user_id ORDER BY s, e, id) AS next_ FROM (SELECT user_id, event_id AS id,
- CAST(floor(value * 10) AS BIGINT) AS s, CAST(floor(value * 10) AS BIGINT) + event_id % 7 AS e FROM {events}) a) b WHERE next_ > e + 1""")

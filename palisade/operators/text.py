@@ -116,12 +116,6 @@ def cache_miss_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(cached, "doc_id", "left_anti").select("doc_id", T.sha16(F.col("text")).alias("hash"))
 
 
-@R.frame("SELECT quality, left(sha256(string_agg(line, chr(10) ORDER BY line)), 16) AS fingerprint FROM (SELECT quality, CAST(doc_id AS VARCHAR) || ':' || CAST(toxic AS VARCHAR) AS line FROM labels) GROUP BY quality")
-def memory_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("toxic").cast("string"))
-    return table(spark, sf_dir, "labels").groupBy("quality").agg(T.sha16(F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("fingerprint"))
-
-
 @R.frame("SELECT doc_id, source FROM documents WHERE CAST(('0x' || left(sha256(source || ':' || CAST(doc_id AS VARCHAR)), 8)) AS BIGINT) / 4294967295e0 < 25e-2")
 def hash_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic sampling (a sampling operator) by hash."""

@@ -5,25 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.functions.paths import ignored, secret_file
 from palisade.functions.rules import LANGUAGES, SKIP_DIRS
 
 
-def workspace(spark: SparkSession, root: str, limit: int = 5000, largest: int = 1 << 20) -> DataFrame:
+def workspace(spark: SparkSession, root: str, limit: int = 5000, largest: int = 1 << 20, ignore: list[str] | None = None) -> DataFrame:
     """(path, text, lang, bytes, mtime, skip_reason) of source files under root: the first `limit` by path (the limit is the feature).
 
-    Folders that no scan enters are left out; content is read only for files small enough. Empty files don't appear (the file source leaves them out).
+    Folders that no scan enters, paths that the `ignore` patterns name and files that hold secrets are left out. Paths
+    are chosen first, on the driver (at most `limit` of them); contents are read after, by the executors, and only
+    of files small enough. Empty files don't appear (the file source leaves them out).
     """
     from palisade.operators.code import language
 
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    at = root.rstrip("/")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", F.col("modificationTime").alias("mtime"))
     rel = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
     inside = F.lit(True)
     for d in SKIP_DIRS:
         inside = inside & ~rel.contains(f"/{d}/")
-    kept = df.where(inside & F.lower(rel).rlike("[.](" + "|".join(LANGUAGES) + ")$")).orderBy("path").limit(limit)
-    reason = F.when(F.col("length") > largest, "too_large")
-    text = F.when(reason.isNull(), F.decode("content", "UTF-8"))
-    return kept.select(rel.alias("path"), text.alias("text"), language(rel).alias("lang"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"), reason.alias("skip_reason"))
+    below = F.regexp_replace(F.expr(f"substring(path, instr(path, '{at.rpartition(':')[2].lstrip('/')}/') + {len(at.rpartition(':')[2].lstrip('/')) + 1})"), "^/+", "")
+    wanted = inside & F.lower(rel).rlike("[.](" + "|".join(LANGUAGES) + ")$") & ~ignored(below, ignore or []) & ~secret_file(rel)
+    chosen = listed.where(wanted).orderBy("path").limit(limit).collect()
+    named = spark.createDataFrame([(r.path, r.length, r.mtime) for r in chosen], "at string, bytes long, mtime timestamp")
+    small = [r.path for r in chosen if r.length <= largest]
+    texts = spark.read.format("binaryFile").load([_escaped(p) for p in small]).select("path", F.decode("content", "UTF-8").alias("text")) if small else spark.createDataFrame([], "path string, text string")
+    path = F.regexp_replace(F.col("at"), "^[a-z]+:/*", "/")
+    reason = F.when(F.col("bytes") > largest, "too_large")
+    return named.join(texts, F.col("at") == F.col("path"), "left").select(path.alias("path"), "text", language(path).alias("lang"), "bytes", "mtime", reason.alias("skip_reason"))
+
+
+def _escaped(path: str) -> str:
+    """A path as a glob that matches nothing else."""
+    return "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in path)
 
 
 def json_lines_tail(spark: SparkSession, path: str, schema: str, n: int = 100, strict: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +53,6 @@ def yarn(text: str) -> list[Row]:
 
 
 def pnpm(text: str) -> list[Row]:
-    import yaml
-
     spec = yaml.safe_load(text) or {}
     roots = [spec, *(spec.get("importers") or {}).values()]
     direct = {n for r in roots for k in ("dependencies", "devDependencies", "optionalDependencies") for n in r.get(k) or {}}
@@ -96,7 +95,7 @@ def packages(files: DataFrame) -> DataFrame:
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 try:
                     rows += [(*r, path) for r in PARSERS[path.rpartition("/")[2]](text or "")]
-                except (ValueError, AttributeError, TypeError):
+                except (ValueError, AttributeError, TypeError, yaml.YAMLError):
                     continue
             kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in SCHEMA.split(", ")])
@@ -120,7 +119,7 @@ def audited(found: DataFrame, advisories: DataFrame) -> DataFrame:
     """
     from palisade.functions import scoring, text
 
-    merged = advisories.groupBy("ecosystem", "name", "version", "id").agg(F.max("cvss").alias("cvss"), F.max("epss").alias("epss"), F.max("kev").alias("kev"), F.max("exploit").alias("exploit"), F.min("fixed").alias("fixed"), F.collect_set("source").alias("sources"))
+    merged = advisories.groupBy("ecosystem", "name", "version", "id").agg(F.max("cvss").alias("cvss"), F.max("epss").alias("epss"), F.max("kev").alias("kev"), F.max("exploit").alias("exploit"), F.min_by("fixed", text.version_key(F.col("fixed"))).alias("fixed"), F.collect_set("source").alias("sources"))
     per = merged.groupBy("ecosystem", "name", "version").agg(
         F.max_by(F.struct("id", "cvss", "epss", "kev", "exploit"), F.struct(F.coalesce("cvss", F.lit(0.0)), "id")).alias("worst"),
         F.count("*").alias("advisories"), F.max(F.size("sources")).alias("sources"), F.min_by("fixed", text.version_key(F.col("fixed"))).alias("min_safe"),

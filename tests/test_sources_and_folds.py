@@ -63,7 +63,7 @@ def test_logs_and_workspace(spark, tmp_path):
     assert [r.x for r in files.json_lines_tail(spark, str(tmp_path / "log.jsonl"), "timestamp string, x int", 5).collect()] == [2, 1]
     assert files.json_lines_tail(spark, str(tmp_path / "log.jsonl"), "timestamp string, x int", 5, strict=True).count() == 0
     log = spark.createDataFrame([("h|2024-01-02T03:04|A <a@b.com>|fix | it",), ("bad",)], "value string")
-    assert [tuple(r) for r in files.git_log(log).collect()] == [("h", "2024-01-02", "A <[REDACTED]>", "fix | it")]
+    assert [tuple(r) for r in files.git_log(log).collect()] == [("h", "2024-01-02", "A <redacted>", "fix | it")]
 
 
 def test_streams(spark, tmp_path):
@@ -78,3 +78,24 @@ def test_streams(spark, tmp_path):
     queue, new = spark.createDataFrame(rows, schema), spark.createDataFrame([("h", "p", 1, "t", "e", "2024-02-01")], schema.replace(", decision string", ""))
     assert sorted((r.line, r.updated_at, r.decision) for r in windows.upserted(queue, new).collect()) == [(1, "2024-02-01", None), (2, "2024-01-01", None)]
     assert windows.upserted(queue, new.limit(0), cap=1).first().line == 2
+
+
+def test_a_broken_pnpm_file_gives_no_packages_and_no_error(spark):
+    rows = [("a/pnpm-lock.yaml", "packages: [unclosed"), ("b/pnpm-lock.yaml", "packages:\n  /x@1.0.0: {}\n"), ("c/package-lock.json", "{")]
+    got = lockfiles.packages(spark.createDataFrame(rows, "path string, text string")).collect()
+    assert [(r.name, r.version) for r in got] == [("x", "1.0.0")]
+
+
+def test_the_least_fixed_version_is_by_numbers(spark):
+    found = spark.createDataFrame([("npm", "x", "1.0.0", True, False, "m")], "ecosystem string, name string, version string, direct boolean, unresolved boolean, manifest string")
+    kind = "source string, id string, ecosystem string, name string, version string, cvss double, epss double, kev boolean, exploit boolean, fixed string"
+    advisories = spark.createDataFrame([("a", "i", "npm", "x", "1.0.0", 5.0, 0.0, False, False, "10.0.0"), ("b", "i", "npm", "x", "1.0.0", 5.0, 0.0, False, False, "9.0.0")], kind)
+    assert lockfiles.audited(found, advisories).first().min_safe == "9.0.0"
+
+
+def test_workspace_leaves_out_ignored_and_secret_files(spark, tmp_path):
+    for name, body in {"a.ts": "x", "gen/b.ts": "y", "keep/c[1].ts": "z", "big.py": "q" * 3000, "node_modules/d.ts": "w"}.items():
+        (tmp_path / "w" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "w" / name).write_text(body)
+    got = {r.path.rpartition("/")[2]: (r.text, r.skip_reason) for r in files.workspace(spark, str(tmp_path / "w"), largest=2000, ignore=["gen/"]).collect()}
+    assert got == {"a.ts": ("x", None), "c[1].ts": ("z", None), "big.py": (None, "too_large")}

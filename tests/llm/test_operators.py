@@ -623,3 +623,18 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 7), (200, 201), (201, 202), (300, 300)]
     got = {r.id: r.component_id for r in common.components(spark, spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 1, 200: 200, 201: 200, 202: 200}
+
+
+def test_different_texts_under_one_doc_id_lose_words_each_by_themselves(spark):
+    a, b, c = ([f"{x}{i}" for i in range(70)] for x in "abc")
+    rows = [(1, a), (2, a[:60] + c), (2, b), (2, b), (3, c + b[5:60]), (3, a)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark, df).collect())
+    assert got == [(1, 70, 0), (2, 70, 0), (2, 70, 0), (2, 130, 60), (3, 70, 70), (3, 125, 125)]
+
+
+def test_hot_windows_meet_without_a_shuffle_and_lose_nothing(spark):
+    rows = [(i, f"n{i}", k) for i in range(3000) for k in ("hot", f"k{i // 2}", f"own{i}")]
+    df = spark.createDataFrame(rows, "doc_id long, note string, key string")
+    got = substring_dedup.met_before(df, ["key"], len(rows)).collect()
+    assert sorted((r.doc_id, r.key, r.least) for r in got) == sorted((i, k, 0 if k == "hot" else i // 2 * 2) for i, _, k in rows if not k.startswith("own"))

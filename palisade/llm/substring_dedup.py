@@ -121,8 +121,9 @@ def _removed(window: int):
     return run
 
 
-def met_before(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """rows (doc_id, keys ...), those whose keys another doc_id has too, with `least`, the smallest doc_id that has them.
+def met_before(rows: DataFrame, keys: list[str], size: int, how: str = "inner") -> DataFrame:
+    """rows (doc_id, keys ...), those whose keys another doc_id has too, with `least`, the smallest doc_id that has them;
+    how="left": the others too, with a null.
 
     Keys with over a ten-thousandth of the `size` rows, of which there are ten thousand at most, are broadcast: their rows
     stay where they are. All others meet by a shuffle, in tasks that no key can fill.
@@ -130,7 +131,7 @@ def met_before(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     least = rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").drop("most")
     hot = F.broadcast(least.where(F.col("n") > max(1000, size // 10_000)).drop("n"))
     cold = least.where(F.col("n") <= max(1000, size // 10_000)).drop("n")
-    return rows.join(hot, keys).unionByName(rows.join(hot.drop("least"), keys, "left_anti").join(cold, keys))
+    return rows.join(hot, keys).unionByName(rows.join(hot.drop("least"), keys, "left_anti").join(cold, keys, how))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, window: int = 50, rounds: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -142,8 +143,7 @@ def repeats(spark: SparkSession, docs: DataFrame, window: int = 50, rounds: int
        themselves are compared, by two independent 64-bit hashes of their words (each word itself counts by a 64-bit hash).
     """
     whole = common.table(spark, docs.mapInArrow(_whole, _WHOLE), "whole")
-    copies = whole.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    copies = whole.join(copies, "digest").where("doc_id > least").select("doc_id", "text_id").distinct()
+    copies = met_before(whole.select("doc_id", "text_id", "digest"), ["digest"], whole.count()).where("doc_id > least").select("doc_id", "text_id").distinct()
     anchors = common.table(spark, docs.mapInArrow(_anchors(window, rounds), _ANCHORS), "anchors")
     spans = met_before(anchors, ["key"], anchors.count()).groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("key", "first", "n")).alias("spans"))
     spans = spans.join(copies, ["doc_id", "text_id"], "left_anti")
@@ -167,9 +167,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, round
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     whole, flagged = repeats(spark, docs.where("doc_id is not null"), window, rounds)
     left = flagged.mapInArrow(_removed(window), "doc_id long, text_id long, removed long, sha_left string").dropDuplicates(["doc_id", "text_id"])
-    copies = whole.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    gone = (F.col("doc_id") > F.col("least")) & (F.col("n_words") >= window)
-    out = whole.join(copies, "digest").join(left, ["doc_id", "text_id"], "left").select(
+    gone = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)) & (F.col("n_words") >= window)
+    out = met_before(whole, ["digest"], whole.count(), "left").join(left, ["doc_id", "text_id"], "left").select(
         "doc_id", "n_words",
         F.when(gone, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.sha2(F.lit(""), 256)).when(F.col("removed").isNotNull(), F.col("sha_left")).otherwise(F.col("sha")).alias("kept_sha256"),

@@ -30,8 +30,9 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "LicenseRef-All-Rights-Reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
 }
-#: Words without which no template's wording is there; a block is what stands around lines that have one.
-CUES = r"(?i)licen[sc]e|rights reserved|copyright|creative commons|public domain|\bcc[ -]?(by|0)|permission is hereby|redistribution and use|permission to use"
+#: Words without which no template's wording is there, line breaks and comment marks between them or not; a block is what
+#: stands around lines that have one.
+CUES = r"(?i)licen[sc]e|rights\W+reserved|copyright|creative\W+commons|public\W+domain|\bcc\W{0,8}(by|0)|permission\W+is\W+hereby|redistribution\W+and\W+use|permission\W+to\W+use"
 _CUE = re.compile(CUES)
 _OTHER = re.compile(r"\d|^(by|nc|sa|nd|lesser|affero)|^(apache|mit|bsd|gnu|mozilla|creative|unencumbered)$")
 _FAMILY = re.compile(r"^(lesser|affero|library)")
@@ -48,10 +49,14 @@ def blocks_of(text: str) -> list[tuple[int, str]]:
 
     Lines without letters or digits part paragraphs. Lines with a cue whose surroundings meet are one block.
     """
-    if not _CUE.search(text):
-        return []
     lines = text.split("\n")
-    cue = [bool(_CUE.search(line)) for line in lines]
+    cue = [False] * len(lines)
+    at = n = 0
+    for m in _CUE.finditer(text):
+        n += text.count("\n", at, m.start())
+        at = m.start()
+        for k in range(n, n + m.group().count("\n") + 1):
+            cue[k] = True
     out: list[tuple[int, str]] = []
     n = 0
     while n < len(lines):

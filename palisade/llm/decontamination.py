@@ -138,6 +138,14 @@ class Segment:
     masks: dict
     answer: int  # bit mask of the words of its last sentence
 
+    def __post_init__(self):
+        self.known = np.array(sorted(self.masks), np.uint64)
+
+    def heard(self, words: np.ndarray) -> int:
+        """lcs() with the words, of which those that aren't the segment's are left out first."""
+        at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        return lcs(self.masks, len(self.words), words[self.known[at] == words].tolist())
+
 
 def lcs(masks: dict, n: int, words: list[int]) -> int:
     """Bits of the words that a longest common subsequence with `words` takes in (bit-parallel; as a mask of n bits)."""
@@ -230,8 +238,8 @@ def _found(shared, nearest: float, same: float, paraphrase: float):
                 groups.append((ids, (m / np.maximum(np.linalg.norm(m, axis=1), 1e-12)[:, None]).astype(np.float32), size, step, np.stack([np.bitwise_or.reduce(_marks(segs[i].words)) for i in ids]), np.array([(1 - paraphrase) * len(segs[i].words) for i in ids])))
                 at_group |= {i: (k, len(groups) - 1) for k, i in enumerate(ids)}
 
-        def holds(s: Segment, heard: list[int]) -> tuple[float, bool]:
-            bits = lcs(s.masks, len(s.words), heard)
+        def holds(s: Segment, words: np.ndarray) -> tuple[float, bool]:
+            bits = s.heard(words)
             ratio = bits.bit_count() / len(s.words)
             answered = not s.answer or (bits & s.answer).bit_count() * 2 >= s.answer.bit_count()
             return ratio, ratio >= same or ratio >= paraphrase and answered
@@ -253,29 +261,45 @@ def _found(shared, nearest: float, same: float, paraphrase: float):
                 around = _any(ors, np.maximum(begin - PAD, first[row[begin]]), np.minimum(end + PAD, first[row[begin] + 1]))
                 w = (sums[end] - sums[begin]).astype(np.float32)
                 w /= np.maximum(np.linalg.norm(w, axis=1), 1e-12)[:, None]
+                near = []
                 for at in range(0, len(begin), 8192):
                     x, y = np.nonzero((cos := w[at : at + 8192] @ m.T) >= nearest)
                     # at least `paraphrase` of an item can be around only if all but the rest of its words are
                     missing = np.bitwise_count(marks[y] & ~around[x + at]).sum(1, dtype=np.int64)
                     x, y = x[may := missing <= slack[y]], y[may]
-                    for i, j, c in zip((x + at).tolist(), y.tolist(), cos[x, y].tolist(), strict=True):
-                        s, r = segs[ids[j]], int(row[begin[i]])
-                        n = len(s.words)
-                        if found.get((r, s.item), (0,))[0] >= same:
-                            continue
-                        low, high = int(words.first[r]), int(words.first[r + 1])
-                        a, b = int(starts[begin[i]]), min(int(starts[end[i] - 1]) + CHUNK, high)
-                        ratio, yes = holds(s, words.hash[max(a - n, low) : min(b + n, high)].tolist())
+                    near.append((x + at, y, cos[x, y]))
+                x, y, c = (np.concatenate([v[i] for v in near]) for i in range(3))
+                if not len(x):
+                    continue
+                r = row[begin[x]]
+                n = np.array([len(segs[i].words) for i in ids])[y]
+                a = np.maximum(starts[begin[x]] - n, words.first[r])
+                b = np.minimum(np.minimum(starts[end[x] - 1] + CHUNK, words.first[r + 1]) + n, words.first[r + 1])
+                order = np.lexsort((a, y, r))
+                x, y, c, r, a, b = (v[order] for v in (x, y, c, r, a, b))
+                # windows of one item that overlap: where all of them together don't hold enough of it, none does
+                cuts = [0, *(np.flatnonzero((r[1:] != r[:-1]) | (y[1:] != y[:-1]) | (a[1:] > b[:-1])) + 1).tolist(), len(x)]
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    s = segs[ids[y[i]]]
+                    key = (int(r[i]), s.item)
+                    if found.get(key, (0,))[0] >= same or j - i > 1 and s.heard(words.hash[a[i] : b[j - 1]]).bit_count() < overlaps.need[ids[y[i]]]:
+                        continue
+                    for k in range(i, j):
+                        ratio, yes = holds(s, words.hash[a[k] : b[k]])
                         if yes:
-                            found[r, s.item] = max(found.get((r, s.item), (0.0, 0.0)), (ratio, c))
+                            found[key] = max(found.get(key, (0.0, 0.0)), (ratio, float(c[k])))
+                        if ratio >= same:
+                            break
             for i, x, y in zip(*(v.tolist() for v in overlaps.candidates(words, f)), strict=True):
                 s, r, span = segs[i], int(words.row[x]), int(overlaps.span[i])
                 if found.get((r, s.item), (0,))[0] >= same:
                     continue
                 low, high = int(words.first[r]), int(words.first[r + 1])
                 a, b = max(y - span + 1, low), min(x + span, high)
-                heard = words.hash[a:b].tolist()
-                if lcs(s.masks, len(s.words), heard).bit_count() < overlaps.need[i]:
+                heard = words.hash[a:b]
+                most = s.heard(heard).bit_count()
+                # no window within takes in more than all of it does
+                if most < overlaps.need[i] or found.get((r, s.item), (0,))[0] >= most / len(s.words):
                     continue
                 for t in range(0, x - a + CHUNK, CHUNK):
                     ratio, yes = holds(s, heard[t : t + span])
@@ -286,7 +310,7 @@ def _found(shared, nearest: float, same: float, paraphrase: float):
                         w = sums[np.minimum(begin + size, first[r + 1])] - sums[begin]
                         c = float((w @ groups[g][1][k] / np.maximum(np.linalg.norm(w, axis=1), 1e-12)).max())
                         found[r, s.item] = max(found.get((r, s.item), (0.0, 0.0)), (ratio, c))
-                    if ratio >= same:
+                    if ratio >= same or yes and ratio >= most / len(s.words):
                         break
             doc = batch.column("doc_id").to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([doc[r] for r, _ in found], pa.int64()), pa.array([batch.column("_row")[r].as_py() for r, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64()), pa.array([v[0] for v in found.values()], pa.float64()), pa.array([v[1] for v in found.values()], pa.float64())], names=["doc_id", "_row", "item_id", "lcs_ratio", "cosine"])

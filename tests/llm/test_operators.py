@@ -3,6 +3,8 @@
 import functools
 import hashlib
 import math
+import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -638,3 +640,98 @@ def test_hot_windows_meet_without_a_shuffle_and_lose_nothing(spark):
     df = spark.createDataFrame(rows, "doc_id long, note string, key string")
     got = substring_dedup.met_before(df, ["key"], len(rows)).collect()
     assert sorted((r.doc_id, r.key, r.least) for r in got) == sorted((i, k, 0 if k == "hot" else i // 2 * 2) for i, _, k in rows if not k.startswith("own"))
+
+
+def test_retrieval_finds_what_sliding_subsequences_find(spark, docs, texts):
+    """Altered items (words changed, dropped and put in) in real documents: all that brute force over all windows accepts, and nothing else of them."""
+    rng = np.random.default_rng(11)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    hosts = [t for t in texts.values() if len(t.split()) > 60][:40]
+    rows = []
+    for k, (item, text) in enumerate(items[:40]):
+        words = [w for w in text.split() if rng.random() > 0.04]
+        words = [("zz" + str(rng.integers(99)) if rng.random() < (0, 0.12, 0.25, 0.4)[k % 4] else w) for w in words]
+        if k % 5 == 0:
+            words = [x for w in words for x in ((w, "qq") if rng.random() < 0.15 else (w,))]
+        host = hosts[k % len(hosts)].split()
+        rows.append((k, " ".join([*host[:30], *words, *host[30:]])))
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark, docs.select("doc_id", "text").where("doc_id < 0").unionByName(spark.createDataFrame(rows, "doc_id long, text string")), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    want, never = set(), set()
+    for k, text in rows:
+        heard = common.words(pa.array([text.encode()]), lower=True).hash
+        for s in decontamination.segments(items):
+            n, best = len(s.words), 0.0
+            for t in range(0, max(1, len(heard) - n + 1)):
+                bits = decontamination.lcs(s.masks, n, heard[t : t + n + 8].tolist())
+                answered = not s.answer or (bits & s.answer).bit_count() * 2 >= s.answer.bit_count()
+                best = max(best, bits.bit_count() / n if bits.bit_count() >= 0.8 * n or answered else 0.0)
+            if best >= 0.6:
+                want.add((k, s.item))
+            if decontamination.lcs(s.masks, n, heard.tolist()).bit_count() < 0.6 * n:
+                never.add((k, s.item))
+    several = {i for i, t in items if len(t.split()) > 64}
+    assert len(want) >= 25 and len(want - got) <= 0.03 * len(want) and not {p for p in got & never if p[1] not in several}
+
+
+def _licence_words(text):
+    return re.findall(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*", text.lower())
+
+
+def test_wrapped_licences_are_found_wherever_brute_force_finds_their_wording(spark):
+    rng = np.random.default_rng(4)
+    names = sorted(license_scan.TEMPLATES)
+    rows, planted = [], {}
+    for k in range(3 * len(names)):
+        name = names[k % len(names)]
+        body = license_scan.TEMPLATES[name]
+        wrapped = textwrap.fill(body, int(rng.integers(30, 80)), initial_indent="# ", subsequent_indent="# ")
+        prose = "\n".join(" ".join(f"w{x}" for x in rng.integers(0, 999, 12)) for _ in range(int(rng.integers(0, 300))))
+        rows.append((k, f"{prose}\n\n{wrapped}\n\nimport os\n{prose}"))
+        planted[k] = name
+    rows += [(900, "the copyright of this text is licensed to nobody"), (901, "plain words " * 4000), (902, None), (903, "")]
+    got = defaultdict(set)
+    for r in license_scan.scan_licenses(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r.license:
+            got[r.doc_id].add(r.license)
+    for k, text in rows:
+        words, found = _licence_words(text or ""), set()
+        for name, body in license_scan.TEMPLATES.items():  # independent: each sentence, word for word
+            for sentence in re.split(r"(?<=[a-z0-9])(?<!\bv)\. ", body):
+                s = _licence_words(sentence)
+                if s and any(words[i : i + len(s)] == s for i in range(len(words) - len(s) + 1)):
+                    found.add(name)
+        assert found <= got[k] and (k not in planted or planted[k] in got[k]), (k, found, got[k])
+    assert not got[900] and not got[901]
+
+
+def test_recurring_lines_match_counting_by_hand(spark):
+    """Lines without variable words in documents of nothing else in common: those in ten documents or more go, and only those."""
+    rng = np.random.default_rng(8)
+    name = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 9))
+    lines = {" ".join(name() for _ in range(6)): int(n) for n in rng.integers(1, 25, 60)}
+    docs = {d: [" ".join(name() for _ in range(9)) for _ in range(120)] for d in range(60)}
+    for text, n in lines.items():
+        for d in rng.choice(60, n, replace=False).tolist():
+            docs[d].insert(int(rng.integers(0, len(docs[d]))), text)
+    df = spark.createDataFrame([(d, "\n".join(x)) for d, x in docs.items()], "doc_id long, text string")
+    for r in line_dedup.drop_recurring(spark, df).collect():
+        assert r.text.split("\n") == [x for x in docs[r.doc_id] if lines.get(x, 0) < 10], r.doc_id
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null ids and texts, empty and repeated rows, extra columns: every stage keeps the columns and the rows it must."""
+    clean = [r for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    odd = [(None, "no id here", "en", "s", 10), (7001, None, "en", "s", 0), (7002, "", "en", "s", 0), (7003, "same words in both of these rows", "en", "s", 32), (7003, "same words in both of these rows", "en", "s", 32), (7004, "first text under one id", "en", "s", 23), (7004, "quite another text, same id", "en", "s", 27), (None, None, None, None, None)]
+    rows = [tuple(r) for r in clean] + odd
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema).selectExpr("*", "1 AS _digest2", "'x' AS row", "2 AS n_words")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, SF)
+        assert left.columns == docs.columns, name
+        got = [(r.doc_id, r.text) for r in left.collect()]
+        if name != "quality classifier":
+            assert (7004, odd[5][1]) in got and (7004, odd[6][1]) in got and (None, "no id here") in got and (7001, None) in got, name
+        if name == "n-gram Jaccard join":
+            assert got.count((7003, odd[3][1])) == 1
+    packed = stages["packing"](spark, docs, SF)
+    assert sum(r.doc_id is None and r.start == 0 for r in packed.collect()) == 2

@@ -6,6 +6,7 @@ JavaScript, TypeScript and Python. Statements are folded in order; every express
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,6 +21,8 @@ _TOKEN = {
     "javascript": re.compile(r"(?P<skip>//[^\n]*|/\*.*?\*/|[ \t\r\f\v]+)|(?P<template>`(?:\\.|[^`\\])*`)|(?P<string>'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\")|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<line>\n)|(?P<op>=>|[=!]==?|[<>]=?|&&|\|\||\?\.|\+=|.)", re.S),
     "python": re.compile(r"(?P<skip>\#[^\n]*|[ \t\r\f\v]+|\\\n)|(?P<template>[fF](?:'''.*?'''|\"\"\".*?\"\"\"|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"))|(?P<string>[rRbBuU]?(?:'''.*?'''|\"\"\".*?\"\"\"|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"))|(?P<name>[A-Za-z_]\w*)|(?P<number>\d[\w.]*)|(?P<line>\n)|(?P<op>==|!=|[<>]=?|\+=|:=|.)", re.S),
 }
+#: Words that a bracket may follow without a call.
+_NO_CALLS = {"if", "for", "while", "switch", "catch", "return", "with", "elif", "and", "or", "not", "in", "is", "function", "async", "await", "typeof", "yield", "lambda", "except", "del", "assert"}
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 
 
@@ -38,7 +41,20 @@ class Call:
     args: list[list[Token]]
     start: int
     end: int
-    within: str = ""
+    open: int = 0
+
+
+@dataclass
+class Scope:
+    """A function: its name, tokens first..last (parameters and body), lines, parameters and the scope around it."""
+
+    name: str
+    first: int
+    last: int
+    line: int
+    end_line: int
+    params: set[str]
+    parent: int
 
 
 @dataclass
@@ -47,6 +63,7 @@ class Source:
     text: str
     tokens: list[Token] = field(default_factory=list)
     match: dict[int, int] = field(default_factory=dict)
+    opened: dict[int, int] = field(default_factory=dict)
 
     def __post_init__(self):
         line, stack = 1, []
@@ -60,6 +77,7 @@ class Source:
                 elif kind == "op" and text in _CLOSE and stack:
                     self.match[stack.pop()] = at
             line += m.group().count("\n")
+        self.opened = {b: a for a, b in self.match.items()}
 
     def chain(self, end: int) -> tuple[int, str]:
         """(start, dotted text) of the member chain that ends with the name at `end`; calls in it count by name."""
@@ -67,8 +85,7 @@ class Source:
         while i >= 2 and self.tokens[i - 1].text in (".", "?."):
             j = i - 2
             if self.tokens[j].text in (")", "]"):
-                opened = next((a for a, b in self.match.items() if b == j), None)
-                j = opened - 1 if opened else -1
+                j = self.opened.get(j, 0) - 1
             if j < 0 or self.tokens[j].kind != "name":
                 break
             parts.insert(0, self.tokens[j].text)
@@ -91,14 +108,86 @@ class Source:
         found = []
         for i, t in enumerate(self.tokens[:-1]):
             if t.kind == "name" and self.tokens[i + 1].text == "(" and i + 1 in self.match:
-                if i and self.tokens[i - 1].text in ("function", "def", "class"):
+                if t.text in _NO_CALLS or i and self.tokens[i - 1].text in ("function", "def", "class"):
                     continue
                 start, text = self.chain(i)
                 receiver, _, method = text.rpartition(".")
                 end = self.match[i + 1]
-                found.append(Call(receiver, method, t.line, self.split(i + 2, end), start, end))
+                found.append(Call(receiver, method, t.line, self.split(i + 2, end), start, end, i + 1))
         return found
 
+    def scopes(self) -> list[Scope]:
+        """Functions in order of their first token, with the one that each lies in (-1: none)."""
+        found = self._python_functions() if rules.family(self.language) == "python" else self._script_functions()
+        found.sort(key=lambda f: (f.first, -f.last))
+        stack: list[int] = []
+        for k, f in enumerate(found):
+            while stack and found[stack[-1]].last < f.first:
+                stack.pop()
+            f.parent = stack[-1] if stack else -1
+            stack.append(k)
+        return found
+
+    def _params(self, a: int, b: int) -> set[str]:
+        """Names that a parameter list binds; defaults and annotations bind none."""
+        out = set()
+        for part in self.split(a, b):
+            cut = next((i for i, t in enumerate(part) if t.text in ("=", ":") and part[0].text not in ("{", "[")), len(part))
+            out |= {t.text for t in part[:cut] if t.kind == "name"}
+        return out
+
+    def _python_functions(self) -> list[Scope]:
+        lines = self.text.split("\n")
+        indent = [len(x) - len(x.lstrip()) if x.strip() else None for x in lines]
+        out = []
+        for i, t in enumerate(self.tokens[:-2]):
+            if t.kind == "name" and t.text == "def" and i + 2 in self.match:
+                own = indent[t.line - 1] or 0
+                close = self.match[i + 2]
+                body = end = self.tokens[close].line
+                while body < len(lines) and (indent[body] is None or indent[body] > own):
+                    end = body + 1 if indent[body] is not None else end
+                    body += 1
+                last = next((k - 1 for k in range(close, len(self.tokens)) if self.tokens[k].line > end), len(self.tokens) - 1)
+                out.append(Scope(self.tokens[i + 1].text, i + 2, last, t.line, end, self._params(i + 3, close), -1))
+        return out
+
+    def _script_functions(self) -> list[Scope]:
+        out, n = [], len(self.tokens)
+        solid = lambda i: next((k for k in range(i, n) if self.tokens[k].kind != "line"), n)
+        for i, t in enumerate(self.tokens):
+            name, a = "", i
+            if t.text == "(" and i in self.match and i and (self.tokens[i - 1].kind == "name" or self.tokens[i - 1].text == "*"):
+                before = self.tokens[i - 1]
+                keyword = before.text == "function" or i > 1 and self.tokens[i - 2].text in ("function", "*") and before.kind == "name"
+                if not keyword and (before.text in ("if", "for", "while", "switch", "catch", "return", "with") or i > 1 and self.tokens[i - 2].text in (".", "?.", "new")):
+                    continue
+                name = "" if before.text == "function" else before.text
+            elif not (t.text == "(" and i in self.match or t.kind == "name" and i + 1 < n and self.tokens[i + 1].text == "=>"):
+                continue
+            close = self.match.get(i, i)
+            k = solid(close + 1)
+            arrow = k < n and self.tokens[k].text == "=>"
+            body = solid(k + 1) if arrow else k
+            if body >= n or self.tokens[body].text != "{" and not arrow or not name and not arrow and (not i or self.tokens[i - 1].text != "function"):
+                continue
+            if arrow:
+                at = i - 2 if i > 1 and self.tokens[i - 1].text == "async" else i - 1
+                name = self.tokens[at - 1].text if at > 0 and self.tokens[at].text == "=" and self.tokens[at - 1].kind == "name" else ""
+            if self.tokens[body].text == "{" and body in self.match:
+                last = self.match[body]
+            else:  # an arrow's expression
+                depth, last = 0, body
+                for last in range(body, n):
+                    x = self.tokens[last]
+                    depth += (x.text in _OPEN) - (x.text in _CLOSE) if x.kind == "op" else 0
+                    if depth < 0 or depth == 0 and (x.text in (",", ";") or x.kind == "line"):
+                        break
+                last -= 1
+            params = self._params(i + 1, close) if i in self.match else {t.text}
+            out.append(Scope(name, a, last, t.line, self.tokens[min(last, n - 1)].line, params, -1))
+        return out
+
 
 def argument_kind(arg: list[Token]) -> str:
     """literal, template, identifier, binary, call or other; functions count as literal."""
@@ -160,10 +249,47 @@ def matching(call: Call, language: str) -> Iterator[tuple]:
 
 
 def flows(src: Source) -> list[Flow]:
-    """Taint from sources through assignments, in statement order, into sinks; sanitizers strip it. First of (source, sink, line) wins."""
-    taint: dict[str, tuple[str, list[str]]] = {}
+    """Taint from sources through assignments, in statement order, into sinks; sanitizers strip it. First of (source, sink, line) wins.
+
+    A name belongs to the function that binds it as a parameter or assigns it; functions see names of those around them.
+    """
     language, calls, out, seen = src.language, src.calls(), [], set()
-    inside = lambda a, b: [c for c in calls if a <= c.start and c.end <= b]
+    scopes = src.scopes()
+    taint: list[dict[str, tuple[str, list[str]]]] = [{} for _ in range(len(scopes) + 1)]  # the last: outside of functions
+    begins = [c.start for c in calls]
+    firsts = [f.first for f in scopes]
+    order = sorted(range(len(calls)), key=begins.__getitem__)
+    begins = [begins[i] for i in order]
+
+    def inside(a: int, b: int) -> list[Call]:
+        got = sorted(order[bisect.bisect_left(begins, a) : bisect.bisect_right(begins, b)])
+        return [calls[i] for i in got if calls[i].end <= b]
+
+    def scope_at(i: int) -> int:
+        k = bisect.bisect_right(firsts, i) - 1
+        while k >= 0 and scopes[k].last < i:
+            k = scopes[k].parent
+        return k
+
+    def known(name: str, at: int) -> tuple[str, list[str]] | None:
+        """What a name holds as seen from a token: the innermost function that binds it counts."""
+        k = scope_at(at)
+        while k >= 0:
+            if name in taint[k]:
+                return taint[k][name]
+            if name in scopes[k].params:
+                return None
+            k = scopes[k].parent
+        return taint[-1].get(name)
+
+    def assign(name: str, at: int, value: tuple[str, list[str]], declared: bool) -> None:
+        k = scope_at(at)
+        if not declared and rules.family(language) != "python":  # an outer variable, where one is known
+            up = k
+            while up >= 0 and name not in taint[up] and name not in scopes[up].params:
+                up = scopes[up].parent
+            k = up if up >= 0 or name in taint[-1] else k
+        taint[k][name] = value
 
     def tainted(a: int, b: int) -> tuple[str, list[str]] | None:
         blocked = [(c.start, c.end) for c in inside(a, b) if sanitizer(c, language)]
@@ -173,8 +299,8 @@ def flows(src: Source) -> list[Flow]:
         for i, t in tokens:
             names = [t.text] if t.kind == "name" and not (i and src.tokens[i - 1].text in (".", "?.")) else re.findall(r"[A-Za-z_$][\w$]*", " ".join(re.findall(r"\$?\{([^}]*)\}", t.text))) if t.kind == "template" else []
             for n in names:
-                if n in taint:
-                    return taint[n][0], [*taint[n][1], n]
+                if (got := known(n, i)) is not None:
+                    return got[0], [*got[1], n]
             if t.kind == "template" and (s := source_in([Token("string", x, t.line) for x in re.findall(r"\{([^}]*)\}", t.text)], language)):
                 return s, [s]
         return None
@@ -182,7 +308,7 @@ def flows(src: Source) -> list[Flow]:
     def expression(a: int, b: int) -> None:
         for c in inside(a, b):
             for order, rule in matching(c, language):
-                got = tainted(next(i for i in range(c.start, c.end + 1) if src.tokens[i].text == "(" and src.match.get(i) == c.end) + 1, c.end)
+                got = tainted(c.open + 1, c.end)
                 if got and (got[0], rule[0], c.line) not in seen:
                     seen.add((got[0], rule[0], c.line))
                     out.append(Flow(got[0], rule[0], rule[1], c.line, got[1]))
@@ -203,7 +329,7 @@ def flows(src: Source) -> list[Flow]:
                 member = any(x.text in (".", "?.") for x in src.tokens[a:eq])
                 for name in names[-1:] if member else names:
                     if got and not member:
-                        taint[name] = got
+                        assign(name, a, got, any(x.text in ("const", "let", "var") for x in src.tokens[a:eq]))
             expression(a, b)
             a = b + 1
     return out
@@ -295,11 +421,32 @@ def routes(src: Source) -> list[tuple[str, str, int]]:
     return out
 
 
+def functions(src: Source) -> list[tuple[str, int, int]]:
+    """(name, first line, last line) of the functions; those without a name are left out."""
+    return [(f.name, f.line, f.end_line) for f in src.scopes() if f.name]
+
+
+def call_graph(src: Source) -> list[tuple[str, str, int]]:
+    """(caller, callee, line): each function's distinct callees, by first line; a call counts for the innermost named function."""
+    scopes, out = src.scopes(), {}
+    for c in src.calls():
+        inner = [f for f in scopes if f.first <= c.start and c.end <= f.last and f.name]
+        if inner:
+            out.setdefault((inner[-1].name, c.method), c.line)
+    return [(a, b, n) for (a, b), n in out.items()]
+
+
+def function_text(src: Source, name: str) -> str | None:
+    """The lines of the first function of that name."""
+    at = next(((a, b) for n, a, b in functions(src) if n == name), None)
+    return None if at is None else "\n".join(src.text.split("\n")[at[0] - 1 : at[1]])
+
+
 _FACTS = "path string, kind string, line int, name string, detail string, type string, severity string"
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """Rows of facts of files (path, text, lang): kinds call, import, route, sink, flow. Files that can't be read give none.
+    """Rows of facts of files (path, text, lang): kinds call, import, route, function (detail: last line), calls (caller, callee), sink, flow. Files that can't be read give none.
 
     Null texts and unknown languages give nothing. One narrow pass; rules ship with the code, so there is no join.
     """
@@ -314,6 +461,8 @@ def facts(files: DataFrame) -> DataFrame:
                 rows += [(path, "call", c.line, f"{c.receiver}.{c.method}".lstrip("."), ",".join(map(argument_kind, c.args)), None, None) for c in src.calls()]
                 rows += [(path, "import", n, local, spec, None, None) for local, spec, n in imports(src)]
                 rows += [(path, "route", n, p, m, None, None) for m, p, n in routes(src)]
+                rows += [(path, "function", a, name, str(b), None, None) for name, a, b in functions(src)]
+                rows += [(path, "calls", n, a, b, None, None) for a, b, n in call_graph(src)]
                 rows += [(path, "sink", s.line, s.id, None, s.type, s.severity) for s in sinks(src)]
                 rows += [(path, "flow", f.line, f.sink, f"{f.source} > " + " > ".join(f.path), f.type, None) for f in flows(src)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 2 else pa.string()) for i in range(7)], names=["path", "kind", "line", "name", "detail", "type", "severity"])

@@ -56,3 +56,36 @@ def test_facts_over_files(spark):
     }
     assert [tuple(r) for r in code.resolved_imports(found, files).collect()] == [("src/routes.ts", "run", "src/handler.ts")]
     assert {r.path: r.l for r in files.select("path", code.language(files.path).alias("l")).collect()}["a.py"] == "python"
+
+
+def test_functions_bind_their_own_names():
+    py = "def a():\n    q = request.args.get('q')\n    return q\n\ndef b(q):\n    exec(q)\n\ndef c():\n    x = 1\n    def inner():\n        exec(y)\n    y = request.args.get('y')\n"
+    assert [(f.sink, f.line) for f in code.flows(code.Source("python", py))] == []
+    assert len(code.flows(code.Source("python", "def a():\n    q = request.args.get('q')\n    exec(q)\n"))) == 1
+    js = "function a(req) { const q = req.body.q; exec(q); }\nfunction b(q) { exec(q); }\nconst c = (x) => { exec(x); };\n"
+    assert [f.line for f in code.flows(code.Source("javascript", js))] == [1]
+    js = "let q;\nfunction a(req) { q = req.body.q; }\nconst g = req.query.id;\nfunction b() { exec(g); }\n"
+    assert [f.line for f in code.flows(code.Source("javascript", js))] == [4]
+
+
+def test_functions_and_their_calls():
+    js = "export async function load(id) {\n  return db.get(id);\n}\nconst save = async (x) => {\n  check(x);\n  check(x);\n  if (x) { store(x); }\n};\nclass A { run(y) { load(y); } }\nitems.map(z => z.id);\n"
+    src = code.Source("javascript", js)
+    assert code.functions(src) == [("load", 1, 3), ("save", 4, 8), ("run", 9, 9)]
+    assert code.call_graph(src) == [("load", "get", 2), ("save", "check", 5), ("save", "store", 7), ("run", "load", 9)]
+    assert code.function_text(src, "load") == "export async function load(id) {\n  return db.get(id);\n}" and code.function_text(src, "nope") is None
+    src = code.Source("python", "class A:\n    def f(self, a: int = g(1)):\n\n        h(a)\n\n    def k(self):\n        pass\nx = 1\n")
+    assert code.functions(src) == [("f", 2, 4), ("k", 6, 7)] and code.call_graph(src) == [("f", "g", 2), ("f", "h", 4)]
+
+
+def test_long_files_take_time_in_proportion():
+    import time
+
+    def took(n):
+        text = "".join(f"function f{i}(req) {{ const a{i} = g(req.body.x{i}); h(a{i}, [1, 2]); }}\n" for i in range(n))
+        began = time.process_time()
+        code.flows(code.Source("javascript", text))
+        return time.process_time() - began
+
+    took(50)
+    assert took(1600) < 12 * max(took(200), 0.02)

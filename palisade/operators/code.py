@@ -53,9 +53,13 @@ class Scope:
     last: int
     line: int
     end_line: int
-    params: set[str]
+    order: list[str]
     parent: int
 
+    @property
+    def params(self) -> list[str]:
+        return self.order
+
 
 @dataclass
 class Source:
@@ -104,6 +108,17 @@ class Source:
                 now.append(t)
         return [x for x in [*out, now] if x]
 
+    def spans(self, a: int, b: int, by: str = ",") -> list[tuple[int, int]]:
+        """Where the parts of tokens a..b, cut at `by` outside brackets, begin and end."""
+        out, depth, at = [], 0, a
+        for i in range(a, b):
+            t = self.tokens[i]
+            depth += (t.text in _OPEN) - (t.text in _CLOSE) if t.kind == "op" else 0
+            if t.kind == "op" and t.text == by and depth == 0:
+                out.append((at, i))
+                at = i + 1
+        return [*out, (at, b)]
+
     def calls(self) -> list[Call]:
         found = []
         for i, t in enumerate(self.tokens[:-1]):
@@ -128,12 +143,12 @@ class Source:
             stack.append(k)
         return found
 
-    def _params(self, a: int, b: int) -> set[str]:
-        """Names that a parameter list binds; defaults and annotations bind none."""
-        out = set()
+    def _params(self, a: int, b: int) -> list[str]:
+        """Names that a parameter list binds, in order; defaults and annotations bind none."""
+        out = []
         for part in self.split(a, b):
             cut = next((i for i, t in enumerate(part) if t.text in ("=", ":") and part[0].text not in ("{", "[")), len(part))
-            out |= {t.text for t in part[:cut] if t.kind == "name"}
+            out += [t.text for t in part[:cut] if t.kind == "name"]
         return out
 
     def _python_functions(self) -> list[Scope]:
@@ -184,7 +199,7 @@ class Source:
                     if depth < 0 or depth == 0 and (x.text in (",", ";") or x.kind == "line"):
                         break
                 last -= 1
-            params = self._params(i + 1, close) if i in self.match else {t.text}
+            params = self._params(i + 1, close) if i in self.match else [t.text]
             out.append(Scope(name, a, last, t.line, self.tokens[min(last, n - 1)].line, params, -1))
         return out
 
@@ -248,14 +263,40 @@ def matching(call: Call, language: str) -> Iterator[tuple]:
             yield order, rule
 
 
+@dataclass
+class Passed:
+    """A tainted argument of a call: what it holds, which argument it is, and of which call."""
+
+    source: str
+    index: int
+    call: Call
+
+
+@dataclass
+class Trace:
+    flows: list[Flow]
+    passed: list[Passed]
+    returning: list[str]
+
+
 def flows(src: Source) -> list[Flow]:
+    return trace(src).flows
+
+
+def trace(src: Source, seeds: dict[int, dict[str, str]] | None = None) -> Trace:
     """Taint from sources through assignments, in statement order, into sinks; sanitizers strip it. First of (source, sink, line) wins.
 
     A name belongs to the function that binds it as a parameter or assigns it; functions see names of those around them.
+    seeds: names that hold something from the start, by scope. Beside flows there are all tainted arguments of calls that
+    are no sinks or sanitizers, and the named functions that return something tainted.
     """
     language, calls, out, seen = src.language, src.calls(), [], set()
     scopes = src.scopes()
     taint: list[dict[str, tuple[str, list[str]]]] = [{} for _ in range(len(scopes) + 1)]  # the last: outside of functions
+    for k, names in (seeds or {}).items():
+        taint[k] |= {n: (label, [n]) for n, label in names.items()}
+    passed: list[Passed] = []
+    returning: list[str] = []
     begins = [c.start for c in calls]
     firsts = [f.first for f in scopes]
     order = sorted(range(len(calls)), key=begins.__getitem__)
@@ -307,7 +348,13 @@ def flows(src: Source) -> list[Flow]:
 
     def expression(a: int, b: int) -> None:
         for c in inside(a, b):
-            for order, rule in matching(c, language):
+            rules_of = list(matching(c, language))
+            if not rules_of and c.args and not sanitizer(c, language) and tainted(c.open + 1, c.end):
+                at = c.open + 1
+                for n, (x, y) in enumerate(src.spans(at, c.end)):
+                    if (value := tainted(x, y)) is not None:
+                        passed.append(Passed(value[0], n, c))
+            for order, rule in rules_of:
                 got = tainted(c.open + 1, c.end)
                 if got and (got[0], rule[0], c.line) not in seen:
                     seen.add((got[0], rule[0], c.line))
@@ -331,8 +378,10 @@ def flows(src: Source) -> list[Flow]:
                     if got and not member:
                         assign(name, a, got, any(x.text in ("const", "let", "var") for x in src.tokens[a:eq]))
             expression(a, b)
+            if a < b and src.tokens[a].text == "return" and (k := scope_at(a)) >= 0 and scopes[k].name and tainted(a + 1, b):
+                returning.append(scopes[k].name)
             a = b + 1
-    return out
+    return Trace(out, passed, list(dict.fromkeys(returning)))
 
 
 @dataclass
@@ -421,6 +470,34 @@ def routes(src: Source) -> list[tuple[str, str, int]]:
     return out
 
 
+def summaries(src: Source) -> list[tuple[str, str, int, str, str | None]]:
+    """What functions do with their parameters: (kind, function, line, detail, type).
+
+    sink: 'parameter|sink' reaches a sink. passes: 'parameter|callee|argument'. returns: the function returns a source.
+    argument: 'argument|source' of a tainted argument of a call (function: the callee). One pass with all parameters
+    marked, so that a mark never stands for two.
+    """
+    scopes = src.scopes()
+    marked = {k: {p: f"\0{k}\0{i}" for i, p in enumerate(f.order)} for k, f in enumerate(scopes) if f.name}
+    plain, out = trace(src), []
+    out += [("returns", name, 0, "", None) for name in plain.returning]
+    out += [("argument", callee(p.call), p.call.line, f"{p.index}|{p.source}", None) for p in plain.passed]
+    seeded = trace(src, marked)
+    for f in seeded.flows:
+        if f.source.startswith("\0"):
+            _, k, i = f.source.split("\0")
+            out.append(("param_sink", scopes[int(k)].name, f.line, f"{i}|{f.sink}", f.type))
+    for p in seeded.passed:
+        if p.source.startswith("\0"):
+            _, k, i = p.source.split("\0")
+            out.append(("passes", scopes[int(k)].name, p.call.line, f"{i}|{callee(p.call)}|{p.index}", None))
+    return list(dict.fromkeys(out))
+
+
+def callee(call: Call) -> str:
+    return f"{call.receiver}.{call.method}".lstrip(".")
+
+
 def functions(src: Source) -> list[tuple[str, int, int]]:
     """(name, first line, last line) of the functions; those without a name are left out."""
     return [(f.name, f.line, f.end_line) for f in src.scopes() if f.name]
@@ -446,7 +523,7 @@ _FACTS = "path string, kind string, line int, name string, detail string, type s
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """Rows of facts of files (path, text, lang): kinds call, import, route, function (detail: last line), calls (caller, callee), sink, flow. Files that can't be read give none.
+    """Rows of facts of files (path, text, lang): kinds call, import, route, function (detail: last line), calls (caller, callee), sink, flow, and those of summaries(). Files that can't be read give none.
 
     Null texts and unknown languages give nothing. One narrow pass; rules ship with the code, so there is no join.
     """
@@ -463,6 +540,7 @@ def facts(files: DataFrame) -> DataFrame:
                 rows += [(path, "route", n, p, m, None, None) for m, p, n in routes(src)]
                 rows += [(path, "function", a, name, str(b), None, None) for name, a, b in functions(src)]
                 rows += [(path, "calls", n, a, b, None, None) for a, b, n in call_graph(src)]
+                rows += [(path, kind, n, name, detail, type_, None) for kind, name, n, detail, type_ in summaries(src)]
                 rows += [(path, "sink", s.line, s.id, None, s.type, s.severity) for s in sinks(src)]
                 rows += [(path, "flow", f.line, f.sink, f"{f.source} > " + " > ".join(f.path), f.type, None) for f in flows(src)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 2 else pa.string()) for i in range(7)], names=["path", "kind", "line", "name", "detail", "type", "severity"])
@@ -485,3 +563,36 @@ def resolved_imports(found: DataFrame, files: DataFrame) -> DataFrame:
     c = found.where("kind = 'import' AND detail LIKE '.%'").withColumn("joined", joined).withColumn("joined", up).withColumn("joined", up)
     c = c.select("path", "name", F.posexplode(F.array(*[F.concat("joined", F.lit(s)) for s in suffixes])).alias("rank", "target"))
     return c.join(files.select(F.col("path").alias("target")), "target").groupBy("path", "name").agg(F.min_by("target", "rank").alias("target"))
+
+
+def cross_file_flows(found: DataFrame, files: DataFrame, depth: int = 3) -> DataFrame:
+    """(path, line, source, target, function, sink, type, hops): tainted arguments that reach a sink in a function of the same or another file.
+
+    found: facts(). A call resolves to a function of its own file, or of the file that its name or receiver was imported
+    from. Arguments are followed through at most `depth` calls, each a join on (file, function, parameter): as many
+    rounds as `depth`, however many files there are.
+    """
+    imported = resolved_imports(found, files).select("path", F.col("name").alias("local"), "target")
+    local = found.where("kind = 'function'").select("path", F.col("name").alias("_function")).distinct()
+    cut = lambda c, i: F.split(c, "[|]")[i]
+
+    def resolved(calls: DataFrame) -> DataFrame:
+        """calls (path, callee, ...) with the file and the name of the function called."""
+        first = F.split("callee", "[.]")[0]
+        named = calls.withColumn("local", first).withColumn("function", F.element_at(F.split("callee", "[.]"), -1))
+        own = named.join(local.withColumnRenamed("_function", "callee"), ["path", "callee"]).withColumn("target", F.col("path"))
+        other = named.join(imported, ["path", "local"])
+        return own.select(*calls.columns, "target", "function").unionByName(other.select(*calls.columns, "target", "function")).distinct()
+
+    argument = found.where("kind = 'argument'").select("path", "line", F.col("name").alias("callee"), cut(F.col("detail"), 0).alias("param"), F.expr("substring_index(detail, '|', -1)").alias("source"))
+    front = resolved(argument).select("path", "line", "source", "target", "function", "param", F.lit(1).alias("hops"))
+    passes = found.where("kind = 'passes'").select("path", F.col("name").alias("_from"), cut(F.col("detail"), 0).alias("_at"), cut(F.col("detail"), 1).alias("callee"), cut(F.col("detail"), 2).alias("_to"))
+    passes = resolved(passes).select(F.col("path").alias("_file"), "_from", "_at", F.col("target").alias("_target"), F.col("function").alias("_function"), "_to")
+    reached = front
+    for d in range(2, depth + 1):
+        met = (F.col("target") == F.col("_file")) & (F.col("function") == F.col("_from")) & (F.col("param") == F.col("_at"))
+        front = front.join(passes, met).select("path", "line", "source", F.col("_target").alias("target"), F.col("_function").alias("function"), F.col("_to").alias("param"), F.lit(d).alias("hops")).distinct()
+        reached = reached.unionByName(front)
+    sinks_ = found.where("kind = 'param_sink'").select(F.col("path").alias("target"), F.col("name").alias("function"), cut(F.col("detail"), 0).alias("param"), F.expr("substring_index(detail, '|', -1)").alias("sink"), "type")
+    hit = reached.join(sinks_, ["target", "function", "param"])
+    return hit.groupBy("path", "line", "source", "target", "function", "sink", "type").agg(F.min("hops").alias("hops"))

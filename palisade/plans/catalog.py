@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palisade.operators import endpoints, relational, state, text
+from palisade.operators import endpoints, relational, reports, state, text
 
-QUERIES = text.R.queries | relational.R.queries | endpoints.R.queries | state.R.queries
-ORACLES = text.R.oracles | relational.R.oracles | endpoints.R.oracles | state.R.oracles
+QUERIES = text.R.queries | relational.R.queries | endpoints.R.queries | state.R.queries | reports.R.queries
+ORACLES = text.R.oracles | relational.R.oracles | endpoints.R.oracles | state.R.oracles | reports.R.oracles

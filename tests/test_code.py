@@ -89,3 +89,25 @@ def test_long_files_take_time_in_proportion():
 
     took(50)
     assert took(1600) < 12 * max(took(200), 0.02)
+
+
+FILES = {
+    "src/routes.js": "import { run } from './handler';\nimport * as safe from './safe';\nexport function post(req) {\n  const cmd = req.body.cmd;\n  run('x', cmd);\n  safe.run(cmd, 1);\n  show(req.query.html);\n}\nfunction show(h) { document.write(h); }\n",
+    "src/handler.js": "import { execute } from './lib/shell';\nexport function run(name, c) {\n  log(name);\n  execute(c);\n}\n",
+    "src/lib/shell.js": "export const execute = (line) => { exec(line); };\n",
+    "src/safe.js": "export function run(a, b) { return parseInt(a); }\n",
+    "app/views.py": "from .tools import call\n\ndef view(request):\n    call(request.args.get('q'))\n\ndef current():\n    return request.args.get('u')\n",
+    "app/tools.py": "import os\n\ndef call(q):\n    os.system(q)\n",
+}
+
+
+def test_taint_crosses_calls_and_files(spark):
+    files = spark.createDataFrame([(p, t, "python" if p.endswith("py") else "javascript") for p, t in FILES.items()], "path string, text string, lang string")
+    found = code.facts(files).cache()
+    assert {(r.path, r.name) for r in found.where("kind = 'returns'").collect()} == {("app/views.py", "current")}
+    got = {(r.path, r.line, r.target, r.function, r.hops) for r in code.cross_file_flows(found, files).collect()}
+    want = {("src/routes.js", 5, "src/lib/shell.js", "execute", 2), ("app/views.py", 4, "app/tools.py", "call", 1)}
+    assert want <= got and not any(t == "src/safe.js" for _, _, t, _, _ in got)
+    assert {x for x in got if x[2] == "src/routes.js"} <= {("src/routes.js", 7, "src/routes.js", "show", 1)}
+    assert not [x for x in ((r.path, r.line, r.target, r.function, r.hops) for r in code.cross_file_flows(found, files, depth=1).collect()) if x[4] > 1]
+    found.unpersist()

@@ -18,9 +18,8 @@ RANK = 48
 PASSAGE = 64
 CHUNK = 4
 LONGEST = 64
-PAD = LONGEST // 2 // CHUNK
 #: (longest segment in words that it serves, chunks in a window, chunks between windows)
-WINDOWS = ((20, 4, 1), (32, 7, 1), (1 << 30, 11, 2))
+WINDOWS = ((20, 4, 1), (32, 7, 1), (LONGEST, 11, 2))
 #: Rare words of a segment that must stand together before its subsequences are looked at.
 SHARED = 3
 BLOCKS = 64
@@ -65,6 +64,16 @@ def _passages(words: common.Words) -> np.ndarray:
     return np.cumsum(new) - 1
 
 
+def _chunk_sums(vectors: np.ndarray, f: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the words' vectors by chunk: place by place of a chunk, which is faster than reduceat over so few rows."""
+    size = np.diff(np.append(starts, len(f)))
+    out = vectors[f[starts]]
+    for k in range(1, CHUNK):
+        at = np.flatnonzero(size > k)
+        out[at] += vectors[f[starts[at] + k]]
+    return out
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, passages = np.zeros((BUCKETS, 1)), 0
     for batch in common.slices(batches, column="text", size=1 << 20):
@@ -94,7 +103,8 @@ def _sketch(shared):
             if not len(p):
                 continue
             starts = np.flatnonzero(np.diff(p, prepend=-1))
-            y = np.add.reduceat(noise[f], starts)
+            chunks = np.flatnonzero((np.arange(len(f)) - words.first[words.row]) % CHUNK == 0)  # a passage starts with a chunk
+            y = np.add.reduceat(_chunk_sums(noise, f, chunks), np.searchsorted(chunks, starts))
             y /= np.maximum(np.add.reduceat(squares[f], starts), 1e-12)[:, None]  # passages count with unit length
             for k, column in enumerate(np.ascontiguousarray(y.T, np.float64)):
                 out[k] += np.bincount(f, column[p], BUCKETS)
@@ -122,7 +132,7 @@ def _ors(h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 
 
 def _any(ors: list[np.ndarray], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Marks of the words in chunks begin..end (at most 32 of them)."""
+    """Marks of the words in chunks begin..end (at most 64 of them)."""
     level = np.frexp(end - begin)[1] - 1
     out = np.zeros((len(begin), 8), np.uint64)
     for k in np.unique(level).tolist():
@@ -139,12 +149,18 @@ class Segment:
     answer: int  # bit mask of the words of its last sentence
 
     def __post_init__(self):
-        self.known = np.array(sorted(self.masks), np.uint64)
+        self.known, self.weight = np.unique(self.words, return_counts=True)
 
-    def heard(self, words: np.ndarray) -> int:
-        """lcs() with the words, of which those that aren't the segment's are left out first."""
+    def heard(self, words: np.ndarray, need: int = 0) -> int:
+        """lcs() with the words, of which those that aren't the segment's are left out first; 0 where fewer than `need` of the segment's are there at all."""
         at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
-        return lcs(self.masks, len(self.words), words[self.known[at] == words].tolist())
+        hit = self.known[at] == words
+        if need:
+            seen = np.zeros(len(self.known), bool)
+            seen[at[hit]] = True
+            if self.weight[seen].sum() < need:
+                return 0
+        return lcs(self.masks, len(self.words), words[hit].tolist())
 
 
 def lcs(masks: dict, n: int, words: list[int]) -> int:
@@ -235,7 +251,7 @@ def _found(shared, nearest: float, same: float, paraphrase: float):
             ids = [i for i, s in enumerate(segs) if least < len(s.words) <= most]
             if ids:
                 m = np.stack([vectors[(segs[i].words % np.uint64(BUCKETS)).astype(np.int64)].sum(0) for i in ids])
-                groups.append((ids, (m / np.maximum(np.linalg.norm(m, axis=1), 1e-12)[:, None]).astype(np.float32), size, step, np.stack([np.bitwise_or.reduce(_marks(segs[i].words)) for i in ids]), np.array([(1 - paraphrase) * len(segs[i].words) for i in ids])))
+                groups.append((g, ids, (m / np.maximum(np.linalg.norm(m, axis=1), 1e-12)[:, None]).astype(np.float32), size, step, np.stack([np.bitwise_or.reduce(_marks(segs[i].words)) for i in ids]), np.array([(1 - paraphrase) * len(segs[i].words) for i in ids])))
                 at_group |= {i: (k, len(groups) - 1) for k, i in enumerate(ids)}
 
         def holds(s: Segment, words: np.ndarray) -> tuple[float, bool]:
@@ -251,21 +267,24 @@ def _found(shared, nearest: float, same: float, paraphrase: float):
             place = np.arange(len(f)) - words.first[words.row]
             starts = np.flatnonzero(place % CHUNK == 0)
             row = words.row[starts]
-            sums = np.concatenate([np.zeros((1, RANK)), np.cumsum(np.add.reduceat(vectors[f], starts), axis=0, dtype=np.float64)])
+            sums = np.concatenate([np.zeros((1, RANK)), np.cumsum(_chunk_sums(vectors, f, starts), axis=0, dtype=np.float64)])
             first = np.searchsorted(row, np.arange(batch.num_rows + 1))
             found: dict[tuple[int, int], tuple[float, float]] = {}
             ors = _ors(words.hash, starts)
-            for ids, m, size, step, marks, slack in groups:
+            for g, ids, m, size, step, marks, slack in groups:
                 begin = np.flatnonzero((np.arange(len(starts)) - first[row]) % step == 0)
                 end = np.minimum(begin + size, first[row[begin] + 1])
-                around = _any(ors, np.maximum(begin - PAD, first[row[begin]]), np.minimum(end + PAD, first[row[begin] + 1]))
+                pad = WINDOWS[g][0] // CHUNK  # as far as subsequences are looked for
                 w = (sums[end] - sums[begin]).astype(np.float32)
                 w /= np.maximum(np.linalg.norm(w, axis=1), 1e-12)[:, None]
                 near = []
                 for at in range(0, len(begin), 8192):
-                    x, y = np.nonzero((cos := w[at : at + 8192] @ m.T) >= nearest)
+                    x, y = np.divmod(np.flatnonzero((cos := w[at : at + 8192] @ m.T) >= nearest), len(m))
                     # at least `paraphrase` of an item can be around only if all but the rest of its words are
-                    missing = np.bitwise_count(marks[y] & ~around[x + at]).sum(1, dtype=np.int64)
+                    some, back = np.unique(x, return_inverse=True)
+                    i = begin[some + at]
+                    around = _any(ors, np.maximum(i - pad, first[row[i]]), np.minimum(end[some + at] + pad, first[row[i] + 1]))
+                    missing = np.bitwise_count(marks[y] & ~around[back]).sum(1, dtype=np.int64)
                     x, y = x[may := missing <= slack[y]], y[may]
                     near.append((x + at, y, cos[x, y]))
                 x, y, c = (np.concatenate([v[i] for v in near]) for i in range(3))
@@ -282,7 +301,7 @@ def _found(shared, nearest: float, same: float, paraphrase: float):
                 for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                     s = segs[ids[y[i]]]
                     key = (int(r[i]), s.item)
-                    if found.get(key, (0,))[0] >= same or j - i > 1 and s.heard(words.hash[a[i] : b[j - 1]]).bit_count() < overlaps.need[ids[y[i]]]:
+                    if found.get(key, (0,))[0] >= same or j - i > 1 and s.heard(words.hash[a[i] : b[j - 1]], need := int(overlaps.need[ids[y[i]]])).bit_count() < need:
                         continue
                     for k in range(i, j):
                         ratio, yes = holds(s, words.hash[a[k] : b[k]])
@@ -290,14 +309,21 @@ def _found(shared, nearest: float, same: float, paraphrase: float):
                             found[key] = max(found.get(key, (0.0, 0.0)), (ratio, float(c[k])))
                         if ratio >= same:
                             break
-            for i, x, y in zip(*(v.tolist() for v in overlaps.candidates(words, f)), strict=True):
-                s, r, span = segs[i], int(words.row[x]), int(overlaps.span[i])
+            seg, x, y = overlaps.candidates(words, f)
+            span, row_of = overlaps.span[seg], words.row[x]
+            a, b = np.maximum(y - span + 1, words.first[row_of]), np.minimum(x + span, words.first[row_of + 1])
+            cuts = [0, *(np.flatnonzero((seg[1:] != seg[:-1]) | (row_of[1:] != row_of[:-1]) | (a[1:] > b[:-1])) + 1).tolist(), len(seg)] if len(seg) else [0]
+            near = []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):  # places of one segment that overlap, together
+                need = int(overlaps.need[seg[i]])
+                if segs[seg[i]].heard(words.hash[a[i] : b[j - 1]], need).bit_count() >= need:
+                    near += [v[i:j].tolist() for v in (seg, x, a, b)]
+            for i, x, a, b in (t for k in range(0, len(near), 4) for t in zip(*near[k : k + 4], strict=True)):
+                s, r, span, high = segs[i], int(words.row[x]), int(overlaps.span[i]), int(words.first[words.row[x] + 1])
                 if found.get((r, s.item), (0,))[0] >= same:
                     continue
-                low, high = int(words.first[r]), int(words.first[r + 1])
-                a, b = max(y - span + 1, low), min(x + span, high)
                 heard = words.hash[a:b]
-                most = s.heard(heard).bit_count()
+                most = s.heard(heard, int(overlaps.need[i])).bit_count()
                 # no window within takes in more than all of it does
                 if most < overlaps.need[i] or found.get((r, s.item), (0,))[0] >= most / len(s.words):
                     continue
@@ -305,10 +331,10 @@ def _found(shared, nearest: float, same: float, paraphrase: float):
                     ratio, yes = holds(s, heard[t : t + span])
                     if yes:
                         k, g = at_group[i]
-                        size = groups[g][2]
+                        size = groups[g][3]
                         begin = np.arange(np.searchsorted(starts, a + t, "right") - 1, np.searchsorted(starts, min(a + t + span, high)))
                         w = sums[np.minimum(begin + size, first[r + 1])] - sums[begin]
-                        c = float((w @ groups[g][1][k] / np.maximum(np.linalg.norm(w, axis=1), 1e-12)).max())
+                        c = float((w @ groups[g][2][k] / np.maximum(np.linalg.norm(w, axis=1), 1e-12)).max())
                         found[r, s.item] = max(found.get((r, s.item), (0.0, 0.0)), (ratio, c))
                     if ratio >= same or yes and ratio >= most / len(s.words):
                         break

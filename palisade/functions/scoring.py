@@ -11,8 +11,6 @@ from .text import half_up
 
 #: Evidence levels in ascending order.
 LEVELS = ["static", "reachable", "triggered", "demonstrated", "verified"]
-#: The gates of a proof, in order of reporting.
-GATES = ["marker", "baseline", "exploit", "impact", "target_reached", "assertion", "not_mocked", "source_mode", "repeated", "discriminating", "reviewed"]
 
 
 def confidence_floor(values: Column) -> Column:
@@ -41,16 +39,6 @@ def level_max(a: Column, b: Column) -> Column:
     return F.element_at(rank, F.greatest(F.array_position(rank, a), F.array_position(rank, b), F.lit(1)).cast("int"))
 
 
-def failed_gates(flags: list[tuple[str, Column]]) -> Column:
-    """Names of the gates whose flag isn't true, in order."""
-    return F.filter(F.array(*[F.when(F.coalesce(ok, F.lit(False)), F.lit(None).cast("string")).otherwise(F.lit(n)) for n, ok in flags]), lambda x: x.isNotNull())
-
-
-def gate_verdict(failed: Column) -> Column:
-    has = lambda g: F.array_contains(failed, g)
-    return F.when(has("marker"), "INCONCLUSIVE").when(F.size(failed) == 0, "PROVEN").when(has("exploit") | has("impact"), "UNPROVEN").otherwise("INCONCLUSIVE")
-
-
 def priority(cvss: Column, epss: Column, kev: Column, exploit: Column, direct: Column) -> Column:
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     bonus = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)

@@ -60,16 +60,29 @@ def confidence_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.clamped(F.col("l_quantity") * 2.0, v, t, F.col("l_linenumber") % 3).alias("confidence"))
 
 
-_FLAGS = [("marker", "l_quantity > 2"), ("baseline", "l_discount < 9e-2"), ("exploit", "l_tax < 8e-2"), ("impact", "l_linenumber < 7"), ("assertion", "l_returnflag <> 'R'")]
+_GATES = [
+    ("synthetic-source", "l_linenumber = 6"), ("extracted-logic-source", "l_linenumber = 5 AND l_quantity < 25"), ("mock-vulnerable-path", "l_linestatus = 'F' AND l_linenumber = 4"), ("target-not-reached", "l_quantity < 10"),
+    ("baseline-failed", "l_discount >= 9e-2"), ("exploit-failed", "l_tax >= 8e-2"), ("impact-not-observed", "l_linenumber = 7"), ("non-deterministic-assertion", "l_returnflag = 'R'"), ("insufficient-repeats", "l_suppkey % 5 + 1 < 3"), ("flaky-proof", "l_orderkey % 3 = 0"),
+]
 
 
 @R.frame(
-    "SELECT l_orderkey, l_linenumber, n_failed, CASE WHEN m THEN 'INCONCLUSIVE' WHEN n_failed = 0 THEN 'PROVEN' WHEN x THEN 'UNPROVEN' ELSE 'INCONCLUSIVE' END AS verdict FROM (SELECT l_orderkey, l_linenumber, "
-    + " + ".join(f"CASE WHEN {c} THEN 0 ELSE 1 END" for _, c in _FLAGS) + " AS n_failed, NOT (l_quantity > 2) AS m, NOT (l_tax < 8e-2) OR NOT (l_linenumber < 7) AS x FROM lineitem)"
-)
+    "WITH f AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 1 THEN list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _GATES) + "], lambda x: x IS NOT NULL) ELSE ['proof-marker-missing'] END AS failed FROM lineitem) "
+    "SELECT l_orderkey, l_linenumber, array_to_string(failed, ',') AS failed, CASE WHEN len(failed) = 0 THEN 'PROVEN' WHEN list_contains(failed, 'exploit-failed') OR list_contains(failed, 'impact-not-observed') THEN 'UNPROVEN' ELSE 'INCONCLUSIVE' END AS verdict FROM f"
+)
 def proof_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = S.failed_gates([(n, F.expr(c)) for n, c in _FLAGS])
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.size(failed).alias("n_failed"), S.gate_verdict(failed).alias("verdict"))
+    from palisade.operators import policy
+
+    bad = {n: F.expr(c) for n, c in _GATES}
+    marker = {
+        "sourceMode": F.when(bad["synthetic-source"], "synthetic").when(bad["extracted-logic-source"], "extracted-logic").otherwise("project"), "mockedVulnerablePath": F.when(bad["mock-vulnerable-path"], True),
+        "targetReached": ~bad["target-not-reached"], "baseline": F.when(~bad["baseline-failed"], "pass"), "exploit": F.when(bad["exploit-failed"], "fail").otherwise("pass"),
+        "impact": F.when(~bad["impact-not-observed"], "observed"), "assertion": F.when(bad["non-deterministic-assertion"], "random").otherwise("deterministic"),
+    }
+    runs = F.col("l_suppkey") % 5 + 1
+    failed = policy.proof_gates(F.col("l_quantity") > 1, marker, runs, F.when(bad["flaky-proof"], runs - 1).otherwise(runs))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", failed.alias("f"))
+    return rows.select("l_orderkey", "l_linenumber", F.array_join("f", ",").alias("failed"), policy.proof_verdict(F.col("f")).alias("verdict"))
 
 
 @R.frame("SELECT l_orderkey, l_linenumber, ['static', 'reachable', 'triggered', 'demonstrated', 'verified'][greatest(l_linenumber % 5, CAST(l_quantity AS INTEGER) % 5) + 1] AS level FROM lineitem")
@@ -152,13 +165,13 @@ def reverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blast(graph: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
-    """(node, depth): least number of steps from the seeds, at most `depth`: one join and anti join a round, a fixed number of rounds."""
-    reached = seeds.select("node", F.lit(0).alias("depth"))
-    front = reached
+    """(node, depth): least number of steps from the seeds, at most `depth`: one semi join a round, a fixed number of rounds, one minimum at the end."""
+    front = seeds.select("node").distinct()
+    fronts = [front.withColumn("depth", F.lit(0))]
     for d in range(1, depth + 1):
-        front = graph.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti").withColumn("depth", F.lit(d))
-        reached = reached.unionByName(front)
-    return reached
+        front = graph.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        fronts.append(front.withColumn("depth", F.lit(d)))
+    return reduce(DataFrame.unionByName, fronts).groupBy("node").agg(F.min("depth").alias("depth"))
 
 
 @R.frame(f"WITH RECURSIVE {_EDGES}, walk(node, depth) AS (SELECT 'n1', 0 UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 3) SELECT node, min(depth) AS depth FROM walk GROUP BY node")

@@ -458,15 +458,89 @@ def imports(src: Source) -> list[tuple[str, str, int]]:
     return sorted(set(out), key=lambda x: (x[2], x[0]))
 
 
-def routes(src: Source) -> list[tuple[str, str, int]]:
-    """(method, path, line) of route registrations and route decorators."""
-    receivers, methods = {"app", "router", "server", "api", "fastify", "route", "blueprint", "bp"}, {"get", "post", "put", "delete", "patch", "head", "options", "all", "route"}
+#: Who registers routes, by which methods, and names of Django's route functions.
+ROUTERS = {"app", "router", "server", "fastify", "api", "route", "controller", "rtr", "blueprint", "bp"}
+ROUTE_METHODS = {"get", "post", "put", "patch", "delete", "head", "options", "all", "route"}
+DJANGO_ROUTES = {"path", "re_path", "url"}
+#: Events and receivers of sockets, and events that others have too.
+SOCKET_EVENTS = {"connection", "message", "disconnect", "error", "close", "open", "upgrade", "ping", "pong", "listening", "unexpected-response", "handshake", "data", "end"}
+SOCKETS = {"ws", "wss", "socket", "io", "sio", "websocket", "client", "connection", "sock"}
+COMMON_EVENTS = {"error", "end", "data"}
+#: How sure a path is that is written out, held by a constant, or neither.
+LITERAL, CONSTANT, OPEN = 1.0, 0.6, 0.2
+
+
+def constants(src: Source) -> dict[str, str]:
+    """Names to which a statement assigns just one string; the last counts."""
+    out, at = {}, src.tokens
+    for i, t in enumerate(at[:-2]):
+        value = at[i + 2]
+        end = at[i + 3] if i + 3 < len(at) else None
+        alone = end is None or end.kind == "line" or end.text in (";", ",", "}")
+        if t.kind == "name" and at[i + 1].text == "=" and value.kind == "string" and alone and not (i and at[i - 1].text in (".", "?.")):
+            out[t.text] = unquoted(value)
+    return out
+
+
+def unquoted(t: Token) -> str:
+    return re.sub(r"^[rRbBuUfF]*('\''|\"\"\"|'|\"|`)(.*)\1$", r"\2", t.text, flags=re.S)
+
+
+def resolved_path(arg: list[Token], known: dict[str, str]) -> tuple[str, float]:
+    """(path, confidence) of a route's first argument; '?' where it can't be told."""
+    if len(arg) == 1:
+        t = arg[0]
+        if t.kind == "string" or t.kind == "template" and argument_kind(arg) == "literal":
+            return unquoted(t), LITERAL
+        if t.kind == "name" and t.text in known:
+            return known[t.text], CONSTANT
+    return "?", OPEN
+
+
+def routes(src: Source) -> list[tuple[str, str, int, float]]:
+    """(method, path, line, confidence) of route registrations and decorators, and of the entries of a Django urlpatterns list.
+
+    The path must be a string, a template or a name; a name or template alone, without a handler, is a getter.
+    """
+    known, out, calls = constants(src), [], src.calls()
+    lists = [(i + 2, src.match[i + 2]) for i, t in enumerate(src.tokens[:-2]) if t.text == "urlpatterns" and src.tokens[i + 1].text in ("=", "+=") and i + 2 in src.match]
+    for c in calls:
+        if not c.args:
+            continue
+        first = c.args[0]
+        if c.receiver in ROUTERS and c.method.lower() in ROUTE_METHODS:
+            kind = first[0].kind if len(first) == 1 else ""
+            decorated = c.start and src.tokens[c.start - 1].text == "@"
+            if kind == "string" or kind in ("name", "template") and (len(c.args) > 1 or decorated):
+                path, sure = resolved_path(first, known)
+                out.append(("ALL" if c.method.lower() in ("all", "route") else c.method.upper(), path, c.line, sure))
+        elif not c.receiver and c.method in DJANGO_ROUTES and len(first) == 1 and first[0].kind == "string" and any(a < c.start and c.end < b for a, b in lists):
+            out.append(("ALL", unquoted(first[0]), c.line, LITERAL))
+    return out
+
+
+def middleware(src: Source) -> list[tuple[str, str, int]]:
+    """(prefix, name, line) of use() registrations; the prefix is null for all paths, '?' for one that can't be told."""
+    known, out = constants(src), []
+    for c in src.calls():
+        if c.receiver in ROUTERS and c.method == "use":
+            text = lambda arg: "".join(t.text for t in arg)
+            led = len(c.args) > 1 and (argument_kind(c.args[0]) in ("literal", "template") or text(c.args[0]) in known)
+            prefix = resolved_path(c.args[0], known)[0] if led else None
+            out += [(prefix, text(a), c.line) for a in c.args[led:]]
+    return out
+
+
+def sockets(src: Source) -> list[tuple[str, str, int]]:
+    """(receiver, event, line) of socket handlers: an event of sockets, or any event of what is named like one. Events that
+    other emitters have too need such a name."""
     out = []
     for c in src.calls():
-        if c.receiver in receivers and c.method in methods and c.args:
-            first = c.args[0]
-            literal = len(first) == 1 and first[0].kind == "string"
-            out.append((c.method.upper() if c.method not in ("all", "route") else "ALL", first[0].text[1:-1] if literal else "?", c.line))
+        if c.method in ("on", "addEventListener", "handle") and c.receiver and c.args and len(c.args[0]) == 1 and c.args[0][0].kind == "string":
+            event, of = unquoted(c.args[0][0]), c.receiver.rpartition(".")[2].lower()
+            named = of in SOCKETS or re.match(r"(ws|socket|io|wss|sock)[0-9_]", of) is not None or re.search(r"[0-9_](ws|socket|io)$", of) is not None
+            if event and (named or event.lower() in SOCKET_EVENTS and event not in COMMON_EVENTS):
+                out.append((c.receiver, event, c.line))
     return out
 
 
@@ -523,7 +597,7 @@ _FACTS = "path string, kind string, line int, name string, detail string, type s
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """Rows of facts of files (path, text, lang): kinds call, import, route, function (detail: last line), calls (caller, callee), sink, flow, and those of summaries(). Files that can't be read give none.
+    """Rows of facts of files (path, text, lang): kinds call, import, route (type: confidence), use (detail: prefix), socket, function (detail: last line), calls (caller, callee), sink, flow, and those of summaries(). Files that can't be read give none.
 
     Null texts and unknown languages give nothing. One narrow pass; rules ship with the code, so there is no join.
     """
@@ -537,7 +611,9 @@ def facts(files: DataFrame) -> DataFrame:
                 src = Source(lang, text)
                 rows += [(path, "call", c.line, f"{c.receiver}.{c.method}".lstrip("."), ",".join(map(argument_kind, c.args)), None, None) for c in src.calls()]
                 rows += [(path, "import", n, local, spec, None, None) for local, spec, n in imports(src)]
-                rows += [(path, "route", n, p, m, None, None) for m, p, n in routes(src)]
+                rows += [(path, "route", n, p, m, str(sure), None) for m, p, n, sure in routes(src)]
+                rows += [(path, "use", n, name, prefix, None, None) for prefix, name, n in middleware(src)]
+                rows += [(path, "socket", n, event, receiver, None, None) for receiver, event, n in sockets(src)]
                 rows += [(path, "function", a, name, str(b), None, None) for name, a, b in functions(src)]
                 rows += [(path, "calls", n, a, b, None, None) for a, b, n in call_graph(src)]
                 rows += [(path, kind, n, name, detail, type_, None) for kind, name, n, detail, type_ in summaries(src)]

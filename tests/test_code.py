@@ -111,3 +111,15 @@ def test_taint_crosses_calls_and_files(spark):
     assert {x for x in got if x[2] == "src/routes.js"} <= {("src/routes.js", 7, "src/routes.js", "show", 1)}
     assert not [x for x in ((r.path, r.line, r.target, r.function, r.hops) for r in code.cross_file_flows(found, files, depth=1).collect()) if x[4] > 1]
     found.unpersist()
+
+
+def test_routes_middleware_and_sockets():
+    js = "const BASE = '/base';\nlet v = `x`;\napp.get('/a', f);\nrouter.post(BASE, f);\napp.put(`/t`, f);\napp.delete(`/t/${id}`, f);\napp.get(setting);\napp.get(unknown, f);\nlogger.get('/no', f);\napp.use(cors());\napp.use('/api', auth, limit);\napp.use(BASE, x);\n"
+    src = code.Source("javascript", js)
+    assert code.constants(src) == {"BASE": "/base"}
+    assert code.routes(src) == [("GET", "/a", 3, 1.0), ("POST", "/base", 4, 0.6), ("PUT", "/t", 5, 1.0), ("DELETE", "?", 6, 0.2), ("GET", "?", 8, 0.2)]
+    assert code.middleware(src) == [(None, "cors()", 10), ("/api", "auth", 11), ("/api", "limit", 11), ("/base", "x", 12)]
+    py = "@app.route('/x')\ndef a(): pass\n\nurlpatterns = [\n    path('articles/', views.list),\n    re_path(r'^y$', views.y),\n]\npath('z', q)\n"
+    assert code.routes(code.Source("python", py)) == [("ALL", "/x", 1, 1.0), ("ALL", "articles/", 5, 1.0), ("ALL", "^y$", 6, 1.0)]
+    js = "io.on('connection', f);\nemitter.on('tick', f);\nio.on('tick', f);\nprocess.on('error', f);\nws.on('error', f);\nserver.on('upgrade', f);\nio.on(name, f);\n"
+    assert code.sockets(code.Source("javascript", js)) == [("io", "connection", 1), ("io", "tick", 3), ("ws", "error", 5), ("server", "upgrade", 6)]

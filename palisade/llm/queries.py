@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, katz, license_scan, line_dedup, ngram_join, oracles, packing, quality, substring_dedup, token_counts
+from . import byte_bpe, decontamination, embedding_dedup, katz, license_scan, line_dedup, ngram_join, oracles, packing, quality, substring_dedup, token_counts
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_token_counts": token_counts.query,
         "op9_quality_classifier": quality.query,
         "op10_benchmark_decontamination": decontamination.query,
+        "op11_byte_bpe": byte_bpe.query,
     }
 
 

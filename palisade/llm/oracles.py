@@ -32,3 +32,19 @@ each AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM
 kept AS (SELECT each.doc_id, count(*) AS n, string_agg(each.word, ' ' ORDER BY each.j) AS t FROM each LEFT JOIN gone ON gone.doc_id = each.doc_id AND gone.j = each.j WHERE gone.j IS NULL GROUP BY each.doc_id)
 SELECT w.doc_id, len(w.ws) AS n_words, len(w.ws) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
+
+_PIECES = f"regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')"
+PHRASES = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, list_filter(regexp_split_to_array(unnest({_PIECES}), '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT lang, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: array_to_string(ws[i:i+1], ' ')), list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' ')))) AS g FROM p),
+grams AS (SELECT lang, g, count(*) AS n FROM g GROUP BY lang, g HAVING count(*) >= 10),
+totals AS (SELECT lang, sum(len(ws)) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, g, n AS a, string_split(g, ' ') AS w FROM grams WHERE contains(g, ' ')),
+cuts AS (SELECT lang, g, a, k, array_to_string(w[:k], ' ') AS x, array_to_string(w[k+1:], ' ') AS y FROM c, (SELECT unnest([1, 2]) AS k) WHERE k < len(w)),
+scored AS (SELECT c.lang, c.g, a, p.n AS l, q.n AS r, k, (1000000::HUGEINT * a * a) // (p.n::HUGEINT * q.n) AS score FROM cuts c JOIN grams p ON p.lang = c.lang AND p.g = x JOIN grams q ON q.lang = c.lang AND q.g = y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+parts AS (SELECT lang, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS g, a FROM c WHERE len(w) = 3),
+longest AS (SELECT lang, g, max(a) AS m FROM parts GROUP BY lang, g),
+ranked AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank FROM best b LEFT JOIN longest o ON o.lang = b.lang AND o.g = b.g WHERE m IS NULL OR 100 * m < 50 * a)
+SELECT r.lang, rank, r.g AS phrase, a, l, r, t.n::BIGINT AS n, score::BIGINT AS score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, embedding_dedup, katz, license_scan, line_dedup, ngram_join, oracles, packing, phrases, quality, substring_dedup, token_counts
+from . import byte_bpe, decontamination, embedding_dedup, hard_negatives, katz, license_scan, line_dedup, ngram_join, oracles, packing, phrases, quality, substring_dedup, token_counts
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_quality_classifier": quality.query,
         "op10_benchmark_decontamination": decontamination.query,
         "op11_byte_bpe": byte_bpe.query,
+        "op12_hard_negatives": hard_negatives.query,
         "op13_phrase_mining": phrases.query,
     }
 
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_ngram_jaccard_join": oracles.NEAR_DUPLICATES,
         "op3_embedding_near_dedup": oracles.EMBEDDINGS,
         "op5_substring_dedup": oracles.REPEATS,
+        "op12_hard_negatives": oracles.HARD_NEGATIVES,
         "op13_phrase_mining": oracles.PHRASES,
     }

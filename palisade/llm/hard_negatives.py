@@ -211,7 +211,7 @@ def _reached(model):
         for batch in batches:
             for some, rings, q in _each_dimension(model, batch):
                 best, worst = rings.bounds(q)
-                upper, lower, seen = (some.column(c).cast(pa.float64()).fill_null(np.inf).to_numpy()[:, None] for c in ("upper", "lower", "seen"))
+                upper, lower, seen = (some.column(c).cast(pa.float64(), safe=False).fill_null(np.inf).to_numpy()[:, None] for c in ("upper", "lower", "seen"))
                 at, ring = np.nonzero((best >= lower) & (best < seen) & (worst <= upper))
                 of = [rings.rings[k] for k in ring.tolist()]
                 columns = [some.column("row").take(pa.array(at)), *(pa.array([getattr(r, c) for r in of], t) for c, t in (("dim", pa.int32()), ("band", pa.int32()), ("pivot", pa.int32()), ("number", pa.int32()), ("blocks", pa.int64())))]

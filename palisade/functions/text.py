@@ -26,18 +26,18 @@ SECRET_RULES = [
 #: An ASCII word boundary (the engine's own one counts letters of other scripts).
 _EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
-#: Redactions of report text, in this order; @ stands for a word boundary.
+#: Redactions of report text, in this order; {edge} stands for a word boundary.
 REDACT_A = [
     ("(?i)Bearer\\s+[A-Za-z0-9._-]+", "Bearer [REDACTED]"),
     ("eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", "[JWT_REDACTED]"),
-    ("[a-zA-Z0-9._%+-]+\\x40[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}", "[EMAIL_REDACTED]"),
-    ("@(?:[A-Za-z0-9]{64}|[A-Za-z0-9]{40}|[A-Za-z0-9]{32})@", "[REDACTED]"),
+    ("[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}", "[EMAIL_REDACTED]"),
+    ("{edge}(?:[A-Za-z0-9]{64}|[A-Za-z0-9]{40}|[A-Za-z0-9]{32}){edge}", "[REDACTED]"),
 ]
 
 #: Redactions of version-control output, in this order.
 REDACT_B = [
-    ("<[^>]+\\x40[^>]+>", "<redacted>"),
-    ("@[A-Za-z0-9_.+-]+\\x40[A-Za-z0-9_-]+\\.[A-Za-z0-9_.-]+@", "redacted\x40email"),
+    ("<[^>]+@[^>]+>", "<redacted>"),
+    ("{edge}[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.-]+{edge}", "redacted@email"),
     ("(?i)sk-[A-Za-z0-9_]{20,}", "sk-REDACTED"),
     ("AKIA[A-Za-z0-9_]{16}", "AKIA-REDACTED"),
     ("ghp_[A-Za-z0-9_]{36}", "ghp-REDACTED"),
@@ -47,14 +47,14 @@ REDACT_B = [
 
 def replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
     for pattern, to in rules:
-        text = F.regexp_replace(text, pattern.replace("@", _EDGE), to)
+        text = F.regexp_replace(text, pattern.replace("{edge}", _EDGE), to)
     return text
 
 
 def replaced_sql(text: str, rules: list[tuple[str, str]]) -> str:
     """The same for DuckDB, whose word boundary is that of ASCII."""
     for pattern, to in rules:
-        text = f"regexp_replace({text}, '{pattern.replace('@', chr(92) + 'b').replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
+        text = f"regexp_replace({text}, '{pattern.replace('{edge}', chr(92) + 'b').replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
     return text
 
 
@@ -72,15 +72,18 @@ def normal_type(text: Column) -> Column:
 
 
 def env_redacted(line: Column) -> Column:
-    """KEY=value lines: secret-like keys keep no value, others are only said to be set."""
-    key = F.regexp_extract(line, "^ *([A-Za-z_][A-Za-z0-9_]*) *=", 1)
-    secret = key.rlike("(?i)(secret|token|password|passwd|key|credential|auth)")
-    return F.when(key == "", line).when(secret, F.concat(key, F.lit("=[REDACTED]"))).otherwise(F.concat(key, F.lit("=[set]")))
+    """A line of an environment file without its value: what stands before the first = is the key, whatever its signs.
+
+    Secret-like keys get REDACTED, others `set`; comments, blank lines and lines without = stay as they are.
+    """
+    key = F.regexp_replace(F.substring_index(line, "=", 1), "^\\s+|\\s+$", "")
+    secret = key.rlike("(?i)SECRET|KEY|TOKEN|PASSWORD|PRIVATE|CREDENTIAL")
+    return F.when(line.rlike("^\\s*(#|$)") | ~line.contains("="), line).otherwise(F.concat(key, F.when(secret, "=REDACTED").otherwise("=set")))
 
 
 def headers_redacted(headers: Column) -> Column:
     """A map of headers with sensitive ones' values taken out."""
-    return F.transform_values(headers, lambda k, v: F.when(k.rlike("(?i)(authorization|cookie|token|secret|api-?key)"), F.lit("[REDACTED]")).otherwise(v))
+    return F.transform_values(headers, lambda k, v: F.when(k.rlike("(?i)authorization|cookie|x-api-key|api-key"), F.lit("[REDACTED]")).otherwise(v))
 
 
 def sampled(key: Column, rate: float) -> Column:

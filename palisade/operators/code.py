@@ -231,7 +231,7 @@ def argument_kind(arg: list[Token]) -> str:
 def source_in(tokens: list[Token], language: str) -> str | None:
     """The first taint source (in table order) that the tokens name, as itself or the start of a longer chain."""
     text = "".join(t.text if t.kind != "template" else " " + t.text + " " for t in tokens)
-    for s in rules.SOURCES[rules.family(language)].split():
+    for s in rules.SOURCES[rules.family(language)]:
         for m in re.finditer(re.escape(s), text):
             before, after = text[: m.start()][-1:], text[m.end() :][:1]
             if not re.match(r"[\w$.]", before) and not re.match(r"[\w$]", after):
@@ -241,8 +241,7 @@ def source_in(tokens: list[Token], language: str) -> str | None:
 
 
 def sanitizer(call: Call, language: str) -> bool:
-    for s in rules.SANITIZERS[rules.family(language)].split():
-        receiver, _, method = s.rpartition(".")
+    for receiver, method in rules.SANITIZERS[rules.family(language)]:
         if call.method == method and (not receiver or call.receiver == receiver):
             return True
     return False
@@ -259,7 +258,7 @@ class Flow:
 
 def matching(call: Call, language: str) -> Iterator[tuple]:
     for order, rule in enumerate(rules.SINKS, 1):
-        if language in rule[3] and any(m.rpartition(".")[2] == call.method and (r == "*" and call.receiver or r == "-" and not call.receiver or r == call.receiver) for m in rule[4].split() if ":" not in m for r in [m.rpartition(".")[0]]):
+        if language in rule[3] and any(form == "call" and name == call.method and (r == call.receiver or r == "*" and call.receiver) for form, r, name in rule[4]):
             yield order, rule
 
 
@@ -407,17 +406,17 @@ def sinks(src: Source, gate_on_taint: bool = True) -> list[Sink]:
 
     for c in src.calls():
         for order, rule in matching(c, src.language):
-            if rule[5] == "N" and (not c.args or argument_kind(c.args[0]) == "literal"):
+            if rule[5] == "not literal" and (not c.args or argument_kind(c.args[0]) == "literal"):
                 continue
-            if rule[5] == "U" and not ((c.line, rule[0]) in reached if reached else any(source_in(a, src.language) for a in c.args)):
+            if rule[5] == "user input" and not ((c.line, rule[0]) in reached if reached else any(source_in(a, src.language) for a in c.args)):
                 continue
             if add(c.line, order, rule):
                 break
     for i, t in enumerate(src.tokens[:-1]):
         for order, rule in enumerate(rules.SINKS, 1):
-            if src.language not in rule[3] or ":" not in rule[4]:
+            kind, _, name = rule[4][0]
+            if src.language not in rule[3] or kind == "call":
                 continue
-            kind, _, name = rule[4].partition(":")
             if t.kind == "name" and t.text == name and src.tokens[i + 1].text == "=":
                 if kind == "jsx" and not (i and src.tokens[i - 1].text in (".", "?.")):
                     add(t.line, order, rule)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palisade.functions.rules import ATTACKS, GUARD_STOPS, GUARDS
 from palisade.functions import scoring as S
 from palisade.plans.registry import Registry, table
 
@@ -118,28 +119,18 @@ def min_safe_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min(F.col("p_size") * 1000000 + F.col("p_partkey")).alias("key_"), F.min_by(version, version_key(version)).alias("version"))
 
 
-#: Which guards stop which attacks (T yes, F no, blank unknown), by attack in this order.
-ATTACKS = ["sql_injection", "nosql_injection", "command_injection", "xss", "ssrf", "path_traversal", "open_redirect", "prototype_pollution", "insecure_deserialization", "broken_access_control"]
-GUARDS = {
-    "sanitizer-numeric": "TTTTTTTT  ", "sanitizer-html": "F FTFFFF  ", "sanitizer-url": "F FFTFT   ", "parameterized-query": "TFFF      ", "allowlist-literal": "TTTTTTTT  ",
-    "allowlist-dynamic": "FFFFFFF   ", "auth-jwt-verify": "         F", "auth-jwt-verify-noalg": "         F", "auth-session": "         F", "auth-api-key": "         F", "auth-none": "         F",
-    "rate-limit": "         F", "helmet": "   FF     ", "cors-strict": "          ", "cors-permissive": "         F", "validator": "F  F      ", "unknown": "          ",
-}
-CELLS = [(g, a, row[i] == "T") for g, row in GUARDS.items() for i, a in enumerate(ATTACKS) if row[i] != " "]
-
-
 def guard_cells(spark: SparkSession) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(CELLS, "guard string, attack string, stops boolean"))
+    return F.broadcast(spark.createDataFrame(GUARD_STOPS, "guard string, attack string, stops boolean"))
 
 
 @R.frame(
-    f"WITH g AS (SELECT n_nationkey, {list(GUARDS)!r}[n_nationkey % {len(GUARDS)} + 1] AS guard FROM nation), a AS (SELECT r_regionkey, {ATTACKS!r}[r_regionkey * 2 + 1] AS attack FROM region), c(guard, attack, stops) AS (VALUES "
-    + ", ".join(f"('{g}', '{a}', {str(s).lower()})" for g, a, s in CELLS) + ") SELECT n_nationkey, g.guard, a.attack, c.stops FROM g CROSS JOIN a LEFT JOIN c ON c.guard = g.guard AND c.attack = a.attack"
+    f"WITH g AS (SELECT n_nationkey, {GUARDS!r}[n_nationkey % {len(GUARDS)} + 1] AS guard FROM nation), a AS (SELECT r_regionkey, {ATTACKS!r}[r_regionkey * 2 + 1] AS attack FROM region), c(guard, attack, stops) AS (VALUES "
+    + ", ".join(f"('{g}', '{a}', {str(s).lower()})" for g, a, s in GUARD_STOPS) + ") SELECT n_nationkey, g.guard, a.attack, c.stops FROM g CROSS JOIN a LEFT JOIN c ON c.guard = g.guard AND c.attack = a.attack"
 )
 def guard_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guards against attacks, three-valued; the attack side is a fixed table of ten rows at most."""
     pick = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (i + 1).cast("int"))
-    guards = table(spark, sf_dir, "nation").select("n_nationkey", pick(list(GUARDS), F.col("n_nationkey") % len(GUARDS)).alias("guard"))
+    guards = table(spark, sf_dir, "nation").select("n_nationkey", pick(GUARDS, F.col("n_nationkey") % len(GUARDS)).alias("guard"))
     attacks = table(spark, sf_dir, "region").select(pick(ATTACKS, F.col("r_regionkey") * 2).alias("attack"))
     return guards.crossJoin(F.broadcast(attacks)).join(guard_cells(spark), ["guard", "attack"], "left").select("n_nationkey", "guard", "attack", "stops")
 

@@ -6,6 +6,10 @@ same in SQL of their own.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -188,11 +192,32 @@ def rollup(samples: DataFrame, verdict: str, root_cause: str, level: str, gates:
     return one.crossJoin(levels).crossJoin(failures)  # one row each
 
 
-def fingerprint(df: DataFrame, keys: list[str], line: Column, place: Column, width: int = 4096) -> DataFrame:
-    """(keys, fingerprint): a hash of all lines in order of (place, line), of a bucket of `width` places each first, so that no list holds a whole group."""
-    parts = df.select(*keys, F.floor(place / width).alias("_bucket"), F.struct(place.alias("p"), line.alias("l")).alias("_l"))
-    hashed = parts.groupBy(*keys, "_bucket").agg(T.sha16(F.array_join(F.transform(F.array_sort(F.collect_list("_l")), lambda x: x["l"]), "\n")).alias("_h"))
-    return hashed.groupBy(*keys).agg(T.sha16(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_bucket", "_h"))), lambda x: x["_h"]), "\n")).alias("fingerprint"))
+def fingerprint(df: DataFrame, keys: list[str], line: Column, groups: DataFrame | None = None) -> DataFrame:
+    """(keys, fingerprint): the first 16 hexadecimal digits of the SHA-256 of a group's lines, sorted and joined by line breaks.
+
+    Null lines don't count. groups (keys): groups that are to have a row in any case, with an empty fingerprint where
+    there are no lines. The digest of an ordered sequence can't be taken in parts, so a group is hashed by one task, but
+    as a stream over sorted rows: none is held as a whole.
+    """
+    rows = df.select(F.to_json(F.struct(*[F.col(k) for k in keys])).alias("_key"), line.cast("string").alias("_line"), *keys).where("_line is not null")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, out = None, None, []
+        for batch in batches:
+            for key, text in zip(batch.column("_key").to_pylist(), batch.column("_line").to_pylist(), strict=True):
+                if digest is None or key != now:
+                    if digest is not None:
+                        out.append((now, digest.hexdigest()[:16]))
+                    now, digest = key, hashlib.sha256(text.encode())
+                else:
+                    digest.update(b"\n" + text.encode())
+        if digest is not None:
+            out.append((now, digest.hexdigest()[:16]))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.string())], names=["_key", "fingerprint"])
+
+    hashed = rows.select("_key", "_line").repartition("_key").sortWithinPartitions("_key", "_line").mapInArrow(digests, "_key string, fingerprint string")
+    names = (rows if groups is None else groups).select(F.to_json(F.struct(*[F.col(k) for k in keys])).alias("_key"), *keys).dropDuplicates(["_key"])
+    return names.join(hashed, "_key", "left").select(*keys, F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
 
 
 # ---- registered
@@ -331,7 +356,7 @@ def audit_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup(samples, "v", "user_id", "level", "gates").withColumn("levels", F.array_join("levels", ",")).withColumn("gate_failures", F.array_join("gate_failures", ","))
 
 
-@R.frame("""SELECT quality, left(sha256(string_agg(h, chr(10) ORDER BY b)), 16) AS fingerprint FROM (SELECT quality, doc_id // 4096 AS b, left(sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || CAST(toxic AS VARCHAR), chr(10) ORDER BY doc_id, toxic)), 16) AS h FROM labels GROUP BY 1, 2) GROUP BY quality""")
+@R.frame("""SELECT quality, left(sha256(string_agg(CAST(toxic AS VARCHAR) || '|' || CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(toxic AS VARCHAR) || '|' || CAST(doc_id AS VARCHAR))), 16) AS fingerprint FROM labels GROUP BY quality""")
 def memory_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("toxic").cast("string"))
-    return fingerprint(_t(spark, sf_dir, "labels"), ["quality"], line, F.col("doc_id"))
+    line = F.concat_ws("|", F.col("toxic").cast("string"), F.col("doc_id").cast("string"))
+    return fingerprint(_t(spark, sf_dir, "labels"), ["quality"], line)

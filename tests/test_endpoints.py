@@ -73,7 +73,11 @@ def test_guards_and_what_they_stop(spark):
         r = got[i, attack]
         assert (r.guard_type, r.effective) == (kind, effective), (i, r)
         assert effective or kind in ("unknown",) or r.bypass, r
-    assert "unknown" in got[len(GUARDS) - 1, "xss"].reason and got[len(GUARDS) - 1, "xss"].bypass is None
+    assert got[len(GUARDS) - 1, "xss"].reason == "Guard detected as 'unknown' but effectiveness against xss is unknown" and got[len(GUARDS) - 1, "xss"].bypass is None
+    assert got[2, "xss"].reason == """HTML escaping escapes <, >, ", ', & — prevents script injection""" and got[2, "xss"].bypass is None
+    assert got[2, "sql_injection"].reason == "Guard type 'sanitizer-html' is NOT effective against sql_injection"
+    assert got[2, "sql_injection"].bypass == "escapeHtml doesn't stop SQLi: q' OR 1=1-- is valid HTML"
+    assert got[11, "command_injection"].reason == "Guard type 'allowlist-literal' is effective against command_injection"
 
 
 def test_ignore_files_and_secret_names(spark):

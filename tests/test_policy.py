@@ -47,9 +47,11 @@ def test_scalars(spark):
     got = values(spark, [("1.10.0",), ("1.9.9",), ("2.0.0-rc1",), ("2.0",)], "v string", "v", text.version_key(F.col("v")).alias("k"))
     assert [v for v, _ in sorted(got, key=lambda r: r[1])] == ["1.9.9", "1.10.0", "2.0.0-rc1", "2.0"]
     assert values(spark, [("4111111111111111",), ("4111111111111112",)], "d string", text.luhn(F.col("d"))) == [(True,), (False,)]
-    assert values(spark, [("API_KEY=abc",), ("PORT=80",), ("x",)], "l string", text.env_redacted(F.col("l"))) == [("API_KEY=[REDACTED]",), ("PORT=[set]",), ("x",)]
+    assert values(spark, [("API_KEY=abc",), ("PORT=80",), ("x",), ("export SECRET_KEY=abc=d",), ("my-token=abc",), ("\tkey=1",), ("# KEY=1",), ("  ",), ("=v",)], "l string", text.env_redacted(F.col("l"))) == [
+        ("API_KEY=REDACTED",), ("PORT=set",), ("x",), ("export SECRET_KEY=REDACTED",), ("my-token=REDACTED",), ("key=REDACTED",), ("# KEY=1",), ("  ",), ("=set",),
+    ]
     assert values(spark, [(9.0, 50.0, True, True, True), (None, None, None, None, None)], "a double, b double, c boolean, d boolean, e boolean", scoring.priority(*map(F.col, "abcde"))) == [(84,), (0,)]
-    assert values(spark, [({"Cookie": "a", "Accept": "b"},)], "h map<string,string>", text.headers_redacted(F.col("h"))) == [({"Cookie": "[REDACTED]", "Accept": "b"},)]
+    assert values(spark, [({"Cookie": "a", "Accept": "b", "X-Api-Key": "c", "token": "d"},)], "h map<string,string>", text.headers_redacted(F.col("h"))) == [({"Cookie": "[REDACTED]", "Accept": "b", "X-Api-Key": "[REDACTED]", "token": "d"},)]
 
 
 def test_redaction_is_idempotent(spark):
@@ -57,3 +59,18 @@ def test_redaction_is_idempotent(spark):
     for rules in (text.REDACT_A, text.REDACT_B):
         once = text.replaced(F.col("t"), rules)
         assert all(a == b for a, b in values(spark, rows, "t string", once, text.replaced(once, rules)))
+
+
+def test_fingerprint_of_sorted_lines(spark):
+    import hashlib
+
+    from palisade.operators import state
+
+    rows = [("a", f"t|{k * 7 % 50}") for k in range(50)] + [("a", "t|1"), ("b", None), (None, "x|y")]
+    df = spark.createDataFrame(rows, "k string, l string").repartition(5)
+    want = lambda lines: hashlib.sha256("\n".join(sorted(lines)).encode()).hexdigest()[:16]
+    groups = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "k string")
+    got = {r.k: r.fingerprint for r in state.fingerprint(df, ["k"], F.col("l"), groups).collect()}
+    assert got == {"a": want([x for k, x in rows if k == "a"]), "b": "", "c": "", None: want(["x|y"])}
+    assert {r.k for r in state.fingerprint(df, ["k"], F.col("l")).collect()} == {"a", None}
+    assert state.fingerprint(df.limit(0), ["k"], F.col("l")).count() == 0

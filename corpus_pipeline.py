@@ -16,13 +16,21 @@ ORACLE_SQL = None
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier scores under 0.5."""
+    """Drops the documents that the classifier scores under 0.5.
+
+    Each row is scored by its own text, so rows without a doc_id, or that share one, are documents of their own, and rows
+    that repeat go or stay together; null and empty texts are scored as empty. No rows, no rows. Columns stay as they are.
+    """
     model = quality.train(docs, common.read(spark, sf_dir, "labels"))
     return quality.score(spark, docs, model).where("score >= 0.5").select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rewrites texts without lines of recurring templates; n_chars follows the text."""
+    """Rewrites texts without lines of recurring templates; n_chars follows the text.
+
+    A document of such lines alone goes. Empty and null texts have no lines and stay; so do texts that none of their
+    lines leaves. Rows without a doc_id, or that share one, are documents of their own. Other columns stay as they are.
+    """
     left = line_dedup.drop_recurring(spark, docs)
     kept = left.where((F.col("_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))  # a document of such lines alone has nothing left
     chars = F.when(F.col("_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
@@ -30,19 +38,29 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class."""
+    """Keeps one document of each class of near duplicates: the one of the smallest doc_id, of rows that repeat any one.
+
+    Rows without a doc_id, or that share one with another text, are documents of their own; texts without words have no
+    near duplicates. Columns stay as they are.
+    """
     return ngram_join.one_of_each(spark, docs, words=5, similarity=0.8)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
-    hits = decontamination.contaminated(spark, docs, common.read(spark, sf_dir, "benchmark"))
-    hits = hits.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hits, F.col("doc_id") == F.col("_id"), "left_anti").select(docs.columns)
+    """Drops the documents that hold a benchmark item.
+
+    A hit counts for the doc_id (or its absence) together with the text it was found in: another document under the same
+    doc_id, or another one without any, stays unless it holds an item itself. Null and empty texts hold none and stay.
+    Columns stay as they are.
+    """
+    texts = docs.select("doc_id", "text", F.xxhash64(F.col("text").cast("string")).alias("_row"))
+    hits = decontamination.contaminated(spark, texts, common.read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit_id"), F.col("_row").alias("_hit_text")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(hits["_hit_id"]) & (F.xxhash64(docs["text"].cast("string")) == hits["_hit_text"])
+    return docs.join(hits, same, "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 1024 tokens."""
+    """Packs what is left into sequences of 1024 tokens; a row for each piece. Null and empty texts are a piece of one id."""
     import public_tokenizers
 
     return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))

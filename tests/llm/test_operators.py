@@ -735,3 +735,15 @@ def test_pipeline_stages_on_odd_rows(spark):
             assert got.count((7003, odd[3][1])) == 1
     packed = stages["packing"](spark, docs, SF)
     assert sum(r.doc_id is None and r.start == 0 for r in packed.collect()) == 2
+
+
+def test_decontamination_goes_by_the_row(spark):
+    """Another text under the id of a contaminated document stays; a contaminated text without an id goes."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    clean, other = "quite clean words that nobody has asked about so far", "another clean text under no id at all, or under many"
+    rows = [(9001, f"before it {item} after it"), (9001, clean), (None, item), (None, other), (9002, item), (9002, item), (9003, None), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], schema).selectExpr("*", "7 AS _row", "8 AS _hit_id")
+    left = dict(corpus_pipeline.STAGES)["benchmark decontamination"](spark, docs, SF)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(9001, clean), (None, other), (9003, None), (None, None)], key=str)

@@ -21,7 +21,7 @@ from palisade.plans.scratch import written
 
 R = Registry()
 
-MODULE, FAR = -1, 1 << 60
+MODULE, FAR = -1, S.FAR
 CELL = ["c_path", "c_scope", "c_name"]
 
 
@@ -66,11 +66,13 @@ def imports(files: DataFrame) -> DataFrame:
     spec = F.when(script, F.regexp_extract("x", r"['\"]([^'\"]+)['\"]", 1)).otherwise(F.concat(F.when(dots == 1, "./").otherwise(F.repeat(F.lit("../"), dots - 1)), module))
     names = F.when(script, F.regexp_extract("x", r"(?:import\s+(?:type\s+)?|const\s+|let\s+|var\s+)([\w$*{}\s,:]+?)\s*(?:from|=)", 1)).otherwise(F.regexp_extract("x", r"import\s+([^\n#]+)", 1))
     each = one.select("path", "lang", spec.alias("spec"), F.explode(F.split(F.regexp_replace(names, r"[()]", ""), ",")).alias("part"), names.alias("names")).where(F.col("spec").startswith("."))
-    whole = F.col("part").contains("*") | script & ~F.col("names").contains("{")
+    bare = ~script & (F.col("spec").rlike("/$"))  # from . import module
+    whole = F.col("part").contains("*") | script & ~F.col("names").contains("{") | bare
     part = F.trim(F.regexp_replace("part", r"[{}*]", ""))
     local = F.regexp_extract(part, f"({word}+)$", 1)
     original = F.when(~whole, F.regexp_extract(part, f"^({word}+)", 1))
-    each = each.select("path", "lang", "spec", local.alias("local"), original.alias("original")).where("local <> ''")
+    spec = F.when(bare, F.concat("spec", F.regexp_extract(part, f"^({word}+)", 1))).otherwise(F.col("spec"))
+    each = each.select("path", "lang", spec.alias("spec"), local.alias("local"), original.alias("original")).where("local <> ''")
     steps = F.split(F.concat(F.regexp_replace("path", "[^/]*$", ""), "spec"), "/")
     flat = F.aggregate(steps, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when((s == ".") | (s == ""), a).otherwise(F.concat(a, F.array(s))))
     suffixes = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", "/index.ts", "/index.tsx", "/index.js", "/__init__.py"]
@@ -111,13 +113,9 @@ def facts(files: DataFrame) -> Facts:
     up = written(up.unionByName(here.select("path", "fn", F.lit(MODULE).alias("up"), F.lit(1 << 30).alias("far"))), "scopes")
 
     # assignments and returns, each up to the end of its statement within the same bracket
-    marks = toks.where("text in ('=', '+=', ';', ',', 'return') or fresh").select("path", "lang", "at", "text", "line", "fresh", "p1", "p2", "p3", "p1_at")
-    inside = S.enclosing(marks, pairs, ["kind", "first", "last"])
-    stop = F.when(F.col("fresh") | (F.col("text") == ";") | (F.col("text") == ",") & (F.col("lang") != "python"), F.col("at"))
-    ahead = F.last(stop, ignorenulls=True).over(Window.partitionBy("path", "in_first").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1))
-    inside = inside.withColumn("until", F.coalesce(ahead, "in_last", F.lit(FAR)))
+    inside = S.until(toks, pairs, "=", "+=", "return")
     blocks = F.when(F.col("lang") == "python", F.col("in_first").isNull()).otherwise(F.coalesce(F.col("in_kind") == "{", F.lit(True)))
-    sets = written(own(inside.where(blocks & F.col("text").isin("=", "+=", "return")).select("path", "lang", "at", "text", "line", "until", "p1", "p2", "p3", "p1_at")), "assignments")
+    sets = written(own(inside.where(blocks | (F.col("text") == "return")).select("path", "lang", "at", "text", "line", "until", "p1", "p2", "p3", "p1_at")), "assignments")
     equals = sets.where("text <> 'return'")
     single = equals.where(F.col("p1").rlike(S.NAME) & ~F.coalesce(F.col("p2").isin(".", "?."), F.lit(False)))
     typed = F.coalesce(F.col("p2") == ":", F.lit(False)) & F.coalesce(F.col("p3").rlike(S.NAME), F.lit(False))

@@ -25,6 +25,8 @@ GOES_ON = ["=", "+=", "+", "-", "*", "/", "%", "?", ":", "&&", "||", "(", "[", "
 LED_ON = [".", "?.", "+", "?", ":", "&&", "||", ")", "]", "}", ",", "=", "==", "===", ")`", "}$"]
 LANGUAGES = ["javascript", "typescript", "tsx", "python"]
 OPEN, CLOSE = ["(", "[", "{", "`(", "${"], [")", "]", "}", ")`", "}$"]
+#: After every place of a file.
+FAR = 1 << 60
 NAME = "^[A-Za-z_$][A-Za-z0-9_$]*$"
 
 
@@ -111,8 +113,8 @@ def brackets(toks: DataFrame) -> DataFrame:
 def functions(toks: DataFrame, pairs: DataFrame) -> DataFrame:
     """(path, fn, name, first, last, line, end_line, head): functions with their bodies as intervals; head is the place of the bracket of the parameters, or of the one parameter.
 
-    fn is the body's place. Scripts: declarations, methods, function expressions and arrows with a block; the name is the
-    declared one, else that of the variable or property it is assigned to. Python: def, to the last line before one that is
+    fn is the body's place. Scripts: declarations, methods, function expressions and arrows, whose body is a block or an
+    expression; the name is the declared one, else that of the variable or property it is assigned to. Python: def, to the last line before one that is
     indented as little or less.
     """
     round_ = pairs.where("kind = '('").select("path", F.col("first").alias("head"), F.col("last").alias("_close"), F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("p3").alias("q3"))
@@ -126,12 +128,31 @@ def functions(toks: DataFrame, pairs: DataFrame) -> DataFrame:
     skip = lambda one, two, three: F.when(F.col(one) == "async", F.when(F.col(two).isin("=", ":"), F.col(three))).when(F.col(one).isin("=", ":"), F.col(two))
     names = F.when(F.col("head").isNotNull(), skip("q1", "q2", "q3")).otherwise(F.when(F.col("a2").isin("=", ":"), F.col("a3")))
     arrow = arrow.select("path", F.col("first"), "last", "line", "end_line", F.coalesce("head", "a1_at").alias("head"), names.alias("name"))
+    short = until(toks, pairs, "=>").where("n1 <> '{'").select("path", F.col("at").alias("first"), "until", "line", F.col("p1_at").alias("a1_at"), F.col("p1").alias("a1"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
+    short = short.join(round_.withColumnRenamed("_close", "a1_at"), ["path", "a1_at"], "left")
+    lines = toks.select("path", F.col("at").alias("until"), F.col("p_line").alias("_line"))
+    length = toks.groupBy("path").agg(F.max("line").alias("_lines"))
+    short = short.join(lines, ["path", "until"], "left").join(length, "path").withColumns({"last": F.col("until"), "end_line": F.coalesce("_line", "_lines")})
+    short = short.select("path", "first", "last", "line", "end_line", F.coalesce("head", "a1_at").alias("head"), names.alias("name"))
     heads = pairs.where("lang = 'python' and kind = '(' and p2 = 'def'").select("path", F.col("first").alias("head"), F.col("p1").alias("name"), F.col("p2_at").alias("word_at"))
     py = indented(toks, "def").join(heads, ["path", "word_at"])
-    every = reduce(DataFrame.unionByName, [x.select("path", "first", "last", "line", "end_line", "head", "name") for x in (plain, arrow, py)])
+    every = reduce(DataFrame.unionByName, [x.select("path", "first", "last", "line", "end_line", "head", "name") for x in (plain, arrow, short, py)])
     return every.select("path", F.col("first").alias("fn"), "name", "first", "last", "line", "end_line", "head")
 
 
+def until(toks: DataFrame, pairs: DataFrame, *words: str) -> DataFrame:
+    """Tokens of these texts with `until`, the place where what follows them ends, and the bracket around (in_kind, in_first, in_last).
+
+    It ends with the statement or the next comma within the same bracket (in Python a comma ends nothing), or with the
+    bracket; FAR if nothing follows in the file.
+    """
+    marks = toks.where(F.col("text").isin(*words, ";", ",") | F.col("fresh"))
+    inside = enclosing(marks, pairs, ["kind", "first", "last"])
+    stop = F.when(F.col("fresh") | (F.col("text") == ";") | (F.col("text") == ",") & (F.col("lang") != "python"), F.col("at"))
+    ahead = F.last(stop, ignorenulls=True).over(_by("path", "in_first").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1))
+    return inside.withColumn("until", F.coalesce(ahead, "in_last", F.lit(FAR))).where(F.col("text").isin(*words))
+
+
 def indented(toks: DataFrame, *words: str) -> DataFrame:
     """(path, word, word_at, first, last, line, end_line) of Python blocks that begin with one of the words, found by indentation.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palisade.operators import dataflow, endpoints, relational, reports, state, text
+from palisade.operators import dataflow, endpoints, project, relational, reports, state, text
 
-QUERIES = text.R.queries | relational.R.queries | endpoints.R.queries | state.R.queries | reports.R.queries | dataflow.R.queries
-ORACLES = text.R.oracles | relational.R.oracles | endpoints.R.oracles | state.R.oracles | reports.R.oracles | dataflow.R.oracles
+QUERIES = text.R.queries | relational.R.queries | endpoints.R.queries | state.R.queries | reports.R.queries | dataflow.R.queries | project.R.queries
+ORACLES = text.R.oracles | relational.R.oracles | endpoints.R.oracles | state.R.oracles | reports.R.oracles | dataflow.R.oracles | project.R.oracles

@@ -23,6 +23,13 @@ SECRET_RULES = [
     (12, "ip_address", "Low", "(^|[^0-9.])[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}([^0-9.]|$)"),
 ]
 
+#: By rule, texts of which a line that it matches holds one (any case where the last item is "i").
+SECRET_NEEDS = {
+    1: ["-----BEGIN "], 2: ["AKIA"], 3: ["ghp_"], 4: ["sk-"], 5: ["xox"], 6: ["eyJ"], 7: ["://"], 8: ["password", "passwd", "secret", "token", "api_key", "i"],
+    9: ["@"], 10: ["0", "1", "2", "3", "4", "5", "6", "7", "8", "9"], 11: ["+1 ("], 12: ["."],
+}
+CARD = "[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}"
+
 #: An ASCII word boundary (the engine's own one counts letters of other scripts).
 _EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 

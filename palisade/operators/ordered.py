@@ -1,11 +1,13 @@
-"""Folds that need order within a key: exact interval admission, greedy matching, capped breadth-first search."""
+"""What needs order within a key: exact interval admission, matching of findings, byte budgets, capped breadth-first search."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palisade.operators.machines import matched
+
 
 def merged(ranges: list[list[int]], a: int, b: int) -> list[list[int]]:
     """Closed ranges with one more, touching ones (end + 1 = start) joined."""
@@ -51,16 +53,7 @@ def greedy_matches(findings: DataFrame, expected: DataFrame, tolerance: int = 5)
     near = a.join(b, ["file", "b"]).where(F.abs(F.col("la") - F.col("lb")) <= tolerance)
     near = near.withColumn("score", F.when(F.col("ta") == F.col("tb"), 10).otherwise(0) + 10 - F.abs(F.col("la") - F.col("lb"))).where("score >= 5")
 
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        out, left, right = [], set(), set()
-        for r in df.sort_values(["score", "found", "expected"], ascending=[False, True, True]).itertuples():
-            if r.found not in left and r.expected not in right:
-                left.add(r.found)
-                right.add(r.expected)
-                out.append((r.file, r.found, r.expected, int(r.score)))
-        return pd.DataFrame(out, columns=["file", "found", "expected", "score"])
-
-    return near.select("file", "found", "expected", "score").groupBy("file").applyInPandas(fold, "file string, found long, expected long, score long")
+    return matched(near, ["file"], "found", "expected", "score").select("file", "found", "expected", F.col("score").cast("long").alias("score"))
 
 
 def capped_blast(spark: SparkSession, edges: DataFrame, seeds: list[str], depth: int = 3, most: int = 100) -> tuple[list[tuple[str, int]], int, bool]:
@@ -88,15 +81,7 @@ def capped_blast(spark: SparkSession, edges: DataFrame, seeds: list[str], depth:
 def budgeted(files: DataFrame, most: int = 10, budget: int = 48 * 1024, least: int = 2048) -> DataFrame:
     """(run, path, taken): files (run, path, rank, bytes) in order of rank until the byte budget has less than `least` left; the last may be cut."""
 
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        left, out = budget, []
-        for r in df.sort_values(["rank", "path"]).itertuples():
-            if len(out) == most or left < least:
-                break
-            take = min(int(r.bytes), left)
-            out.append((r.run, r.path, take))
-            left -= take
-        return pd.DataFrame(out, columns=["run", "path", "taken"])
-
-    return files.groupBy("run").applyInPandas(fold, "run string, path string, taken long")
-
+    w = Window.partitionBy("run").orderBy("rank", "path")
+    before = F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = files.withColumn("_n", F.row_number().over(w)).withColumn("_left", F.lit(budget) - before)
+    return rows.where((F.col("_n") <= most) & (F.col("_left") >= least)).select("run", "path", F.least("bytes", "_left").cast("long").alias("taken"))

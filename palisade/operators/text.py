@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions import scoring
@@ -12,7 +14,9 @@ from palisade.plans.registry import Registry, table
 R = Registry()
 _q = lambda s: s.replace("'", "''")
 _LINES = "lines AS (SELECT doc_id, CAST(i AS INTEGER) AS line, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"
-_RULE_SQL = " UNION ALL ".join(f"SELECT doc_id, line, {o} AS rule, '{t}' AS type, '{s}' AS severity FROM lines WHERE regexp_matches(l, '{_q(p)}')" for o, t, s, p in T.SECRET_RULES)
+_SNIPPET = "CASE WHEN length(trim(l)) > 120 THEN left(trim(l), 120) || '...' ELSE trim(l) END AS snippet"
+_LUHN = f"AND (SELECT sum(CASE WHEN i % 2 = 1 THEN (CAST(d AS INT) * 2) // 10 + (CAST(d AS INT) * 2) % 10 ELSE CAST(d AS INT) END) FROM (SELECT unnest(string_split(c, '')) AS d, generate_subscripts(string_split(c, ''), 1) AS i FROM (SELECT regexp_replace(regexp_extract(l, '{T.CARD}'), '[^0-9]', '', 'g') AS c))) % 10 = 0"
+_RULE_SQL = " UNION ALL ".join(f"SELECT doc_id, line, {o} AS rule, '{t}' AS type, '{s}' AS severity, {_SNIPPET} FROM lines WHERE regexp_matches(l, '{_q(p)}') {_LUHN if t == 'credit_card' else ''}" for o, t, s, p in T.SECRET_RULES)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -21,9 +25,28 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def secret_findings(docs: DataFrame, rules=T.SECRET_RULES) -> DataFrame:
-    """(doc_id, line, rule, type, severity) of every rule that a line matches; one pass over the lines, no join."""
-    hits = F.filter(F.array(*[F.when(F.col("l").rlike(p), F.struct(F.lit(o).alias("rule"), F.lit(t).alias("type"), F.lit(s).alias("severity"))) for o, t, s, p in rules]), lambda h: h.isNotNull())
-    return lines(docs).select("doc_id", "line", F.explode(hits).alias("h")).select("doc_id", "line", "h.rule", "h.type", "h.severity")
+    """(doc_id, line, rule, type, severity, snippet) of every rule that a line matches; numbers of cards must pass the Luhn check.
+
+    One pass, no join. Plain searches for the texts that a rule needs choose the texts, then the lines, that are worth a
+    pattern; most are never cut into lines, and a line sees only the patterns it may match.
+    """
+    def may(x: Column, order: int) -> Column:
+        needs = T.SECRET_NEEDS.get(order, [""])
+        of, needs = (F.lower(x), needs[:-1]) if needs[-1] == "i" else (x, needs)
+        found = reduce(lambda a, b: a | b, [of.contains(n) for n in needs])
+        if order == 8:  # a value in quotes is needed too
+            return (x.contains("'") | x.contains('"')) & found
+        return found & x.rlike("[0-9]{4}") if order == 10 else found & x.rlike("[0-9][.][0-9]") if order == 12 else found
+
+    def matches(x: Column, order: int, kind: str, pattern: str) -> Column:
+        hit = may(x, order) & x.rlike(pattern)
+        return hit & T.luhn(F.regexp_replace(F.regexp_extract(x, T.CARD, 0), "[^0-9]", "")) if kind == "credit_card" else hit
+
+    worth = lambda x: reduce(lambda a, b: a | b, [may(x, o) for o, *_ in rules])
+    hits = F.filter(F.array(*[F.when(matches(F.col("l"), o, t, p), F.struct(F.lit(o).alias("rule"), F.lit(t).alias("type"), F.lit(s).alias("severity"))) for o, t, s, p in rules]), lambda h: h.isNotNull())
+    some = lines(docs.where(worth(F.col("text")))).where(worth(F.col("l")))
+    snippet = T.truncated(F.trim("l"), 120)
+    return some.select("doc_id", "line", snippet.alias("snippet"), F.explode(hits).alias("h")).select("doc_id", "line", "h.rule", "h.type", "h.severity", "snippet")
 
 
 @R.frame(f"WITH {_LINES} {_RULE_SQL}")

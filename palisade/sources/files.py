@@ -16,7 +16,7 @@ def workspace(spark: SparkSession, root: str, limit: int = 5000, largest: int =
     are chosen first, on the driver (at most `limit` of them); contents are read after, by the executors, and only
     of files small enough. Empty files don't appear (the file source leaves them out).
     """
-    from palisade.operators.code import language
+    from palisade.operators.project import language
 
     at = root.rstrip("/")
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", F.col("modificationTime").alias("mtime"))

@@ -341,11 +341,99 @@ def schemas(ix: Index) -> DataFrame:
     return built.unionByName(own.join(models, ["path", "name"]).select("path", "name", F.lit("pydantic").alias("library"), "fields"))
 
 
+# ---- what a handler takes and which data it touches
+
+#: Parts of requests by the source that they stand for, and accessors that name a parameter in a string.
+SOURCES_OF = [("body", "body"), ("query", "query"), ("params", "path"), ("header", "header"), ("headers", "header"), ("cookie", "cookie"), ("cookies", "cookie")]
+ACCESSORS = [
+    ("query", r"\bsearchParams\s*\.\s*get\(\s*['\"`]([^'\"`]+)['\"`]"),
+    ("query", r"\brequest\s*\.\s*GET\s*\.\s*get\(\s*['\"]([^'\"]+)['\"]"),
+    ("query", r"\brequest\s*\.\s*GET\s*\[\s*['\"]([^'\"]+)['\"]\s*\]"),
+    ("body", r"\brequest\s*\.\s*POST\s*\.\s*get\(\s*['\"]([^'\"]+)['\"]"),
+    ("body", r"\brequest\s*\.\s*POST\s*\[\s*['\"]([^'\"]+)['\"]\s*\]"),
+    ("query", r"\b(?:req|request)\s*\.\s*query\s*\[\s*['\"]([^'\"]+)['\"]\s*\]"),
+    ("body", r"\b(?:req|request)\s*\.\s*body\s*\[\s*['\"]([^'\"]+)['\"]\s*\]"),
+    ("path", r"\b(?:req|request)\s*\.\s*params\s*\[\s*['\"]([^'\"]+)['\"]\s*\]"),
+    ("header", r"\b(?:req|request)\s*\.\s*(?:headers|header)\s*\[\s*['\"]([^'\"]+)['\"]\s*\]"),
+]
+DECLARED = [("Path", "path"), ("Query", "query"), ("Body", "body"), ("Header", "header"), ("Cookie", "cookie")]
+
+
+def parameters(ix: Index, found: DataFrame) -> DataFrame:
+    """(path, call, name, type, source, validated, validator, place): the parameters of the endpoints found (handlers()), in order.
+
+    Collected from the route, reads of parts of the request, destructuring, accessors that name one in a string, Python
+    signatures, and schemas run against the body. A name counts once, as it was found first; it is validated if any way is.
+    """
+    texts = function_texts(ix).select(F.col("path").alias("h_path"), "fn", "text")
+    rows = found.where("fn is not null").join(texts, ["h_path", "fn"]).select("path", "call", "h_path", "fn", "text")
+    one = lambda name, source, type_=F.lit("unknown"), validated=F.lit(False), validator=F.lit(None).cast("string"): F.struct(name.alias("name"), type_.alias("type"), source.alias("source"), validated.alias("validated"), validator.alias("validator"))
+    of = lambda part: F.coalesce(*[F.when(F.lower(part) == k, F.lit(v)) for k, v in SOURCES_OF], F.lit("unknown"))
+    reads = F.transform(F.regexp_extract_all("text", F.lit(r"(?i)\b(?:req|request|ctx|c)\.(?:body|query|params|headers|header|cookies)\.\w+"), F.lit(0)), lambda x: one(F.regexp_extract(x, r"(\w+)$", 1), of(F.regexp_extract(x, r"\.(\w+)\.", 1))))
+    taken = F.flatten(F.transform(
+        F.regexp_extract_all("text", F.lit(r"\{[^{}]*\}\s*=\s*(?:req|request|ctx)\.(?:body|query|params|headers|cookies)(?![\w.(\[])"), F.lit(0)),
+        lambda x: F.transform(F.filter(F.transform(F.split(F.regexp_extract(x, r"\{([^{}]*)\}", 1), ","), lambda y: F.regexp_extract(y, r"(?::\s*)?([A-Za-z_$][\w$]*)\s*(?:=.*)?$", 1)), lambda y: y != ""), lambda y: one(y, of(F.regexp_extract(x, r"\.(\w+)$", 1)))),
+    ))
+    said = lambda source, pattern: F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda y: one(y, F.lit(source)))
+    named = F.flatten(F.array(*[said(source, pattern) for source, pattern in ACCESSORS]))
+    from_text = rows.select("path", "call", F.posexplode(F.concat(reads, taken, named)).alias("o", "p")).select("path", "call", F.lit(1).alias("way"), "o", "p.*")
+    seeds = found.where("framework in ('nextjs', 'django')").select("path", "call", F.posexplode(endpoints.path_params(F.col("route"))).alias("o", "p"))
+    seeds = seeds.select("path", "call", F.lit(0).alias("way"), "o", F.col("p.name").alias("name"), F.lit("unknown").alias("type"), F.lit("path").alias("source"), F.col("p.validated").alias("validated"), F.lit(None).cast("string").alias("validator"))
+
+    # Python signatures: name: annotation = default
+    heads = ix.fns.select("path", "fn", F.col("head").alias("first")).join(ix.pairs.where("lang = 'python' and kind = '('").select("path", "first", "last"), ["path", "first"])
+    marks = S.enclosing(ix.toks.where("p1 = ':' and lang = 'python'").select("path", "at", "text", "n1", "p2"), heads, ["fn"]).where("in_fn is not null")
+    defaults = ix.calls.select("path", F.col("start").alias("at"), "method")
+    signed = marks.join(ix.toks.where("p1 = '='").select("path", F.col("p2").alias("text"), F.col("at").alias("d_at"), F.col("p1_at").alias("eq"), F.col("p2_at").alias("at")), ["path", "text", "at"], "left").join(defaults.withColumnsRenamed({"at": "d_at", "method": "default"}), ["path", "d_at"], "left")
+    signed = signed.select(F.col("path").alias("h_path"), F.col("in_fn").alias("fn"), F.col("at").alias("o"), F.col("p2").alias("name"), F.col("text").alias("type"), "default")
+    models = schemas(ix)
+    asked = found.where("fn is not null").select("path", "call", "h_path", "fn").join(signed, ["h_path", "fn"])
+    by_model = models.select(F.col("path").alias("h_path"), F.col("name").alias("type"), "library", "fields")
+    asked = asked.join(by_model, ["h_path", "type"], "left")
+    source = F.coalesce(*[F.when(F.col("default") == k, F.lit(v)) for k, v in DECLARED])
+    plain = asked.where("fields is null").withColumn("source", source).where("source is not null").select("path", "call", F.lit(2).alias("way"), "o", "name", "type", "source", F.lit(True).alias("validated"), F.lit("pydantic").alias("validator"))
+    whole = asked.where("fields is not null").select("path", "call", F.lit(2).alias("way"), "o", F.explode("fields").alias("name"), F.lit("unknown").alias("type"), F.lit("body").alias("source"), F.lit(True).alias("validated"), F.col("library").alias("validator"))
+
+    # schemas run within the handler
+    runs = S.enclosing(ix.calls.where(F.col("method").isin(VALIDATES) & (F.col("receiver") != "")).select("path", F.col("start").alias("at"), "receiver"), ix.fns.select("path", "first", "last", "fn"), ["fn"]).where("in_fn is not null")
+    around = written(S.scopes(ix.fns), "scopes")
+    runs = runs.join(around.select("path", F.col("fn").alias("in_fn"), "up"), ["path", "in_fn"]).select(F.col("path").alias("h_path"), F.col("up").alias("fn"), F.col("at").alias("o"), F.col("receiver").alias("type"))
+    checked = found.where("fn is not null").select("path", "call", "h_path", "fn").join(runs, ["h_path", "fn"]).join(by_model, ["h_path", "type"])
+    checked = checked.select("path", "call", F.lit(3).alias("way"), "o", F.explode("fields").alias("name"), F.lit("unknown").alias("type"), F.lit("body").alias("source"), F.lit(True).alias("validated"), F.col("library").alias("validator"))
+    every = reduce(DataFrame.unionByName, [seeds, from_text, plain, whole, checked])
+    first = F.struct("way", "o", "type", "source", "validated", "validator")
+    names = every.groupBy("path", "call", "name").agg(F.min(first).alias("x"), F.min(F.when(F.col("validated"), F.struct("way", "o", "validator"))).alias("v"))
+    out = names.select("path", "call", "name", "x.type", "x.source", F.col("v").isNotNull().alias("validated"), F.coalesce("x.validator", "v.validator").alias("validator"), "x.way", "x.o")
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("path", "call").orderBy("way", "o", "name")) - 1).drop("way", "o")
+
+
+def data_layers(ix: Index, found: DataFrame) -> DataFrame:
+    """(path, call, layer) of the endpoints found (handlers()) that touch the data layer of the file their handler stands in.
+
+    The layer is that of the file's imports, or, if they name none, of a local module that the file imports from. It is
+    touched where the handler names something imported from there or made from that; Django's also by `.objects.`.
+    """
+    specs = ix.imports.groupBy("path").agg(F.collect_set("spec").alias("specs")).select("path", endpoints.data_layer(F.col("specs")).alias("layer")).where("layer <> 'none'")
+    own = ix.imports.join(specs, "path").where(endpoints.data_layer(F.array("spec")) == F.col("layer")).select("path", "layer", F.col("local").alias("name"))
+    hop = ix.imports.where("target is not null").join(specs.select("path"), "path", "left_anti").join(specs.withColumnRenamed("path", "target"), "target")
+    only = hop.groupBy("path").agg(F.min("layer").alias("layer"))
+    names = own.unionByName(hop.join(only, ["path", "layer"]).select("path", "layer", F.col("local").alias("name")))
+    made = ix.toks.where("p1 = '=' or (p1 = 'new' and p2 = '=')").select("path", F.when(F.col("p1") == "=", F.col("p2")).otherwise(F.col("p3")).alias("new"), F.col("text").alias("name"))
+    names = written(names.unionByName(names.join(made, ["path", "name"]).select("path", "layer", F.col("new").alias("name"))).distinct(), "data-names")
+    bodies = ix.fns.select("path", "first", "last", "fn")
+    used = S.enclosing(ix.names.where("root is not null").select("path", "at", F.col("root").alias("name"), "text"), bodies, ["fn"]).where("in_fn is not null")
+    django = used.join(specs.where("layer = 'django-orm'"), "path").where("text like '%.objects.%'").select("path", "in_fn", "layer")
+    hits = used.join(names, ["path", "name"]).select("path", "in_fn", "layer").unionByName(django)
+    around = written(S.scopes(ix.fns), "scopes")
+    hits = hits.join(around.select("path", F.col("fn").alias("in_fn"), "up"), ["path", "in_fn"]).select(F.col("path").alias("h_path"), F.col("up").alias("fn"), "layer").distinct()
+    return found.join(hits, ["h_path", "fn"]).groupBy("path", "call").agg(F.min("layer").alias("layer"))
+
+
 # ---- endpoints
 
 
 def project_endpoints(ix: Index, edge: DataFrame | None = None) -> DataFrame:
-    """The endpoints of a project: (id, method, route, mounted, handler, path, line, framework, middleware, auth, response, calls, path_sure, sure).
+    """The endpoints of a project: (id, method, route, mounted, handler, path, line, framework, params, validator, data_layer, middleware, auth, response, calls, path_sure, sure).
 
     Guards are the middleware registered before the mount of the file, that of the file itself whose prefix the route begins
     with, and that of the route. auth is the first scheme other than none, in this order: an edge matcher (edge: matcher,
@@ -404,8 +492,12 @@ def project_endpoints(ix: Index, edge: DataFrame | None = None) -> DataFrame:
     graph = calls.select(F.col("path").alias("h_path"), F.col("up").alias("fn"), name.alias("name"), "at").groupBy("h_path", "fn", "name").agg(F.min("at").alias("at"))
     graph = graph.groupBy("h_path", "fn").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("calls"))
     listed = guards.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("o1", "o2", "o3", "name"))), lambda x: x["name"]).alias("middleware"), F.min("sure").alias("guards_sure"))
+    took = parameters(ix, found)
+    took = took.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "name", "source", "validated", "validator"))).alias("x"))
+    took = took.select(*key, F.transform("x", lambda p: F.struct(p["name"].alias("name"), p["source"].alias("source"), p["validated"].alias("validated"))).alias("params"), F.get(F.filter(F.transform("x", lambda p: p["validator"]), lambda v: v.isNotNull()), F.lit(0)).alias("validator"))
+    layers = data_layers(ix, found)
     under = mounts(ix).groupBy("path").agg(F.min("prefix").alias("prefix"))
-    out = found.join(listed, key, "left").join(auth, key, "left").join(shape, key, "left").join(graph, ["h_path", "fn"], "left").join(under, "path", "left")
+    out = found.join(listed, key, "left").join(auth, key, "left").join(shape, key, "left").join(graph, ["h_path", "fn"], "left").join(under, "path", "left").join(took, key, "left").join(layers, key, "left")
     view = signed.where("framework = 'django'").groupBy(*key).agg(F.max(_django_method(F.col("said"))).alias("verb"))
     out = out.join(view, key, "left")
     mounted = endpoints.mounted(F.col("prefix"), F.col("route"))
@@ -414,6 +506,7 @@ def project_endpoints(ix: Index, edge: DataFrame | None = None) -> DataFrame:
     none = F.array().cast("array<string>")
     return out.select(
         F.concat_ws(":", "path", F.col("line").cast("string"), method, "route").alias("id"), method.alias("method"), "route", F.when((F.coalesce("prefix", F.lit("")) != "") & (mounted != F.col("route")), mounted).alias("mounted"), "handler", "path", "line", "framework",
+        F.coalesce("params", F.array().cast("array<struct<name:string,source:string,validated:boolean>>")).alias("params"), F.coalesce("validator", F.lit("none")).alias("validator"), F.coalesce("layer", F.lit("none")).alias("data_layer"),
         F.coalesce("middleware", none).alias("middleware"), F.coalesce("auth", F.lit("none")).alias("auth"), answer.alias("response"), F.coalesce("calls", none).alias("calls"), F.col("sure").alias("path_sure"), F.least("sure", F.coalesce("guards_sure", F.lit(LITERAL))).alias("sure"),
     )
 

@@ -77,6 +77,26 @@ def test_endpoints(spark, ix):
     assert got["routes/v1.js", "GET", "/stats"].calls == ["log", "count"] and got["routes/v1.js", "GET", "/stats"].path_sure == 0.6
     assert got["routes/users.js", "GET", "/users/:id"].calls == ["prisma.user.findUnique"] and got["routes/users.js", "GET", "/users/:id"].sure == 0.6
     assert got["api/main.py", "GET", "/me"].id == "api/main.py:6:GET:/me"
+    took = lambda *k: [(p.name, p.source, p.validated) for p in got[k].params]
+    assert took("routes/users.js", "GET", "/users/:id") == [("id", "path", False)] and took("routes/users.js", "POST", "/users") == [("email", "body", False), ("name", "body", False)]
+    assert took("web/app/api/notes/[id]/route.ts", "GET", "/api/notes/[id]") == [("id", "path", False)]
+    assert {k: r.data_layer for k, r in got.items() if r.data_layer != "none"} == {("routes/users.js", "GET", "/users/:id"): "prisma", ("routes/users.js", "POST", "/users"): "prisma"}
+
+
+def test_parameters_and_data_layers(spark):
+    files = [
+        ("a.ts", "import { z } from 'zod';\nimport { db } from './lib/db';\nconst Body = z.object({ email: z.string(), age: z.number() });\nrouter.post('/x', async (req, res) => {\n  const b = Body.parse(req.body);\n  const { email, nick: n = 1 } = req.body;\n  const { page } = req.query;\n  log(req.headers['x-k'], req.cookies.sid, req.query['q'], url.searchParams.get('s'));\n  await db.user.create(b);\n});\nrouter.get('/y', (req, res) => res.json(1));\n", "typescript"),
+        ("lib/db.ts", "import { PrismaClient } from '@prisma/client';\nexport const db = new PrismaClient();\n", "typescript"),
+        ("m.py", "from pydantic import BaseModel\nclass Item(BaseModel):\n    title: str\n    price: float\n\n@app.post('/items')\ndef make(item: Item, limit: int = Query(5), plain: str = 'x', token: str = Header()):\n    return save(item)\n", "python"),
+        ("u.py", "from django.urls import path\nurlpatterns = [\n    path('a/<int:pk>/<slug>', v.show),\n]\ndef show(request, pk):\n    t = request.GET.get('tag')\n    return render(request, Article.objects.get(id=pk))\n", "python"),
+    ]
+    got = {r.route: r for r in P.project_endpoints(P.index(spark.createDataFrame(files, "path string, text string, lang string"))).collect()}
+    took = {k: sorted((p.name, p.source, p.validated) for p in r.params) for k, r in got.items()}
+    assert took == {
+        "/x": sorted([("email", "body", True), ("age", "body", True), ("n", "body", False), ("page", "query", False), ("x-k", "header", False), ("sid", "cookie", False), ("q", "query", False), ("s", "query", False)]), "/y": [],
+        "/items": sorted([("title", "body", True), ("price", "body", True), ("limit", "query", True), ("token", "header", True)]), "a/<int:pk>/<slug>": sorted([("pk", "path", True), ("slug", "path", False), ("tag", "query", False)]),
+    }
+    assert {k: (r.validator, r.data_layer) for k, r in got.items()} == {"/x": ("zod", "prisma"), "/y": ("none", "none"), "/items": ("pydantic", "none"), "a/<int:pk>/<slug>": ("none", "django-orm")}
 
 
 def test_schemas_close_over_classes(spark):

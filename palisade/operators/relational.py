@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palisade.functions.rules import ATTACKS, GUARD_STOPS, GUARDS
 from palisade.functions import scoring as S
 from palisade.plans.registry import Registry, table
+from palisade.plans.scratch import written
 
 R = Registry()
 
@@ -156,13 +157,20 @@ def reverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blast(graph: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
-    """(node, depth): least number of steps from the seeds, at most `depth`: one semi join a round, a fixed number of rounds, one minimum at the end."""
-    front = seeds.select("node").distinct()
-    fronts = [front.withColumn("depth", F.lit(0))]
+    """(node, depth): least number of steps from the seeds, at most `depth`.
+
+    The edges are written once; a round joins them with the nodes that the last one reached for the first time, and leaves out
+    those that are known, so that no node is followed twice.
+    """
+    graph = written(graph.select("src", "dst"), "edges")
+    known = front = written(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "reached")
     for d in range(1, depth + 1):
-        front = graph.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        fronts.append(front.withColumn("depth", F.lit(d)))
-    return reduce(DataFrame.unionByName, fronts).groupBy("node").agg(F.min("depth").alias("depth"))
+        new = graph.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        front = written(new.join(known, "node", "left_anti").withColumn("depth", F.lit(d)), "front")
+        if front.isEmpty():
+            break
+        known = known.unionByName(front)
+    return known
 
 
 @R.frame(f"WITH RECURSIVE {_EDGES}, walk(node, depth) AS (SELECT 'n1', 0 UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 3) SELECT node, min(depth) AS depth FROM walk GROUP BY node")
@@ -186,19 +194,26 @@ R.sql("checklist_incomplete", """SELECT r.conv_id, r.step FROM (SELECT DISTINCT
 def mutual_substrings(targets: DataFrame, risks: DataFrame, shortest: int = 3) -> DataFrame:
     """(target, risk): pairs of names of which one holds the other, in any case; names shorter than `shortest` meet only as a whole.
 
-    Every name meets the others by its substrings, an equality join: no name is compared with all.
+    A name holds another one only if it has all of its pieces of `shortest` signs. So the names are indexed by their pieces,
+    as many as they have signs, and each looks up just its rarest one; what is found is verified. Null names meet nothing.
     """
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        low = F.lower(name)
-        at = F.explode(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))).alias("at")
-        cut = df.select(name, low.alias("low"), at)
-        some = cut.select(name, "low", F.explode(F.transform(F.sequence(F.lit(1), F.length("low") - F.col("at") + 1), lambda n: F.substring("low", F.col("at"), n))).alias("part")).where(F.length("part") >= shortest)
-        return some.select(name, "part").union(df.select(name, low)).distinct()
-
-    t, r = targets.select("target").distinct(), risks.select("risk").distinct()
-    inside = parts(t, "target").join(r.withColumn("part", F.lower("risk")), "part").select("target", "risk")
-    around = parts(r, "risk").join(t.withColumn("part", F.lower("target")), "part").select("target", "risk")
-    return inside.union(around).distinct()
+    def pieces(df: DataFrame) -> DataFrame:
+        cut = F.transform(F.sequence(F.lit(1), F.length("low") - (shortest - 1)), lambda i: F.substring("low", i, F.lit(shortest)))
+        return df.where(F.length("low") >= shortest).select("name", "low", F.explode(F.array_distinct(cut)).alias("piece"))
+
+    def held(outer: DataFrame, inner: DataFrame) -> DataFrame:
+        """(outer, inner) where the inner name stands in the outer one."""
+        index = pieces(outer)
+        often = index.groupBy("piece").agg(F.count("*").alias("n"))
+        rare = pieces(inner).join(often, "piece", "left").groupBy("name", "low").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("x")).where("x.n > 0")
+        rare = rare.select(F.col("name").alias("inner"), F.col("low").alias("inner_low"), F.col("x.piece").alias("piece"))
+        return index.join(rare, "piece").where(F.contains("low", "inner_low")).select(F.col("name").alias("outer"), "inner")
+
+    t, r = (df.select(F.col(c).alias("name"), F.lower(c).alias("low")).distinct() for df, c in ((targets, "target"), (risks, "risk")))
+    whole = t.select(F.col("name").alias("target"), "low").join(r.select(F.col("name").alias("risk"), "low"), "low").select("target", "risk")
+    inside = held(t, r).select(F.col("outer").alias("target"), F.col("inner").alias("risk"))
+    around = held(r, t).select(F.col("inner").alias("target"), F.col("outer").alias("risk"))
+    return whole.union(inside).union(around).distinct()
 
 
 @R.frame("""WITH t AS (SELECT DISTINCT p_type AS target FROM part), r AS (SELECT DISTINCT string_split(p_type, ' ')[1] AS risk FROM part UNION SELECT DISTINCT p_type || ' x' FROM part WHERE p_partkey % 5 = 0)

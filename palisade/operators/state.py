@@ -58,10 +58,16 @@ def overlap_fractions(df: DataFrame, keys: list[str], id_: str, start: str, end:
 
 
 def covered(df: DataFrame, ranges: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """df with `covered`: whether one merged range (keys, start_, end_) holds the whole range. ranges are islands, so at most one can."""
-    held = df.join(ranges.select(*keys, "start_", "end_"), keys, "left")
-    flag = F.coalesce((F.col("start_") <= F.col(start)) & (F.col(end) <= F.col("end_")), F.lit(False))
-    return held.withColumn("_covered", flag).groupBy(*df.columns).agg(F.bool_or("_covered").alias("covered"))
+    """df with `covered`: whether one of the ranges (keys, start_, end_) holds the whole range; every row gets an answer.
+
+    Among the ranges that begin at or before a row, one holds it just if the farthest end does: a running maximum over both,
+    in the order of their starts. No row meets the ranges of its key one by one. Null bounds are held by nothing.
+    """
+    both = df.select(*df.columns, F.col(start).alias("_at"), F.lit(1).alias("_row"), F.lit(None).cast("long").alias("_reach")).unionByName(
+        ranges.where("start_ is not null and end_ is not null").select(*keys, F.col("start_").alias("_at"), F.lit(0).alias("_row"), F.col("end_").cast("long").alias("_reach")), allowMissingColumns=True
+    )
+    reach = F.max("_reach").over(Window.partitionBy(*keys).orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("covered", F.coalesce((reach >= F.col(end)) & F.col(start).isNotNull(), F.lit(False))).where("_row = 1").select(*df.columns, "covered")
 
 
 # ---- steps in order
@@ -251,7 +257,7 @@ def overlap_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.frame(f"WITH {_ROWS} SELECT n.id, count(o.id) > 0 AS covered FROM r n LEFT JOIN (SELECT user_id, id, s, e FROM r WHERE id % 3 = 0) o ON n.user_id = o.user_id AND o.s <= n.s AND n.e <= o.e GROUP BY n.id")
 def range_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether any single read of every third event holds the range: ranges taken one by one, so they are islands of their own."""
+    """Whether any single read of every third event holds the range."""
     rows = ranges(spark, sf_dir)
     reads = rows.where("id % 3 = 0").select("user_id", F.col("s").alias("start_"), F.col("e").alias("end_"))
     return covered(rows, reads, ["user_id"], "s", "e").select("id", "covered")

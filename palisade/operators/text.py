@@ -150,9 +150,15 @@ def route_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
 
 
-@R.frame("SELECT page_id, unnest(regexp_extract_all(url, '[0-9]+')) AS param FROM pages")
+@R.frame("""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]*(/.*)$', 1) AS p FROM pages), w AS (SELECT page_id, list_distinct(regexp_extract_all(p, '[A-Za-z]+')) AS ws FROM p)
+ SELECT page_id, param, validated FROM (SELECT page_id, unnest(ws) AS param, page_id % 2 = 1 AS validated FROM w)""")
 def path_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("url", F.lit("[0-9]+"), F.lit(0))).alias("param"))
+    """Parameters of routes whose segments are the words of the pages' addresses: [word] for even pages, <str:word> for odd ones."""
+    from palisade.operators.endpoints import path_params as named
+
+    path = F.regexp_extract("url", "^https?://[^/]*(/.*)$", 1)
+    route = F.when(F.col("page_id") % 2 == 0, F.regexp_replace(path, "[A-Za-z]+", "[$0]")).otherwise(F.regexp_replace(path, "[A-Za-z]+", "<str:$0>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(named(route)).alias("p")).select("page_id", F.col("p.name").alias("param"), F.col("p.validated").alias("validated"))
 
 
 @R.frame(

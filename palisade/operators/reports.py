@@ -87,6 +87,40 @@ def tools_used(steps: DataFrame, run: str, action: str, tools: dict[str, list[st
     return steps.groupBy(run).agg(*[F.bool_or(F.col(action).isin(actions)).alias(t) for t, actions in tools.items()])
 
 
+#: What a recorded scan answers, in either of its dialects.
+SCAN_RESPONSE = (
+    "scanType string, findings array<{f}>, finalFindings array<{f}>".replace(
+        "{f}",
+        "struct<type:string,check_id:string,severity:string,extra:struct<severity:string,message:string>,location:struct<line_start:int,line_end:int>,start:struct<line:int>,end:struct<line:int>,"
+        "message:string,evidence_snippet:string,confidence:double,why_real:string,fix_strategy:string,fix_snippet:string>",
+    )
+)
+
+
+def normalised(responses: DataFrame) -> DataFrame:
+    """One row for each finding of recorded scan responses (..., text): type, severity, line_start, line_end, message, evidence, confidence, why, fix_strategy, fix_snippet.
+
+    Scans of type advanced or fast report their final findings, where they have any list of them, others their findings. Empty
+    texts count as missing; answers that can't be read have no findings. Other columns stay.
+    """
+    keys = [c for c in responses.columns if c != "text"]
+    r = responses.select(*keys, F.from_json("text", SCAN_RESPONSE).alias("_r"))
+    final = F.col("_r.scanType").isin("advanced", "fast") & F.col("_r.finalFindings").isNotNull()
+    each = r.select(*keys, F.explode(F.when(final, F.col("_r.finalFindings")).otherwise(F.col("_r.findings"))).alias("f"))
+    said = lambda *names: F.coalesce(*[F.nullif(F.col(f"f.{n}"), F.lit("")) for n in names])
+    place = F.col("f.location").isNotNull()
+    first, last = F.col("f.start.line"), F.coalesce("f.end.line", "f.start.line")
+    return each.select(
+        *keys, said("type", "check_id").alias("type"), said("severity", "extra.severity").alias("severity"), F.when(place, F.col("f.location.line_start")).otherwise(first).alias("line_start"), F.when(place, F.col("f.location.line_end")).otherwise(last).alias("line_end"),
+        said("message", "extra.message").alias("message"), F.col("f.evidence_snippet").alias("evidence"), F.col("f.confidence").alias("confidence"), F.col("f.why_real").alias("why"), F.col("f.fix_strategy").alias("fix_strategy"), F.col("f.fix_snippet").alias("fix_snippet"),
+    )
+
+
+def worth_proving(severity: Column) -> Column:
+    """Findings of any severity but low are proved."""
+    return F.coalesce(severity.isin("critical", "high", "medium"), F.lit(False))
+
+
 # ---- registered
 
 _IDS = "list_sort(list('A-' || CAST(l_orderkey AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR)))"

@@ -26,12 +26,13 @@ def _bucket(name: Column, buckets: int) -> Column:
 
 
 def postings(files: DataFrame) -> DataFrame:
-    """(name, path, line, preview): every name that stands as a whole word in a line of files (path, text), comments and strings included.
+    """(name, path, line, preview): every word of a line of files (path, text) in lower case, comments and strings included.
 
-    Null texts have none; a name counts once a line; other columns are ignored.
+    Look-ups are for whole words in any case, as a search would find them. Null texts have none; a word counts once a line;
+    other columns are ignored.
     """
     lines = files.where("text is not null").select("path", F.posexplode(F.split("text", "\n")).alias("line", "x"))
-    names = F.array_distinct(F.regexp_extract_all("x", F.lit("[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0)))
+    names = F.array_distinct(F.regexp_extract_all(F.lower("x"), F.lit("[a-z0-9_]+"), F.lit(0)))
     return lines.select(F.explode(names).alias("name"), "path", (F.col("line") + 1).alias("line"), F.substring(F.trim("x"), 1, PREVIEW).alias("preview"))
 
 
@@ -43,9 +44,10 @@ def write_index(files: DataFrame, folder: str, buckets: int = 64) -> None:
 
 
 def read_index(spark: SparkSession, folder: str, names: list[str] | None = None, buckets: int = 64) -> DataFrame:
-    """The postings of an index, of a few names only if given: other buckets aren't listed, and in a file other row groups aren't read."""
+    """The postings of an index, of a few names only (in any case) if given: other buckets aren't listed, and in a file other row groups aren't read."""
     rows = spark.read.parquet(folder)
     if names is not None:
+        names = sorted({n.lower() for n in names})
         at = [r.b for r in spark.createDataFrame([(n,) for n in names], "name string").select(_bucket(F.col("name"), buckets).alias("b")).distinct().collect()]  # as many rows as names asked for
         rows = rows.where(F.col("bucket").isin(at) & F.col("name").isin(names))
     return rows.select("name", "path", "line", "preview")
@@ -77,12 +79,12 @@ def find_references(found: DataFrame, queries: DataFrame, most: int | None = MOS
     Names are looked up by an equality join and cut to their first hits, which are the same for every query, before queries
     are joined: a name that all lines hold costs each task its first hits alone.
     """
-    asked = queries.select("path", "symbol").distinct()
-    hits = found.select(F.col("name").alias("symbol"), F.col("path").alias("target"), "line").join(asked.select("symbol").distinct(), "symbol")
+    asked = queries.select("path", "symbol", F.lower("symbol").alias("name")).distinct()
+    hits = found.select("name", F.col("path").alias("target"), "line").join(asked.select("name").distinct(), "name")
     if most is not None:
-        ranked = Window.partitionBy("symbol").orderBy("target", "line")
+        ranked = Window.partitionBy("name").orderBy("target", "line")
         hits = hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= most)
-    hits = asked.join(hits, "symbol")
+    hits = asked.join(hits, "name")
     script = F.lower(F.regexp_extract("path", "[.]([A-Za-z]+)$", 1)).isin(SCRIPTS)
     return hits.select("path", "symbol", "target", "line", F.when(script, SCRIPT_REFERENCE).otherwise(PYTHON_REFERENCE).alias("confidence"))
 
@@ -110,13 +112,14 @@ def find_tests(files: DataFrame, found: DataFrame, queries: DataFrame) -> DataFr
     """
     asked = queries.select("path", "symbol").distinct()
     named = asked.select("path", "symbol", F.posexplode(test_candidates(F.col("path"))).alias("order", "test")).join(files.select(F.col("path").alias("test")).distinct(), "test")
-    hits = found.where(is_test(F.col("path"))).select(F.col("name").alias("symbol"), F.col("path").alias("test"), "line", "preview").join(asked.select("symbol").distinct(), "symbol")
-    first = Window.partitionBy("symbol", "test").orderBy("line")
-    hits = hits.withColumn("k", F.row_number().over(first)).where(F.col("k") <= MOST_LINES).groupBy("symbol", "test").agg(F.array_sort(F.collect_list(F.struct("line", "preview"))).alias("x"))
+    words = asked.where("symbol is not null").withColumn("name", F.lower("symbol"))
+    hits = found.where(is_test(F.col("path"))).select("name", F.col("path").alias("test"), "line", "preview").join(words.select("name").distinct(), "name")
+    first = Window.partitionBy("name", "test").orderBy("line")
+    hits = hits.withColumn("k", F.row_number().over(first)).where(F.col("k") <= MOST_LINES).groupBy("name", "test").agg(F.array_sort(F.collect_list(F.struct("line", "preview"))).alias("x"))
     # a query lists so many tests, and there are only so many names to leave out: more of a symbol's tests need no query
     enough = MOST_TESTS + 2 * len(SCRIPTS) * (len(TEST_FOLDERS) + 1)
-    hits = hits.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy("test"))).where(F.col("k") <= enough).drop("k")
-    hits = asked.join(hits, "symbol").join(named.select("path", "symbol", "test"), ["path", "symbol", "test"], "left_anti")
+    hits = hits.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("test"))).where(F.col("k") <= enough).drop("k")
+    hits = words.join(hits, "name").join(named.select("path", "symbol", "test"), ["path", "symbol", "test"], "left_anti")
     by_name = named.select("path", "symbol", "test", F.lit(0).alias("kind"), "order", F.lit("naming").alias("how"), F.lit(BY_NAME).alias("confidence"), F.array().cast("array<int>").alias("lines"), F.array().cast("array<string>").alias("previews"))
     by_symbol = hits.select("path", "symbol", "test", F.lit(1).alias("kind"), F.lit(0).alias("order"), F.lit("symbol").alias("how"), F.lit(BY_SYMBOL).alias("confidence"), F.transform("x", lambda y: y["line"]).alias("lines"), F.transform("x", lambda y: y["preview"]).alias("previews"))
     ranked = by_name.unionByName(by_symbol).withColumn("rank", F.row_number().over(Window.partitionBy("path", "symbol").orderBy("kind", "order", "test")))
@@ -151,11 +154,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".ts").otherwise(".py")).alias("path"), "text")
 
 
-_HITS = "h AS (SELECT DISTINCT unnest(regexp_extract_all(x, '[A-Za-z_$][A-Za-z0-9_$]*')) AS name, path, line FROM (SELECT 'd' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.ts' ELSE '.py' END AS path, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE text IS NOT NULL))"
+_HITS = "h AS (SELECT DISTINCT unnest(regexp_extract_all(lower(x), '[a-z0-9_]+')) AS name, path, line FROM (SELECT 'd' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.ts' ELSE '.py' END AS path, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE text IS NOT NULL))"
 
 
 @R.frame(f"""WITH {_HITS}, q AS (SELECT DISTINCT CASE WHEN item_id % 2 = 0 THEN 'q.ts' ELSE 'q.py' END AS path, regexp_extract(text, '[A-Za-z_]+') AS symbol FROM benchmark),
- r AS (SELECT q.path, symbol, h.path AS target, line, row_number() OVER (PARTITION BY q.path, symbol ORDER BY h.path, line) AS k FROM q JOIN h ON h.name = q.symbol)
+ r AS (SELECT q.path, symbol, h.path AS target, line, row_number() OVER (PARTITION BY q.path, symbol ORDER BY h.path, line) AS k FROM q JOIN h ON h.name = lower(q.symbol))
  SELECT path, symbol, target, CAST(line AS INT) AS line, CASE WHEN path = 'q.ts' THEN 9e-1 ELSE 6e-1 END AS confidence FROM r WHERE k <= 50""")
 def symbol_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")

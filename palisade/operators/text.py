@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.functions import scoring
@@ -69,14 +70,44 @@ def redact_text_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.sha16(T.replaced(F.col("text"), T.REDACT_B)).alias("redacted"))
 
 
+def globbed(path: Column, glob: str) -> Column:
+    """Whether a path matches a glob: ** any folders, * and ? within a name, {a,b} either; a glob without a slash is for names in any folder."""
+    out, braces, k = "", 0, 0
+    while k < len(glob):
+        c = glob[k]
+        if glob.startswith("**/", k):
+            out, k = out + "(?:.*/)?", k + 3
+            continue
+        if glob.startswith("**", k):
+            out, k = out + ".*", k + 2
+            continue
+        braces += (c == "{") - (c == "}")
+        out += {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")"}.get(c, "|" if c == "," and braces else re.escape(c))
+        k += 1
+    return path.rlike(f"^{'' if '/' in glob else '(?:.*/)?'}{out.lstrip('/')}$")
+
+
+def searched(files: DataFrame, pattern: str, glob: str | None = None, most: int = 50, longest: int = 500) -> DataFrame:
+    """(path, line, text, total, truncated): lines of files (path, text) that match a pattern in any case; the first `most` by path and line (the limit is the feature).
+
+    Of one file at most `most` count. Texts are trimmed and cut; null texts have no lines. total is the number of lines that
+    count, truncated whether there are more than are listed.
+    """
+    some = files if glob is None else files.where(globbed(F.col("path"), glob))
+    hit = lambda x: x.rlike(f"(?i)(?:{pattern})")
+    rows = some.select("path", F.posexplode(F.split("text", "\n")).alias("p", "l")).where(hit(F.col("l")))
+    kept = rows.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("p"))).where(F.col("n") <= most)
+    total = kept.agg(F.count("*").alias("total"))
+    text = T.truncated(F.regexp_replace("l", "^\\s+|\\s+$", ""), longest, "…")
+    return kept.orderBy("path", "p").limit(most).crossJoin(F.broadcast(total)).select("path", (F.col("p") + 1).alias("line"), text.alias("text"), "total", (F.col("total") > most).alias("truncated"))
+
+
 @R.frame(
     f"WITH {_LINES}, hits AS (SELECT doc_id, line, l, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS rn FROM lines WHERE regexp_matches(l, '(?i)licen[sc]e|token')), "
     "kept AS (SELECT * FROM hits WHERE rn <= 50) SELECT doc_id, line, CASE WHEN length(l) > 500 THEN left(l, 500) || '...' ELSE l END AS snippet, (SELECT count(*) FROM kept) AS total, (SELECT count(*) > 50 FROM kept) AS truncated FROM kept ORDER BY doc_id, line LIMIT 50"
 )
 def regex_search_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search with at most 50 hits a file and 50 in all (the limit is the feature), with the total before it."""
-    from pyspark.sql import Window
-
     hits = lines(table(spark, sf_dir, "documents")).where(F.col("l").rlike("(?i)licen[sc]e|token"))
     kept = hits.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))).where("rn <= 50")
     total = kept.agg(F.count("*").alias("total"), (F.count("*") > 50).alias("truncated"))

@@ -99,3 +99,30 @@ def test_secret_scan_sees_all_that_the_patterns_match(spark):
     got = secret_findings(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.line, r.rule) for r in got} == want
     assert all(r.snippet for r in got) and {r.rule for r in got} == set(range(1, 13))
+
+
+def test_search_with_globs(spark):
+    from palisade.operators.text import globbed, searched
+
+    files = spark.createDataFrame([("src/a.ts", "x\n  TOKEN here \nno\n" + "token\n" * 60), ("src/b.py", "token"), ("c.test.ts", None), ("d.ts", "t" * 600 + "token"), ("e.ts", "")], "path string, text string")
+    got = searched(files, "^\\s*token|tt+oken$", "*.ts").collect()
+    assert len(got) == 50 and got[0].total == 51 and got[0].truncated and (got[0].path, len(got[0].text)) == ("d.ts", 501)
+    assert (got[1].path, got[1].line, got[1].text) == ("src/a.ts", 2, "TOKEN here")
+    assert [(r.path, r.total, r.truncated) for r in searched(files, "token", "**/*.{py,js}").collect()] == [("src/b.py", 1, False)]
+    match = lambda g, *ps: [p for (p,) in values(spark, [(p,) for p in ps], "p string", F.when(globbed(F.col("p"), g), F.col("p"))) if p]
+    assert match("src/**", "src/a/b.c", "lib/src/a", "src/x") == ["src/a/b.c", "src/x"] and match("a?.t*", "z/ab.ts", "a.ts", "abc.ts") == ["z/ab.ts"]
+
+
+def test_findings_in_either_dialect(spark):
+    import json
+
+    from palisade.operators.reports import normalised, worth_proving
+
+    full = {"type": "xss", "severity": "high", "location": {"line_start": 3, "line_end": 4}, "message": "m", "evidence_snippet": "e", "confidence": 0.5, "why_real": "w", "fix_strategy": "s", "fix_snippet": "f"}
+    other = {"check_id": "sql", "type": "", "extra": {"severity": "low", "message": "n"}, "start": {"line": 7}}
+    rows = [("a", json.dumps({"scanType": "fast", "finalFindings": [full], "findings": [other]})), ("b", json.dumps({"scanType": "basic", "finalFindings": [full], "findings": [other]})), ("c", json.dumps({"scanType": "advanced", "findings": [full, other]})), ("d", "broken"), ("e", None), ("f", "{}")]
+    got = sorted(tuple(r) for r in normalised(spark.createDataFrame(rows, "file string, text string")).collect())
+    one = ("xss", "high", 3, 4, "m", "e", 0.5, "w", "s", "f")
+    two = ("sql", "low", 7, 7, "n", None, None, None, None, None)
+    assert got == [("a", *one), ("b", *two), ("c", *two), ("c", *one)]
+    assert values(spark, [("critical",), ("low",), (None,), ("medium",)], "s string", worth_proving(F.col("s"))) == [(True,), (False,), (False,), (True,)]

@@ -7,7 +7,7 @@ from palisade.operators import symbols as Y
 
 FILES = [
     ("src/auth.ts", "export function login(u) { return u; }\nexport class Guard {}\nconst check = (x) => { return login(x); };\n", "typescript"),
-    ("src/app.ts", "import { login } from './auth';\nimport { Guard } from './auth';\n// login here\nlogin(1); login(2);\nconst loginx = 'login';\n", "typescript"),
+    ("src/app.ts", "import { login } from './auth';\nimport { Guard } from './auth';\n// LOGIN here\nlogin(1); login(2);\nconst loginx = 'login';\n", "typescript"),
     ("py/a.py", "class A:\n    pass\ndef run(): pass\ndef run(): pass\n", "python"), ("py/b.py", "from .a import run, A\nrun()\n", "python"), ("py/c.py", None, "python"),
     ("tests/auth.test.ts", "import { login } from '../src/auth';\n" + "login();\n" * 8, "typescript"), ("src/other.spec.js", "describe('login')", "javascript"), ("py/test_a.py", "run()", "python"), ("tests/test_b.py", "x", "python"), ("deep/x_test.py", "run\nrun", "python"),
 ]
@@ -50,7 +50,7 @@ def test_look_ups_read_their_buckets(spark, tmp_path):
     Y.write_index(files, folder, buckets=16)
     whole = Y.read_index(spark, folder)
     assert whole.count() == Y.postings(files).count() == 620
-    some = Y.read_index(spark, folder, ["n3_4", "common", "absent"], buckets=16)
+    some = Y.read_index(spark, folder, ["n3_4", "Common", "absent"], buckets=16)
     assert sorted((r.name, r.path, r.line) for r in some.collect()) == sorted([("n3_4", "f3", 1)] + [("common", f"f{k}", 2) for k in range(20)])
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan and "PushedFilters: [In(name" in plan

@@ -283,6 +283,45 @@ def sinks(files: DataFrame) -> DataFrame:
     return S.sites(one.drop("x", "y"), fns, S.tries(toks, pairs)).select("path", "line", "sink", "type", "severity", "function", "in_try")
 
 
+def fix_tests(fixes: DataFrame) -> DataFrame:
+    """(id, passes, syntax_valid, effective, new_sinks, new_flows, gone_sinks, gone_flows, functions_removed) for fixes (id, lang, type, before, after).
+
+    Sinks are compared by line and type, flows by source, sink and line, functions by name: what one text has and the other
+    hasn't is an anti join on those keys, in both directions. A fix is effective if the type it is about was there and is
+    gone, or, without a type, if there are fewer sinks or flows. It passes if its brackets match, it brings no new sink or
+    flow, and it is effective or about no type. Null texts have nothing in them; an id is one fix.
+    """
+    side = lambda name: fixes.select(F.concat(F.lit(name + "/"), F.col("id").cast("string")).alias("path"), F.col(name).alias("text"), "lang")
+    files = written(side("before").unionByName(side("after")), "fixes")
+    toks = written(S.tokens(files), "tokens")
+    pairs = written(S.brackets(toks), "brackets")
+    named = lambda df: df.withColumn("when", F.substring_index("path", "/", 1)).withColumn("key", F.expr("substring(path, instr(path, '/') + 1)"))
+    found, flows = written(named(sinks(files)), "fix-sinks"), written(named(taint(files, 0)), "fix-flows")
+    names = written(named(S.functions(toks, pairs).where("name is not null").select("path", "name").distinct()), "fix-functions")
+
+    def lost(df: DataFrame, here: str, there: str, on: list[str]) -> DataFrame:
+        """What is in one text and not in the other."""
+        return df.where(F.col("when") == here).join(df.where(F.col("when") == there).select("key", *on), ["key", *on], "left_anti")
+
+    count = lambda df, name: df.groupBy("key").agg(F.count("*").alias(name))
+    by_sink, by_flow = ["line", "type"], ["source", "sink", "line"]
+    marks = named(toks.where(F.col("text").isin(S.OPEN + S.CLOSE))).where("when = 'after'").groupBy("key").agg(F.count("*").alias("marks"))
+    paired = count(named(pairs).where("when = 'after'"), "paired")
+    types = found.select("key", "when", "type").union(flows.select("key", "when", "type"))
+    asked = fixes.select(F.col("id").cast("string").alias("key"), F.col("type").alias("about"), "id")
+    there = types.join(asked, [types.key == asked.key, types.type == asked.about]).groupBy(asked.key).agg(F.max((F.col("when") == "before").cast("int")).alias("had"), F.max((F.col("when") == "after").cast("int")).alias("has"))
+    size = lambda df, name: df.groupBy("key").agg(F.count(F.when(F.col("when") == "before", 1)).alias(f"{name}_before"), F.count(F.when(F.col("when") == "after", 1)).alias(f"{name}_after"))
+    parts = [
+        count(lost(found, "after", "before", by_sink), "new_sinks"), count(lost(flows, "after", "before", by_flow), "new_flows"), count(lost(found, "before", "after", by_sink), "gone_sinks"), count(lost(flows, "before", "after", by_flow), "gone_flows"),
+        lost(names, "before", "after", ["name"]).groupBy("key").agg(F.array_sort(F.collect_set("name")).alias("functions_removed")), marks, paired, there, size(found, "s"), size(flows, "f"),
+    ]
+    rows = reduce(lambda a, b: a.join(b, "key", "left"), parts, asked).fillna(0, [c for p in parts for c in p.columns if c not in ("key", "functions_removed")])
+    effective = F.when(F.col("about").isNotNull(), (F.col("had") == 1) & (F.col("has") == 0)).otherwise((F.col("s_before") > F.col("s_after")) | (F.col("f_before") > F.col("f_after")))
+    rows = rows.withColumn("effective", effective).withColumn("syntax_valid", F.col("marks") == 2 * F.col("paired"))
+    passes = F.col("syntax_valid") & (F.col("new_sinks") == 0) & (F.col("new_flows") == 0) & (F.col("effective") | F.col("about").isNull())
+    return rows.select("id", passes.alias("passes"), "syntax_valid", "effective", "new_sinks", "new_flows", "gone_sinks", "gone_flows", F.coalesce("functions_removed", F.array().cast("array<string>")).alias("functions_removed"))
+
+
 # ---- registered on code that the lines of the documents turn into
 
 _LINES = "l AS (SELECT doc_id, k - 1 AS k, (k - 1) % 5 AS a, length(s) % 5 AS b, (doc_id * 7 + (k - 1) * 3 + length(s)) % 8 AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL))"

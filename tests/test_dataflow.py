@@ -160,3 +160,21 @@ def test_tokens_cover_the_text(spark):
     long = spark.createDataFrame([("q", "x = '" + "a\\'" * 60000 + "';\n" + "`" + "b" * 90000 + "`;" + "(" * 500 + ")" * 500, "javascript")], "path string, text string, lang string")
     assert S.brackets(S.tokens(long)).count() == 500
     assert S.tokens(long.withColumn("text", F.lit(None).cast("string"))).count() == 0
+
+
+def test_fixes_by_their_differences(spark):
+    bad = "function f(req) {\n  const q = req.body.q;\n  exec(q);\n}\nfunction g() {}\n"
+    rows = [
+        ("good", "javascript", "command_injection", bad, "function f(req) {\n  const q = parseInt(req.body.q);\n  run(q);\n}\nfunction g() {}\n"),
+        ("same", "javascript", "command_injection", bad, bad),
+        ("new", "javascript", "command_injection", bad, "function f(req) {\n  const q = req.body.q;\n  db.query('a' + q);\n}\n"),
+        ("broken", "javascript", "command_injection", bad, "function f(req) {\n  run(1;\n}\n"),
+        ("any", "javascript", None, bad, "function f(req) {\n}\nfunction g() {}\n"),
+        ("none", "javascript", None, "const a = 1;", "const a = 2;"),
+        ("null", "python", "ssti", None, None),
+    ]
+    got = {r.id: (r.passes, r.syntax_valid, r.effective, r.new_sinks, r.new_flows, r.gone_sinks, r.gone_flows, r.functions_removed) for r in D.fix_tests(spark.createDataFrame(rows, "id string, lang string, type string, before string, after string")).collect()}
+    assert got == {
+        "good": (True, True, True, 0, 0, 1, 1, []), "same": (False, True, False, 0, 0, 0, 0, []), "new": (False, True, True, 1, 1, 1, 1, ["g"]), "broken": (False, False, True, 0, 0, 1, 1, ["f", "g"]),
+        "any": (True, True, True, 0, 0, 1, 1, []), "none": (True, True, False, 0, 0, 0, 0, []), "null": (False, True, False, 0, 0, 0, 0, []),
+    }

@@ -104,26 +104,58 @@ def test_candidates(path: Column) -> Column:
     return F.array_distinct(F.when(path.endswith(".py"), python).otherwise(script))
 
 
+def _test_folders(path: Column) -> Column:
+    """The folders, in order, in which test_candidates() expects a test of this file; what occurs again counts where it came first."""
+    own = F.regexp_replace(F.regexp_extract(path, "^(.*/)?[^/]*$", 1), "/$", "")
+    python = F.array(F.lit("tests"), F.lit("test"), own, F.lit("src"), F.lit(""))
+    return F.array_distinct(F.when(path.endswith(".py"), python).otherwise(F.array(*map(F.lit, TEST_FOLDERS), own)))
+
+
+def named_tests(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """(path, symbol, named) for each row of asked (path, symbol): the files (path) among its test_candidates(), in their order.
+
+    Candidates differ by folder, suffix and extension alone. So files that are named like tests are taken apart, and a query
+    looks up its few folders with the name, not each of its candidates: with one it meets as many files as there are suffixes.
+    """
+    script, python = r"(?s)\A(.*/)?([^/]*)[.](test|spec)[.](" + "|".join(SCRIPTS) + r")\z", r"(?s)\A(.*/)?test_([^/]*)[.]py\z"
+    is_python = F.col("test").rlike(python)
+    part = lambda k: F.when(is_python, F.regexp_extract("test", python, k)).otherwise(F.regexp_extract("test", script, k))
+    suffix = F.array_position(F.array(*[F.lit(f"{s}.{ext}") for ext in SCRIPTS for s in ("test", "spec")]), F.concat_ws(".", F.regexp_extract("test", script, 3), F.regexp_extract("test", script, 4)))
+    tests = files.select(F.col("path").alias("test")).where(is_python | F.col("test").rlike(script)).distinct()
+    # a file right under / is nobody's candidate: the folder "" puts no / before a name
+    tests = tests.select("test", part(1).alias("at"), part(2).alias("base"), is_python.alias("python"), F.when(is_python, F.lit(0)).otherwise(suffix).alias("suffix")).where("at <> '/'")
+    tests = tests.withColumn("folder", F.expr("left(at, greatest(length(at) - 1, 0))")).drop("at")
+    base = F.regexp_extract("path", "([^/]*?)([.][^./]*)?$", 1)
+    places = asked.select("path", "symbol", base.alias("base"), F.col("path").endswith(".py").alias("python"), F.posexplode(_test_folders(F.col("path"))).alias("place", "folder"))
+    found = places.join(tests, ["folder", "base", "python"], "left").select("path", "symbol", F.when(F.col("test").isNotNull(), F.struct("suffix", "place", "test")).alias("x"))
+    return found.groupBy("path", "symbol").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["test"]).alias("named"))
+
+
 def find_tests(files: DataFrame, found: DataFrame, queries: DataFrame) -> DataFrame:
     """(path, symbol, test, rank, how, confidence, lines, previews) for queries (path, symbol): tests by their name, then tests that hold the symbol.
 
     files (path) are all files there are, found their postings(); a null symbol is looked for by name alone. Of a test the
-    first lines are listed, in a query the first tests.
+    first lines are listed, in a query the first tests. Both kinds come to a query as short lists, so that it stays one row
+    until its tests are told.
     """
-    asked = queries.select("path", "symbol").distinct()
-    named = asked.select("path", "symbol", F.posexplode(test_candidates(F.col("path"))).alias("order", "test")).join(files.select(F.col("path").alias("test")).distinct(), "test")
-    words = asked.where("symbol is not null").withColumn("name", F.lower("symbol"))
-    hits = found.where(is_test(F.col("path"))).select("name", F.col("path").alias("test"), "line", "preview").join(words.select("name").distinct(), "name")
+    asked = named_tests(files, queries.select("path", "symbol").where("path is not null").distinct()).withColumn("name", F.lower("symbol"))
+    words = queries.select(F.lower("symbol").alias("name")).where("name is not null").distinct()
+    hits = found.where(is_test(F.col("path"))).select("name", F.col("path").alias("test"), "line", "preview").join(words, "name")
     first = Window.partitionBy("name", "test").orderBy("line")
     hits = hits.withColumn("k", F.row_number().over(first)).where(F.col("k") <= MOST_LINES).groupBy("name", "test").agg(F.array_sort(F.collect_list(F.struct("line", "preview"))).alias("x"))
     # a query lists so many tests, and there are only so many names to leave out: more of a symbol's tests need no query
     enough = MOST_TESTS + 2 * len(SCRIPTS) * (len(TEST_FOLDERS) + 1)
-    hits = hits.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("test"))).where(F.col("k") <= enough).drop("k")
-    hits = words.join(hits, "name").join(named.select("path", "symbol", "test"), ["path", "symbol", "test"], "left_anti")
-    by_name = named.select("path", "symbol", "test", F.lit(0).alias("kind"), "order", F.lit("naming").alias("how"), F.lit(BY_NAME).alias("confidence"), F.array().cast("array<int>").alias("lines"), F.array().cast("array<string>").alias("previews"))
-    by_symbol = hits.select("path", "symbol", "test", F.lit(1).alias("kind"), F.lit(0).alias("order"), F.lit("symbol").alias("how"), F.lit(BY_SYMBOL).alias("confidence"), F.transform("x", lambda y: y["line"]).alias("lines"), F.transform("x", lambda y: y["preview"]).alias("previews"))
-    ranked = by_name.unionByName(by_symbol).withColumn("rank", F.row_number().over(Window.partitionBy("path", "symbol").orderBy("kind", "order", "test")))
-    return ranked.where(F.col("rank") <= MOST_TESTS).select("path", "symbol", "test", "rank", "how", "confidence", "lines", "previews")
+    hits = hits.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("test"))).where(F.col("k") <= enough)
+    hits = hits.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("test", "x"))).alias("hits"))
+
+    def told(test: Column, how: str, confidence: float, lines: Column, previews: Column) -> Column:
+        return F.struct(test.alias("test"), F.lit(how).alias("how"), F.lit(confidence).alias("confidence"), lines.alias("lines"), previews.alias("previews"))
+
+    by_name = F.transform("named", lambda t: told(t, "naming", BY_NAME, F.array().cast("array<int>"), F.array().cast("array<string>")))
+    some = F.slice(F.coalesce("hits", F.array()), 1, F.size("named") + MOST_TESTS)
+    by_symbol = F.transform(F.filter(some, lambda y: ~F.array_contains("named", y["test"])), lambda y: told(y["test"], "symbol", BY_SYMBOL, y["x"]["line"], y["x"]["preview"]))
+    tests = asked.join(hits, "name", "left").select("path", "symbol", F.posexplode(F.slice(F.concat(by_name, by_symbol), 1, MOST_TESTS)).alias("k", "t"))
+    return tests.select("path", "symbol", "t.test", (F.col("k") + 1).alias("rank"), "t.how", "t.confidence", "t.lines", "t.previews")
 
 
 def dynamic_patterns(ix: Index) -> DataFrame:

@@ -61,3 +61,30 @@ def test_dynamic_patterns(spark):
     ix = P.index(spark.createDataFrame([("d.js", js, "javascript")], "path string, text string, lang string"))
     got = sorted((r.line, r.type) for r in Y.dynamic_patterns(ix).collect())
     assert got == [(1, "D1"), (2, "D2"), (3, "D3"), (4, "D1"), (4, "D4"), (5, "D6"), (6, "D9"), (8, "D8"), (10, "D10"), (11, "D7")]
+
+
+def test_named_tests_are_the_candidates(spark):
+    paths = ["src/a.ts", "src/a.py", "tests/a.ts", "/a.ts", "/a.py", "a.ts", "a//a.js", ".ts", "Makefile", "src/a.b.ts", "x/spec/a.tsx", "x/A.ts", "test/a.py", "x.PY", "d\ne/a.ts"]
+    asked = spark.createDataFrame([(p, s) for p in paths for s in ("s", None)], "path string, symbol string")
+    want = {(r.path, r.symbol): r.c for r in asked.select("*", Y.test_candidates(F.col("path")).alias("c")).collect()}
+    some = sorted({c for cs in want.values() for c in cs[::3]}) + ["/a.test.ts", "/test_a.py", "a/a.test.js", "src/a.test.py", "src/test_a.py\n", "other/a.test.ts"]
+    got = {(r.path, r.symbol): r.named for r in Y.named_tests(spark.createDataFrame([(c,) for c in some + some[:9]], "path string"), asked).collect()}
+    assert got == {k: [c for c in cs if c in set(some)] for k, cs in want.items()} and any(len(v) > 5 for v in got.values())
+
+
+def test_a_query_makes_no_row_for_each_name_and_hit(spark):
+    """However many names a test may have and tests hold the symbol, no step has more rows than queries have tests to tell."""
+    n = 150
+    files = spark.createDataFrame([(f"src/m{k}.ts", "") for k in range(n)] + [(f"tests/m{k}.test.ts", "same") for k in range(n)], "path string, text string")
+    df = Y.find_tests(files, Y.postings(files), files.where("path like 'src/%'").selectExpr("path", "'same' AS symbol"))
+    rows = df.collect()
+    assert len(rows) == 30 * n and all((r.test == f"tests/{r.path[4:-3]}.test.ts") == (r["rank"] == 1) == (r.how == "naming") for r in rows)
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        children = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(k) for k in range(node.children().size())]
+        todo += children
+        made = node.metrics().get("numOutputRows")
+        most = max(most, made.get().value() if made.isDefined() else 0)
+    assert 0 < most <= 30 * n

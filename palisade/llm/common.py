@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -96,6 +97,15 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the system. Workers live on from task to task, and beside an executor's heap they
+    would keep the most that any of their tasks held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, column: str | None = None, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of so many rows, so that what one step holds stays small; with a column, of about `size` bytes of it."""
     for batch in batches:
@@ -109,15 +119,30 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, column: str | Non
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 _BYTE_ODD = np.uint64(0x5851F42D4C957F2D)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
+_STEP = 1 << 18
 _POWERS: list[np.ndarray] = []
 
 
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of _BYTE_ODD and of its inverse, n at least. Only those for _STEP bytes are kept: a long word leaves nothing behind."""
+    if n <= _STEP and _POWERS:
+        return _POWERS
+    up = np.full(max(n, _STEP) + 1, _BYTE_ODD)
+    down = np.full(len(up), np.uint64(pow(int(_BYTE_ODD), -1, 1 << 64)))
+    up[0] = down[0] = 1
+    both = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
+    if n <= _STEP:
+        _POWERS[:] = both
+    return both
+
+
 @dataclass
 class Words:
     """The words of the rows of a column: row, first byte, byte after the last (both in `data`), and hash."""
@@ -137,19 +162,22 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
     n = len(data)
-    if not _POWERS or len(_POWERS[0]) <= n:
-        up = np.full(max(n + 1, 1 << 20), _BYTE_ODD)
-        down = np.full(len(up), np.uint64(pow(int(_BYTE_ODD), -1, 1 << 64)))
-        up[0] = down[0] = 1
-        _POWERS[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
     inside = np.zeros(n + 2, bool)
     inside[1:-1] = ~_SPACE[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     start = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
     end = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_BYTES[_LOWER] if lower else _BYTES)[data] * _POWERS[0][:n], dtype=np.uint64)])
-    h = mix((sums[end] - sums[start]) * _POWERS[1][start] + (end - start).astype(np.uint64))
+    value, h, at = _BYTES[_LOWER] if lower else _BYTES, np.empty(len(start), np.uint64), 0
+    while at < len(start):  # a word's hash doesn't depend on where it stands, so the sums of a few words at a time do
+        lo = start[at]
+        to = max(at + 1, int(np.searchsorted(end, lo + _STEP, "right")))
+        s, e = start[at:to] - lo, end[at:to] - lo
+        up, down = _powers(int(e[-1]))
+        sums = np.zeros(e[-1] + 1, np.uint64)
+        np.cumsum(value[data[lo : lo + e[-1]]] * up[: e[-1]], out=sums[1:])
+        h[at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        at = to
     first = np.searchsorted(start, offsets)
     return Words(data, np.repeat(np.arange(len(column)), np.diff(first)), start, end, h, first)
 
@@ -210,6 +238,8 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
             last = now
     if held:
         yield joined()
+    held = []
+    give_back()
 
 
 def blocks(spark: SparkSession, df: DataFrame, order: list[str], size: int, name: str) -> DataFrame:

@@ -20,6 +20,12 @@ CHUNK = 4
 LONGEST = 64
 #: (longest segment in words that it serves, chunks in a window, chunks between windows)
 WINDOWS = ((20, 4, 1), (32, 7, 1), (LONGEST, 11, 2))
+#: Chunks without words after each row, so that no window reaches into the next one.
+GAP = max(size for _, size, _ in WINDOWS) - 1
+#: Chunks or windows looked at together: their vectors fit a core's cache.
+STRETCH = 1024
+#: Windows near an item after which their marks are looked up.
+HITS = 1 << 14
 #: Rare words of a segment that must stand together before its subsequences are looked at.
 SHARED = 3
 BLOCKS = 64
@@ -54,7 +60,7 @@ def _blocks(sums: np.ndarray) -> pa.RecordBatch:
 
 def _bucketed(column: pa.Array) -> tuple[common.Words, np.ndarray]:
     words = common.words(column, lower=True)
-    return words, (words.hash % np.uint64(BUCKETS)).astype(np.int64)
+    return words, (words.hash & np.uint64(BUCKETS - 1)).view(np.int64)
 
 
 def _passages(words: common.Words) -> np.ndarray:
@@ -64,13 +70,39 @@ def _passages(words: common.Words) -> np.ndarray:
     return np.cumsum(new) - 1
 
 
-def _chunk_sums(vectors: np.ndarray, f: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of the words' vectors by chunk: place by place of a chunk, which is faster than reduceat over so few rows."""
-    size = np.diff(np.append(starts, len(f)))
-    out = vectors[f[starts]]
-    for k in range(1, CHUNK):
-        at = np.flatnonzero(size > k)
-        out[at] += vectors[f[starts[at] + k]]
+@dataclass
+class Chunks:
+    """The words of each row in runs of CHUNK: row, first word and words' buckets (BUCKETS where the row has ended) of each."""
+
+    row: np.ndarray
+    start: np.ndarray
+    buckets: np.ndarray
+    first: np.ndarray  # of each row, and one more: its first chunk's index
+
+
+def _chunks(words: common.Words, f: np.ndarray) -> Chunks:
+    size = -(-np.diff(words.first) // CHUNK)
+    first = np.concatenate([[0], np.cumsum(size)])
+    row = np.repeat(np.arange(len(size)), size)
+    start = words.first[row] + (np.arange(len(row)) - first[row]) * CHUNK
+    buckets = np.full((len(row), CHUNK), BUCKETS)
+    buckets.ravel()[np.arange(len(f)) + (first[:-1] * CHUNK - words.first[:-1])[words.row]] = f
+    return Chunks(row, start, buckets, first)
+
+
+def _with_none(vectors: np.ndarray) -> np.ndarray:
+    """The buckets' vectors, and one of zeros for places without a word."""
+    return np.concatenate([vectors, np.zeros((1, vectors.shape[1]), vectors.dtype)])
+
+
+def _chunk_sums(vectors: np.ndarray, buckets: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Sums of the words' vectors by chunk: place by place of a stretch of chunks, which stays in the cache meanwhile."""
+    held = np.empty((STRETCH, vectors.shape[1]), vectors.dtype)
+    for at in range(0, len(buckets), STRETCH):
+        places, sums = np.ascontiguousarray(buckets[at : at + STRETCH].T), out[at : at + STRETCH]
+        vectors.take(places[0], axis=0, out=sums, mode="clip")
+        for place in places[1:]:
+            sums += vectors.take(place, axis=0, out=held[: len(sums)], mode="clip")
     return out
 
 
@@ -94,7 +126,7 @@ def _sketch(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = shared.value.astype(np.float32)
-        noise = (np.random.default_rng(5).normal(size=(BUCKETS, RANK)) * idf[:, None]).astype(np.float32)
+        noise = _with_none((np.random.default_rng(5).normal(size=(BUCKETS, RANK)) * idf[:, None]).astype(np.float32))
         squares = idf * idf
         out = np.zeros((RANK, BUCKETS))
         for batch in common.slices(batches, column="text", size=1 << 20):
@@ -103,11 +135,13 @@ def _sketch(shared):
             if not len(p):
                 continue
             starts = np.flatnonzero(np.diff(p, prepend=-1))
-            chunks = np.flatnonzero((np.arange(len(f)) - words.first[words.row]) % CHUNK == 0)  # a passage starts with a chunk
-            y = np.add.reduceat(_chunk_sums(noise, f, chunks), np.searchsorted(chunks, starts))
+            chunks = _chunks(words, f)  # a passage starts with a chunk
+            sums = _chunk_sums(noise, chunks.buckets, np.empty((len(chunks.row), RANK), np.float32))
+            y = np.add.reduceat(sums, np.searchsorted(chunks.start, starts))
             y /= np.maximum(np.add.reduceat(squares[f], starts), 1e-12)[:, None]  # passages count with unit length
+            size = np.diff(np.append(starts, len(f)))
             for k, column in enumerate(np.ascontiguousarray(y.T, np.float64)):
-                out[k] += np.bincount(f, column[p], BUCKETS)
+                out[k] += np.bincount(f, np.repeat(column, size), BUCKETS)
         yield _blocks(out.T * idf[:, None])
 
     return run
@@ -120,13 +154,19 @@ def _marks(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ors(h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+def _ors(h: np.ndarray, chunks: Chunks) -> list[np.ndarray]:
     """The marks of all words in runs of 1, 2, 4 ... chunks from each chunk on."""
-    out = [np.bitwise_or.reduceat(_marks(h), starts)]
+    n = len(chunks.row)
+    out = [np.zeros((n, 8), np.uint64)]
+    for k in range(CHUNK):
+        at = np.flatnonzero(chunks.buckets[:, k] < BUCKETS)
+        x = h[chunks.start[at] + k]
+        out[0].ravel()[at * 8 + (x >> np.uint64(40) & np.uint64(7)).view(np.int64)] |= np.uint64(1) << (x >> np.uint64(48) & np.uint64(63))
     for k in range(5):
-        both = out[-1].copy()
-        if 1 << k < len(both):
-            both[: len(both) - (1 << k)] |= out[-1][1 << k :]
+        one, both = out[-1], np.empty_like(out[-1])
+        alone = max(0, n - (1 << k))
+        np.bitwise_or(one[:alone], one[n - alone :], out=both[:alone])
+        both[alone:] = one[alone:]
         out.append(both)
     return out
 
@@ -244,14 +284,18 @@ class Overlaps:
 def _found(shared, nearest: float, same: float, paraphrase: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, segs, rarity = shared.value
+        vectors = _with_none(vectors)
         overlaps = Overlaps(segs, rarity, min(same, paraphrase))
         groups, at_group = [], {}
         for g, (most, size, step) in enumerate(WINDOWS):
             least = WINDOWS[g - 1][0] if g else 0
             ids = [i for i, s in enumerate(segs) if least < len(s.words) <= most]
             if ids:
-                m = np.stack([vectors[(segs[i].words % np.uint64(BUCKETS)).astype(np.int64)].sum(0) for i in ids])
-                groups.append((g, ids, (m / np.maximum(np.linalg.norm(m, axis=1), 1e-12)[:, None]).astype(np.float32), size, step, np.stack([np.bitwise_or.reduce(_marks(segs[i].words)) for i in ids]), np.array([(1 - paraphrase) * len(segs[i].words) for i in ids])))
+                more = -len(ids) % 8  # products and hits go by eights; in the places left over no window passes
+                m = np.stack([vectors[(segs[i].words % np.uint64(BUCKETS)).astype(np.int64)].sum(0) for i in ids] + [np.zeros(RANK, np.float32)] * more)
+                marks = np.stack([np.bitwise_or.reduce(_marks(segs[i].words)) for i in ids] + [np.zeros(8, np.uint64)] * more)
+                slack = np.array([(1 - paraphrase) * len(segs[i].words) for i in ids] + [-1.0] * more)
+                groups.append((g, ids, (m / np.maximum(np.linalg.norm(m, axis=1), 1e-12)[:, None]).astype(np.float32), size, step, marks, slack))
                 at_group |= {i: (k, len(groups) - 1) for k, i in enumerate(ids)}
 
         def holds(s: Segment, words: np.ndarray) -> tuple[float, bool]:
@@ -264,29 +308,46 @@ def _found(shared, nearest: float, same: float, paraphrase: float):
             words, f = _bucketed(batch.column("text"))
             if not len(f):
                 continue
-            place = np.arange(len(f)) - words.first[words.row]
-            starts = np.flatnonzero(place % CHUNK == 0)
-            row = words.row[starts]
-            sums = np.concatenate([np.zeros((1, RANK)), np.cumsum(_chunk_sums(vectors, f, starts), axis=0, dtype=np.float64)])
-            first = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            chunks = _chunks(words, f)
+            starts, row, first = chunks.start, chunks.row, chunks.first
+            apart = np.arange(len(row)) + GAP * row  # where the chunks' sums are, with GAP of zeros after each row
+            buckets = np.full((len(row) + GAP * batch.num_rows, CHUNK), BUCKETS)
+            buckets[apart] = chunks.buckets
+            sums = _chunk_sums(vectors, buckets, np.empty((len(buckets), RANK), np.float32))
             found: dict[tuple[int, int], tuple[float, float]] = {}
-            ors = _ors(words.hash, starts)
-            for g, ids, m, size, step, marks, slack in groups:
-                begin = np.flatnonzero((np.arange(len(starts)) - first[row]) % step == 0)
-                end = np.minimum(begin + size, first[row[begin] + 1])
-                pad = WINDOWS[g][0] // CHUNK  # as far as subsequences are looked for
-                w = (sums[end] - sums[begin]).astype(np.float32)
-                w /= np.maximum(np.linalg.norm(w, axis=1), 1e-12)[:, None]
-                near = []
-                for at in range(0, len(begin), 8192):
-                    x, y = np.divmod(np.flatnonzero((cos := w[at : at + 8192] @ m.T) >= nearest), len(m))
+            ors = _ors(words.hash, chunks)
+            begins = [np.flatnonzero((np.arange(len(starts)) - first[row]) % step == 0) for _, _, _, _, step, _, _ in groups]
+            ends = [np.minimum(begin + group[3], first[row[begin] + 1]) for begin, group in zip(begins, groups, strict=True)]
+            edges = [np.searchsorted(apart[begin], np.arange(0, len(sums) + STRETCH, STRETCH)).tolist() for begin in begins]
+            nears, kept = [[] for _ in groups], [0] * len(WINDOWS)
+            for low in range(0, len(sums), STRETCH):
+                # windows from each place on: of one chunk, then of the sizes of the groups, which grow
+                w, chunk = sums[low : low + STRETCH].copy(), 1
+                for (g, _, m, size, _, marks, slack), begin, end, edge, near in zip(groups, begins, ends, edges, nears, strict=True):
+                    for k in range(chunk, size):
+                        more = sums[low + k : low + k + STRETCH]
+                        w[: len(more)] += more
+                    chunk = size
+                    at, to = edge[low // STRETCH : low // STRETCH + 2]
+                    v = w.take(apart[begin[at:to]] - low, axis=0)
+                    norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)
+                    cos = v @ m.T  # times the norm
+                    hit = (cos >= nearest * norm[:, None]).reshape(-1, 8)
+                    eight = np.flatnonzero(hit.view(np.uint64))
+                    one = np.flatnonzero(hit[eight])
+                    x, y = np.divmod(eight[one >> 3] * 8 + (one & 7), len(m))
+                    near.append((x + at, y, cos[x, y] / norm[x]))
+                    if at < to < len(begin) and sum(len(x) for x, _, _ in near[kept[g] :]) < HITS:
+                        continue
+                    x, y, c = (np.concatenate(v) for v in zip(*near[kept[g] :], strict=True))
                     # at least `paraphrase` of an item can be around only if all but the rest of its words are
-                    some, back = np.unique(x, return_inverse=True)
-                    i = begin[some + at]
-                    around = _any(ors, np.maximum(i - pad, first[row[i]]), np.minimum(end[some + at] + pad, first[row[i] + 1]))
-                    missing = np.bitwise_count(marks[y] & ~around[back]).sum(1, dtype=np.int64)
-                    x, y = x[may := missing <= slack[y]], y[may]
-                    near.append((x + at, y, cos[x, y]))
+                    new = np.diff(x, prepend=-1) > 0
+                    i, pad = begin[x[new]], WINDOWS[g][0] // CHUNK  # as far as subsequences are looked for
+                    around = _any(ors, np.maximum(i - pad, first[row[i]]), np.minimum(end[x[new]] + pad, first[row[i] + 1]))
+                    may = np.bitwise_count(marks[y] & ~around[np.cumsum(new) - 1]).sum(1, dtype=np.int64) <= slack[y]
+                    near[kept[g] :] = [(x[may], y[may], c[may])]
+                    kept[g] += 1
+            for (_, ids, *_), begin, end, near in zip(groups, begins, ends, nears, strict=True):
                 x, y, c = (np.concatenate([v[i] for v in near]) for i in range(3))
                 if not len(x):
                     continue
@@ -332,8 +393,8 @@ def _found(shared, nearest: float, same: float, paraphrase: float):
                     if yes:
                         k, g = at_group[i]
                         size = groups[g][3]
-                        begin = np.arange(np.searchsorted(starts, a + t, "right") - 1, np.searchsorted(starts, min(a + t + span, high)))
-                        w = sums[np.minimum(begin + size, first[r + 1])] - sums[begin]
+                        begin = apart[np.searchsorted(starts, a + t, "right") - 1 : np.searchsorted(starts, min(a + t + span, high))]
+                        w = sums[begin[:, None] + np.arange(size)].sum(1)
                         c = float((w @ groups[g][2][k] / np.maximum(np.linalg.norm(w, axis=1), 1e-12)).max())
                         found[r, s.item] = max(found.get((r, s.item), (0.0, 0.0)), (ratio, c))
                     if ratio >= same or yes and ratio >= most / len(s.words):
